@@ -1,14 +1,16 @@
 """The registered queries of this package and their SQL."""
 
-from millrace.llm import mixing, near_dup, quality, url_filter
+from millrace.llm import mixing, near_dup, quality, substring_dedup, url_filter
 
 QUERIES = {
+    "op2_substring_dedup": substring_dedup.op2_substring_dedup,
     "op7_near_dup": near_dup.op7_near_dup,
     "op8_mix_sources": mixing.op8_mix_sources,
     "op9_quality": quality.op9_quality,
     "op10_url_filter": url_filter.op10_url_filter,
 }
 SQL = {
+    "op2_substring_dedup": substring_dedup.OP2_SQL,
     "op7_near_dup": near_dup.OP7_SQL,
     "op8_mix_sources": mixing.OP8_SQL,
     "op9_quality": quality.OP9_SQL,
