@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.llm.shared import Scratch
 from millrace.llm.words import WORD
 
 SLICE_DIGITS = 3
@@ -86,19 +87,29 @@ def plan(sized: DataFrame, **options) -> DataFrame:
     return targets.join(cuts, targets["source"].eqNullSafe(F.col("k_source")), "left").select("source", "source_size", "target", "whole", F.coalesce("cut", F.lit("")).alias("cut"))
 
 
-def mix(docs: DataFrame, seed: int = 17, **options) -> DataFrame:
+def mix(docs: DataFrame, seed: int = 17, broadcast_sources: int = 1_000_000, **options) -> DataFrame:
     """All columns of `docs` plus size, source_size, target, repeats and taken (repeats * size).
 
     `docs` has doc_id, text and source. Null sources form one source, a null text has size 0;
     repeated rows of a document share one decision; an empty table gives no rows. Only sums by
-    source and slice and one row a source move between tasks, so the texts are never shuffled.
+    source and slice and one row a source move between tasks. The rows of the plan go to all
+    tasks up to `broadcast_sources` sources, so that no text is shuffled; beyond it sources are joined
+    in 64 salted parts each, so that a hot one meets in no single task.
     """
     added = {"size": F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long"), "order_key": seeded_order(seed)}
     names = [c for c in docs.columns if c not in ("size", "source_size", "target", "whole", "cut", "order_key", "repeats", "taken", "p_source")]
     rows = docs.select(*names).withColumns(added)
     plans = plan(rows.select("source", "size", "order_key"), **options).withColumnRenamed("source", "p_source")
+    plans = Scratch(docs.sparkSession, "mix").save(plans, "plan")
     repeats = (F.col("whole") + (F.col("order_key") < F.col("cut")).cast("long")).alias("repeats")
-    joined = rows.join(plans, rows["source"].eqNullSafe(plans["p_source"]), "left")
+    same = rows["source"].eqNullSafe(plans["p_source"])
+    if plans.count() <= broadcast_sources:
+        joined = rows.join(F.broadcast(plans), same, "left")
+    else:
+        salt = F.pmod(F.xxhash64("order_key"), F.lit(64))
+        spread = plans.withColumn("p_salt", F.explode(F.sequence(F.lit(0), F.lit(63))))
+        joined = rows.withColumn("salt", salt)
+        joined = joined.join(spread, joined["source"].eqNullSafe(spread["p_source"]) & (joined["salt"] == spread["p_salt"]), "left")
     return joined.select(*names, "size", "source_size", "target", repeats).withColumn("taken", F.col("repeats") * F.col("size"))
 
 
