@@ -1,8 +1,10 @@
 """The registered queries of this package and their SQL."""
 
-from millrace.llm import language_id, mixing, near_dup, quality, substring_dedup, toxicity, url_filter
+from millrace.llm import decontaminate, language_id, mixing, near_dup, pii, quality, substring_dedup, toxicity, url_filter
 
 QUERIES = {
+    "op4_decontaminate": decontaminate.op4_decontaminate,
+    "op5_pii": pii.op5_pii,
     "op3_language_id": language_id.op3_language_id,
     "op6_toxicity": toxicity.op6_toxicity,
     "op2_substring_dedup": substring_dedup.op2_substring_dedup,
