@@ -1,8 +1,9 @@
 """The registered queries of this package and their SQL."""
 
-from millrace.llm import decontaminate, language_id, mixing, near_dup, pii, quality, substring_dedup, toxicity, url_filter
+from millrace.llm import decontaminate, html_text, language_id, mixing, near_dup, pii, quality, substring_dedup, toxicity, url_filter
 
 QUERIES = {
+    "op1_html_text": html_text.op1_html_text,
     "op4_decontaminate": decontaminate.op4_decontaminate,
     "op5_pii": pii.op5_pii,
     "op3_language_id": language_id.op3_language_id,
