@@ -463,7 +463,7 @@ def _(s, d):
 @query("k6_train_ranker")
 def _(s, d):
     rows = L.ltr_features(J.rrf(all_legs(s, d)).join(R.fuse_by_item(*all_legs(s, d).values()), ["query_id", "item_id"]), X.items(s, d), now())
-    return L.cross_validate(rows, qrels_of(s, d), X.queries(s, d))
+    return L.cross_validate(rows, qrels_of(s, d), X.queries(s, d), k=2)
 
 
 @query("u1_encode", "SELECT doc_id, len(list_filter(regexp_extract_all(lower(text), '[a-z][a-z0-9+.#-]*|[0-9]+[a-z]*'), lambda x: true))::BIGINT AS n_tokens FROM documents")
