@@ -64,14 +64,14 @@ def normalize_query(c: Column) -> Column:
 
 def canonical_url(c: Column) -> Column:
     """https, lower-case host without www. and default port, no trailing slash, fragment or tracking parameter."""
-    c = strip(c)
-    c = F.when(F.contains(c, F.lit("://")), c).otherwise(F.concat(F.lit("https://"), c))
+    bare = strip(c)
+    c = F.when(F.contains(bare, F.lit("://")), bare).otherwise(F.concat(F.lit("https://"), bare))
     part = lambda n: F.regexp_extract(c, r"^[^:]*://([^/?#]*)([^?#]*)(?:\?([^#]*))?", n)
     host = F.regexp_replace(F.regexp_replace(F.lower(part(1)), "^www\\.", ""), ":(80|443)$", "")
     tracked = lambda p: F.exists(F.array(*map(F.lit, TRACKING)), lambda t: F.startswith(F.lower(F.split(p, "=")[0]), t))
     query = F.array_join(F.filter(F.split(part(3), "&"), lambda p: (p != "") & ~tracked(p)), "&")
     url = F.concat(F.lit("https://"), host, F.regexp_replace(part(2), "/+$", ""), F.when(query != "", F.concat(F.lit("?"), query)).otherwise(F.lit("")))
-    return F.when(F.length(c) > 0, url)
+    return F.when(F.length(bare) > 0, url)
 
 
 def valid_url(c: Column) -> Column:
