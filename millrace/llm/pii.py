@@ -163,7 +163,7 @@ def _fit(table: pa.Table, steps: int = 300, rate: float = 0.5, l2: float = 1e-3)
             g = (p / p.sum(axis=1, keepdims=True) - want) / len(y)
             unary -= rate * (x.T @ g * 10 + l2 * unary)
             trans -= rate * (one_b.T @ g + g.T @ one_a + l2 * trans)
-    skip = float(np.clip(np.log(agree / apart), 2.0, 6.0))
+    skip = float(np.clip(np.log(agree / apart), 4.0, 8.0))
     return {"unary": unary, "chain": trans, "skip": np.eye(len(LABELS)) * skip}
 
 
