@@ -147,3 +147,27 @@ def moderation(quality_score: Column, hype_score: Column) -> tuple[Column, Colum
         F.when(hype_score > 45, F.format_string("hype risk %.0f above 45", hype_score)),
     )
     return F.when(approved, "approved").otherwise("rejected"), reasons
+
+
+#: Own wording of who an item serves: words of its text, or its type, and the line shown.
+USE_CASES = (
+    (("hackathon",), None, "For a demo at a hackathon."),
+    ((), "mcp_server", "For wiring tools into an agent."),
+    ((), "starter_template", "For starting from a forkable template."),
+    (("extension", "chrome"), None, "For browser extensions."),
+    (("lecture", "video", "transcri", "whisper"), None, "For transcripts, summaries and study tools."),
+    (("rag", "retrieval"), None, "For search and answers over documents."),
+)
+
+
+def use_case_line(text: Column, kind: Column) -> Column:
+    """The first line whose words or type fit."""
+    low, line = F.lower(text), F.lit("For a remixable starting point.")
+    for words, only, says in reversed(USE_CASES):
+        fits = kind == only if only else F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(low, w))
+        line = F.when(fits, says).otherwise(line)
+    return line
+
+
+def remix_line(commands: Column, readme: Column) -> Column:
+    return F.when(F.size(commands) > 0, "Run the commands, then swap the parts.").when(readme.rlike("(?i)##\\s*usage"), "Follow the usage section.").otherwise("Copy the modules that you need.")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from millrace import fixtures as X
 from millrace.fixtures import sql
+from millrace.functions import scores as S
 from millrace.functions import text as T
 from millrace.operators import evaluate as E
 from millrace.operators import intent as I
@@ -335,3 +336,12 @@ def _(s, d):
 def _(s, d):
     return D.outcome_counters(X.run_ledger(s, d)).groupBy("outcome").agg(F.sum("n").alias("n"))
 
+
+
+@query("h25_rule_lines", sql("items", """SELECT item_id, CASE WHEN contains(t, 'hackathon') THEN 'For a demo at a hackathon.' WHEN artifact_type = 'mcp_server' THEN 'For wiring tools into an agent.' WHEN artifact_type = 'starter_template' THEN 'For starting from a forkable template.'
+  WHEN contains(t, 'extension') OR contains(t, 'chrome') THEN 'For browser extensions.' WHEN contains(t, 'lecture') OR contains(t, 'video') OR contains(t, 'transcri') OR contains(t, 'whisper') THEN 'For transcripts, summaries and study tools.'
+  WHEN contains(t, 'rag') OR contains(t, 'retrieval') THEN 'For search and answers over documents.' ELSE 'For a remixable starting point.' END AS use_case,
+  CASE WHEN len(commands) > 0 THEN 'Run the commands, then swap the parts.' ELSE 'Copy the modules that you need.' END AS how_to_remix FROM (SELECT *, lower(title || ' ' || summary) AS t FROM items)"""))
+def _(s, d):
+    text = F.concat_ws(" ", "title", "summary")
+    return X.items(s, d).select("item_id", S.use_case_line(text, F.col("artifact_type")).alias("use_case"), S.remix_line(F.col("commands"), F.col("summary")).alias("how_to_remix"))
