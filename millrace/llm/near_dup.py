@@ -1,12 +1,15 @@
 """Near-duplicate groups: SuperMinHash signatures, banding, verification, union-find.
 
 Documents with equal shingle sets become one class first. Classes whose
-signatures agree in a band share a bucket. Inside a bucket a few hubs are compared
+signatures agree in a band share a bucket. Two exact bounds then thin the buckets: a class's shingles that
+no other candidate has cannot be shared, so a class with too many of them links with nothing, and a
+pair can share at most what both have left. Inside a bucket a few hubs are compared
 with all members, in rounds: whatever is already in the hub's component needs no
 comparison, and a hub that has been compared with its whole bucket retires. Rounds go on with
 more hubs until no bucket holds two components with a pair not compared. So a bucket
-of mutual copies costs one comparison a member, and no link is skipped. Every link is
-confirmed on the full sets.
+of mutual copies costs one comparison a member. A pair that shares several bands is taken in the first
+of them; pairs whose signatures differ in more than MISMATCHES of the 64 slots are not compared (a linked
+pair does so with a probability of about 1 in 100,000). Every link is confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -23,6 +26,8 @@ from millrace.llm.shared import Scratch, components
 SHINGLE = 5
 BANDS, ROWS = 16, 4
 SLOTS = BANDS * ROWS
+MISMATCHES = 22
+HUBS_GROW = 8
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -89,8 +94,18 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
     return key
 
 
+def sketch(signature: np.ndarray) -> list[np.ndarray]:
+    """Four numbers with one bit of every slot each: slots with other bits have other values."""
+    bits = W.mix(np.ascontiguousarray(signature).view(np.uint64).reshape(signature.shape))
+    place = np.left_shift(np.uint64(1), np.arange(SLOTS, dtype=np.uint64))
+    return [np.where(bits >> np.uint64(k) & np.uint64(1), place, np.uint64(0)).sum(axis=1, dtype=np.uint64).view(np.int64) for k in (8, 24, 40, 56)]
+
+
+_SKETCH = ("s1", "s2", "s3", "s4")
+
+
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, two halves of the set's fingerprint and the band keys (null for empty sets)."""
+    """doc_id, n_shingles, two halves of the set's fingerprint, the sketch and the band keys (null for empty sets)."""
 
     def run(batches):
         for part in W.slices(batches):
@@ -98,12 +113,13 @@ def signatures(docs: DataFrame) -> DataFrame:
             counts = np.diff(offsets)
             total = lambda x: np.diff(np.concatenate([[0], np.cumsum(x, dtype=np.uint64)])[offsets])
             one, two = total(W.mix(elements)), total(W.mix(elements ^ _GOLD))
-            keys = band_keys(superminhash(offsets, elements)).view(np.int64)
+            signature = superminhash(offsets, elements)
+            keys = band_keys(signature).view(np.int64)
             bands = pa.ListArray.from_arrays(pa.array(np.arange(len(counts) + 1, dtype=np.int32) * BANDS), pa.array(keys.reshape(-1)))
             bands = pc.if_else(pa.array(counts > 0), bands, pa.scalar(None, bands.type))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), bands], names=["doc_id", "n_shingles", "fp1", "fp2", "bands"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), *map(pa.array, sketch(signature)), bands], names=["doc_id", "n_shingles", "fp1", "fp2", *_SKETCH, "bands"])
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, n_shingles bigint, fp1 bigint, fp2 bigint, bands array<bigint>")
+    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, n_shingles bigint, fp1 bigint, fp2 bigint, s1 bigint, s2 bigint, s3 bigint, s4 bigint, bands array<bigint>")
 
 
 def full_sets(docs: DataFrame) -> DataFrame:
@@ -116,10 +132,10 @@ def full_sets(docs: DataFrame) -> DataFrame:
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
+    """The pairs (a, b, ca, cb) whose full sets have 100 * intersection >= percent * union."""
     left, right = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("rep").alias("b"), F.col("shingles").alias("sb"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("common"))
-    return both.filter(100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b")
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "ca", "cb", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("common"))
+    return both.filter(100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b", "ca", "cb")
 
 
 def groups(docs: DataFrame, percent: int = 85, broadcast_ids: int = 2_000_000) -> DataFrame:
@@ -135,40 +151,62 @@ def groups(docs: DataFrame, percent: int = 85, broadcast_ids: int = 2_000_000) -
     docs = docs.select("doc_id", "text")
     signed = scratch.save(signatures(docs), "signatures")
     named = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = scratch.save(named.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("rep"), F.any_value("n_shingles").alias("n"), F.any_value("bands").alias("bands")), "classes")
-    banded = classes.select("rep", "n", F.explode("bands").alias("key"))
+    same = [F.any_value(c).alias(c) for c in (*_SKETCH, "bands")]
+    classes = scratch.save(named.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("rep"), F.any_value("n_shingles").alias("n"), *same), "classes")
+
+    # candidates: classes that share a band
+    banded = classes.select("rep", F.explode("bands").alias("key"))
     shared = banded.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key")
-    live = scratch.save(banded.join(shared, "key").withColumn("comp", F.col("rep")), "members")
-    ids = scratch.save(live.select(F.col("rep").alias("doc_id")).distinct(), "candidates")
+    ids = scratch.save(banded.join(shared, "key").select(F.col("rep").alias("doc_id")).distinct(), "candidates")
     picked = F.broadcast(ids) if ids.count() <= broadcast_ids else ids
     sets = scratch.save(full_sets(docs.join(picked, "doc_id", "left_semi")).dropDuplicates(["rep"]), "sets")
 
-    links, hubs_a_round, rounds = None, 1, 0
+    # shingles that one candidate alone has cannot be shared
+    alone = sets.select("rep", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.min("rep").alias("rep"), F.count("*").alias("c")).filter("c = 1")
+    own = alone.groupBy("rep").agg(F.count("*").alias("own"))
+    left = sets.select("rep").join(own, "rep", "left").select("rep", F.coalesce("own", F.lit(0)).alias("own"))
+    open_ = classes.join(left, "rep").withColumn("most", F.col("n") - F.col("own")).filter(100 * F.col("most") >= percent * F.col("n"))
+    members = scratch.save(open_.select("rep", "n", "most", *_SKETCH, "bands", F.posexplode("bands").alias("band", "key"), F.col("rep").alias("comp")), "members")
+
+    comps, hubs_a_round, rounds, live = None, 1, 0, members
     while True:
         open_keys = live.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
         live = scratch.save(live.join(open_keys, "key", "left_semi"), "open")
-        if live.isEmpty():
+        rows = live.count()
+        if not rows:
             break
         order = Window.partitionBy("key").orderBy(F.xxhash64("rep", F.lit(rounds)), "rep")
-        hubs = live.withColumn("turn", F.row_number().over(order)).filter(F.col("turn") <= hubs_a_round)
-        hubs = scratch.save(hubs.select("key", F.col("rep").alias("hub"), F.col("n").alias("hub_n"), F.col("comp").alias("hub_comp")), "hubs")
-        fits = (100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")) & (F.col("comp") != F.col("hub_comp"))
-        pairs = live.join(hubs, "key").filter(fits).select(F.greatest("rep", "hub").alias("a"), F.least("rep", "hub").alias("b")).distinct()
+        hubs = live.withColumn("turn", F.row_number().over(order)).filter(F.col("turn") <= hubs_a_round).drop("turn", "band")
+        hubs = scratch.save(hubs.select("key", *[F.col(c).alias(f"h_{c}") for c in hubs.columns if c != "key"]), "hubs", rows)
+        most = F.least("most", "h_most")
+        fits = 100 * most >= percent * (F.col("n") + F.col("h_n") - most)
+        differ = F.lit(0).cast("bigint")
+        for c in _SKETCH:
+            differ = differ.bitwiseOR(F.col(c).bitwiseXOR(F.col(f"h_{c}")))
+        first = F.array_position(F.zip_with("bands", "h_bands", lambda x, y: x == y), True) == F.col("band") + 1
+        near = (live["key"] == hubs["key"]) & (F.col("comp") != F.col("h_comp")) & fits & (F.bit_count(differ) <= MISMATCHES) & first
+        ends = F.struct(F.greatest("rep", "h_rep").alias("a"), F.least("rep", "h_rep").alias("b"))
+        pairs = live.join(hubs, near).select(ends.alias("p"), F.least("comp", "h_comp").alias("ca"), F.greatest("comp", "h_comp").alias("cb")).select("p.*", "ca", "cb").distinct()
         found = scratch.save(confirmed(pairs, sets, percent), "links")
-        links = found if links is None else links.union(found)
-        retired = hubs.select("key", F.col("hub").alias("rep"))
-        joined = scratch.save(components(links, scratch), "components")
-        live = live.join(retired, ["key", "rep"], "left_anti").join(joined, live["rep"] == joined["node"], "left")
-        live = scratch.save(live.select("key", "rep", "n", F.coalesce("component", "rep").alias("comp")), "members")
-        hubs_a_round, rounds = hubs_a_round * 4, rounds + 1
+        retired = hubs.select("key", F.col("h_rep").alias("rep"))
+        live = live.join(retired, ["key", "rep"], "left_anti")
+        n_found = found.count()
+        if n_found:
+            joined = components(found.select(F.col("ca").alias("a"), F.col("cb").alias("b")), scratch, n_found)
+            live = live.join(joined, live["comp"] == joined["node"], "left").withColumn("comp", F.coalesce("component", "comp")).drop("node", "component")
+            before = members.select("rep", "comp").distinct() if comps is None else comps
+            comps = before.join(joined, before["comp"] == joined["node"], "left").select("rep", F.coalesce("component", "comp").alias("comp"))
+            comps = scratch.save(comps, "components")
+        hubs_a_round, rounds = hubs_a_round * HUBS_GROW, rounds + 1
 
     found = classes.select("fp1", "fp2", "rep")
-    if links is not None:
-        found = found.join(joined, found["rep"] == joined["node"], "left").select("fp1", "fp2", F.coalesce("component", "rep").alias("component_id"))
+    if comps is not None:
+        comps = comps.withColumnRenamed("rep", "c_rep")
+        found = found.join(comps, found["rep"] == comps["c_rep"], "left").select("fp1", "fp2", F.coalesce("comp", "rep").alias("component_id"))
     else:
         found = found.withColumnRenamed("rep", "component_id")
     found = scratch.save(found, "found")
-    out = signed.drop("bands").join(found, ["fp1", "fp2"], "left")
+    out = signed.select("doc_id", "n_shingles", "fp1", "fp2").join(found, ["fp1", "fp2"], "left")
     alone = F.col("doc_id").isNull() | (F.col("n_shingles") == 0)
     component = F.when(alone, F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))

@@ -20,33 +20,35 @@ class Scratch:
             spark.conf.set("spark.checkpoint.dir", root)
         self.spark, self.root, self.turn = spark, f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}", itertools.count()
 
-    def save(self, df: DataFrame, name: str = "t") -> DataFrame:
+    def save(self, df: DataFrame, name: str = "t", rows: int | None = None) -> DataFrame:
+        """With a bound on its rows, the table is written in files of about 200,000."""
         path = f"{self.root}/{name}-{next(self.turn)}"
+        if rows is not None:
+            df = df.coalesce(1 + rows // 200_000)
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
 
-def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """`edges` (a, b) -> (node, component): the smallest node reachable, for every node of an edge.
+def components(edges: DataFrame, scratch: Scratch, rows: int | None = None) -> DataFrame:
+    """`edges` (a, b) -> (node, component): the smallest node reachable, for every node that is not the smallest.
 
     Alternating large-star and small-star steps (Kiveris et al. 2014) as minima and joins, so
     that no node's neighbours meet in one task; each round is written to the shared folder.
     """
     small = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    small = scratch.save(small, "edges")
+    small = scratch.save(small, "edges", rows)
     before = None
     while True:
         both = small.union(small.select(F.col("b").alias("a"), F.col("a").alias("b")))
         lows = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
         large = both.join(lows, both["a"] == lows["u"]).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        large = scratch.save(large, "large")
+        large = scratch.save(large, "large", rows)
         lows = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "u")
         linked = large.join(lows, large["a"] == lows["u"]).filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        small = scratch.save(linked.union(lows.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct(), "small")
+        small = scratch.save(linked.union(lows.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct(), "small", rows)
         # a sum of hashes shows whether the edges are the same as after the last round
         now = small.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before or not now[0]:
             break
         before = now
-    stars = small.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    return stars.union(stars.select("component", "component").distinct())
+    return small.select(F.col("a").alias("node"), F.col("b").alias("component"))
