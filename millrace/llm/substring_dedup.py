@@ -19,6 +19,8 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,14 +28,47 @@ from millrace.llm import words as W
 
 PERIOD, COVER = 13, (0, 1, 3, 9)
 _ON_COVER = np.isin(np.arange(PERIOD), COVER)
-_OCC = pa.struct([("doc", pa.int64()), ("rep", pa.int32()), ("pos", pa.int32())])
+_OCC = pa.struct([("doc", pa.int64()), ("at", pa.int64())])
+_NO_ID = 2**63 - 1
 
 
 def _documents(docs: DataFrame) -> DataFrame:
-    """doc_id, text and the key (doc, rep): rows without an id come last, and different texts
-    of one id are told apart by rep in the order of their text; equal rows are one document."""
-    keyed = docs.select("doc_id", "text", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(2**63 - 1)).alias("doc"))
-    return keyed.withColumn("rep", F.dense_rank().over(Window.partitionBy("doc").orderBy("text")) - 1)
+    """doc, rep, copy and the packed text of every row.
+
+    Rows without an id come last; different texts of one id are told apart by rep; equal rows are
+    one document. `copy` says that an earlier document has the same whole text. Texts are packed,
+    as they are the most of what is shuffled.
+    """
+
+    def pack(batches):
+        for part in W.slices(batches):
+            squeeze = zstandard.ZstdCompressor(level=1).compress
+            raw = part.column(0).cast(pa.binary()).to_pylist()
+            yield pa.RecordBatch.from_arrays([part.column(1), pa.array([None if t is None else squeeze(t) for t in raw], pa.binary())], names=["doc", "packed"])
+
+    doc = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_NO_ID)).alias("doc")
+    digest = [F.xxhash64("text").alias("d1"), F.xxhash64(F.lit(1), "text").alias("d2")]
+    known = docs.filter("text IS NOT NULL").select(doc, *digest).distinct()
+    first = known.groupBy("d1", "d2").agg(F.min("doc").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    copies = known.join(first, ["d1", "d2"]).filter("doc > first").select(F.col("doc").alias("c_doc"), F.lit(True).alias("copy")).distinct()
+    packed = docs.select("text", doc).mapInArrow(pack, "doc bigint, packed binary")
+    # two texts under one id are rare, so that a copy is judged only where the id has one text
+    ranked = packed.withColumn("rep", F.dense_rank().over(Window.partitionBy("doc").orderBy("packed")) - 1)
+    ranked = ranked.withColumn("reps", F.max("rep").over(Window.partitionBy("doc")))
+    joined = ranked.join(copies, ranked["doc"] == copies["c_doc"], "left")
+    alone = (F.col("reps") == 0) & (F.col("doc") != _NO_ID)
+    return joined.select("doc", "rep", (F.coalesce("copy", F.lit(False)) & alone).alias("copy"), "packed")
+
+
+def _unpacked(batches):
+    """Slices of a batch with its texts in column `text`, unpacked."""
+    for batch in batches:
+        at = batch.schema.get_field_index("packed")
+        for start in range(0, batch.num_rows, 500):
+            part = batch.slice(start, 500)
+            loosen = zstandard.ZstdDecompressor().decompress
+            texts = [None if t is None else loosen(t) for t in part.column(at).to_pylist()]
+            yield from W.slices([part.set_column(at, "text", pa.array(texts, pa.binary()).cast(pa.string()))])
 
 
 def _positions(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -41,55 +76,58 @@ def _positions(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return row, np.arange(len(row)) - offsets[row]
 
 
+def _column(part: pa.RecordBatch, name: str) -> np.ndarray:
+    return part.column(part.schema.get_field_index(name)).to_numpy(zero_copy_only=False)
+
+
 def anchors(keyed: DataFrame, window: int) -> DataFrame:
-    """(hash, doc, rep, pos, more): runs on the cover; further ones of the same batch are in `more`."""
+    """(hash, doc, at, more): runs on the cover; further ones of the same batch are in `more`.
+
+    `at` is rep * 2**32 + position.
+    """
     length = window - PERIOD + 1
 
     def run(batches):
-        for part in W.slices(batches):
-            offsets, words = W.split(part.column(1))
+        for part in _unpacked(batches):
+            offsets, words = W.split(part.column(2))
             long = np.diff(offsets) >= window
             runs = W.windows(W.word_hashes(words), length)
             row, pos = _positions(offsets)
             row, pos = row[: len(runs)], pos[: len(runs)]
             use = np.flatnonzero(_ON_COVER[pos % PERIOD] & W.within(offsets, length) & long[row])
-            runs, row, pos = runs[use], row[use], pos[use].astype(np.int32)
+            runs, row, pos = runs[use], row[use], pos[use]
             order = np.argsort(runs, kind="stable")
             runs, row, pos = runs[order], row[order], pos[order]
+            doc, at = _column(part, "doc")[row], (_column(part, "rep")[row].astype(np.int64) << 32) + pos
             first = np.flatnonzero(np.concatenate([[True], runs[1:] != runs[:-1]])) if len(runs) else np.zeros(0, np.int64)
-            doc, rep = (part.column(i).to_numpy(zero_copy_only=False) for i in (2, 3))
             counts = np.diff(np.append(first, len(runs))) - 1
             others = np.ones(len(runs), bool)
             others[first] = False
-            occ = pa.StructArray.from_arrays([pa.array(doc[row[others]]), pa.array(rep[row[others]].astype(np.int32)), pa.array(pos[others])], fields=list(_OCC))
+            occ = pa.StructArray.from_arrays([pa.array(doc[others]), pa.array(at[others])], fields=list(_OCC))
             starts = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
             more = pa.ListArray.from_arrays(pa.array(starts), occ, mask=pa.array(counts == 0))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(runs[first].view(np.int64)), pa.array(doc[row[first]]), pa.array(rep[row[first]].astype(np.int32)), pa.array(pos[first]), more],
-                names=["hash", "doc", "rep", "pos", "more"],
-            )
+            yield pa.RecordBatch.from_arrays([pa.array(runs[first].view(np.int64)), pa.array(doc[first]), pa.array(at[first]), more], names=["hash", "doc", "at", "more"])
 
-    return keyed.select("doc_id", "text", "doc", "rep").mapInArrow(run, "hash bigint, doc bigint, rep int, pos int, more array<struct<doc:bigint,rep:int,pos:int>>")
+    source = keyed.filter("NOT copy").select("doc", "rep", "packed")
+    return source.mapInArrow(run, "hash bigint, doc bigint, at bigint, more array<struct<doc:bigint,at:bigint>>")
 
 
 def repeated_anchors(found: DataFrame) -> DataFrame:
-    """(doc, marks): for each document, rep and position of the anchors that occur elsewhere."""
+    """(m_doc, marks): for each document where the anchors start that occur elsewhere."""
     n = F.sum(F.when(F.col("more").isNull(), 1).otherwise(2)).over(Window.partitionBy("hash"))
-    own = F.array(F.struct("doc", "rep", "pos"))
-    rows = found.withColumn("n", n).filter("n > 1").select(F.explode(F.concat(own, F.coalesce("more", F.array().cast("array<struct<doc:bigint,rep:int,pos:int>>")))).alias("o"))
-    return rows.select("o.*").groupBy("doc").agg(F.collect_list(F.struct("rep", "pos")).alias("marks")).withColumnRenamed("doc", "m_doc")
+    own = F.array(F.struct("doc", "at"))
+    rows = found.withColumn("n", n).filter("n > 1").select(F.explode(F.concat(own, F.coalesce("more", F.array().cast("array<struct<doc:bigint,at:bigint>>")))).alias("o"))
+    return rows.select("o.*").groupBy(F.col("doc").alias("m_doc")).agg(F.collect_list("at").alias("marks"))
 
 
-def _marks(column: pa.Array, rep: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Word numbers, over all rows, of (rep, pos) lists, of those that have the row's rep."""
-    lists = column.flatten()
-    counts = np.diff(column.offsets.to_numpy()) if len(column) else np.zeros(0, int)
-    if column.null_count:
-        counts = np.where(column.is_valid().to_numpy(zero_copy_only=False), counts, 0)
+def _marks(part: pa.RecordBatch, name: str, offsets: np.ndarray) -> np.ndarray:
+    """Word numbers, over all rows, of lists of rep * 2**32 + position, of those that have the row's rep."""
+    column = part.column(part.schema.get_field_index(name))
+    at = column.flatten().to_numpy(zero_copy_only=False)
+    counts = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
     row = np.repeat(np.arange(len(column)), counts)
-    r, p = (lists.field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-    own = r == rep[row]
-    return offsets[row[own]] + p[own]
+    own = (at >> 32) == _column(part, "rep")[row]
+    return offsets[row[own]] + (at[own] & 0xFFFFFFFF)
 
 
 def _candidates(offsets: np.ndarray, marked: np.ndarray, window: int) -> np.ndarray:
@@ -107,26 +145,22 @@ def _candidates(offsets: np.ndarray, marked: np.ndarray, window: int) -> np.ndar
 
 
 def first_windows(marked: DataFrame, window: int) -> DataFrame:
-    """(doc, firsts): for each document, the windows whose first occurrence it holds."""
+    """(f_doc, firsts): for each document, the windows whose first occurrence it holds."""
 
     def run(batches):
-        for part in W.slices(batches):
-            offsets, words = W.split(part.column(0))
-            doc, rep = (part.column(i).to_numpy(zero_copy_only=False) for i in (1, 2))
-            at = _candidates(offsets, _marks(part.column(3), rep, offsets), window)
+        for part in _unpacked(batches):
+            offsets, words = W.split(part.column(2))
+            at = _candidates(offsets, _marks(part, "marks", offsets), window)
             hashes = W.windows(W.word_hashes(words), window)[at]
             row, pos = _positions(offsets)
-            row, pos = row[at], pos[at]
-            order = np.lexsort((pos, rep[row], doc[row], hashes))
+            doc, place = _column(part, "doc")[row[at]], (_column(part, "rep")[row[at]].astype(np.int64) << 32) + pos[at]
+            order = np.lexsort((place, doc, hashes))
             order = order[np.concatenate([[True], np.diff(hashes[order]) != 0])] if len(order) else order
-            row, pos = row[order], pos[order]
-            # rep and position in one number keep the rows short
-            yield pa.RecordBatch.from_arrays([pa.array(hashes[order].view(np.int64)), pa.array(doc[row]), pa.array((rep[row].astype(np.int64) << 32) + pos)], names=["hash", "doc", "at"])
+            yield pa.RecordBatch.from_arrays([pa.array(hashes[order].view(np.int64)), pa.array(doc[order]), pa.array(place[order])], names=["hash", "doc", "at"])
 
-    windows = marked.select("text", "doc", "rep", "marks").mapInArrow(run, "hash bigint, doc bigint, at bigint")
+    windows = marked.select("doc", "rep", "packed", "marks").mapInArrow(run, "hash bigint, doc bigint, at bigint")
     firsts = windows.groupBy("hash").agg(F.min(F.struct("doc", "at")).alias("o")).select("o.*")
-    pair = F.struct(F.shiftright("at", 32).cast("int").alias("rep"), F.col("at").bitwiseAND(F.lit(2**32 - 1)).cast("int").alias("pos"))
-    return firsts.groupBy("doc").agg(F.collect_list(pair).alias("firsts")).withColumnRenamed("doc", "f_doc")
+    return firsts.groupBy(F.col("doc").alias("f_doc")).agg(F.collect_list("at").alias("firsts"))
 
 
 def deduplicate(docs: DataFrame, window: int = 20, keep_text: bool = True) -> DataFrame:
@@ -137,36 +171,40 @@ def deduplicate(docs: DataFrame, window: int = 20, keep_text: bool = True) -> Da
     answers; different texts under one doc_id are ordered by text, rows without doc_id come
     after all others. An empty table gives no rows. Other columns are not read.
     """
+    id_type = docs.schema["doc_id"].dataType.simpleString()
     keyed = _documents(docs)
     repeated = repeated_anchors(anchors(keyed, window))
-    marked = keyed.join(repeated, keyed["doc"] == repeated["m_doc"], "inner")
+    marked = keyed.filter("NOT copy").join(repeated, keyed["doc"] == repeated["m_doc"], "inner")
     firsts = first_windows(marked, window)
     whole = keyed.join(repeated, keyed["doc"] == repeated["m_doc"], "left")
-    whole = whole.join(firsts, whole["doc"] == firsts["f_doc"], "left").select("text", "doc_id", "rep", "marks", "firsts")
+    whole = whole.join(firsts, whole["doc"] == firsts["f_doc"], "left").select("doc", "rep", "packed", "copy", "marks", "firsts")
     fields = ["doc_id", "n_words", "n_removed", "kept_sha256"] + ["kept_text"] * keep_text
 
     def run(batches):
-        for part in W.slices(batches):
-            offsets, words = W.split(part.column(0))
-            rep = part.column(2).to_numpy(zero_copy_only=False)
-            again = _candidates(offsets, _marks(part.column(3), rep, offsets), window)
-            again = np.setdiff1d(again, _marks(part.column(4), rep, offsets), assume_unique=False)
+        for part in _unpacked(batches):
+            text = part.column(2)
+            offsets, words = W.split(text)
+            size = np.diff(offsets)
+            again = _candidates(offsets, _marks(part, "marks", offsets), window)
+            again = np.setdiff1d(again, _marks(part, "firsts", offsets))
             delta = np.zeros(int(offsets[-1]) + 1, np.int64)
             delta[again] += 1
             np.add.at(delta, again + window, -1)
-            gone = np.cumsum(delta[:-1]) > 0
+            gone = (np.cumsum(delta[:-1]) > 0) | np.repeat(_column(part, "copy") & (size >= window), size)
             removed = np.diff(np.concatenate([[0], np.cumsum(gone)])[offsets])
             texts = []
-            for i, raw in enumerate(part.column(0)):
+            for i, raw in enumerate(text):
                 kept = (raw.as_py() or "").encode().split()
                 if removed[i]:
                     kept = [w for w, g in zip(kept, gone[offsets[i] : offsets[i + 1]].tolist()) if not g]
                 texts.append(b" ".join(kept))
-            out = [part.column(1), pa.array(np.diff(offsets)), pa.array(removed.astype(np.int64)), pa.array([hashlib.sha256(t).hexdigest() for t in texts])]
+            doc = part.column(0)
+            doc = pc.if_else(pc.equal(doc, pa.scalar(_NO_ID)), pa.scalar(None, pa.int64()), doc)
+            out = [doc, pa.array(size), pa.array(removed.astype(np.int64)), pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string())]
             yield pa.RecordBatch.from_arrays(out + [pa.array(texts, pa.binary()).cast(pa.string())] * keep_text, names=fields)
 
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words bigint, n_removed bigint, kept_sha256 string" + ", kept_text string" * keep_text
-    return whole.mapInArrow(run, schema)
+    schema = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string" + ", kept_text string" * keep_text
+    return whole.mapInArrow(run, schema).withColumn("doc_id", F.col("doc_id").cast(id_type))
 
 
 def op2_substring_dedup(spark, sf_dir: str) -> DataFrame:
