@@ -51,7 +51,8 @@ def _documents(docs: DataFrame) -> DataFrame:
     known = docs.filter("text IS NOT NULL").select(doc, *digest).distinct()
     first = known.groupBy("d1", "d2").agg(F.min("doc").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
     copies = known.join(first, ["d1", "d2"]).filter("doc > first").select(F.col("doc").alias("c_doc"), F.lit(True).alias("copy")).distinct()
-    packed = docs.select("text", doc).mapInArrow(pack, "doc bigint, packed binary")
+    # the filter holds for every row; with it all readers of the texts share one exchange
+    packed = docs.select("text", doc).mapInArrow(pack, "doc bigint, packed binary").filter("doc IS NOT NULL")
     # two texts under one id are rare, so that a copy is judged only where the id has one text
     ranked = packed.withColumn("rep", F.dense_rank().over(Window.partitionBy("doc").orderBy("packed")) - 1)
     ranked = ranked.withColumn("reps", F.max("rep").over(Window.partitionBy("doc")))
