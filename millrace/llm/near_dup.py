@@ -184,7 +184,9 @@ def groups(docs: DataFrame, percent: int = 85, broadcast_ids: int = 2_000_000) -
         for c in _SKETCH:
             differ = differ.bitwiseOR(F.col(c).bitwiseXOR(F.col(f"h_{c}")))
         first = F.array_position(F.zip_with("bands", "h_bands", lambda x, y: x == y), True) == F.col("band") + 1
-        near = (live["key"] == hubs["key"]) & (F.col("comp") != F.col("h_comp")) & fits & (F.bit_count(differ) <= MISMATCHES) & first
+        # hubs come first in the order, so each pair is taken once, from the earlier of the two
+        later = F.struct(F.xxhash64("rep", F.lit(rounds)).alias("h"), F.col("rep").alias("r")) > F.struct(F.xxhash64("h_rep", F.lit(rounds)).alias("h"), F.col("h_rep").alias("r"))
+        near = (live["key"] == hubs["key"]) & (F.col("comp") != F.col("h_comp")) & later & fits & (F.bit_count(differ) <= MISMATCHES) & first
         ends = F.struct(F.greatest("rep", "h_rep").alias("a"), F.least("rep", "h_rep").alias("b"))
         pairs = live.join(hubs, near).select(ends.alias("p"), F.least("comp", "h_comp").alias("ca"), F.greatest("comp", "h_comp").alias("cb")).select("p.*", "ca", "cb").distinct()
         found = scratch.save(confirmed(pairs, sets, percent), "links")
