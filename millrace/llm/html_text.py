@@ -3,11 +3,13 @@
 Tokens are element paths and blocks of text at a path. Tokens of one host that occur equally often in
 each page, that is with one occurrence vector over the host's pages, form an equivalence class.
 Vectors are compared by a sum of hashes over (page, count), so they build up in
-partial aggregates and no host meets in one task. A class is valid if enough different pages
-support it and it holds elements; text in a valid class is a constant of the
-template. What remains are the template's slots, nested by path. A slot under an article
-is main text; slots of menus, adverts, forms, comments and the like are not; where a page
-has no article, a slot that is no constant and holds prose rather than links is.
+partial aggregates and no host meets in one task. Pages with equal main text count as one, so copies
+of a page do not make its text constant. A class is valid if enough different pages support it and
+it holds elements. Classes are nested by path: text is a constant of the template if its class holds
+an element that encloses it, under an article as elsewhere. What remains are the template's slots.
+Tags only rank them: slots under an article come first, others join them if they hold as many words;
+slots of menus, adverts, forms, comments and the like are left out, and outside of articles those that
+hold links rather than prose.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from html import unescape
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import words as W
@@ -42,6 +44,7 @@ DROP_NAMES = frozenset(
 DROP_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 MAIN_NAMES = frozenset("article post entry story content articlebody main".split())
 _CLOSES_P = BLOCK - {"html", "body", "head"}
+_ROOT = xxhash.xxh64("p\x00")
 
 
 def _names(attributes: str) -> tuple[set[str], str, bool]:
@@ -59,13 +62,14 @@ def _names(attributes: str) -> tuple[set[str], str, bool]:
     return names, role, hidden
 
 
-def blocks(html: str | None) -> list[tuple[str, str, int, bool, int]]:
+def blocks(html: str | None, seen: dict[int, int] | None = None) -> list[tuple[str, str, int, bool, int]]:
     """(path, text, words in links, dropped, rank of the main container) for every block with text.
 
     The rank is 2 inside an article or main element, 1 inside an element named like one, else 0.
+    `seen` gets how often each path of elements occurs.
     """
     out, parts, linked = [], [], 0
-    stack: list[tuple[str, str, bool, int]] = []  # name, label, dropped, rank
+    stack: list[tuple] = []  # name, label, dropped, rank, hash of the path
     at = end = 0
     html = html or ""
 
@@ -140,10 +144,17 @@ def blocks(html: str | None) -> list[tuple[str, str, int, bool, int]]:
         drop |= bool(names & DROP_NAMES) and name not in ("html", "body", "article", "main")
         if drop and not dropped and name not in BLOCK:
             flush()
-        label = ".".join([name, *sorted(names)]) if names else name
+        label = ".".join([name, *sorted(names)]).replace(">", "") if names else name
         if attributes.rstrip().endswith("/") and name not in BLOCK:
             continue
-        stack.append((name, label, dropped or drop, rank))
+        here = stack[-1][4] if stack else _ROOT
+        if name in BLOCK:
+            here = here.copy()
+            here.update(label + "\x00")
+            if seen is not None:
+                token = here.intdigest() - (1 << 63)
+                seen[token] = seen.get(token, 0) + 1
+        stack.append((name, label, dropped or drop, rank, here))
     if len(html) > end:
         add(html[end:])
     flush()
@@ -155,64 +166,89 @@ def host_of(url: str | None) -> str:
     return re.split(r"[/?#]", rest, maxsplit=1)[0].lower()
 
 
-def _token(kind: str, *what: str) -> int:
-    return xxhash.xxh64_intdigest("\x00".join((kind, *what))) - (1 << 63)
+def _text_token(path: str, text: str) -> int:
+    return xxhash.xxh64_intdigest("\x00".join(("t", path, text))) - (1 << 63)
+
+
+def _path_tokens(path: str) -> list[int]:
+    """Tokens of the page and of the elements of a path, from the outermost to the one that holds the text."""
+    h = _ROOT.copy()
+    out = [h.intdigest() - (1 << 63)]
+    for label in path.split(">") if path else ():
+        h.update(label + "\x00")
+        out.append(h.intdigest() - (1 << 63))
+    return out
 
 
 def tokens(pages: DataFrame) -> DataFrame:
-    """(host, token, is_text, page, n, words, linked): one row a different page and token."""
+    """(host, token, is_text, page, n, words, linked, above): one row a different page and token.
+
+    `page` is a hash of the text in the best container; `above` are the enclosing elements that occur as often as the text.
+    """
 
     def run(batches):
         for part in W.slices(batches, "html"):
             rows = []
             for url, html in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                found = blocks(html)
-                host, page = host_of(url), xxhash.xxh64_intdigest(html or "")
-                counts: dict[tuple[int, bool], list[int]] = {}
-                for path, text, linked, _, rank in found:
-                    n = len(text.split())
-                    # text of an article is never a constant, so only its path is a token
-                    for key in ((_token("p", path), False), (_token("t", path, text), True))[: 1 + (rank < 2)]:
-                        c = counts.setdefault(key, [0, 0, 0])
-                        counts[key] = [c[0] + 1, c[1] + n, c[2] + linked]
-                for (token, is_text), (n, words, linked) in counts.items():
-                    rows.append((host, token, is_text, page - (1 << 63), n, words, linked))
-            columns = list(zip(*rows)) or [[]] * 7
-            kinds = (pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["host", "token", "is_text", "page", "n", "words", "linked"])
-
-    return pages.select("url", "html").mapInArrow(run, "host string, token bigint, is_text boolean, page bigint, n bigint, words bigint, linked bigint").dropDuplicates(["host", "token", "page"])
-
-
-def template(pages: DataFrame, support: int = SUPPORT) -> DataFrame:
+                seen = {_path_tokens("")[0]: 1}
+                found = blocks(html, seen)
+                host, page = host_of(url), xxhash.xxh64_intdigest(main_text(found, frozenset())) - (1 << 63)
+                texts: dict[int, list] = {}
+                held: dict[int, list[int]] = {}
+                for path, text, linked, dropped, _ in found:
+                    n, above = len(text.split()), _path_tokens(path)
+                    c = held.setdefault(above[-1], [0, 0])
+                    held[above[-1]] = [c[0] + n, c[1] + linked]
+                    if not dropped:  # dropped text needs no template
+                        c = texts.setdefault(_text_token(path, text), [0, 0, 0, above])
+                        c[:3] = c[0] + 1, c[1] + n, c[2] + linked
+                for token, n in seen.items():
+                    rows.append((host, token, False, page, n, *held.get(token, (0, 0)), None))
+                for token, (n, words, linked, above) in texts.items():
+                    rows.append((host, token, True, page, n, words, linked, [t for t in above if seen[t] == n]))
+            columns = list(zip(*rows)) or [[]] * 8
+            kinds = (pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["host", "token", "is_text", "page", "n", "words", "linked", "above"])
+
+    found = pages.select("url", "html").mapInArrow(run, "host string, token bigint, is_text boolean, page bigint, n bigint, words bigint, linked bigint, above array<bigint>")
+    most = [F.max(c).alias(c) for c in ("n", "words", "linked", "above")]
+    return found.groupBy("host", "token", "is_text", "page").agg(*most)
+
+
+def template(pages: DataFrame, scratch: Scratch, support: int = SUPPORT) -> DataFrame:
     """(host, token): constants of the hosts' templates and paths that hold links rather than prose.
 
-    The sum of hashes of (page, count) stands for a token's occurrence vector.
+    The sum of hashes of (page, count) stands for a token's occurrence vector. An element of the same class
+    that encloses a text has its count on each page, so it is in `above` on each of them.
     """
-    found = tokens(pages)
-    vectors = found.groupBy("host", "token", "is_text").agg(
+    vectors = tokens(pages).groupBy("host", "token", "is_text").agg(
         F.count("*").alias("pages"),
         F.sum(F.xxhash64("page", "n").cast("decimal(38,0)")).alias("vector"),
         F.sum("words").alias("words"),
         F.sum("linked").alias("linked"),
+        F.max("above").alias("above"),
     )
-    same = Window.partitionBy("host", "vector", "pages")
-    classed = vectors.withColumn("elements", F.count_if(~F.col("is_text")).over(same))
-    constant = F.col("is_text") & (F.col("pages") >= support) & (F.col("elements") > 0)
     links = ~F.col("is_text") & (2 * F.col("linked") > F.col("words"))
-    return classed.filter(constant | links).select("host", "token")
+    known = scratch.save(vectors.filter(links | (F.col("pages") >= support)), "vectors")
+    often = known.filter(F.col("pages") >= support)
+    texts = often.filter("is_text").select("host", "token", "pages", "vector", F.explode("above").alias("path"))
+    elements = often.filter("NOT is_text").select("host", F.col("token").alias("path"), "pages", "vector")
+    constants = texts.join(elements, ["host", "path", "pages", "vector"], "left_semi").select("host", "token").distinct()
+    return constants.union(known.filter(links).select("host", "token"))
 
 
 def main_text(found: list[tuple[str, str, int, bool, int]], known: frozenset[int] | set[int]) -> str:
-    best = max((b[4] for b in found if not b[3]), default=0)
-    kept = []
+    slots = []
     for path, text, _, dropped, rank in found:
-        if dropped or rank < best:
-            continue
-        if best < 2 and (_token("t", path, text) in known or _token("p", path) in known):
+        if dropped or known and (_text_token(path, text) in known or rank < 2 and _path_tokens(path)[-1] in known):
             continue
-        kept.append(text)
-    return "\n".join(kept)
+        slots.append((rank, text))
+    words = [sum(len(t.split()) for r, t in slots if r == rank) for rank in range(3)]
+    least = max((r for r, _ in slots), default=0)
+    for rank in range(least - 1, -1, -1):
+        if words[rank] and words[rank] >= sum(words[rank + 1 :]):
+            least = rank
+    return "\n".join(t for r, t in slots if r >= least)
 
 
 def extract(pages: DataFrame, broadcast_tokens: int = BROADCAST_TOKENS, support: int = SUPPORT) -> DataFrame:
@@ -222,7 +258,8 @@ def extract(pages: DataFrame, broadcast_tokens: int = BROADCAST_TOKENS, support:
     rows. The templates go to every task up to `broadcast_tokens` tokens, beyond it they are joined by host.
     """
     pages = pages.select("page_id", "url", "html")
-    rows = Scratch(pages.sparkSession, "html").save(template(pages, support), "template")
+    scratch = Scratch(pages.sparkSession, "html")
+    rows = scratch.save(template(pages, scratch, support), "template")
     small = rows.count() <= broadcast_tokens
     by_host: dict[str, set[int]] = {}
     if small:

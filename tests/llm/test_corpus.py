@@ -212,6 +212,22 @@ def test_html(spark):
     assert html_text.extract(pages.limit(0)).count() == 0
 
 
+INSIDE = "<body><article><h1>Title {0}</h1><p>Story {0} goes on about thing {0}.</p><p>The same line.</p>{1}<p class=tip>Write to our readers</p><p>Printed in our town</p></article></body>"
+TEASER = "<body><article><p>Read more with us</p></article><div><p>Long story {0} about thing {0} and what came of it.</p></div></body>"
+
+
+def test_template_decides_in_articles(spark):
+    rows = [(i, f"https://d.org/{i}", INSIDE.format(i, "<p>Told twice.</p>" * (i % 2))) for i in range(6)]
+    rows += [(10 + i, f"https://e.org/{i}", INSIDE.format("x", "") + f"<!-- {i} -->") for i in range(6)]  # copies of one page
+    rows += [(20 + i, f"https://f.org/{i}", TEASER.format(i)) for i in range(6)]
+    texts = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    # what every page of the host holds goes; a line of some articles stays, as nothing that encloses it is on just these pages
+    assert texts[2] == "Title 2\nStory 2 goes on about thing 2."
+    assert texts[3] == "Title 3\nStory 3 goes on about thing 3.\nTold twice."
+    assert texts[10] == "Title x\nStory x goes on about thing x.\nThe same line.\nWrite to our readers\nPrinted in our town"
+    assert texts[21] == "Long story 1 about thing 1 and what came of it."
+
+
 def test_language_id(spark, docs, empty):
     draw = random.Random(3)
     stems = {"aa": "ka lo mi ku".split(), "bb": "str ent pfl gr".split(), "cc": "oue aux eau ion".split()}
