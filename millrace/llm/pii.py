@@ -3,9 +3,11 @@
 The patterns give the base spans. Every word with a digit or an @ outside them is a further
 site of a random field over the labels none, email, ip, card and phone. Sites that follow
 each other share a chain potential; distant sites whose text is equal or similar (same digits, same
-last seven digits, same mailbox) share a skip potential. Loopy sum-product messages make
-their labels agree, so a number that is written once with its marks and once without
-is found twice. Base spans are observed; sites that the field labels become further spans.
+last seven digits, same mailbox) share a skip potential with one hub a key: the first base span
+that has it, or else a node without a weight of its own. So edges grow with the sites and no
+site is more than two hops from another. Loopy sum-product messages make their labels agree, so
+a number that is written once with its marks and many times without is found each time. Base spans
+are observed and act as weights of their neighbours; sites that the field labels become further spans.
 
 Site and chain weights are fitted by pseudo-likelihood on base spans, the strength of the
 skip potential by how often sites that share a key agree.
@@ -29,6 +31,8 @@ LABELS = ("none", *KINDS)
 #: The fit sees at most this many texts.
 SAMPLE = 6000
 NEAR = 200
+#: Rounds, besides one a node, after which the messages move by half as much.
+DAMP = 200
 
 _ACTIVE = re.compile("[0-9@]")
 _MAILBOX = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -123,28 +127,35 @@ def site_features(text: str, start: int, end: int) -> np.ndarray:
     return f
 
 
-def _edges(text: str, found: list[tuple[int, int, int]]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """Chain and skip edges. Sites of one key are linked in a row, so edges grow with the sites."""
+def _edges(text: str, found: list[tuple[int, int, int]]) -> tuple[list[tuple[int, int]], list[tuple[int, int]], int]:
+    """Chain and skip edges, and how many nodes they have: key nodes are numbered after the sites.
+
+    Sites of one key are linked to the first observed one of them, or else to a key node.
+    """
     chain = [(i, i + 1) for i in range(len(found) - 1) if found[i + 1][0] - found[i][1] <= NEAR]
-    last, skip = {}, set()
+    members: dict[str, list[int]] = {}
     for i, (s, e, _) in enumerate(found):
         for k in keys(text[s:e]):
-            if k in last:
-                skip.add((last[k], i))
-            last[k] = i
-    return chain, sorted(skip)
+            members.setdefault(k, []).append(i)
+    skip, nodes = set(), len(found)
+    for group in sorted({tuple(g) for g in members.values() if len(g) > 1}):  # keys with the same sites are one
+        hub = next((i for i in group if found[i][2] > 0), nodes)
+        nodes += hub == nodes
+        skip.update((hub, i) for i in group if i != hub)
+    return chain, sorted(skip), nodes
 
 
 def _fit(table: pa.Table, steps: int = 300, rate: float = 0.5, l2: float = 1e-3) -> dict[str, np.ndarray]:
     x, before, after, y, agree, apart = [], [], [], [], 1, 1
     for text in table.sort_by([("doc_id", "ascending"), ("text", "ascending")])["text"].to_pylist():
         found = sites(text, base_spans(text))
-        chain, skip = _edges(text, found)
+        chain, skip, _ = _edges(text, found)
+        skip = [(i, j) for i, j in skip if i < len(found)]
         label = [max(0, k) for _, _, k in found]
         for i, j in skip:
             if found[i][2] > 0 and found[j][2] > 0:
                 agree, apart = agree + (label[i] == label[j]), apart + (label[i] != label[j])
-        open_site = {j if found[i][2] > 0 else i for i, j in skip if (found[i][2] > 0) != (found[j][2] > 0)}
+        open_site = {j for _, j in skip if found[j][2] < 0}
         left, right = {j: i for i, j in chain}, dict(chain)
         for i, (s, e, _) in enumerate(found):
             if i not in open_site:  # these are what the field has to find; they teach nothing
@@ -175,8 +186,11 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> dict[str, np.ndarray]:
     return fit_in_one_task(chosen.select(F.col("doc_id").cast("string"), "text"), _fit)
 
 
-def _belief(score: np.ndarray, edges: list[tuple[int, int, np.ndarray]], rounds: int = 12) -> np.ndarray:
-    """Marginals by damped loopy sum-product; log domain."""
+def _belief(score: np.ndarray, edges: list[tuple[int, int, np.ndarray]], tolerance: float = 1e-4) -> np.ndarray:
+    """Marginals by damped loopy sum-product until no message moves by more than `tolerance`; log domain.
+
+    Every DAMP rounds the steps get shorter, so messages that swing come to rest too.
+    """
     if edges:
         a, b = (np.array([e[k] for e in edges]) for k in (0, 1))
         pot = np.stack([e[2] for e in edges])
@@ -184,12 +198,16 @@ def _belief(score: np.ndarray, edges: list[tuple[int, int, np.ndarray]], rounds:
         pot = np.concatenate([pot, pot.transpose(0, 2, 1)])
         back = np.concatenate([np.arange(len(a)) + len(a), np.arange(len(a))])
         msg = np.zeros((len(src), score.shape[1]))
-        for _ in range(rounds):
+        rounds, moved = 0, np.inf
+        while moved > tolerance:
             total = score.copy()
             np.add.at(total, dst, msg)
             out = (total[src] - msg[back])[:, :, None] + pot
             new = np.logaddexp.reduce(out, axis=1)
-            msg = 0.5 * msg + 0.5 * (new - np.logaddexp.reduce(new, axis=1, keepdims=True))
+            new -= np.logaddexp.reduce(new, axis=1, keepdims=True)
+            step = 0.5 ** (1 + rounds // (DAMP + len(score)))
+            moved, rounds = step * np.abs(new - msg).max(), rounds + 1
+            msg = msg + step * (new - msg)
         score = score.copy()
         np.add.at(score, dst, msg)
     p = np.exp(score - score.max(axis=1, keepdims=True))
@@ -205,13 +223,19 @@ def all_spans(text: str, model: dict[str, np.ndarray]) -> tuple[list[tuple[int,
     open_at = [i for i, s in enumerate(found) if s[2] < 0]
     if not open_at:
         return base, base
-    score = np.array([site_features(text, s, e) for s, e, _ in found]) @ model["unary"]
-    for i, (_, _, k) in enumerate(found):
-        if k > 0:  # observed
-            score[i] = -30.0
-            score[i, k] = 30.0
-    chain, skip = _edges(text, found)
-    p = _belief(score, [(i, j, model["chain"]) for i, j in chain] + [(i, j, model["skip"]) for i, j in skip])
+    chain, skip, nodes = _edges(text, found)
+    score = np.zeros((nodes, len(LABELS)))
+    score[open_at] = np.array([site_features(text, *found[i][:2]) for i in open_at]) @ model["unary"]
+    observed, edges = [max(0, s[2]) for s in found] + [0] * (nodes - len(found)), []
+    for pairs, pot in ((chain, model["chain"]), (skip, model["skip"])):
+        for i, j in pairs:
+            if not observed[i] and not observed[j]:
+                edges.append((i, j, pot))
+            elif not observed[j]:
+                score[j] += pot[observed[i]]
+            elif not observed[i]:
+                score[i] += pot[:, observed[j]]
+    p = _belief(score, edges)
     added = [(found[i][0], found[i][1], int(p[i].argmax()) - 1) for i in open_at if p[i].argmax() > 0 and p[i].max() >= 0.5]
     return base, sorted(base + added, key=lambda s: (s[0], s[2]))
 

@@ -168,6 +168,30 @@ def test_pii(spark, docs, empty):
     assert pii.base_spans(long) == []
 
 
+def test_pii_many_repeats():
+    unary = np.zeros((pii.N_FEATURES, len(pii.LABELS)))
+    unary[0, 0] = 2.0  # every open site is rather none
+    model = {"unary": unary, "chain": np.zeros((len(pii.LABELS),) * 2), "skip": np.eye(len(pii.LABELS)) * 8}
+    for n in (1, 2, 5, 13, 30, 300):
+        text = "call +1 (243) 555-7962" + " or then 12435557962 again" * n
+        _, spans = pii.all_spans(text, model)
+        assert [pii.KINDS[k] for _, _, k in spans] == ["phone"] * (n + 1)
+        assert "12435557962" not in pii.redacted(text, spans)
+        first = " or then 12435557962 again" * n + " call +1 (243) 555-7962"  # the marked one comes last
+        assert "12435557962" not in pii.redacted(first, pii.all_spans(first, model)[1])
+        assert pii.all_spans("or then 12435557962 again " * n, model)[1] == []
+    # a key without a base span: one site of 21 that is surely a phone carries the others
+    score = np.zeros((22, 2))
+    score[0, 1] = 20.0
+    p = pii._belief(score, [(21, i, np.eye(2) * 4) for i in range(21)])
+    assert (p[1:21, 1] > 0.9).all()
+    # a chain carries to its end
+    p = pii._belief(score, [(i, i + 1, np.eye(2) * 8) for i in range(21)])
+    assert (p[:, 1] > 0.9).all()
+    # messages that swing come to rest
+    assert np.isfinite(pii._belief(np.random.default_rng(1).normal(size=(9, 2)), [(i, j, (np.eye(2) - 0.5) * 9 * (-1) ** (i + j)) for i in range(9) for j in range(i)])).all()
+
+
 def test_decontamination(spark, docs, empty):
     bench = spark.createDataFrame([(1, "Tom bought 12 apples and then gave Anna 5 of the apples for 3 days in the park."), (2, None), (3, ""), (4, "too few")], "item_id bigint, text string")
     rows = [
