@@ -117,3 +117,13 @@ def test_ingest_stream(spark, tmp_path):
 
     jobs.ingest(jobs.read_stream(spark, str(tmp_path / "in"), "value string"), mapper, lambda: store["now"], write, str(tmp_path / "check"))
     assert sorted(r["canonical_url"] for r in store["now"].collect()) == [f"https://x.com/{i}" for i in range(3)]
+
+
+def test_lsh_recall(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    asked = rows.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    items = rows.select(F.col("vec_id").alias("item_id"), "embedding")
+    exact = J.top_k(J.similarities(asked, items), 10, [F.desc("similarity"), "item_id"]).select("query_id", "item_id")
+    found = L.lsh_search(asked, items, k=10).select("query_id", "item_id")
+    n, hits = exact.count(), exact.join(found, ["query_id", "item_id"]).count()
+    assert n == 400 and hits >= 0.9 * n
