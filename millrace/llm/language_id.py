@@ -14,15 +14,15 @@ import re
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import words as W
-from millrace.llm.learning import by_rows, fit_in_one_task, fold
+from millrace.llm.learning import bounded_sample, by_rows, fit_in_one_task, fold
 
 BUCKETS, DIM, SIZES = 1 << 15, 16, (2, 3, 4, 5)
 #: The fit sees at most this many texts a language.
-PER_LANGUAGE = 1500
+PER_LANGUAGE = 600
 UNDETERMINED = "und"
 _ASCII_LETTER = re.compile("[A-Za-z]")
 
@@ -68,13 +68,16 @@ def _fit(table: pa.Table, epochs: int = 6, rate: float = 0.5, seed: int = 5) ->
     starts, codes = subwords(known)
     for i, y in enumerate(label):
         own = index[offsets[i] : offsets[i + 1]]
-        # the whole text (up to a bound on work) and short runs of it, as short texts occur too
-        for n in (400, 30, 8, 2):
+        # the whole text, and short runs of it, as short texts occur too
+        for n in (len(own), 30, 8, 2):
             at = int(draw.integers(0, max(1, len(own) - n + 1)))
-            part = own[at : at + n]
-            grams = np.concatenate([codes[starts[w] : starts[w + 1]] for w in part]) if len(part) else codes[:0]
+            part, times = np.unique(own[at : at + n], return_counts=True)
+            if not len(part):
+                continue
+            grams = np.concatenate([codes[starts[w] : starts[w + 1]] for w in part])
             if len(grams):
-                g, c = np.unique(grams, return_counts=True)
+                g, back = np.unique(grams, return_inverse=True)
+                c = np.bincount(back, np.repeat(times, starts[part + 1] - starts[part]))
                 examples.append((g, (c / c.sum()).astype(np.float32), y, i % 5 == 0))
     train, test = [e for e in examples if not e[3]], [e for e in examples if e[3]]
     train = train or test
@@ -117,14 +120,12 @@ def _fit(table: pa.Table, epochs: int = 6, rate: float = 0.5, seed: int = 5) ->
 
 
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> dict[str, np.ndarray]:
-    """Fit on at most `per_language` texts of each language, from rows of the learning folds.
+    """Fit on at most `per_language` texts of each language, whole, from rows of the learning folds.
 
     The model has BUCKETS scores a language, whatever the input.
     """
-    usable = docs.select("doc_id", "lang").filter("lang IS NOT NULL").filter(fold() != 0).dropDuplicates(["doc_id", "lang"])
-    turn = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = usable.withColumn("turn", turn).filter(F.col("turn") <= per_language).select("doc_id", "lang")
-    sample = docs.select("doc_id", "lang", "text").filter("text IS NOT NULL").join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi")
+    usable = docs.select("doc_id", "lang", "text").filter("lang IS NOT NULL AND text IS NOT NULL").filter(fold() != 0)
+    sample = bounded_sample(usable, per_language, F.xxhash64("doc_id"), "lang")
     return fit_in_one_task(sample.select(F.col("doc_id").cast("string"), "lang", "text"), _fit)
 
 
@@ -132,7 +133,9 @@ def predict(docs: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
     """doc_id, held_out, lang_pred, score, rejected for every row of `docs` (doc_id, text).
 
     `und` with score 0 for null texts, texts without a letter, and all texts where nothing
-    could be learned. Rows without an id are not held out. No shuffle.
+    could be learned. Rows without an id are not held out; of languages with equal scores the first by
+    name is taken; repeated rows get equal answers. Texts are read whole, some megabytes of them
+    at a time. Other columns are not read and do not come out. No shuffle.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

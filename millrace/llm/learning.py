@@ -6,9 +6,11 @@ import io
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+_SPREAD = 1 << 40
+
 
 def fold(doc_id: Column | str = "doc_id", folds: int = 5) -> Column:
     """crc32 of the id as text, modulo `folds`; null for a null id."""
@@ -16,11 +18,26 @@ def fold(doc_id: Column | str = "doc_id", folds: int = 5) -> Column:
     return F.crc32(c.cast("string").cast("binary")) % folds
 
 
+def bounded_sample(rows: DataFrame, limit: int, key: Column, by: str | None = None) -> DataFrame:
+    """At most `limit` rows with different keys, of each value of `by` where given: the first by a hash of the key.
+
+    Counts of keys give a hash threshold first, so that about twice `limit` rows of a group
+    are ranked in one task, whatever the input; keys that repeat are one row.
+    """
+    hashed = rows.withColumns({"_key": key, "_group": F.col(by) if by else F.lit("")})
+    hashed = hashed.withColumn("_turn", F.pmod(F.xxhash64("_key", F.lit(29)), F.lit(_SPREAD)))
+    sizes = hashed.groupBy("_group").agg(F.approx_count_distinct("_key").alias("_keys"))
+    near = hashed.join(sizes, "_group").filter(F.col("_turn") / _SPREAD * F.col("_keys") < 2 * limit + 100)
+    single = near.dropDuplicates(["_group", "_key"])
+    first = F.row_number().over(Window.partitionBy("_group").orderBy("_turn", "_key"))
+    return single.withColumn("_first", first).filter(F.col("_first") <= limit).select(*rows.columns)
+
+
 def fit_in_one_task(sample: DataFrame, fit) -> dict[str, np.ndarray]:
     """`fit(table) -> {name: array}` on a sample whose rows the caller has bounded.
 
-    The sample meets in one task; only the arrays come back to the driver. The table is empty
-    where the sample is.
+    Only the sample is shuffled into the one task, so reading and choosing stay parallel; only the
+    arrays come back to the driver. Without rows there is no model. `fit` must not depend on the order of rows.
     """
 
     def run(batches):
@@ -30,7 +47,7 @@ def fit_in_one_task(sample: DataFrame, fit) -> dict[str, np.ndarray]:
         np.savez(out, **(fit(table) if table is not None else {}))
         yield pa.RecordBatch.from_arrays([pa.array([out.getvalue()], pa.binary())], names=["model"])
 
-    row = sample.coalesce(1).mapInArrow(run, "model binary").first()
+    row = sample.repartition(1).mapInArrow(run, "model binary").first()
     if row is None:
         return {}
     with np.load(io.BytesIO(bytes(row["model"])), allow_pickle=False) as data:

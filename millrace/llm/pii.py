@@ -9,8 +9,9 @@ site is more than two hops from another. Loopy sum-product messages make their l
 a number that is written once with its marks and many times without is found each time. Base spans
 are observed and act as weights of their neighbours; sites that the field labels become further spans.
 
-Site and chain weights are fitted by pseudo-likelihood on base spans, the strength of the
-skip potential by how often sites that share a key agree.
+All weights are fitted by pseudo-likelihood, on base spans as they stand and on base spans whose marks
+are masked at learning, beside a marked twin and alone. So the strength of the skip potential is what
+tells a bare number that is written with its marks elsewhere from any other.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import words as W
-from millrace.llm.learning import fit_in_one_task
+from millrace.llm.learning import bounded_sample, fit_in_one_task
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
@@ -113,10 +114,10 @@ _SIZES = np.array([1, 4, 7, 10, 13, 16, 20])
 N_FEATURES = 22
 
 
-def site_features(text: str, start: int, end: int) -> np.ndarray:
-    s = text[start:end]
+def site_features(s: str, before: str) -> np.ndarray:
+    """Features of a surface and of the two characters before it."""
     digits = sum(map(str.isdigit, s))
-    before = text[max(0, start - 2) : start].strip()
+    before = before.strip()
     f = np.zeros(N_FEATURES)
     f[0] = 1
     f[1 + int(np.searchsorted(_SIZES, digits, side="right"))] = 1
@@ -145,45 +146,71 @@ def _edges(text: str, found: list[tuple[int, int, int]]) -> tuple[list[tuple[int
     return chain, sorted(skip), nodes
 
 
+def _features_at(text: str, start: int, end: int) -> np.ndarray:
+    return site_features(text[start:end], text[max(0, start - 2) : start])
+
+
+def masked(surface: str, kind: int) -> str:
+    """A mention without the marks by which its pattern finds it: bare digits, or a mailbox without its domain."""
+    return surface.split("@")[0] + "@" if kind == 0 else "".join(c for c in surface if c.isdigit())
+
+
 def _fit(table: pa.Table, steps: int = 300, rate: float = 0.5, l2: float = 1e-3) -> dict[str, np.ndarray]:
-    x, before, after, y, agree, apart = [], [], [], [], 1, 1
+    """All potentials by pseudo-likelihood: of each site given its neighbours on the chain and its hub.
+
+    The hub of a site is the label that the other sites of its key have. The skip potential learns
+    from sites that share a key, as they are, and from masked spans: each base span is masked
+    and seen twice, beside its marked twin, where it has its kind, and alone, where it is none.
+    """
+    x, before, after, hub, y = [], [], [], [], []
+
+    def example(features: np.ndarray, left: int, right: int, shared: int, label: int) -> None:
+        for column, value in zip((x, before, after, hub, y), (features, left, right, shared, label)):
+            column.append(value)
+
     for text in table.sort_by([("doc_id", "ascending"), ("text", "ascending")])["text"].to_pylist():
         found = sites(text, base_spans(text))
         chain, skip, _ = _edges(text, found)
-        skip = [(i, j) for i, j in skip if i < len(found)]
         label = [max(0, k) for _, _, k in found]
+        shared: dict[int, int] = {}
+        to_find = set()
         for i, j in skip:
-            if found[i][2] > 0 and found[j][2] > 0:
-                agree, apart = agree + (label[i] == label[j]), apart + (label[i] != label[j])
-        open_site = {j for _, j in skip if found[j][2] < 0}
+            if i < len(found):  # the hub is a base span
+                shared[j] = label[i]
+                to_find |= {j} if found[j][2] < 0 else set()
+            else:
+                shared.setdefault(j, 0)
         left, right = {j: i for i, j in chain}, dict(chain)
-        for i, (s, e, _) in enumerate(found):
-            if i not in open_site:  # these are what the field has to find; they teach nothing
-                x.append(site_features(text, s, e))
-                before.append(label[left[i]] if i in left else -1)
-                after.append(label[right[i]] if i in right else -1)
-                y.append(label[i])
-    unary, trans = np.zeros((N_FEATURES, len(LABELS))), np.zeros((len(LABELS), len(LABELS)))
+        for i, (s, e, k) in enumerate(found):
+            if i in to_find:  # these are what the field has to find; they teach nothing
+                continue
+            sides = label[left[i]] if i in left else -1, label[right[i]] if i in right else -1
+            example(_features_at(text, s, e), *sides, shared.get(i, -1), label[i])
+            if k > 0 and (bare := masked(text[s:e], k - 1)) != text[s:e]:
+                features = site_features(bare, text[max(0, s - 2) : s])
+                example(features, -1, -1, k, k)
+                example(features, -1, -1, -1, 0)
+    n = len(LABELS)
+    unary, trans, strength = np.zeros((N_FEATURES, n)), np.zeros((n, n)), 0.0
     if y:
-        x, y, before, after = np.array(x), np.array(y), np.array(before), np.array(after)
-        want = np.eye(len(LABELS))[y]
-        one_b, one_a = np.eye(len(LABELS) + 1)[before][:, :-1], np.eye(len(LABELS) + 1)[after][:, :-1]
+        x, y, before, after, hub = map(np.array, (x, y, before, after, hub))
+        want = np.eye(n)[y]
+        one_b, one_a, one_h = (np.eye(n + 1)[v][:, :-1] for v in (before, after, hub))
         for _ in range(steps):
-            z = x @ unary + one_b @ trans + one_a @ trans.T
+            z = x @ unary + one_b @ trans + one_a @ trans.T + strength * one_h
             p = np.exp(z - z.max(axis=1, keepdims=True))
             g = (p / p.sum(axis=1, keepdims=True) - want) / len(y)
             unary -= rate * (x.T @ g * 10 + l2 * unary)
             trans -= rate * (one_b.T @ g + g.T @ one_a + l2 * trans)
-    skip = float(np.clip(np.log(agree / apart), 4.0, 8.0))
-    return {"unary": unary, "chain": trans, "skip": np.eye(len(LABELS)) * skip}
+            strength -= rate * (float((g * one_h).sum()) * 10 + l2 * strength)
+    return {"unary": unary, "chain": trans, "skip": np.eye(n) * strength}
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> dict[str, np.ndarray]:
-    """Fit on at most `sample` texts that hold a digit or an @, the first by hash of the text."""
+    """Fit on at most `sample` different texts that hold a digit or an @, the first by hash of the text."""
     rows = docs.select("doc_id", "text").filter(F.col("text").rlike("[0-9@]"))
-    order = rows.select(F.xxhash64("text").alias("h")).distinct().orderBy("h").limit(sample)
-    chosen = rows.withColumn("h", F.xxhash64("text")).join(F.broadcast(order), "h", "left_semi").dropDuplicates(["h"])
-    return fit_in_one_task(chosen.select(F.col("doc_id").cast("string"), "text"), _fit)
+    chosen = bounded_sample(rows.select(F.lit("").alias("doc_id"), "text"), sample, F.xxhash64("text"))
+    return fit_in_one_task(chosen, _fit)
 
 
 def _belief(score: np.ndarray, edges: list[tuple[int, int, np.ndarray]], tolerance: float = 1e-4) -> np.ndarray:
@@ -225,7 +252,7 @@ def all_spans(text: str, model: dict[str, np.ndarray]) -> tuple[list[tuple[int,
         return base, base
     chain, skip, nodes = _edges(text, found)
     score = np.zeros((nodes, len(LABELS)))
-    score[open_at] = np.array([site_features(text, *found[i][:2]) for i in open_at]) @ model["unary"]
+    score[open_at] = np.array([_features_at(text, *found[i][:2]) for i in open_at]) @ model["unary"]
     observed, edges = [max(0, s[2]) for s in found] + [0] * (nodes - len(found)), []
     for pairs, pot in ((chain, model["chain"]), (skip, model["skip"])):
         for i, j in pairs:
@@ -257,7 +284,9 @@ def redacted(text: str, spans: list[tuple[int, int, int]]) -> str:
 def find(docs: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
     """doc_id, counts of base spans by kind, base_sha256 and spans for every row of `docs`.
 
-    A null text has no spans. Repeated rows get equal answers. No shuffle; the model has a fixed size.
+    A null or empty text has no spans, nor has any text in an empty table. Repeated rows get equal answers; spans with
+    one start are ordered by kind. Texts are read whole, some megabytes of them at a time. Other columns are not read
+    and do not come out. No shuffle; the model has a fixed size.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = [f"n_{k}" for k in KINDS]

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 import xxhash
 from millrace.llm import words as W
-from millrace.llm.learning import fit_in_one_task, fold
+from millrace.llm.learning import bounded_sample, fit_in_one_task, fold
 
 #: The fit sees at most this many labelled texts.
 SAMPLE = 12_000
@@ -100,9 +100,14 @@ def _fit(table: pa.Table, epochs: int = 8, alpha: float = 1.0, beta: float = 1.0
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict[str, np.ndarray]:
-    """Fit on at most `sample` labelled texts of the learning folds, the first by hash of the id."""
+    """Fit on at most `sample` labelled texts of the learning folds, the first by hash of the id.
+
+    An id with several labels counts as toxic if one of them is. The chosen ids are at most `sample`
+    rows, so they go to every task that reads the texts.
+    """
     known = labels.select("doc_id", "toxic").filter("doc_id IS NOT NULL AND toxic IS NOT NULL").filter(fold() != 0)
-    chosen = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    marked = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    chosen = bounded_sample(marked, sample, F.xxhash64("doc_id"))
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
     return fit_in_one_task(rows.select(F.col("doc_id").cast("string"), "text", "toxic"), _fit)
 
@@ -111,7 +116,9 @@ def score(docs: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
     """doc_id, held_out, score and predicted for every row of `docs` (doc_id, text).
 
     A null or empty text has the score of the intercept; without a model every score
-    is 0. Rows without an id are not held out. No shuffle.
+    is 0. Rows without an id are not held out; a score of just 0.5 is predicted as 1; repeated rows get equal
+    answers. Texts are read whole, some megabytes of them at a time. Other columns are not
+    read and do not come out. No shuffle.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
