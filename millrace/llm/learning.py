@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _SPREAD = 1 << 40
+#: Up to this many groups of a sample, their sizes go to every task.
+BROADCAST_GROUPS = 10_000
 
 
 def fold(doc_id: Column | str = "doc_id", folds: int = 5) -> Column:
@@ -27,6 +29,9 @@ def bounded_sample(rows: DataFrame, limit: int, key: Column, by: str | None = No
     hashed = rows.withColumns({"_key": key, "_group": F.col(by) if by else F.lit("")})
     hashed = hashed.withColumn("_turn", F.pmod(F.xxhash64("_key", F.lit(29)), F.lit(_SPREAD)))
     sizes = hashed.groupBy("_group").agg(F.approx_count_distinct("_key").alias("_keys"))
+    known = sizes.limit(BROADCAST_GROUPS + 1).collect()
+    if len(known) <= BROADCAST_GROUPS:  # a small table of its own, so that no row is shuffled before it is chosen
+        sizes = F.broadcast(rows.sparkSession.createDataFrame(known, sizes.schema))
     near = hashed.join(sizes, "_group").filter(F.col("_turn") / _SPREAD * F.col("_keys") < 2 * limit + 100)
     single = near.dropDuplicates(["_group", "_key"])
     first = F.row_number().over(Window.partitionBy("_group").orderBy("_turn", "_key"))
