@@ -1,15 +1,16 @@
 """Near-duplicate groups: SuperMinHash signatures, banding, verification, union-find.
 
 Documents with equal shingle sets become one class first. Classes whose
-signatures agree in a band share a bucket. Two exact bounds then thin the buckets: a class's shingles that
-no other candidate has cannot be shared, so a class with too many of them links with nothing, and a
-pair can share at most what both have left. Inside a bucket a few hubs are compared
+signatures agree in a band share a bucket. Exact bounds then thin the pairs, and drop none that could link: a
+class's shingles that no other candidate has cannot be shared, so a class with too many of them links
+with nothing, and a pair can share at most what both have left; nor can a pair share more than the smaller of
+its two counts in each of 128 cells of the hash space. Inside a bucket a few hubs are compared
 with all members, in rounds: whatever is already in the hub's component needs no
 comparison, and a hub that has been compared with its whole bucket retires. Rounds go on with
 more hubs until no bucket holds two components with a pair not compared. So a bucket
 of mutual copies costs one comparison a member. A pair that shares several bands is taken in the first
-of them; pairs whose signatures differ in more than MISMATCHES of the 64 slots are not compared (a linked
-pair does so with a probability of about 1 in 100,000). Every link is confirmed on the full sets.
+of them. Large buckets are split into parts that all meet the hubs. Every link is confirmed on the full sets.
+So a link is missed only if no band agrees.
 """
 
 from __future__ import annotations
@@ -26,7 +27,9 @@ from millrace.llm.shared import Scratch, components
 SHINGLE = 5
 BANDS, ROWS = 16, 4
 SLOTS = BANDS * ROWS
-MISMATCHES = 22
+CELLS = 128
+#: Members of a bucket that one part of it may hold.
+PART_ROWS = 1000
 HUBS_GROW = 8
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -94,132 +97,164 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
     return key
 
 
-def sketch(signature: np.ndarray) -> list[np.ndarray]:
-    """Four numbers with one bit of every slot each: slots with other bits have other values."""
-    bits = W.mix(np.ascontiguousarray(signature).view(np.uint64).reshape(signature.shape))
-    place = np.left_shift(np.uint64(1), np.arange(SLOTS, dtype=np.uint64))
-    return [np.where(bits >> np.uint64(k) & np.uint64(1), place, np.uint64(0)).sum(axis=1, dtype=np.uint64).view(np.int64) for k in (8, 24, 40, 56)]
+def cell_counts(offsets: np.ndarray, elements: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many elements of each row lie in each cell, up to 127, and how many are beyond these counts."""
+    n = len(offsets) - 1
+    row = np.repeat(np.arange(n), np.diff(offsets))
+    counts = np.bincount(row * CELLS + (elements >> np.uint64(57)).astype(np.int64), minlength=n * CELLS).reshape(n, CELLS)
+    capped = np.minimum(counts, 127).astype(np.int8)
+    return capped, (counts - capped).sum(axis=1)
 
 
-_SKETCH = ("s1", "s2", "s3", "s4")
+def fingerprints(offsets: np.ndarray, elements: np.ndarray) -> list[pa.Array]:
+    """Two 64-bit sums of hashes a row."""
+    total = lambda x: np.diff(np.concatenate([np.zeros(1, np.uint64), np.cumsum(x, dtype=np.uint64)])[offsets])
+    return [pa.array(total(W.mix(x)).view(np.int64)) for x in (elements, elements ^ _GOLD)]
+
+
+def _lists(rows: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]), pa.array(rows.reshape(-1)))
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, two halves of the set's fingerprint, the sketch and the band keys (null for empty sets)."""
+    """doc_id, text_hash, n_shingles, two halves of the set's fingerprint, cells, beyond and the band keys (null for empty sets)."""
 
     def run(batches):
         for part in W.slices(batches):
-            offsets, elements = shingle_sets(part.column(1))
+            offsets, elements = shingle_sets(part.column(2))
             counts = np.diff(offsets)
-            total = lambda x: np.diff(np.concatenate([[0], np.cumsum(x, dtype=np.uint64)])[offsets])
-            one, two = total(W.mix(elements)), total(W.mix(elements ^ _GOLD))
-            signature = superminhash(offsets, elements)
-            keys = band_keys(signature).view(np.int64)
-            bands = pa.ListArray.from_arrays(pa.array(np.arange(len(counts) + 1, dtype=np.int32) * BANDS), pa.array(keys.reshape(-1)))
+            cells, beyond = cell_counts(offsets, elements)
+            bands = _lists(band_keys(superminhash(offsets, elements)).view(np.int64))
             bands = pc.if_else(pa.array(counts > 0), bands, pa.scalar(None, bands.type))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), *map(pa.array, sketch(signature)), bands], names=["doc_id", "n_shingles", "fp1", "fp2", *_SKETCH, "bands"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(counts), *fingerprints(offsets, elements), _lists(cells), pa.array(beyond), bands], names=["doc_id", "text_hash", "n_shingles", "fp1", "fp2", "cells", "beyond", "bands"])
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, n_shingles bigint, fp1 bigint, fp2 bigint, s1 bigint, s2 bigint, s3 bigint, s4 bigint, bands array<bigint>")
+    rows = docs.select(F.col("doc_id").cast("bigint"), F.xxhash64("text").alias("text_hash"), "text")
+    return rows.mapInArrow(run, "doc_id bigint, text_hash bigint, n_shingles bigint, fp1 bigint, fp2 bigint, cells array<tinyint>, beyond bigint, bands array<bigint>")
 
 
 def full_sets(docs: DataFrame) -> DataFrame:
     def run(batches):
-        for part in W.slices(batches):
-            offsets, elements = shingle_sets(part.column(1))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(elements.view(np.int64)))], names=["rep", "shingles"])
+        for part in W.slices(batches, limit=1 << 20):
+            offsets, elements = shingle_sets(part.column(0))
+            sets = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(elements.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([*fingerprints(offsets, elements), sets], names=["fp1", "fp2", "shingles"])
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "rep bigint, shingles array<bigint>")
+    return docs.select("text").mapInArrow(run, "fp1 bigint, fp2 bigint, shingles array<bigint>")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b, ca, cb) whose full sets have 100 * intersection >= percent * union."""
-    left, right = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("rep").alias("b"), F.col("shingles").alias("sb"))
+    left, right = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "ca", "cb", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("common"))
     return both.filter(100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b", "ca", "cb")
 
 
-def groups(docs: DataFrame, percent: int = 85, broadcast_ids: int = 2_000_000) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for every row of `docs` (doc_id, text).
-
-    Null and blank texts have the empty set and link with nothing. A row without a
-    doc_id links with nothing and is kept. Rows that repeat a doc_id are one
-    document and get one component. An empty table gives no rows. The texts of
-    candidates are picked with a broadcast of their ids up to `broadcast_ids` ids, beyond it by a join.
-    """
+def _grouped(docs: DataFrame, percent: int, broadcast_ids: int) -> DataFrame:
+    """doc_id, text_hash, n_shingles, component_id, kept for every row."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "near-dup")
     docs = docs.select("doc_id", "text")
     signed = scratch.save(signatures(docs), "signatures")
     named = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    same = [F.any_value(c).alias(c) for c in (*_SKETCH, "bands")]
-    classes = scratch.save(named.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("rep"), F.any_value("n_shingles").alias("n"), *same), "classes")
+    # a class has a number of its own, as several texts of one id have the same smallest id
+    grouped = named.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("rep"), *[F.any_value(c).alias(c) for c in ("n_shingles", "cells", "beyond", "bands")])
+    classes = scratch.save(grouped.withColumnRenamed("n_shingles", "n").withColumn("node", F.monotonically_increasing_id()), "classes")
 
     # candidates: classes that share a band
-    banded = classes.select("rep", F.explode("bands").alias("key"))
+    banded = classes.select("node", "rep", "fp1", "fp2", F.explode("bands").alias("key"))
     shared = banded.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key")
-    ids = scratch.save(banded.join(shared, "key").select(F.col("rep").alias("doc_id")).distinct(), "candidates")
-    picked = F.broadcast(ids) if ids.count() <= broadcast_ids else ids
-    sets = scratch.save(full_sets(docs.join(picked, "doc_id", "left_semi")).dropDuplicates(["rep"]), "sets")
+    ids = scratch.save(banded.join(shared, "key", "left_semi").select("node", F.col("rep").alias("doc_id"), "fp1", "fp2").distinct(), "candidates")
+    picked = ids.select("doc_id")
+    few = ids.count() <= broadcast_ids
+    texts = docs.withColumn("doc_id", F.col("doc_id").cast("bigint")).join(F.broadcast(picked) if few else picked, "doc_id", "left_semi")
+    wanted = ids.select("node", "fp1", "fp2")
+    sets = full_sets(texts).join(F.broadcast(wanted) if few else wanted, ["fp1", "fp2"]).select("node", "shingles")
+    sets = scratch.save(sets.dropDuplicates(["node"]), "sets")
 
     # shingles that one candidate alone has cannot be shared
-    alone = sets.select("rep", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.min("rep").alias("rep"), F.count("*").alias("c")).filter("c = 1")
-    own = alone.groupBy("rep").agg(F.count("*").alias("own"))
-    left = sets.select("rep").join(own, "rep", "left").select("rep", F.coalesce("own", F.lit(0)).alias("own"))
-    open_ = classes.join(left, "rep").withColumn("most", F.col("n") - F.col("own")).filter(100 * F.col("most") >= percent * F.col("n"))
-    members = scratch.save(open_.select("rep", "n", "most", *_SKETCH, "bands", F.posexplode("bands").alias("band", "key"), F.col("rep").alias("comp")), "members")
+    alone = sets.select("node", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.min("node").alias("node"), F.count("*").alias("c")).filter("c = 1")
+    own = alone.groupBy("node").agg(F.count("*").alias("own"))
+    left = sets.select("node").join(own, "node", "left").select("node", F.coalesce("own", F.lit(0)).alias("own"))
+    open_ = classes.join(left, "node").withColumn("most", F.col("n") - F.col("own")).filter(100 * F.col("most") >= percent * F.col("n"))
+    members = scratch.save(open_.select("node", "n", "most", "beyond", "cells", "bands", F.posexplode("bands").alias("band", "key"), F.col("node").alias("comp")), "members")
 
-    comps, hubs_a_round, rounds, live = None, 1, 0, members
+    comps, hubs_a_round, rounds, live, before = None, 1, 0, members, None
     while True:
-        open_keys = live.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
-        live = scratch.save(live.join(open_keys, "key", "left_semi"), "open")
+        # buckets that hold more than one component, in parts
+        sizes = live.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.ceil(F.count("*") / PART_ROWS).alias("parts")).filter("lo <> hi").select("key", "parts")
+        parted = live.join(sizes, "key").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
+        live = scratch.save(parted, "open")
+        scratch.drop(before)
+        before = live
         rows = live.count()
         if not rows:
             break
-        order = Window.partitionBy("key").orderBy(F.xxhash64("rep", F.lit(rounds)), "rep")
-        hubs = live.withColumn("turn", F.row_number().over(order)).filter(F.col("turn") <= hubs_a_round).drop("turn", "band")
-        hubs = scratch.save(hubs.select("key", *[F.col(c).alias(f"h_{c}") for c in hubs.columns if c != "key"]), "hubs", rows)
-        most = F.least("most", "h_most")
-        fits = 100 * most >= percent * (F.col("n") + F.col("h_n") - most)
-        differ = F.lit(0).cast("bigint")
-        for c in _SKETCH:
-            differ = differ.bitwiseOR(F.col(c).bitwiseXOR(F.col(f"h_{c}")))
-        first = F.array_position(F.zip_with("bands", "h_bands", lambda x, y: x == y), True) == F.col("band") + 1
+        turn = F.xxhash64("node", F.lit(rounds))
+        hubs = live.withColumn("turn", F.row_number().over(Window.partitionBy("key", "part").orderBy(turn, "node"))).filter(F.col("turn") <= hubs_a_round)
+        hubs = hubs.withColumn("turn", F.row_number().over(Window.partitionBy("key").orderBy(turn, "node"))).filter(F.col("turn") <= hubs_a_round)
+        hubs = hubs.select("key", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"), *[F.col(c).alias(f"h_{c}") for c in ("node", "n", "most", "beyond", "cells", "bands", "comp")])
+        hubs = scratch.save(hubs, "hubs", rows)
         # hubs come first in the order, so each pair is taken once, from the earlier of the two
-        later = F.struct(F.xxhash64("rep", F.lit(rounds)).alias("h"), F.col("rep").alias("r")) > F.struct(F.xxhash64("h_rep", F.lit(rounds)).alias("h"), F.col("h_rep").alias("r"))
-        near = (live["key"] == hubs["key"]) & (F.col("comp") != F.col("h_comp")) & later & fits & (F.bit_count(differ) <= MISMATCHES) & first
-        ends = F.struct(F.greatest("rep", "h_rep").alias("a"), F.least("rep", "h_rep").alias("b"))
+        later = F.struct(turn.alias("h"), F.col("node").alias("r")) > F.struct(F.xxhash64("h_node", F.lit(rounds)).alias("h"), F.col("h_node").alias("r"))
+        linkable = lambda most: 100 * most >= percent * (F.col("n") + F.col("h_n") - most)
+        first = F.array_position(F.zip_with("bands", "h_bands", lambda x, y: x == y), True) == F.col("band") + 1
+        in_cells = F.aggregate(F.zip_with("cells", "h_cells", lambda x, y: F.least(x, y)), F.lit(0), lambda t, x: t + x) + F.least("beyond", "h_beyond")
+        near = (live["key"] == hubs["key"]) & (live["part"] == hubs["part"]) & (F.col("comp") != F.col("h_comp")) & later & linkable(F.least("most", "h_most")) & first & linkable(in_cells)
+        ends = F.struct(F.greatest("node", "h_node").alias("a"), F.least("node", "h_node").alias("b"))
         pairs = live.join(hubs, near).select(ends.alias("p"), F.least("comp", "h_comp").alias("ca"), F.greatest("comp", "h_comp").alias("cb")).select("p.*", "ca", "cb").distinct()
         found = scratch.save(confirmed(pairs, sets, percent), "links")
-        retired = hubs.select("key", F.col("h_rep").alias("rep"))
-        live = live.join(retired, ["key", "rep"], "left_anti")
+        retired = hubs.select("key", F.col("h_node").alias("node")).distinct()
+        live = live.drop("part", "parts").join(retired, ["key", "node"], "left_anti")
         n_found = found.count()
         if n_found:
-            joined = components(found.select(F.col("ca").alias("a"), F.col("cb").alias("b")), scratch, n_found)
-            live = live.join(joined, live["comp"] == joined["node"], "left").withColumn("comp", F.coalesce("component", "comp")).drop("node", "component")
-            before = members.select("rep", "comp").distinct() if comps is None else comps
-            comps = before.join(joined, before["comp"] == joined["node"], "left").select("rep", F.coalesce("component", "comp").alias("comp"))
-            comps = scratch.save(comps, "components")
+            joined = components(found.select(F.col("ca").alias("a"), F.col("cb").alias("b")), scratch, n_found).withColumnRenamed("node", "j_node")
+            live = live.join(joined, live["comp"] == joined["j_node"], "left").withColumn("comp", F.coalesce("component", "comp")).drop("j_node", "component")
+            known = members.select("node", "comp").distinct() if comps is None else comps
+            comps = scratch.save(known.join(joined, known["comp"] == joined["j_node"], "left").select("node", F.coalesce("component", "comp").alias("comp")), "components")
         hubs_a_round, rounds = hubs_a_round * HUBS_GROW, rounds + 1
 
-    found = classes.select("fp1", "fp2", "rep")
+    found = classes.select("fp1", "fp2", "node", "rep")
     if comps is not None:
-        comps = comps.withColumnRenamed("rep", "c_rep")
-        found = found.join(comps, found["rep"] == comps["c_rep"], "left").select("fp1", "fp2", F.coalesce("comp", "rep").alias("component_id"))
+        # a component is named by the smallest id of its classes
+        named_ = found.join(comps, "node")
+        names = named_.groupBy("comp").agg(F.min("rep").alias("name"))
+        renamed = named_.join(names, "comp").filter("rep <> name").select(F.col("node").alias("c_node"), "name")
+        found = found.join(renamed, found["node"] == renamed["c_node"], "left").select("fp1", "fp2", F.coalesce("name", "rep").alias("component_id"))
     else:
-        found = found.withColumnRenamed("rep", "component_id")
+        found = found.select("fp1", "fp2", F.col("rep").alias("component_id"))
     found = scratch.save(found, "found")
-    out = signed.select("doc_id", "n_shingles", "fp1", "fp2").join(found, ["fp1", "fp2"], "left")
+    out = signed.select("doc_id", "text_hash", "n_shingles", "fp1", "fp2").join(found, ["fp1", "fp2"], "left")
     alone = F.col("doc_id").isNull() | (F.col("n_shingles") == 0)
     component = F.when(alone, F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select("doc_id", "text_hash", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def keep_one(docs: DataFrame, broadcast_ids: int = 2_000_000, **options) -> DataFrame:
-    """The rows of `docs`, unchanged, of the documents that represent their group."""
+def groups(docs: DataFrame, percent: int = 85, broadcast_ids: int = 2_000_000) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept for every row of `docs` (doc_id, text).
+
+    Null and blank texts have the empty set and link with nothing. A row without a
+    doc_id links with nothing and is kept. Equal rows get equal answers; different texts under one doc_id
+    are grouped each by itself, so one may be kept where the other is not. Texts are read whole, some
+    megabytes of them at a time. Other columns are not read and do not come out. An empty table
+    gives no rows. The texts of candidates are picked with a broadcast of their ids up to
+    `broadcast_ids` ids, beyond it by a join.
+    """
+    return _grouped(docs, percent, broadcast_ids).drop("text_hash")
+
+
+def keep_one(docs: DataFrame, percent: int = 85, broadcast_ids: int = 2_000_000) -> DataFrame:
+    """The rows of `docs`, with all columns as they are, that represent their group.
+
+    A row goes only for its own text: another text under its doc_id stays. Rows that repeat the
+    representative stay too, as nothing tells them apart.
+    """
     scratch = Scratch(docs.sparkSession, "near-dup-drop")
-    drop = scratch.save(groups(docs, **options).filter(~F.col("kept")).select("doc_id"), "drop")
+    out = _grouped(docs, percent, broadcast_ids).filter(~F.col("kept")).select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_text")).distinct()
+    drop = scratch.save(out, "drop")
     few = drop.count() <= broadcast_ids
-    return docs.join(F.broadcast(drop) if few else drop, "doc_id", "left_anti").select(*docs.columns)
+    # qualified by the caller's frame, so that columns of any name pass
+    same = (docs["doc_id"].cast("bigint") == drop["gone_id"]) & (F.xxhash64(docs["text"]) == drop["gone_text"])
+    return docs.join(F.broadcast(drop) if few else drop, same, "left_anti")
 
 
 def op7_near_dup(spark, sf_dir: str) -> DataFrame:
