@@ -87,30 +87,39 @@ def plan(sized: DataFrame, **options) -> DataFrame:
     return targets.join(cuts, targets["source"].eqNullSafe(F.col("k_source")), "left").select("source", "source_size", "target", "whole", F.coalesce("cut", F.lit("")).alias("cut"))
 
 
+ADDED = ("size", "source_size", "target", "repeats", "taken")
+
+
 def mix(docs: DataFrame, seed: int = 17, broadcast_sources: int = 1_000_000, **options) -> DataFrame:
     """All columns of `docs` plus size, source_size, target, repeats and taken (repeats * size).
 
-    `docs` has doc_id, text and source. Null sources form one source, a null text has size 0;
-    repeated rows of a document share one decision; an empty table gives no rows. Only sums by
-    source and slice and one row a source move between tasks. The rows of the plan go to all
-    tasks up to `broadcast_sources` sources, so that no text is shuffled; beyond it sources are joined
-    in 64 salted parts each, so that a hot one meets in no single task.
+    `docs` has doc_id, text and source. Columns with one of the five added names are replaced, all others come
+    out as they are, whatever their names. Null sources form one source, a null or empty text has size 0 and is taken
+    as often as its source is whole; texts are counted whole. Ties of the seeded order need equal ids, and those share one
+    decision, as repeated rows do. An empty table gives no rows. Only sums by source and slice and one
+    row a source move between tasks. The rows of the plan go to all tasks up to `broadcast_sources`
+    sources, so that no text is shuffled; beyond it sources are joined in 64 salted parts each, so that a hot
+    one meets in no single task.
     """
-    added = {"size": F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long"), "order_key": seeded_order(seed)}
-    names = [c for c in docs.columns if c not in ("size", "source_size", "target", "whole", "cut", "order_key", "repeats", "taken", "p_source")]
-    rows = docs.select(*names).withColumns(added)
+    names = [c for c in docs.columns if c not in ADDED]
+    # the caller's row is one column here, so that no name of it can meet a name of ours
+    rows = docs.select(F.struct(*docs.columns).alias("row"))
+    rows = rows.select("row", F.col("row.doc_id").alias("doc_id"), F.col("row.text").alias("text"), F.col("row.source").alias("source"))
+    rows = rows.withColumns({"size": F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long"), "order_key": seeded_order(seed)})
+    rows = rows.select("row", "source", "size", "order_key")
     plans = plan(rows.select("source", "size", "order_key"), **options).withColumnRenamed("source", "p_source")
     plans = Scratch(docs.sparkSession, "mix").save(plans, "plan")
-    repeats = (F.col("whole") + (F.col("order_key") < F.col("cut")).cast("long")).alias("repeats")
     same = rows["source"].eqNullSafe(plans["p_source"])
     if plans.count() <= broadcast_sources:
         joined = rows.join(F.broadcast(plans), same, "left")
     else:
         salt = F.pmod(F.xxhash64("order_key"), F.lit(64))
         spread = plans.withColumn("p_salt", F.explode(F.sequence(F.lit(0), F.lit(63))))
-        joined = rows.withColumn("salt", salt)
-        joined = joined.join(spread, joined["source"].eqNullSafe(spread["p_source"]) & (joined["salt"] == spread["p_salt"]), "left")
-    return joined.select(*names, "size", "source_size", "target", repeats).withColumn("taken", F.col("repeats") * F.col("size"))
+        rows = rows.withColumn("salt", salt)
+        joined = rows.join(spread, rows["source"].eqNullSafe(spread["p_source"]) & (rows["salt"] == spread["p_salt"]), "left")
+    repeats = F.col("whole") + (F.col("order_key") < F.col("cut")).cast("long")
+    added = {"size": F.col("size"), "source_size": F.col("source_size"), "target": F.col("target"), "repeats": repeats, "taken": repeats * F.col("size")}
+    return joined.select(*[F.col(f"row.`{c}`").alias(c) for c in names], *[added[c].alias(c) for c in ADDED])
 
 
 def op8_mix_sources(spark, sf_dir: str) -> DataFrame:

@@ -76,22 +76,17 @@ def measure(text: str | None) -> tuple[int, ...]:
     )
 
 
-def ledger(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Columns `keep`, the measurements and `failures`, the bitmask of failed rules.
-
-    A null text counts as an empty one. Every input row gives one row, repeated rows
-    included; columns not in `keep` are not read. No shuffle.
-    """
-    source = docs.select(*keep, F.col(text).alias("_text"))
-    fields = [source.schema[c] for c in keep]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + [f"`{m}` bigint" for m in MEASURES])
+def _judged(docs: DataFrame, text: str, keep: tuple[str, ...]) -> DataFrame:
+    """(k0, k1, ... for the columns `keep`, the measurements, failures): names of the caller cannot meet ours."""
+    source = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.col(f"`{text}`").alias("whole_text"))
+    names = [f.name for f in source.schema if f.name != "whole_text"]
+    schema = ", ".join([f"{n} {source.schema[n].dataType.simpleString()}" for n in names] + [f"{m} bigint" for m in MEASURES])
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("_text"))
-            rows = [measure(x.as_py()) for x in texts]
+            rows = [measure(x.as_py()) for x in batch.column(len(names))]
             measured = [pa.array(c, pa.int64()) for c in zip(*rows)] or [pa.array([], pa.int64()) for _ in MEASURES]
-            yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(keep))] + measured, names=[*keep, *MEASURES])
+            yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(names))] + measured, names=[*names, *MEASURES])
 
     measured = source.mapInArrow(run, schema)
     bits = [F.when(F.expr(rule), F.lit(1 << i)).otherwise(F.lit(0)) for i, rule in enumerate(RULES.values())]
@@ -101,6 +96,18 @@ def ledger(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id
     return measured.withColumn("failures", failures.cast("int"))
 
 
+def ledger(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Columns `keep`, the measurements and `failures`, the bitmask of failed rules.
+
+    A null text counts as an empty one; texts are measured whole, however long. Every input row gives one
+    row, repeated rows included, an empty table none. Columns not in `keep` are not read; `keep` must not
+    name a measurement or `failures`, which is an error at once.
+    """
+    if clash := {*keep} & {*MEASURES, "failures"}:
+        raise ValueError(f"columns to keep have names of the ledger: {sorted(clash)}")
+    return _judged(docs, text, keep).select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], *MEASURES, "failures")
+
+
 def passes(failures: Column, version: str) -> Column:
     return failures.bitwiseAND(F.lit(policy_mask(version))) == 0
 
@@ -127,10 +134,14 @@ def judge(docs: DataFrame, version: str = "v2") -> DataFrame:
 
 
 def keep(docs: DataFrame, version: str = "v2") -> DataFrame:
-    """The rows of `docs`, unchanged, that the policy keeps. The text passes through once, without a shuffle."""
+    """The rows of `docs` that the policy keeps, with all columns as they are, whatever their names.
+
+    Null and empty texts fail. The text passes through once, without a shuffle.
+    """
     columns = docs.columns
-    led = ledger(docs, keep=tuple(columns))
-    return led.filter(passes(F.col("failures"), "base") & passes(F.col("failures"), version)).select(*columns)
+    judged = _judged(docs, "text", tuple(columns))
+    kept = judged.filter(passes(F.col("failures"), "base") & passes(F.col("failures"), version))
+    return kept.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(columns)])
 
 
 def op9_quality(spark, sf_dir: str) -> DataFrame:
