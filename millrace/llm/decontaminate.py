@@ -7,8 +7,13 @@ consistent matches cover 80 % of the item's windows: a slot value of the item mu
 one value of the document throughout and the other way round. So a verbatim copy and one with
 other numbers or names are both found, while chance matches of the bare template are not.
 
-The benchmark's windows go to every task up to a bound on their number; beyond it both sides
-are shuffled by hash.
+A window of placeholders alone says nothing of a template, so it counts only in items that have no other, and then
+by its values; items of fewer than five tokens are one window of all of them, by their values too.
+
+Who covers 80 % of the windows of an item covers one of any 20 % and one more: only these, the rarest of the
+benchmark, are looked up, so that phrases that many items share bring no candidates. Candidates are then verified
+on all windows. Items with one text are one shape. The shapes go to every task up to a bound on their windows; beyond
+it window hashes are shuffled to find the candidates, and texts of candidates alone to verify them.
 """
 
 from __future__ import annotations
@@ -17,15 +22,16 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-import xxhash
 from millrace.llm import words as W
 from millrace.llm.shared import Scratch
 
 WINDOW, PERCENT = 5, 80
-BROADCAST_WINDOWS = 2_000_000
+#: Shapes with up to this many windows go to every task; a window takes some 100 bytes there.
+BROADCAST_WINDOWS = 1_000_000
 NUM, NAME, UNIT = "<num>", "<name>", "<unit>"
 UNITS = frozenset(
     "mm cm m km in ft yd mi mg g kg lb lbs oz ml l s sec min h hr hrs day days week weeks month months year years mph kmh km/h hz khz mhz ghz w kw v kb mb gb tb usd eur gbp dollars euros cents percent % degrees".split()
@@ -71,142 +77,235 @@ def tokenise(text: str | None) -> tuple[list[str], list[str]]:
     return [tokens[i] for i in kept], [values[i] for i in kept]
 
 
-def window_hashes(tokens: list[str], known: dict[str, int] | None = None) -> np.ndarray:
+def window_hashes(tokens: list[str], values: list[str], length: int, known: dict[tuple[str, str], int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all windows of `length` tokens, and which of them are placeholders alone.
+
+    Short windows and those of placeholders alone are hashed with their values.
+    """
     known = {} if known is None else known
-    for t in tokens:
-        if t not in known:
-            known[t] = xxhash.xxh64_intdigest(t)
-    h = np.fromiter((known[t] for t in tokens), np.uint64, len(tokens))
-    return W.windows(h, min(WINDOW, len(h))) if len(h) else h
+    none = np.zeros(0, np.uint64)
+    if len(tokens) < length:
+        return none, np.zeros(0, bool)
+    plain = [(t, "") for t in tokens]
+    valued = [*zip(tokens, values)]
+    for key in {*plain, *valued} - known.keys():
+        known[key] = xxhash.xxh64_intdigest("\x00".join(key))
+    one = W.windows(np.fromiter(map(known.__getitem__, plain), np.uint64, len(tokens)), length)
+    slots = np.cumsum([0] + [v != "" for v in values])
+    bare = slots[length:] - slots[:-length] == length
+    if length < WINDOW or bare.any():
+        two = W.windows(np.fromiter(map(known.__getitem__, valued), np.uint64, len(tokens)), length)
+        one = np.where(bare | (length < WINDOW), W.mix(two + np.uint64(length)), one)
+    return one, bare
+
+
+def shape_of(text: str) -> tuple[int, np.ndarray, np.ndarray, list[str]] | None:
+    """Length of the windows, starts and hashes of those that count, and the values of all tokens."""
+    tokens, values = tokenise(text)
+    if not tokens:
+        return None
+    length = min(WINDOW, len(tokens))
+    hashes, bare = window_hashes(tokens, values, length)
+    use = np.flatnonzero(~bare) if not bare.all() else np.arange(len(hashes))
+    return length, use, hashes[use], values
 
 
-def item_windows(benchmark: DataFrame) -> DataFrame:
-    """(hash, item_id, place, n, values): every template window of every item; items without a token have none."""
+def rarest(hashes: np.ndarray, items: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """Rows to look up: of each item, so many of its rarest windows that nobody covers `percent` without one of them."""
+    _, back, counts = np.unique(hashes, return_inverse=True, return_counts=True)
+    order = np.lexsort((counts[back], items))
+    start = np.flatnonzero(np.concatenate([[True], np.diff(items[order]) != 0])) if len(order) else np.zeros(0, int)
+    size = np.diff(np.append(start, len(order)))
+    turn = np.arange(len(order)) - np.repeat(start, size)
+    return np.sort(order[turn < np.repeat(size - _needed(size, percent) + 1, size)])
 
-    def run(batches):
-        for batch in batches:
-            rows = []
-            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                tokens, values = tokenise(text)
-                h = window_hashes(tokens).view(np.int64).tolist()
-                rows += [(x, item, i, len(h), values[i : i + WINDOW]) for i, x in enumerate(h)]
-            columns = list(zip(*rows)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.string())))], names=["hash", "item_id", "place", "n", "values"])
 
-    source = benchmark.select(F.col("item_id").cast("bigint"), "text").filter("item_id IS NOT NULL AND text IS NOT NULL")
-    return source.mapInArrow(run, "hash bigint, item_id bigint, place int, n int, values array<string>").dropDuplicates(["hash", "item_id", "place"])
+def _needed(n, percent: int):
+    return np.maximum(1, -(-percent * n // 100))
 
 
-def judge(n: int, hits: list[tuple[int, int, list[str], list[str]]], percent: int = PERCENT) -> tuple[float, bool] | None:
-    """Containment and whether it is verbatim for hits (place, position, item values, document values).
+def judge(places: np.ndarray, positions: np.ndarray, ours: list[str], theirs: list[str], length: int, n: int, percent: int = PERCENT) -> tuple[float, bool] | None:
+    """Containment and whether it is verbatim, for windows at `places` of the item met at `positions` of the document.
 
-    Hits are taken along diagonals (position less place), the longest first, each only if its
+    Matches are taken along diagonals (position less place), the longest first, each only if its
     slots agree with what has been taken.
     """
-    lines: dict[int, list] = {}
-    for place, pos, ours, theirs in hits:
-        lines.setdefault(pos - place, []).append((place, ours, theirs))
+    order = np.lexsort((places, positions - places))
+    places, positions = places[order], positions[order]
+    diagonal = positions - places
+    start = np.flatnonzero(np.concatenate([[True], np.diff(diagonal) != 0])) if len(places) else np.zeros(0, int)
+    size = np.diff(np.append(start, len(places)))
     forth: dict[str, str] = {}
     back: dict[str, str] = {}
     covered: set[int] = set()
-    for line in sorted(lines.values(), key=lambda x: (-len(x), x[0][0])):
-        for place, ours, theirs in line:
-            pairs = [(a, b) for a, b in zip(ours, theirs) if a or b]
+    for k in np.lexsort((places[start], -size)):
+        line = slice(start[k], start[k] + size[k])
+        for place, pos in zip(places[line].tolist(), positions[line].tolist()):
+            if place in covered:
+                continue
+            pairs = [(a, b) for a, b in zip(ours[place : place + length], theirs[pos : pos + length]) if a or b]
             new_f, new_b = {}, {}
             if all(forth.get(a, new_f.setdefault(a, b)) == b and back.get(b, new_b.setdefault(b, a)) == a for a, b in pairs):
                 forth |= new_f
                 back |= new_b
                 covered.add(place)
-    if 100 * len(covered) < percent * n:
+        if len(covered) == n:
+            break
+    if len(covered) < _needed(n, percent):
         return None
     return len(covered) / n, all(a == b for a, b in forth.items())
 
 
-_OUT = "doc_id bigint, item_id bigint, containment double, verbatim boolean"
+class _Document:
+    """Tokens of one text and its windows of every length, sorted by hash when first asked for."""
+
+    def __init__(self, text: str | None, known: dict):
+        self.tokens, self.values = tokenise(text)
+        self.known, self.by_length = known, {}
+
+    def hashes(self, length: int) -> np.ndarray:
+        if length not in self.by_length:
+            self.by_length[length] = [window_hashes(self.tokens, self.values, length, self.known)[0], None, None]
+        return self.by_length[length][0]
+
+    def holds(self, length: int, places: np.ndarray, hashes: np.ndarray, values: list[str], percent: int) -> tuple[float, bool] | None:
+        own = self.hashes(length)
+        entry = self.by_length[length]
+        if entry[1] is None:
+            entry[1] = np.argsort(own, kind="stable")
+            entry[2] = own[entry[1]]
+        lo, hi = np.searchsorted(entry[2], hashes, "left"), np.searchsorted(entry[2], hashes, "right")
+        times = hi - lo
+        if np.count_nonzero(times) < _needed(len(hashes), percent):
+            return None
+        within = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        positions = entry[1][np.repeat(lo, times) + within]
+        return judge(np.repeat(places, times), positions, values, self.values, length, len(hashes), percent)
+
+
+_SHAPE = "shape bigint, length int, places array<int>, hashes array<bigint>, slots array<string>"
+
+
+def shapes_of(texts: DataFrame) -> DataFrame:
+    """`texts` (shape, text) -> the shape of every text that has a token."""
+
+    def run(batches):
+        for batch in batches:
+            rows = [(i, *found) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if (found := shape_of(t))]
+            i, length, places, hashes, values = zip(*rows) if rows else [[]] * 5
+            types = (pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.string()))
+            columns = (i, length, [p.tolist() for p in places], [h.view(np.int64).tolist() for h in hashes], values)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["shape", "length", "places", "hashes", "slots"])
+
+    return texts.mapInArrow(run, _SHAPE)
+
+
+_OUT = "doc_id bigint, text_hash bigint, shape bigint, containment double, verbatim boolean"
 
 
 def _result(rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows)) or [[]] * 4
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.bool_()))], names=["doc_id", "item_id", "containment", "verbatim"])
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.bool_())
+    columns = list(zip(*rows)) or [[]] * len(types)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["doc_id", "text_hash", "shape", "containment", "verbatim"])
 
 
-def _by_broadcast(docs: DataFrame, windows: DataFrame, percent: int) -> DataFrame:
-    table = windows.orderBy("hash").toArrow()
-    shared = docs.sparkSession.sparkContext.broadcast([table[c].combine_chunks().to_numpy(zero_copy_only=False) if c != "values" else table[c].to_pylist() for c in ("hash", "item_id", "place", "n", "values")])
+def _by_broadcast(docs: DataFrame, shapes: DataFrame, percent: int) -> DataFrame:
+    rows = [(r["shape"], r["length"], np.array(r["places"], np.int64), np.array(r["hashes"], np.int64).view(np.uint64), r["slots"]) for r in shapes.orderBy("shape").toLocalIterator()]
+    hashes = np.concatenate([r[3] for r in rows]) if rows else np.zeros(0, np.uint64)
+    owner = np.repeat(np.arange(len(rows)), [len(r[3]) for r in rows])
+    use = rarest(hashes, owner, percent)
+    use = use[np.argsort(hashes[use], kind="stable")]
+    shared = docs.sparkSession.sparkContext.broadcast((rows, hashes[use], owner[use], sorted({r[1] for r in rows})))
 
     def run(batches):
-        hashes, items, places, sizes, slots = shared.value
-        order = np.argsort(hashes.view(np.uint64), kind="stable")
-        hashes, items, places, sizes = hashes.view(np.uint64)[order], items[order], places[order], sizes[order]
-        slots = [slots[i] for i in order]
+        rows, probe, owner, lengths = shared.value
         for part in W.slices(batches):
             out, known = [], {}
-            for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                tokens, values = tokenise(text)
-                h = window_hashes(tokens, known)
-                if not len(h) or not len(hashes):
-                    continue
-                # items shorter than a window are whole sequences of fewer tokens
-                lo = np.searchsorted(hashes, h)
-                hit = np.flatnonzero(hashes[np.minimum(lo, len(hashes) - 1)] == h)
-                found: dict[int, list] = {}
-                for p in hit.tolist():
-                    k = int(lo[p])
-                    while k < len(hashes) and hashes[k] == h[p]:
-                        found.setdefault(int(items[k]), [int(sizes[k])]).append((int(places[k]), p, slots[k], values[p : p + WINDOW]))
-                        k += 1
-                for item, (n, *hits) in found.items():
-                    verdict = judge(n, hits, percent)
+            for doc, mark, text in zip(*(part.column(i).to_pylist() for i in range(3))):
+                own = _Document(text, known)
+                near: set[int] = set()
+                for length in lengths:
+                    h = np.unique(own.hashes(length))
+                    lo, hi = np.searchsorted(probe, h, "left"), np.searchsorted(probe, h, "right")
+                    for k in np.flatnonzero(hi > lo):
+                        near.update(owner[lo[k] : hi[k]].tolist())
+                for i in sorted(near):
+                    verdict = own.holds(*rows[i][1:], percent)
                     if verdict:
-                        out.append((doc, item, *verdict))
+                        out.append((doc, mark, rows[i][0], *verdict))
             yield _result(out)
 
     return docs.mapInArrow(run, _OUT)
 
 
-def _by_join(docs: DataFrame, windows: DataFrame, percent: int) -> DataFrame:
+def _by_join(docs: DataFrame, shapes: DataFrame, percent: int) -> DataFrame:
+    lengths = [r["length"] for r in shapes.select("length").distinct().collect()]  # five at most
+
     def emit(batches):
         for part in W.slices(batches):
-            rows, known = [], {}
-            for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                tokens, values = tokenise(text)
-                h = window_hashes(tokens, known).view(np.int64).tolist()
-                rows += [(doc, x, i, values[i : i + WINDOW]) for i, x in enumerate(h)]
-            columns = list(zip(*rows)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.string())))], names=["doc_id", "hash", "pos", "theirs"])
-
-    hits = docs.mapInArrow(emit, "doc_id bigint, hash bigint, pos int, theirs array<string>").join(windows, "hash")
-    grouped = hits.groupBy("doc_id", "item_id", "n").agg(F.sort_array(F.collect_list(F.struct("place", "pos", "values", "theirs"))).alias("hits"))
+            known = {}
+            for doc, mark, text in zip(*(part.column(i).to_pylist() for i in range(3))):
+                own = _Document(text, known)
+                for length in lengths:
+                    h = np.unique(own.hashes(length)).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array([doc] * len(h), pa.int64()), pa.array([mark] * len(h), pa.int64()), pa.array(h)], names=["doc_id", "text_hash", "hash"])
 
     def verify(batches):
-        for batch in batches:
-            out = []
-            for r in batch.to_pylist():
-                verdict = judge(r["n"], [(x["place"], x["pos"], x["values"], x["theirs"]) for x in r["hits"]], percent)
+        for part in W.slices(batches, limit=1 << 20):
+            out, known = [], {}
+            for r in part.to_pylist():
+                verdict = _Document(r["text"], known).holds(r["length"], np.array(r["places"]), np.array(r["hashes"], np.int64).view(np.uint64), r["slots"], percent)
                 if verdict:
-                    out.append((r["doc_id"], r["item_id"], *verdict))
+                    out.append((r["doc_id"], r["text_hash"], r["shape"], *verdict))
             yield _result(out)
 
-    return grouped.mapInArrow(verify, _OUT)
+    windows = shapes.select("shape", F.size("hashes").alias("n"), F.posexplode("hashes").alias("place", "hash"))
+    often = windows.groupBy("hash").agg(F.count("*").alias("often"))
+    turn = F.row_number().over(Window.partitionBy("shape").orderBy("often", "place"))
+    needed = F.greatest(F.lit(1), F.ceil(percent * F.col("n") / 100))
+    probe = windows.join(often, "hash").withColumn("turn", turn).filter(F.col("turn") <= F.col("n") - needed + 1).select("hash", "shape")
+    pairs = docs.mapInArrow(emit, "doc_id bigint, text_hash bigint, hash bigint").join(probe, "hash").select("doc_id", "text_hash", "shape").distinct()
+    p = pairs.select(F.col("doc_id").alias("p_id"), F.col("text_hash").alias("p_hash"), "shape")
+    texts = docs.join(p, docs["doc_id"].eqNullSafe(p["p_id"]) & (docs["text_hash"] == p["p_hash"])).select("doc_id", "text_hash", "text", "shape")
+    return texts.join(shapes, "shape").mapInArrow(verify, _OUT)
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, percent: int, broadcast_windows: int) -> DataFrame:
+    """(doc_id, text_hash, item_id, containment, verbatim) for every text that holds an item; rows without an id have a null one."""
+    scratch = Scratch(docs.sparkSession, "decontaminate")
+    docs = docs.select(F.col("doc_id").cast("bigint"), F.xxhash64("text").alias("text_hash"), "text").filter("text IS NOT NULL")
+    items = benchmark.select(F.col("item_id").cast("bigint"), "text").filter("item_id IS NOT NULL AND text IS NOT NULL").distinct()
+    # items with one text are one shape
+    texts = scratch.save(items.select("text").distinct().withColumn("shape", F.monotonically_increasing_id()), "texts")
+    shapes = scratch.save(shapes_of(texts.select("shape", "text")), "shapes")
+    size = shapes.agg(F.coalesce(F.sum(F.size("hashes")), F.lit(0)).alias("n")).first()["n"]
+    found = (_by_broadcast if size <= broadcast_windows else _by_join)(docs, shapes, percent)
+    ids = items.join(texts, "text").select("item_id", "shape")
+    return found.join(ids, "shape").select("doc_id", "text_hash", "item_id", "containment", "verbatim")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
     """(doc_id, item_id, containment, verbatim) for every item that a document holds.
 
     Null and empty texts, on either side, match nothing. Repeated rows give one
-    pair; items with one text are all reported. Rows without an id are not reported. Empty tables give no rows.
+    pair; items with one text are all reported; of several texts under one id the best match counts. Rows without
+    an id are not reported. Texts are read whole. Other columns are not read and do not come out. Empty tables give no rows.
     """
-    docs = docs.select(F.col("doc_id").cast("bigint"), "text").filter("doc_id IS NOT NULL AND text IS NOT NULL")
-    windows = Scratch(docs.sparkSession, "decontaminate").save(item_windows(benchmark), "windows")
-    found = _by_broadcast(docs, windows, percent) if windows.count() <= broadcast_windows else _by_join(docs, windows, percent)
+    found = _found(docs, benchmark, percent, broadcast_windows).filter("doc_id IS NOT NULL")
     return found.groupBy("doc_id", "item_id").agg(F.max("containment").alias("containment"), F.bool_or("verbatim").alias("verbatim"))
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, broadcast_ids: int = 2_000_000, **options) -> DataFrame:
-    """The rows of `docs`, unchanged, that hold no item; rows without an id stay."""
-    found = Scratch(docs.sparkSession, "decontaminate-drop").save(leaks(docs, benchmark, **options).select("doc_id").distinct(), "drop")
-    few = found.count() <= broadcast_ids
-    return docs.join(F.broadcast(found) if few else found, "doc_id", "left_anti").select(*docs.columns)
+def clean(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, broadcast_windows: int = BROADCAST_WINDOWS, broadcast_ids: int = 2_000_000) -> DataFrame:
+    """The rows of `docs`, with all columns as they are, that hold no item.
+
+    A row goes only for its own text, so another text under its id stays; rows without an id are judged too.
+    """
+    out = _found(docs, benchmark, percent, broadcast_windows).select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_text")).distinct()
+    drop = Scratch(docs.sparkSession, "decontaminate-drop").save(out, "drop")
+    few = drop.count() <= broadcast_ids
+    # qualified by the caller's frame, so that columns of any name pass
+    same = docs["doc_id"].cast("bigint").eqNullSafe(drop["gone_id"]) & (F.xxhash64(docs["text"]) == drop["gone_text"])
+    return docs.join(F.broadcast(drop) if few else drop, same, "left_anti")
 
 
 def op4_decontaminate(spark, sf_dir: str) -> DataFrame:

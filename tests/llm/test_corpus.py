@@ -211,10 +211,71 @@ def test_decontamination(spark, docs, empty):
 
 
 def test_slots_must_agree():
-    ours = [["tom", "", "5"], ["", "5", "tom"]]
-    same = decontaminate.judge(2, [(0, 0, ours[0], ["ann", "", "9"]), (1, 1, ours[1], ["", "9", "ann"])])
-    assert same == (1.0, False)
-    assert decontaminate.judge(2, [(0, 0, ours[0], ["ann", "", "9"]), (1, 1, ours[1], ["", "8", "ann"])]) is None
+    ours, places = ["tom", "", "5", "tom"], np.array([0, 1])
+    assert decontaminate.judge(places, places, ours, ["ann", "", "9", "ann"], 3, 2) == (1.0, False)
+    assert decontaminate.judge(places, places, ours, ["ann", "", "9", "eve"], 3, 2) is None
+
+
+def test_decontamination_short_and_bare_items(spark):
+    texts = {1: "Zeta omega kappa", 2: "12 34 56 78 90", 3: "12 34 56 78 90 apples were in the box today", 4: "Zeta omega kappa"}
+    bench = spark.createDataFrame(list(texts.items()), "item_id bigint, text string")
+    held = frame(spark, [(1, "well, zeta omega kappa it is"), (2, "7 12 34 56 78 90 8"), (3, "1 2 3 4 5 6 7 8 9"), (4, "1 2 3 4 5 apples were in the box today"), (5, "zeta omega"), (None, "zeta omega kappa")])
+    want = {(1, 1), (1, 4), (2, 2), (4, 3)}
+    for limit in (1000, -1):
+        assert {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(held, bench, broadcast_windows=limit).collect()} == want
+        assert {r["doc_id"] for r in decontaminate.clean(held, bench, broadcast_windows=limit).collect()} == {3, 5}
+
+
+def brute_leaks(docs, items, percent=80):
+    """Every window of every item against every window of every document; slots by the same greedy rule, written plainly."""
+    out = {}
+    for i, item in items:
+        shape = decontaminate.shape_of(item) if item else None
+        if not shape:
+            continue
+        length, places, hashes, ours = shape
+        for d, text in docs:
+            tokens, theirs = decontaminate.tokenise(text)
+            own = decontaminate.window_hashes(tokens, theirs, length)[0].tolist()
+            lines = {}
+            for place, h in zip(places.tolist(), hashes.tolist()):
+                for pos in (k for k, x in enumerate(own) if x == h):
+                    lines.setdefault(pos - place, []).append((place, pos))
+            taken, covered = [], set()
+            for line in sorted(lines.values(), key=lambda x: (-len(x), x[0][0])):
+                for place, pos in line:
+                    pairs = [(a, b) for a, b in zip(ours[place : place + length], theirs[pos : pos + length]) if a or b]
+                    both = taken + pairs
+                    if place not in covered and all((a == x) == (b == y) for a, b in both for x, y in both):
+                        taken, covered = both, covered | {place}
+            if len(covered) * 100 >= percent * len(places) and d is not None:
+                out[d, i] = all(a == b for a, b in taken)
+    return out
+
+
+def test_decontamination_brute_force(spark):
+    draw = random.Random(8)
+    words = "the cost of a box is then paid by Anna and Tom in 12 days for 7 kg".split()
+    items = [(i, " ".join(draw.choice(words) for _ in range(draw.choice([2, 4, 6, 12, 25])))) for i in range(25)] + [(25, None), (26, "")]
+    items += [(30, items[3][1])]
+    swap = {"Anna": "Maria", "Tom": "Eve", "12": "40", "7": "9"}
+    rows = []
+    for i in range(60):
+        item = items[draw.randrange(25)][1].split()
+        if i % 3 == 0:
+            item = [swap.get(w, w) for w in item]
+        if i % 4 == 0:
+            item[draw.randrange(len(item))] = "other"
+        around = [draw.choice(words) for _ in range(draw.randrange(40))]
+        rows.append((i, " ".join(around + item + around[:5])))
+    rows += [(60, None), (61, ""), (None, items[4][1]), (5, rows[5][1]), (62, " ".join(words * 2000 + items[9][1].split()))]
+    want = brute_leaks([r for r in rows if r[0] != 62], items)
+    assert len(want) > 20
+    held, bench = frame(spark, rows), spark.createDataFrame(items, "item_id bigint, text string")
+    for limit in (10_000, -1):
+        got = {(r["doc_id"], r["item_id"]): r["verbatim"] for r in decontaminate.leaks(held, bench, broadcast_windows=limit).collect()}
+        assert (62, 9) in got
+        assert {k: v for k, v in got.items() if k[0] != 62} == want
 
 
 PAGE = """<html><head><title>t</title><script>x("</p>")</script></head><body><header>Site</header><nav><a href=/>Home</a></nav><div class="ad">buy</div>
