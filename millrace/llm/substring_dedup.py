@@ -8,9 +8,10 @@ of 20 - 13 + 1 = 8 words that starts on the cover in both documents, and only su
 is extended: every window that holds it is hashed in full, and the first occurrence
 of each is found. All other occurrences are removed.
 
-Rows are shuffled by document once and by hash twice. Frequent passages are combined in the
-task that reads them, so a passage that a third of all documents hold arrives as one row
-a batch.
+Rows are shuffled by document once and by hash twice. An anchor that occurs twice in the batch that reads it is
+known to repeat, so its places go straight to their documents and the others hear of it by one row a
+batch; thus a passage that a third of all documents hold brings few rows to any task. Whole windows are told
+apart by 128 bits.
 """
 
 from __future__ import annotations
@@ -28,14 +29,16 @@ from millrace.llm import words as W
 
 PERIOD, COVER = 13, (0, 1, 3, 9)
 _ON_COVER = np.isin(np.arange(PERIOD), COVER)
-_OCC = pa.struct([("doc", pa.int64()), ("at", pa.int64())])
-_NO_ID = 2**63 - 1
+_OTHER = np.uint64(0xD6E8FEB86659FD93)
+#: Bit of `rep` (and, 32 higher, of `at`) of rows without an id. They come after all others.
+_NO_ID = 1 << 30
 
 
 def _documents(docs: DataFrame) -> DataFrame:
     """doc, rep, copy and the packed text of every row.
 
-    Rows without an id come last; different texts of one id are told apart by rep; equal rows are
+    `doc` is the id, or a hash of the text for rows without one, which `rep` marks; so they are spread
+    over the tasks. Different texts of one id are told apart by `rep`; equal rows are
     one document. `copy` says that an earlier document has the same whole text. Texts are packed,
     as they are the most of what is shuffled.
     """
@@ -44,21 +47,25 @@ def _documents(docs: DataFrame) -> DataFrame:
         for part in W.slices(batches):
             squeeze = zstandard.ZstdCompressor(level=1).compress
             raw = part.column(0).cast(pa.binary()).to_pylist()
-            yield pa.RecordBatch.from_arrays([part.column(1), pa.array([None if t is None else squeeze(t) for t in raw], pa.binary())], names=["doc", "packed"])
+            yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), pa.array([None if t is None else squeeze(t) for t in raw], pa.binary())], names=["doc", "no_id", "packed"])
 
-    doc = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_NO_ID)).alias("doc")
+    # a null text of no document has nothing to compare and stays where it is read
+    doc = F.coalesce(F.col("doc_id").cast("bigint"), F.when(F.col("text").isNull(), F.xxhash64(F.spark_partition_id())).otherwise(F.xxhash64("text"))).alias("doc")
+    no_id = F.col("doc_id").isNull().alias("no_id")
     digest = [F.xxhash64("text").alias("d1"), F.xxhash64(F.lit(1), "text").alias("d2")]
-    known = docs.filter("text IS NOT NULL").select(doc, *digest).distinct()
+    known = docs.filter("text IS NOT NULL AND doc_id IS NOT NULL").select(doc, *digest).distinct()
     first = known.groupBy("d1", "d2").agg(F.min("doc").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
     copies = known.join(first, ["d1", "d2"]).filter("doc > first").select(F.col("doc").alias("c_doc"), F.lit(True).alias("copy")).distinct()
     # the filter holds for every row; with it all readers of the texts share one exchange
-    packed = docs.select("text", doc).mapInArrow(pack, "doc bigint, packed binary").filter("doc IS NOT NULL")
+    packed = docs.select("text", doc, no_id).mapInArrow(pack, "doc bigint, no_id boolean, packed binary").filter("doc IS NOT NULL")
     # two texts under one id are rare, so that a copy is judged only where the id has one text
-    ranked = packed.withColumn("rep", F.dense_rank().over(Window.partitionBy("doc").orderBy("packed")) - 1)
-    ranked = ranked.withColumn("reps", F.max("rep").over(Window.partitionBy("doc")))
+    turn = F.dense_rank().over(Window.partitionBy("doc").orderBy("no_id", "packed")) - 1
+    ranked = packed.withColumn("turn", turn)
+    ranked = ranked.withColumn("reps", F.max("turn").over(Window.partitionBy("doc")))
     joined = ranked.join(copies, ranked["doc"] == copies["c_doc"], "left")
-    alone = (F.col("reps") == 0) & (F.col("doc") != _NO_ID)
-    return joined.select("doc", "rep", (F.coalesce("copy", F.lit(False)) & alone).alias("copy"), "packed")
+    rep = F.col("turn") + F.when(F.col("no_id"), F.lit(_NO_ID)).otherwise(F.lit(0))
+    alone = (F.col("reps") == 0) & ~F.col("no_id")
+    return joined.select("doc", rep.alias("rep"), (F.coalesce("copy", F.lit(False)) & alone).alias("copy"), "packed")
 
 
 def _unpacked(batches):
@@ -82,9 +89,10 @@ def _column(part: pa.RecordBatch, name: str) -> np.ndarray:
 
 
 def anchors(keyed: DataFrame, window: int) -> DataFrame:
-    """(hash, doc, at, more): runs on the cover; further ones of the same batch are in `more`.
+    """(hash, doc, at, n): runs on the cover.
 
-    `at` is rep * 2**32 + position.
+    `at` is rep * 2**32 + position. Runs that their batch holds more than once have n = 2 and go, under a hash of their
+    own, to no common task; one row without a place tells the others of that hash.
     """
     length = window - PERIOD + 1
 
@@ -97,28 +105,28 @@ def anchors(keyed: DataFrame, window: int) -> DataFrame:
             row, pos = row[: len(runs)], pos[: len(runs)]
             use = np.flatnonzero(_ON_COVER[pos % PERIOD] & W.within(offsets, length) & long[row])
             runs, row, pos = runs[use], row[use], pos[use]
-            order = np.argsort(runs, kind="stable")
-            runs, row, pos = runs[order], row[order], pos[order]
-            doc, at = _column(part, "doc")[row], (_column(part, "rep")[row].astype(np.int64) << 32) + pos
-            first = np.flatnonzero(np.concatenate([[True], runs[1:] != runs[:-1]])) if len(runs) else np.zeros(0, np.int64)
-            counts = np.diff(np.append(first, len(runs))) - 1
-            others = np.ones(len(runs), bool)
-            others[first] = False
-            occ = pa.StructArray.from_arrays([pa.array(doc[others]), pa.array(at[others])], fields=list(_OCC))
-            starts = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-            more = pa.ListArray.from_arrays(pa.array(starts), occ, mask=pa.array(counts == 0))
-            yield pa.RecordBatch.from_arrays([pa.array(runs[first].view(np.int64)), pa.array(doc[first]), pa.array(at[first]), more], names=["hash", "doc", "at", "more"])
-
-    source = keyed.filter("NOT copy").select("doc", "rep", "packed")
-    return source.mapInArrow(run, "hash bigint, doc bigint, at bigint, more array<struct<doc:bigint,at:bigint>>")
+            doc, at = _column(part, "doc")[row].astype(np.int64), (_column(part, "rep")[row].astype(np.int64) << 32) + pos
+            known, back, times = np.unique(runs, return_inverse=True, return_counts=True)
+            again = times[back] > 1
+            told = known[times > 1]
+            runs = np.where(again, W.mix(runs ^ W.mix(doc.view(np.uint64))), runs)
+            none = np.zeros(len(told), np.int64)
+            hide = pa.array(np.concatenate([np.zeros(len(doc), bool), np.ones(len(told), bool)]))
+            columns = [
+                pa.array(np.concatenate([runs, told]).view(np.int64)),
+                pc.if_else(hide, pa.scalar(None, pa.int64()), pa.array(np.concatenate([doc, none]))),
+                pa.array(np.concatenate([at, none])),
+                pa.array(np.concatenate([1 + again, none + 2]).astype(np.int8)),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=["hash", "doc", "at", "n"])
+
+    return keyed.filter("NOT copy").select("doc", "rep", "packed").mapInArrow(run, "hash bigint, doc bigint, at bigint, n tinyint")
 
 
 def repeated_anchors(found: DataFrame) -> DataFrame:
     """(m_doc, marks): for each document where the anchors start that occur elsewhere."""
-    n = F.sum(F.when(F.col("more").isNull(), 1).otherwise(2)).over(Window.partitionBy("hash"))
-    own = F.array(F.struct("doc", "at"))
-    rows = found.withColumn("n", n).filter("n > 1").select(F.explode(F.concat(own, F.coalesce("more", F.array().cast("array<struct<doc:bigint,at:bigint>>")))).alias("o"))
-    return rows.select("o.*").groupBy(F.col("doc").alias("m_doc")).agg(F.collect_list("at").alias("marks"))
+    rows = found.withColumn("all", F.sum("n").over(Window.partitionBy("hash"))).filter("all > 1 AND doc IS NOT NULL")
+    return rows.groupBy(F.col("doc").alias("m_doc")).agg(F.collect_list("at").alias("marks"))
 
 
 def _marks(part: pa.RecordBatch, name: str, offsets: np.ndarray) -> np.ndarray:
@@ -152,15 +160,18 @@ def first_windows(marked: DataFrame, window: int) -> DataFrame:
         for part in _unpacked(batches):
             offsets, words = W.split(part.column(2))
             at = _candidates(offsets, _marks(part, "marks", offsets), window)
-            hashes = W.windows(W.word_hashes(words), window)[at]
+            one = W.word_hashes(words)
+            hashes, others = W.windows(one, window)[at], W.windows(one, window, _OTHER)[at]
             row, pos = _positions(offsets)
             doc, place = _column(part, "doc")[row[at]], (_column(part, "rep")[row[at]].astype(np.int64) << 32) + pos[at]
-            order = np.lexsort((place, doc, hashes))
-            order = order[np.concatenate([[True], np.diff(hashes[order]) != 0])] if len(order) else order
-            yield pa.RecordBatch.from_arrays([pa.array(hashes[order].view(np.int64)), pa.array(doc[order]), pa.array(place[order])], names=["hash", "doc", "at"])
-
-    windows = marked.select("doc", "rep", "packed", "marks").mapInArrow(run, "hash bigint, doc bigint, at bigint")
-    firsts = windows.groupBy("hash").agg(F.min(F.struct("doc", "at")).alias("o")).select("o.*")
+            order = np.lexsort((place, doc, place >> 62, others, hashes))
+            new = (np.diff(hashes[order]) != 0) | (np.diff(others[order]) != 0) if len(order) else np.zeros(0, bool)
+            order = order[np.concatenate([[True], new])] if len(order) else order
+            yield pa.RecordBatch.from_arrays([*(pa.array(x[order].view(np.int64)) for x in (hashes, others)), pa.array(doc[order]), pa.array(place[order])], names=["hash", "other", "doc", "at"])
+
+    windows = marked.select("doc", "rep", "packed", "marks").mapInArrow(run, "hash bigint, other bigint, doc bigint, at bigint")
+    # rows without an id come last
+    firsts = windows.groupBy("hash", "other").agg(F.min(F.struct(F.shiftright("at", 62).alias("no_id"), "doc", "at")).alias("o")).select("o.*")
     return firsts.groupBy(F.col("doc").alias("f_doc")).agg(F.collect_list("at").alias("firsts"))
 
 
@@ -168,9 +179,10 @@ def deduplicate(docs: DataFrame, window: int = 20, keep_text: bool = True) -> Da
     """doc_id, n_words, n_removed, kept_sha256 (and kept_text) for every row of `docs` (doc_id, text).
 
     A word goes if a window that covers it also starts earlier: in a smaller doc_id, or earlier in
-    the same document. A null text has no words. Equal rows are one document and get equal
-    answers; different texts under one doc_id are ordered by text, rows without doc_id come
-    after all others. An empty table gives no rows. Other columns are not read.
+    the same document. A null or empty text has no words. Equal rows are one document and get equal
+    answers. Different texts under one doc_id come in a fixed order, that of their packed bytes; rows without
+    doc_id come after all others, in the order of a hash of their texts. Texts are read whole, some megabytes of them
+    at a time. An empty table gives no rows. Other columns are not read and do not come out.
     """
     id_type = docs.schema["doc_id"].dataType.simpleString()
     keyed = _documents(docs)
@@ -199,8 +211,7 @@ def deduplicate(docs: DataFrame, window: int = 20, keep_text: bool = True) -> Da
                 if removed[i]:
                     kept = [w for w, g in zip(kept, gone[offsets[i] : offsets[i + 1]].tolist()) if not g]
                 texts.append(b" ".join(kept))
-            doc = part.column(0)
-            doc = pc.if_else(pc.equal(doc, pa.scalar(_NO_ID)), pa.scalar(None, pa.int64()), doc)
+            doc = pc.if_else(pa.array(_column(part, "rep") >= _NO_ID), pa.scalar(None, pa.int64()), part.column(0))
             out = [doc, pa.array(size), pa.array(removed.astype(np.int64)), pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string())]
             yield pa.RecordBatch.from_arrays(out + [pa.array(texts, pa.binary()).cast(pa.string())] * keep_text, names=fields)
 

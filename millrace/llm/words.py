@@ -67,14 +67,14 @@ def word_hashes(words: pa.Array, seed: int = 0) -> np.ndarray:
     return hashes[index] if len(known) else np.zeros(0, np.uint64)
 
 
-def windows(hashes: np.ndarray, length: int) -> np.ndarray:
-    """A 64-bit hash of every run of `length` consecutive word hashes, by start."""
+def windows(hashes: np.ndarray, length: int, step: np.uint64 = _STEP) -> np.ndarray:
+    """A 64-bit hash of every run of `length` consecutive word hashes, by start; another odd step gives another hash."""
     n = len(hashes) - length + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
     out = np.zeros(n, np.uint64)
     for k in range(length):
-        out = out * _STEP + hashes[k : k + n]
+        out = out * step + hashes[k : k + n]
         out ^= out >> np.uint64(32)
     return mix(out)
 
