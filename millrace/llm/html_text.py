@@ -10,6 +10,9 @@ an element that encloses it, under an article as elsewhere. What remains are the
 Tags only rank them: slots under an article come first, others join them if they hold as many words;
 slots of menus, adverts, forms, comments and the like are left out, and outside of articles those that
 hold links rather than prose.
+
+Work and memory grow with the length of a page: elements nested deeper than DEPTH have no path of their own, as
+in browsers, whose trees end at some depth too; their text is text of the deepest one that has.
 """
 
 from __future__ import annotations
@@ -24,12 +27,16 @@ from pyspark.sql import functions as F
 
 from millrace.llm import words as W
 from millrace.llm.shared import Scratch
+from millrace.llm.url_filter import host_of
 
 #: Different pages that must support a class.
 SUPPORT = 3
+#: Templates with up to this many tokens go to every task; a token takes some 100 bytes there.
 BROADCAST_TOKENS = 500_000
+DEPTH = 100
+SALTS = 32
 
-_TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|[!?][^>]*>)""", re.S)
+_TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|[!?][^>]*>)""", re.S)
 _RAW = {n: re.compile(rf"</{n}\b[^>]*>", re.I) for n in ("script", "style", "noscript", "template", "textarea", "title", "iframe", "xmp", "svg", "math", "object", "select")}
 _ATTR = re.compile(r"""(class|id|role|itemprop|aria-hidden|hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?""", re.I)
 _SPACE = re.compile(r"\s+")
@@ -44,6 +51,8 @@ DROP_NAMES = frozenset(
 DROP_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 MAIN_NAMES = frozenset("article post entry story content articlebody main".split())
 _CLOSES_P = BLOCK - {"html", "body", "head"}
+#: A closing tag reaches through these only if it is one of the others.
+_WALLS, _THROUGH = frozenset("td th article main".split()), frozenset("table body html article main section div".split())
 _ROOT = xxhash.xxh64("p\x00")
 
 
@@ -62,24 +71,83 @@ def _names(attributes: str) -> tuple[set[str], str, bool]:
     return names, role, hidden
 
 
-def blocks(html: str | None, seen: dict[int, int] | None = None) -> list[tuple[str, str, int, bool, int]]:
+class _Open:
+    """The open elements of a page, with counts by name, so that closing tags without a partner cost nothing."""
+
+    def __init__(self):
+        self.stack: list[tuple] = []  # name, dropped, rank, whether it has a path
+        self.blocks: list[int] = []
+        self.total: dict[str, int] = {}
+        self.scopes: list[dict[str, int]] = [{}]
+        self.walls: list[str] = []
+        self.hashes, self.path = [_ROOT], (_token(_ROOT),)
+
+    def push(self, name: str, label: str, dropped: bool, rank: int) -> int | None:
+        """The token of the element's path, if it has one."""
+        pathed = name in BLOCK and len(self.hashes) <= DEPTH
+        if pathed:
+            here = self.hashes[-1].copy()
+            here.update(label + "\x00")
+            self.hashes.append(here)
+            self.path = (*self.path, _token(here))
+        if name in BLOCK:
+            self.blocks.append(len(self.stack))
+        self.stack.append((name, dropped, rank, pathed))
+        for counts in (self.total, self.scopes[-1]):
+            counts[name] = counts.get(name, 0) + 1
+        if name in _WALLS:
+            self.walls.append(name)
+            self.scopes.append({})
+        return self.path[-1] if pathed else None
+
+    def pop_to(self, k: int) -> None:
+        gone = 0
+        for name, _, _, pathed in reversed(self.stack[k:]):
+            if name in _WALLS:
+                self.walls.pop()
+                self.scopes.pop()
+            self.total[name] -= 1
+            self.scopes[-1][name] -= 1
+            if name in BLOCK:
+                self.blocks.pop()
+            gone += pathed
+        del self.stack[k:]
+        if gone:
+            del self.hashes[-gone:]
+            self.path = self.path[:-gone]
+
+    def find(self, name: str) -> int | None:
+        """Where the element stands that a closing tag closes."""
+        near = self.scopes[-1].get(name) or (self.walls and self.walls[-1] == name)
+        if not (self.total.get(name) if name in _THROUGH else near):
+            return None
+        return next(k for k in range(len(self.stack) - 1, -1, -1) if self.stack[k][0] == name)
+
+
+def _token(h) -> int:
+    return h.intdigest() - (1 << 63)
+
+
+def blocks(html: str | None, seen: dict[int, int] | None = None) -> list[tuple[tuple[int, ...], str, int, bool, int]]:
     """(path, text, words in links, dropped, rank of the main container) for every block with text.
 
-    The rank is 2 inside an article or main element, 1 inside an element named like one, else 0.
+    A path is the tokens of the page and of the block elements around, from the outermost on. The
+    rank is 2 inside an article or main element, 1 inside an element named like one, else 0.
     `seen` gets how often each path of elements occurs.
     """
     out, parts, linked = [], [], 0
-    stack: list[tuple] = []  # name, label, dropped, rank, hash of the path
+    tree = _Open()
+    stack = tree.stack
     at = end = 0
     html = html or ""
+    last = html.rfind(">")
 
     def flush() -> None:
         nonlocal parts, linked
         text = _SPACE.sub(" ", unescape("".join(parts))).strip()
         if text:
-            top = stack[-1] if stack else ("", "", False, 0)
-            path = ">".join(s[1] for s in stack if s[0] in BLOCK)
-            out.append((path, text, linked, top[2], top[3]))
+            _, dropped, rank, _ = stack[-1] if stack else ("", False, 0, False)
+            out.append((tree.path, text, linked, dropped, rank))
         parts, linked = [], 0
 
     def add(text: str) -> None:
@@ -89,12 +157,12 @@ def blocks(html: str | None, seen: dict[int, int] | None = None) -> list[tuple[s
             linked += len(text.split())
 
     def pop_to(k: int) -> None:
-        nonlocal stack
-        if any(s[0] in BLOCK or s[2] != stack[k - 1][2] if k else True for s in stack[k:]):
+        outer = stack[k - 1][1] if k else None
+        if any(s[0] in BLOCK or s[1] != outer for s in stack[k:]):
             flush()
-        stack = stack[:k]
+        tree.pop_to(k)
 
-    while True:
+    while at <= last:
         m = _TAG.search(html, at)
         if not m:
             break
@@ -106,12 +174,9 @@ def blocks(html: str | None, seen: dict[int, int] | None = None) -> list[tuple[s
             continue
         name = name.lower()
         if closing:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    pop_to(k)
-                    break
-                if stack[k][0] in ("td", "th", "article", "main") and name not in ("table", "body", "html", "article", "main", "section", "div"):
-                    break
+            k = tree.find(name)
+            if k is not None:
+                pop_to(k)
             continue
         if name in _RAW:
             close = _RAW[name].search(html, end)
@@ -126,16 +191,12 @@ def blocks(html: str | None, seen: dict[int, int] | None = None) -> list[tuple[s
             continue
         names, role, hidden = _names(attributes) if attributes else (set(), "", False)
         if name in _CLOSES_P:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == "p":
-                    pop_to(k)
-                    break
-                if stack[k][0] in BLOCK:
-                    break
+            if tree.blocks and stack[tree.blocks[-1]][0] == "p":
+                pop_to(tree.blocks[-1])
             flush()
         if name in ("li", "dt", "dd", "tr", "td", "th", "option") and stack and stack[-1][0] == name:
             pop_to(len(stack) - 1)
-        dropped, rank = (stack[-1][2], stack[-1][3]) if stack else (False, 0)
+        dropped, rank = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
         if name in ("article", "main") or role in ("article", "main"):
             rank = 2
         elif names & MAIN_NAMES and name in BLOCK and name != "body":
@@ -147,37 +208,17 @@ def blocks(html: str | None, seen: dict[int, int] | None = None) -> list[tuple[s
         label = ".".join([name, *sorted(names)]).replace(">", "") if names else name
         if attributes.rstrip().endswith("/") and name not in BLOCK:
             continue
-        here = stack[-1][4] if stack else _ROOT
-        if name in BLOCK:
-            here = here.copy()
-            here.update(label + "\x00")
-            if seen is not None:
-                token = here.intdigest() - (1 << 63)
-                seen[token] = seen.get(token, 0) + 1
-        stack.append((name, label, dropped or drop, rank, here))
+        token = tree.push(name, label, dropped or drop, rank)
+        if token is not None and seen is not None:
+            seen[token] = seen.get(token, 0) + 1
     if len(html) > end:
         add(html[end:])
     flush()
     return out
 
 
-def host_of(url: str | None) -> str:
-    rest = (url or "").partition("://")[2]
-    return re.split(r"[/?#]", rest, maxsplit=1)[0].lower()
-
-
-def _text_token(path: str, text: str) -> int:
-    return xxhash.xxh64_intdigest("\x00".join(("t", path, text))) - (1 << 63)
-
-
-def _path_tokens(path: str) -> list[int]:
-    """Tokens of the page and of the elements of a path, from the outermost to the one that holds the text."""
-    h = _ROOT.copy()
-    out = [h.intdigest() - (1 << 63)]
-    for label in path.split(">") if path else ():
-        h.update(label + "\x00")
-        out.append(h.intdigest() - (1 << 63))
-    return out
+def _text_token(path: tuple[int, ...], text: str) -> int:
+    return xxhash.xxh64_intdigest(f"t\x00{path[-1]}\x00{text}") - (1 << 63)
 
 
 def tokens(pages: DataFrame) -> DataFrame:
@@ -189,28 +230,28 @@ def tokens(pages: DataFrame) -> DataFrame:
     def run(batches):
         for part in W.slices(batches, "html"):
             rows = []
-            for url, html in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                seen = {_path_tokens("")[0]: 1}
+            for host, html in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                seen = {_token(_ROOT): 1}
                 found = blocks(html, seen)
-                host, page = host_of(url), xxhash.xxh64_intdigest(main_text(found, frozenset())) - (1 << 63)
+                page = xxhash.xxh64_intdigest(main_text(found, frozenset())) - (1 << 63)
                 texts: dict[int, list] = {}
                 held: dict[int, list[int]] = {}
                 for path, text, linked, dropped, _ in found:
-                    n, above = len(text.split()), _path_tokens(path)
-                    c = held.setdefault(above[-1], [0, 0])
-                    held[above[-1]] = [c[0] + n, c[1] + linked]
+                    n = len(text.split())
+                    c = held.setdefault(path[-1], [0, 0])
+                    held[path[-1]] = [c[0] + n, c[1] + linked]
                     if not dropped:  # dropped text needs no template
-                        c = texts.setdefault(_text_token(path, text), [0, 0, 0, above])
+                        c = texts.setdefault(_text_token(path, text), [0, 0, 0, path])
                         c[:3] = c[0] + 1, c[1] + n, c[2] + linked
                 for token, n in seen.items():
                     rows.append((host, token, False, page, n, *held.get(token, (0, 0)), None))
-                for token, (n, words, linked, above) in texts.items():
-                    rows.append((host, token, True, page, n, words, linked, [t for t in above if seen[t] == n]))
+                for token, (n, words, linked, path) in texts.items():
+                    rows.append((host, token, True, page, n, words, linked, [t for t in path if seen[t] == n]))
             columns = list(zip(*rows)) or [[]] * 8
             kinds = (pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["host", "token", "is_text", "page", "n", "words", "linked", "above"])
 
-    found = pages.select("url", "html").mapInArrow(run, "host string, token bigint, is_text boolean, page bigint, n bigint, words bigint, linked bigint, above array<bigint>")
+    found = pages.select("host", "html").mapInArrow(run, "host string, token bigint, is_text boolean, page bigint, n bigint, words bigint, linked bigint, above array<bigint>")
     most = [F.max(c).alias(c) for c in ("n", "words", "linked", "above")]
     return found.groupBy("host", "token", "is_text", "page").agg(*most)
 
@@ -237,10 +278,10 @@ def template(pages: DataFrame, scratch: Scratch, support: int = SUPPORT) -> Data
     return constants.union(known.filter(links).select("host", "token"))
 
 
-def main_text(found: list[tuple[str, str, int, bool, int]], known: frozenset[int] | set[int]) -> str:
+def main_text(found: list[tuple[tuple[int, ...], str, int, bool, int]], known: frozenset[int] | set[int]) -> str:
     slots = []
     for path, text, _, dropped, rank in found:
-        if dropped or known and (_text_token(path, text) in known or rank < 2 and _path_tokens(path)[-1] in known):
+        if dropped or known and (_text_token(path, text) in known or rank < 2 and path[-1] in known):
             continue
         slots.append((rank, text))
     words = [sum(len(t.split()) for r, t in slots if r == rank) for rank in range(3)]
@@ -254,10 +295,13 @@ def main_text(found: list[tuple[str, str, int, bool, int]], known: frozenset[int
 def extract(pages: DataFrame, broadcast_tokens: int = BROADCAST_TOKENS, support: int = SUPPORT) -> DataFrame:
     """page_id, url, text and n_chars for every row of `pages` (page_id, url, html).
 
-    A null html gives an empty text, a null url the host "". Repeated rows get equal texts, an empty table no
-    rows. The templates go to every task up to `broadcast_tokens` tokens, beyond it they are joined by host.
+    A null or empty html gives an empty text, a null url the host "". Repeated rows get equal texts, an empty table no
+    rows; of slots with equally many words the better ranked ones are taken. Pages are read whole, however long. Other
+    columns are not read and do not come out. The templates go to every task up to `broadcast_tokens`
+    tokens; beyond it they are joined by host, each host in SALTS parts.
     """
-    pages = pages.select("page_id", "url", "html")
+    id_type = pages.schema["page_id"].dataType.simpleString()
+    pages = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
     scratch = Scratch(pages.sparkSession, "html")
     rows = scratch.save(template(pages, scratch, support), "template")
     small = rows.count() <= broadcast_tokens
@@ -267,21 +311,21 @@ def extract(pages: DataFrame, broadcast_tokens: int = BROADCAST_TOKENS, support:
             by_host.setdefault(r["host"], set()).add(r["token"])
         source = pages
     else:
-        rest = F.col("url").substr(F.locate("://", "url") + 3, F.length("url"))
-        host = F.when(F.locate("://", "url") > 0, F.lower(F.regexp_extract(rest, "^([^/?#]*)", 1))).otherwise(F.lit(""))
         lists = rows.groupBy(F.col("host").alias("t_host")).agg(F.collect_list("token").alias("known"))
-        source = pages.join(lists, F.coalesce(host, F.lit("")) == F.col("t_host"), "left").select(*pages.columns, "known")
+        lists = lists.withColumn("t_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salted = pages.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)))
+        source = salted.join(lists, (salted["host"] == lists["t_host"]) & (salted["salt"] == lists["t_salt"]), "left").select(*pages.columns, "known")
     shared = pages.sparkSession.sparkContext.broadcast(by_host)
 
     def run(batches):
         for part in W.slices(batches, "html"):
             texts = []
-            for i, (url, html) in enumerate(zip(part.column(1).to_pylist(), part.column(2).to_pylist())):
-                known = shared.value.get(host_of(url), frozenset()) if small else set(part.column(3)[i].as_py() or ())
+            for i, (html, host) in enumerate(zip(part.column(2).to_pylist(), part.column(3).to_pylist())):
+                known = shared.value.get(host, frozenset()) if small else set(part.column(4)[i].as_py() or ())
                 texts.append(main_text(blocks(html), known))
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return source.mapInArrow(run, f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars bigint")
+    return source.mapInArrow(run, f"page_id {id_type}, url string, text string, n_chars bigint")
 
 
 def op1_html_text(spark, sf_dir: str) -> DataFrame:
