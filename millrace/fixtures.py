@@ -10,7 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 AS_OF = "2024-02-01 00:00:00"
-N_QUERY_VECTORS = 20
+#: Every row whose id is divisible by this is a query vector.
+VECTOR_STEP = 50
+#: Endings that give the invented words of the queries something to ask for, by query_id.
+PHRASES = (
+    "", "rag chrome extension for research papers in typescript", "lecture summarizer with quiz", "mcp server for code review in python", "webcam posture with mediapipe",
+    "saas billing with next.js and repos", "arxiv pdf retrieval with embeddings", "chrome extension architecture", "open source library for k8s", "go api",
+)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,14 +39,14 @@ def items(spark: SparkSession, sf_dir: str, embedding: bool = False, url: bool =
         F.array(F.lower(F.try_element_at(w, F.lit(2)))).alias("frameworks"),
         F.array("lang").alias("languages"),
         F.substring("text", 281, 50).alias("use_case"),
-        F.substring("text", 331, 40).alias("core"),
+        F.expr("substring(text, 331)").alias("core"),
         (d % 3 == 0).alias("has_code"),
         (d % 5 == 0).alias("has_demo"),
         (d % 7 == 0).alias("has_paper"),
         (d % 2 == 0).alias("has_docs"),
         F.when(d % 4 == 0, "MIT").when(d % 4 == 1, "GPL").alias("license"),
         F.when(d % 6 == 0, F.array(F.lit("pip install x"))).otherwise(F.array().cast("array<string>")).alias("commands"),
-        F.element_at(F.array(*map(F.lit, ("repo", "paper", "model", "article", "tool"))), (d % 5 + 1).cast("int")).alias("artifact_type"),
+        F.element_at(F.array(*map(F.lit, ("open_source_project", "research_paper", "model", "starter_template", "mcp_server"))), (d % 5 + 1).cast("int")).alias("artifact_type"),
         F.concat(F.lit("src"), (d % 5).cast("string")).alias("source_type"),
         F.when(d % 9 != 0, (d * 13) % 3000).alias("stars"),
         ((d * 37) % 101).cast("double").alias("popularity"),
@@ -61,7 +67,9 @@ def items(spark: SparkSession, sf_dir: str, embedding: bool = False, url: bool =
 
 
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(words("text"), 1, 12), " ").alias("query"))
+    ending = F.element_at(F.array(*map(F.lit, PHRASES)), (F.col("item_id") % len(PHRASES) + 1).cast("int"))
+    asked = F.trim(F.concat_ws(" ", F.array_join(F.slice(words("text"), 1, 12), " "), ending))
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), asked.alias("query"))
 
 
 def query_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,7 +79,8 @@ def query_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def query_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").filter(F.col("vec_id") < N_QUERY_VECTORS).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    v = F.col("vec_id")
+    return table(spark, sf_dir, "embeddings").filter(v % VECTOR_STEP == 0).select(F.expr(f"vec_id div {VECTOR_STEP}").alias("query_id"), F.col("embedding").alias("query_vector"))
 
 
 def usage(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,7 +94,7 @@ def usage(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.col("ts").cast("timestamp").alias("ts"),
             "user_id",
             kind.alias("kind"),
-            (F.col("user_id") % 40).alias("query_id"),
+            F.col("user_id").alias("query_id"),
             (F.get_json_object("props", "$.k").cast("bigint") % 20).alias("position"),
             ((F.col("event_id") * 31) % F.col("n_docs")).alias("item_id"),
         )
@@ -116,11 +125,11 @@ def run_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL = {
     "items": r"""items AS (
   SELECT doc_id AS item_id, array_to_string(w[1:6], ' ') AS title, substring(text, 1, 280) AS summary, [lang, source] AS tags,
-         [source, lower(w[1])] AS tools, [lower(w[2])] AS frameworks, [lang] AS languages, substring(text, 281, 50) AS use_case, substring(text, 331, 40) AS core,
+         [source, lower(w[1])] AS tools, [lower(w[2])] AS frameworks, [lang] AS languages, substring(text, 281, 50) AS use_case, substring(text, 331) AS core,
          doc_id % 3 = 0 AS has_code, doc_id % 5 = 0 AS has_demo, doc_id % 7 = 0 AS has_paper, doc_id % 2 = 0 AS has_docs,
          CASE WHEN doc_id % 4 = 0 THEN 'MIT' WHEN doc_id % 4 = 1 THEN 'GPL' END AS license,
          CASE WHEN doc_id % 6 = 0 THEN ['pip install x'] ELSE []::VARCHAR[] END AS commands,
-         ['repo', 'paper', 'model', 'article', 'tool'][doc_id % 5 + 1] AS artifact_type, 'src' || (doc_id % 5) AS source_type,
+         ['open_source_project', 'research_paper', 'model', 'starter_template', 'mcp_server'][doc_id % 5 + 1] AS artifact_type, 'src' || (doc_id % 5) AS source_type,
          CASE WHEN doc_id % 9 <> 0 THEN (doc_id * 13) % 3000 END AS stars,
          ((doc_id * 37) % 101)::DOUBLE AS popularity, ((doc_id * 53) % 101)::DOUBLE AS quality, ((doc_id * 29) % 101)::DOUBLE AS hype, ((doc_id * 41) % 101)::DOUBLE AS remix,
          (DATE '2024-02-01' - ((doc_id * 7) % 240)::INTEGER)::TIMESTAMP AS published_at
@@ -128,13 +137,13 @@ SQL = {
     "item_vectors": "item_vectors AS (SELECT vec_id AS item_id, embedding FROM embeddings JOIN documents ON vec_id = doc_id)",
     "item_urls": "item_urls AS (SELECT doc_id AS item_id, url AS source_url FROM documents LEFT JOIN pages ON page_id = doc_id % (SELECT count(*) FROM pages))",
     "queries": r"""queries AS (
-  SELECT item_id AS query_id, array_to_string((list_filter(regexp_split_to_array(text, '[ \t\n\r]+'), lambda x: x <> ''))[1:12], ' ') AS query FROM benchmark)""",
+  SELECT item_id AS query_id, trim(array_to_string((list_filter(regexp_split_to_array(text, '[ \t\n\r]+'), lambda x: x <> ''))[1:12], ' ') || ' ' || (@phrases@)[item_id % @n@ + 1]) AS query FROM benchmark)""".replace("@phrases@", str(list(PHRASES))).replace("@n@", str(len(PHRASES))),
     "query_terms": r"""query_terms AS (
   SELECT DISTINCT query_id, term FROM (SELECT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[a-z][a-z0-9+.#-]*|[0-9]+[a-z]*')) AS term FROM benchmark) WHERE length(term) >= 5)""",
-    "query_vectors": f"query_vectors AS (SELECT vec_id AS query_id, embedding AS query_vector FROM embeddings WHERE vec_id < {N_QUERY_VECTORS})",
+    "query_vectors": f"query_vectors AS (SELECT vec_id // {VECTOR_STEP} AS query_id, embedding AS query_vector FROM embeddings WHERE vec_id % {VECTOR_STEP} = 0)",
     "usage": """usage AS (
   SELECT * FROM (SELECT event_id, ts, user_id, CASE event_type WHEN 'view' THEN 'search' WHEN 'click' THEN 'click' WHEN 'purchase' THEN 'star' END AS kind,
-         user_id % 40 AS query_id, CAST(json_extract(props, '$.k') AS BIGINT) % 20 AS position, (event_id * 31) % (SELECT count(*) FROM documents) AS item_id FROM events) WHERE kind IS NOT NULL)""",
+         user_id AS query_id, CAST(json_extract(props, '$.k') AS BIGINT) % 20 AS position, (event_id * 31) % (SELECT count(*) FROM documents) AS item_id FROM events) WHERE kind IS NOT NULL)""",
     "impressions": """impressions AS (
   SELECT event_id, ts, query_id, pos, (item_id + 7 * pos) % (SELECT count(*) FROM documents) AS item_id FROM usage CROSS JOIN (SELECT unnest(range(20)) AS pos) WHERE kind = 'search')""",
     "ledger": """ledger AS (

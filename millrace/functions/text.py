@@ -17,7 +17,7 @@ STOPWORDS = (
     "not only own same so than too very just also need needs want show find get use using build building into about over under between through during before after "
     "above below up down out off again further then once here there all"
 ).split()
-#: What else a grading term stands for.
+#: Words with a letter first, or numbers with letters after them.
 TOKEN = "([a-zA-Z][a-zA-Z0-9+.#-]*|[0-9]+[a-zA-Z]*)"
 
 

@@ -2,21 +2,39 @@
 
 from __future__ import annotations
 
+import random
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.operators.retrieve import top_k
+from millrace.operators.intent import expand_terms
+from millrace.operators.retrieve import contained_terms, top_k
+
+
+def body_blob() -> Column:
+    lists = [F.array_join(c, " ") for c in ("tags", "tools", "frameworks", "languages")]
+    return F.lower(F.concat_ws(" ", "summary", "use_case", "core", *lists))
+
+
+def graded_terms(items: DataFrame, terms: DataFrame, fields: dict[str, tuple[Column, int]]) -> DataFrame:
+    """(query_id, item_id, grade): for every term of the query the points of the first field that contains it."""
+    hits = contained_terms(items, terms, {name: text for name, (text, _) in fields.items()})
+    points = F.coalesce(*[F.when(F.col(name), F.lit(n)) for name, (_, n) in fields.items()])
+    graded = hits.select("item_id", "term", points.alias("points")).join(terms.select("query_id", "term").distinct(), "term")
+    return graded.groupBy("query_id", "item_id").agg(F.sum("points").cast("bigint").alias("grade"))
 
 
 def oracle_qrels(items: DataFrame, terms: DataFrame, least: int = 3, keep: int = 80, feedback: DataFrame | None = None) -> DataFrame:
-    """(query_id, item_id, grade): 2 a term in the title, else 1 in the text; the best `keep` of grade `least` and more.
+    """(query_id, item_id, grade): 2 a term in the title, else 1 in the text or lists; the best `keep` of grade `least` and more.
 
-    Each item is read once and tested against the stated set of queries. Feedback raises grades after the cut.
+    Terms are expanded by what else they stand for. Each item is read once, against all terms at the same time.
+    Feedback raises grades after the cut.
     """
-    asked = terms.groupBy("query_id").agg(F.collect_set("term").alias("terms"))
-    narrow = items.select("item_id", F.lower("title").alias("title"), F.lower("summary").alias("body"))
-    points = F.aggregate("terms", F.lit(0), lambda s, t: s + F.when(F.contains("title", t), 2).when(F.contains("body", t), 1).otherwise(0))
-    graded = narrow.join(F.broadcast(asked), F.exists("terms", lambda t: F.contains("title", t) | F.contains("body", t))).select("query_id", "item_id", points.cast("bigint").alias("grade"))
+    lists = terms.groupBy("query_id").agg(F.collect_set("term").alias("terms"))
+    expanded = lists.select("query_id", F.explode(expand_terms(F.col("terms"))).alias("term"))
+    graded = graded_terms(items, expanded, {"title": (F.lower("title"), 2), "body": (body_blob(), 1)})
     best = top_k(graded.filter(F.col("grade") >= least), keep, [F.desc("grade"), "item_id"]).drop("rank")
     return overlay(best, feedback) if feedback is not None else best
 
@@ -84,18 +102,25 @@ def gold_pass(run: DataFrame, titles: DataFrame, hints: DataFrame, depth: int =
     return rows.select("query_id", ((F.size("hints") == 0) | found).alias("passed"))
 
 
+def hashed_share(*parts: Column) -> Column:
+    """A number from 0 to 1 that hangs on the parts alone."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 8), 16, 10).cast("bigint") / F.lit(float(1 << 32))
+
+
+#: How likely a draw of a resample takes a row at most 0, 1, ... times.
+DRAWS = (0.367879, 0.735759, 0.919699, 0.981012, 0.996340, 0.999406, 0.999917)
+
+
 def bootstrap_interval(values: DataFrame, column: str, iterations: int = 2000, seed: int = 13) -> DataFrame:
     """(mean, low, high): the 2.5 and 97.5 % points of resampled means, with draws from a seeded hash.
 
-    Queries are numbered once; every iteration draws as many as there are.
+    Every iteration takes each row a Poisson number of times, so rows need no numbers and sums stay partial.
     """
-    spark = values.sparkSession
-    numbered = values.select("query_id", F.col(column).alias("x"), (F.row_number().over(Window.orderBy("query_id")) - 1).alias("i"), F.count("*").over(Window.partitionBy(F.lit(0))).alias("n"))
-    sizes = numbered.select("n").limit(1)
-    draws = spark.range(iterations).withColumnRenamed("id", "iteration").join(F.broadcast(sizes)).select("iteration", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("slot"))
-    picked = draws.select("iteration", F.pmod(F.xxhash64("iteration", "slot", F.lit(seed)), F.col("n")).cast("int").alias("i"))
-    means = picked.join(F.broadcast(numbered.select("i", "x")), "i").groupBy("iteration").agg(F.avg("x").alias("m"))
-    ordered = F.sort_array(F.collect_list("m"))
+    draws = values.select("query_id", F.col(column).alias("x"), F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))).alias("iteration"))
+    share = hashed_share(F.lit(str(seed)), F.col("iteration").cast("string"), F.col("query_id").cast("string"))
+    drawn = draws.withColumn("share", share).withColumn("w", sum(((F.col("share") >= c).cast("int") for c in DRAWS), F.lit(0)))
+    means = drawn.groupBy("iteration").agg((F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("m"))
+    ordered = F.sort_array(F.collect_list(F.bround("m", 9)))
     at = lambda q: F.element_at(F.col("o"), int(q * iterations) + 1 if q < 0.5 else int(q * iterations))
     return means.agg(ordered.alias("o")).join(F.broadcast(values.agg(F.avg(column).alias("mean")))).select(F.bround("mean", 6).alias("mean"), F.bround(at(0.025), 6).alias("low"), F.bround(at(0.975), 6).alias("high"))
 
@@ -104,7 +129,7 @@ def paired_test(before: DataFrame, after: DataFrame, column: str, iterations: in
     """(n, mean_diff, t, p_value): paired t and the share of seeded sign flips with a mean as far from 0."""
     diff = before.select("query_id", F.col(column).alias("x")).join(after.select("query_id", F.col(column).alias("y")), "query_id").select("query_id", (F.col("y") - F.col("x")).alias("d"))
     base = diff.agg(F.count("*").alias("n"), F.avg("d").alias("mean"), F.stddev("d").alias("sd"))
-    sign = F.when(F.pmod(F.xxhash64("iteration", "query_id", F.lit(seed)), F.lit(2)) == 0, 1).otherwise(-1)
+    sign = F.when(hashed_share(F.lit(str(seed)), F.col("iteration").cast("string"), F.col("query_id").cast("string")) < 0.5, 1).otherwise(-1)
     flips = diff.withColumn("iteration", F.explode(F.sequence(F.lit(1), F.lit(iterations)))).groupBy("iteration").agg(F.avg(sign * F.col("d")).alias("m"))
     far = flips.join(F.broadcast(base)).agg(F.avg((F.abs("m") >= F.abs("mean") - 1e-12).cast("double")).alias("p_value"))
     return base.join(F.broadcast(far)).select("n", F.bround("mean", 6).alias("mean_diff"), F.bround(F.col("mean") / (F.col("sd") / F.sqrt("n")), 6).alias("t"), "p_value")
@@ -121,41 +146,84 @@ def regression_guard(before: DataFrame, after: DataFrame, recall_drop: float = 0
 
 
 def folds(queries: DataFrame, k: int = 5, seed: int = 7) -> DataFrame:
-    turn = F.row_number().over(Window.orderBy(F.xxhash64("query_id", F.lit(seed)), "query_id")) - 1
-    return queries.select("query_id", F.pmod(turn, F.lit(k)).alias("fold"))
+    """(query_id, fold) by a seeded hash of the id."""
+    share = hashed_share(F.lit(str(seed)), F.col("query_id").cast("string"))
+    return queries.select("query_id", F.floor(share * k).alias("fold"))
+
+
+#: The knobs of a parameter set: weights and constant of the fusion, weights of the final score, gates. With each the range of its draws.
+KNOBS = {
+    "keyword": (0.4, 1.5), "vector": (0.4, 1.5), "intent": (0.1, 1.0), "rrf_k": (20, 30, 40, 60, 80, 100),
+    "w_relevance": (0.2, 0.6), "w_fused": (0.0, 0.4), "w_remix": (0.0, 0.3), "w_quality": (0.0, 0.3), "w_underground": (0.0, 0.2),
+    "w_recency": (0.0, 0.2), "w_popularity": (0.0, 0.1), "w_substance": (0.0, 0.3), "w_hype": (0.0, 0.25),
+    "min_final": (0.0, 0.35), "min_relevance": (0.0, 0.3), "min_similarity": (0.0, 0.45),
+}
+#: The set to beat.
+BASELINE = (1.0, 0.9, 0.45, 60, 0.40, 0.10, 0.18, 0.14, 0.08, 0.08, 0.03, 0.12, 0.10, 0.25, 0.20, 0.32)
+
+
+def param_sets(n: int = 500, seed: int = 7) -> list[tuple[float, ...]]:
+    """The baseline and `n` seeded draws, each a value for every knob."""
+    draw = random.Random(seed)
+    one = lambda r: round(draw.uniform(*r), 4) if len(r) == 2 else draw.choice(r)
+    return [BASELINE] + [tuple(map(float, (one(r) for r in KNOBS.values()))) for _ in range(n)]
 
 
-def param_sets(spark, n: int, seed: int = 7) -> DataFrame:
-    """(param, kw, vec, intent): set 0 holds the defaults, the others are seeded draws."""
-    draw = lambda name, low, high: F.bround(low + (high - low) * F.pmod(F.xxhash64("id", F.lit(name), F.lit(seed)), F.lit(1_000_000)) / 1_000_000, 4)
-    pick = lambda default, name, low, high: F.when(F.col("id") == 0, F.lit(default)).otherwise(draw(name, low, high)).alias(name)
-    return spark.range(n + 1).select(F.col("id").alias("param"), pick(1.31, "kw", 0.2, 2.0), pick(0.60, "vec", 0.0, 2.0), pick(0.28, "intent", 0.0, 1.0))
+SWEPT = ("relevance", "remix", "quality", "underground", "recency", "popularity", "substance", "hype")
 
 
-def param_sweep(legs: dict[str, DataFrame], params: DataFrame, qrels: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """(param, query_id, ndcg, ...): every parameter set over the same retrieved legs.
+def param_sweep(hits: DataFrame, params: list[tuple[float, ...]], qrels: DataFrame, queries: DataFrame, k: int = 10, limit: int = 20) -> DataFrame:
+    """(param, query_id, ndcg): every parameter set over the same retrieved hits, ranked by final score behind the gates.
 
-    The sets are a stated table of a few hundred rows and go to every task; legs are retrieved once.
+    `hits` has query_id, item_id, arrival, key, kw_rank, similarity, the array `ranks` of the three legs and the columns SWEPT from 0 to 1. A query
+    has some hundred of them, so each query is one small group that all sets are tried on.
     """
-    union = None
-    for name, leg in legs.items():
-        rows = leg.select("query_id", "item_id", "rank", F.lit(name).alias("leg"))
-        union = rows if union is None else union.unionByName(rows)
-    weight = F.when(F.col("leg") == "keyword", F.col("kw")).when(F.col("leg") == "vector", F.col("vec")).otherwise(F.col("intent"))
-    scored = union.join(F.broadcast(params)).withColumn("part", weight / (60 + F.col("rank"))).groupBy("param", "query_id", "item_id").agg(F.bround(F.sum("part"), 9).alias("fused"))
-    turn = F.row_number().over(Window.partitionBy("param", "query_id").orderBy(F.desc("fused"), "item_id"))
-    ranked = scored.withColumn("rank", turn).filter(F.col("rank") <= k)
-    return metrics(ranked, qrels, queries, k, by=("param",))
+    table = np.array(params, float)
+
+    def sweep(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = pdf.sort_values("item_id")
+        p = {name: table[:, [i]] for i, name in enumerate(KNOBS)}
+        ranks = np.array([[np.nan if v is None else v for v in r] for r in rows["ranks"]], float)
+        fused = sum(np.nan_to_num(p[leg] / (p["rrf_k"] + ranks[:, i])) for i, leg in enumerate(("keyword", "vector", "intent")))
+        v = {c: rows[c].to_numpy(float) for c in SWEPT}
+        final = p["w_fused"] * np.minimum(1.0, 45 * np.round(fused, 9))
+        for c in SWEPT:
+            final = final + (-1 if c == "hype" else 1) * p[f"w_{c}"] * v[c]
+        final = np.round(np.clip(final, 0.0, 1.0), 9)
+        keyword, near = (np.nan_to_num(rows[c].to_numpy(float)) for c in ("kw_rank", "similarity"))
+        ok = (final >= p["min_final"]) & ((v["relevance"] >= p["min_relevance"]) | (keyword >= 0.08) | (near >= p["min_similarity"]))
+        arrival, key = rows["arrival"].to_numpy(), pd.factorize(rows["key"])[0]
+        early = np.argsort(np.argsort(arrival)) < max(limit, 3)
+        ok = np.where(ok.sum(axis=1, keepdims=True) < min(3, limit), early, ok)
+        grade = rows["grade"].to_numpy(float)
+        out = np.zeros(len(table))
+        for i in range(len(table)):
+            at = np.flatnonzero(ok[i])
+            best = at[np.lexsort((arrival[at], -final[i, at]))]
+            best = best[np.sort(np.unique(key[best], return_index=True)[1])]  # the best hit of each key
+            order = best[np.lexsort((best, -final[i, best]))][: min(k, limit)]  # rows are in the order of ids
+            out[i] = (grade[order] / np.log2(np.arange(len(order)) + 2)).sum()
+        ideal = rows["ideal"].iloc[0]
+        return pd.DataFrame({"param": np.arange(len(table)), "query_id": rows["query_id"].iloc[0], "ndcg": np.round(out / ideal, 6) if ideal else 0.0})
+
+    ideal = _ideal(qrels, k).select("query_id", "ideal")
+    graded = hits.join(qrels, ["query_id", "item_id"], "left").join(ideal, "query_id").withColumn("grade", F.coalesce("grade", F.lit(0)))
+    narrow = graded.select("query_id", "item_id", "arrival", "key", "kw_rank", "similarity", "ranks", *SWEPT, "grade", "ideal")
+    found = narrow.groupBy("query_id").applyInPandas(sweep, "param bigint, query_id bigint, ndcg double")
+    # queries without hits or without relevant items have 0 for every set
+    none = queries.select("query_id").join(narrow.select("query_id").distinct(), "query_id", "left_anti")
+    return found.union(none.select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(len(params) - 1).cast("bigint"))).alias("param"), "query_id", F.lit(0.0).alias("ndcg")))
 
 
 def nested_cv(sweep: DataFrame, fold_of: DataFrame) -> DataFrame:
-    """(fold, param, train, held_out): the set that is best on the other folds, measured on this one."""
-    rows = sweep.join(F.broadcast(fold_of), "query_id")
+    """(fold, param, train, held_out, baseline): the set that is best on the other folds, measured on this one beside set 0."""
+    rows = sweep.join(fold_of, "query_id")
     cells = rows.groupBy("param", "fold").agg(F.sum("ndcg").alias("s"), F.count("*").alias("n"))
     every = Window.partitionBy("param")
     cells = cells.withColumn("train", F.bround((F.sum("s").over(every) - F.col("s")) / (F.sum("n").over(every) - F.col("n")), 6))
     best = F.row_number().over(Window.partitionBy("fold").orderBy(F.desc("train"), "param"))
-    return cells.withColumn("turn", best).filter("turn = 1").select("fold", "param", "train", F.bround(F.col("s") / F.col("n"), 6).alias("held_out"))
+    base = F.max(F.when(F.col("param") == 0, F.bround(F.col("s") / F.col("n"), 6))).over(Window.partitionBy("fold"))
+    return cells.withColumns({"turn": best, "baseline": base}).filter("turn = 1").select("fold", "param", "train", F.bround(F.col("s") / F.col("n"), 6).alias("held_out"), "baseline")
 
 
 def click_coverage(pairs: DataFrame, qrels: DataFrame) -> DataFrame:

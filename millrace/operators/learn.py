@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Callable
 
 import numpy as np
@@ -16,7 +18,8 @@ from pyspark.sql import functions as F
 from millrace.functions import scores as S
 from millrace.functions import text as T
 from millrace.operators import evaluate as E
-from millrace.operators.retrieve import RRF_K, top_k, tokens  # noqa: F401
+from millrace.operators.intent import derived_terms, extract_intent
+from millrace.operators.retrieve import TOKEN, top_k
 
 
 def click_propensity(impressions: DataFrame, clicks: DataFrame) -> DataFrame:
@@ -47,8 +50,11 @@ def frequent_queries(log: DataFrame, curated: DataFrame, least: int = 2) -> Data
     return counts.join(known, F.lower("query") == F.col("known"), "left_anti")
 
 
-def derived_terms(c: Column, limit: int = 6) -> Column:
-    return F.slice(T.significant_terms(c), 1, limit)
+def harvest_queries(log: DataFrame, curated: DataFrame, least: int = 2) -> DataFrame:
+    """(query, n, terms): frequent new queries with at least two derived terms."""
+    found = frequent_queries(log, curated, least).withColumn("query_id", F.xxhash64("query"))
+    terms = derived_terms(extract_intent(found)).filter(F.size("terms") >= 2)
+    return found.join(terms, "query_id").select("query", "n", "terms")
 
 
 def feedback_grades(pairs: DataFrame) -> DataFrame:
@@ -66,10 +72,15 @@ def merge_pairs(feedback: DataFrame, other: DataFrame) -> DataFrame:
 def merge_queries(curated: DataFrame, harvested: DataFrame) -> DataFrame:
     """(no, query): curated queries keep their numbers, harvested ones follow."""
     known = curated.select(F.lower("query").alias("known"))
-    fresh = harvested.join(known, F.lower("query") == F.col("known"), "left_anti")
+    fresh = harvested.join(known, F.lower("query") == F.col("known"), "left_anti").select("query")
     size = curated.agg((F.max("no") + 1).alias("base"))
-    turn = F.row_number().over(Window.orderBy("query")) - 1
-    return curated.select("no", "query").union(fresh.withColumn("turn", turn).join(F.broadcast(size)).select((F.col("base") + F.col("turn")).alias("no"), "query"))
+    # numbered within first characters, which follow each other by their counts, so that no task sorts all queries
+    first = fresh.withColumn("head", F.substring("query", 1, 3))
+    heads = first.groupBy("head").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("head").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    turn = F.row_number().over(Window.partitionBy("head").orderBy("query")) - 1
+    numbered = first.withColumn("turn", turn).join(heads.withColumn("before", before).drop("n"), "head").join(F.broadcast(size))
+    return curated.select("no", "query").union(numbered.select((F.col("base") + F.col("before") + F.col("turn")).alias("no"), "query"))
 
 
 def qrels_snapshot(qrels: DataFrame, items: DataFrame) -> DataFrame:
@@ -90,31 +101,37 @@ def mine_triplets(positives: DataFrame, sims: DataFrame, share: float = 0.95, k:
     return near.withColumn("turn", turn).filter(F.col("turn") <= k).select("query_id", "pos", F.col("item_id").alias("neg"), "turn")
 
 
-FEATURES = ("fused", "kw_rank", "similarity", "has_similarity", "quality", "remix", "hype", "popularity", "recency", "substance", "underground", "has_code")
+FEATURES = ("relevance", "fused_share", "kw_rank", "similarity", "remix", "quality", "underground", "recency", "popularity", "substance", "hype", "has_code")
 
 
-def ltr_features(hits: DataFrame, items: DataFrame, as_of: Column) -> DataFrame:
-    """(query_id, item_id, twelve features); a similarity of 0 is a missing one."""
-    rows = hits.join(items, "item_id")
+def features(as_of: Column) -> list[Column]:
+    """The columns of FEATURES over scored hits with their items' columns; missing ranks and similarities are 0."""
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
-    return rows.select(
-        "query_id",
-        "item_id",
-        "fused",
-        zero("kw_rank").alias("kw_rank"),
-        zero("similarity").alias("similarity"),
-        (zero("similarity") > 0).cast("double").alias("has_similarity"),
-        *[S.normalize_score(F.col(c)).alias(c) for c in ("quality", "remix", "hype", "popularity")],
-        S.recency(F.col("published_at"), as_of).alias("recency"),
-        S.substance().alias("substance"),
-        (S.underground(as_of, F.col("quality"), F.col("stars")) / 100).alias("underground"),
-        F.col("has_code").cast("double").alias("has_code"),
-    )
+    score = lambda c: S.normalize_score(F.col(c))
+    return [
+        F.col("relevance"),
+        F.least(F.lit(1.0), 45 * F.col("fused")),
+        zero("kw_rank"),
+        zero("similarity"),
+        score("remix"),
+        score("quality"),
+        S.underground(as_of, F.col("quality"), F.col("stars")) / 100,
+        S.recency(F.col("published_at"), as_of),
+        score("popularity"),
+        S.substance(),
+        score("hype"),
+        F.col("has_code").cast("double"),
+    ]
+
+
+def ltr_features(hits: DataFrame, as_of: Column) -> DataFrame:
+    """(query_id, item_id, fused, final, and the twelve features) of scored hits."""
+    return hits.select("query_id", "item_id", "fused", "final", *[c.alias(n) for n, c in zip(FEATURES, features(as_of))])
 
 
 def _pairs(rows: DataFrame, qrels: DataFrame, depth: int = 30) -> DataFrame:
     """Within-query feature differences of a better and a worse hit, both ways, weighted by the change of nDCG."""
-    graded = top_k(rows.join(qrels, ["query_id", "item_id"], "left").withColumn("grade", F.coalesce("grade", F.lit(0))), depth, [F.desc("fused"), "item_id"])
+    graded = top_k(rows.join(qrels, ["query_id", "item_id"], "left").withColumn("grade", F.coalesce("grade", F.lit(0))), depth, [F.desc("final"), "item_id"])
     side = lambda s: graded.select("query_id", F.col("grade").alias(f"g{s}"), F.col("rank").alias(f"r{s}"), F.array(*FEATURES).alias(f"x{s}"))
     both = side("a").join(side("b"), "query_id").filter("ga > gb")
     gain = F.abs((F.col("ga") - F.col("gb")) * (1 / F.log2(F.col("ra") + 1) - 1 / F.log2(F.col("rb") + 1))) + 1e-3
@@ -134,37 +151,56 @@ def train_ranker(rows: DataFrame, qrels: DataFrame, reg: float = 0.01) -> dict[s
     return dict(zip(FEATURES, map(float, model.coefficients)))
 
 
+def train_pointwise(rows: DataFrame, qrels: DataFrame, least: int = 2, reg: float = 0.01) -> dict[str, float]:
+    """Weights of a pointwise logistic model of grade >= `least`; empty where all hits are alike."""
+    graded = rows.join(qrels, ["query_id", "item_id"], "left").select(array_to_vector(F.array(*FEATURES)).alias("features"), (F.coalesce("grade", F.lit(0)) >= least).cast("double").alias("label")).persist()
+    if graded.select("label").distinct().count() < 2:
+        return {}
+    model = LogisticRegression(regParam=reg, maxIter=25).fit(graded)
+    graded.unpersist()
+    return dict(zip(FEATURES, map(float, model.coefficients)))
+
+
 def apply_ranker(rows: DataFrame, model: dict[str, float], k: int = 10) -> DataFrame:
-    """Hits in the order of the model's score, min-max scaled per query; without a model in fused order."""
+    """Hits in the order of the model's score, min-max scaled per query; without a model in the order of the final score."""
     score = F.lit(0.0)
     for name, w in model.items():
         score = score + F.lit(w) * F.col(name)
-    raw = rows.withColumn("raw", F.bround(score if model else F.col("fused"), 6))
+    raw = rows.withColumn("raw", F.bround(score if model else F.col("final"), 6))
     w = Window.partitionBy("query_id")
     span = F.max("raw").over(w) - F.min("raw").over(w)
     scaled = raw.withColumn("score", F.when(span == 0, 0.0).otherwise((F.col("raw") - F.min("raw").over(w)) / span))
     return top_k(scaled, k, [F.desc("raw"), "item_id"]).select("query_id", "item_id", "rank", "score")
 
 
-def cross_validate(rows: DataFrame, qrels: DataFrame, queries: DataFrame, k: int = 3, gain: float = 0.005) -> DataFrame:
-    """(model, ndcg, adopted): held-out means of the fused order and the learned ranker; adopted if clearly better."""
+def cross_validate(rows: DataFrame, qrels: DataFrame, queries: DataFrame, k: int = 5, gain: float = 0.005) -> DataFrame:
+    """(model, ndcg, adopted): held-out means of the linear blend, the pairwise and the pointwise ranker over `k` folds.
+
+    The pairwise ranker is adopted if it is the best and better than the blend by more than `gain`. Both learners scale
+    their features. `rows` and `qrels` are read once a fold and model, so they should be written tables.
+    """
     fold_of = E.folds(queries, k)
-    rows, qrels = rows.persist(), qrels.persist()
     held = None
     for fold in range(k):
-        train, test = (rows.join(F.broadcast(fold_of.filter(c)), "query_id", "left_semi") for c in (F.col("fold") != fold, F.col("fold") == fold))
-        asked = queries.join(F.broadcast(fold_of.filter(F.col("fold") == fold)), "query_id", "left_semi")
-        for name, model in (("fused", {}), ("learned", train_ranker(train, qrels))):
+        train, test = (rows.join(fold_of.filter(c), "query_id", "left_semi") for c in (F.col("fold") != fold, F.col("fold") == fold))
+        asked = queries.join(fold_of.filter(F.col("fold") == fold), "query_id", "left_semi")
+        for name, model in (("blend", {}), ("pairwise", train_ranker(train, qrels)), ("pointwise", train_pointwise(train, qrels))):
             part = E.metrics(apply_ranker(test, model), qrels, asked).select(F.lit(name).alias("model"), "ndcg")
             held = part if held is None else held.union(part)
     means = held.groupBy("model").agg(F.bround(F.avg("ndcg"), 6).alias("ndcg"))
-    base = means.filter("model = 'fused'").select(F.col("ndcg").alias("base"))
-    return means.join(F.broadcast(base)).select("model", "ndcg", ((F.col("model") == "learned") & (F.col("ndcg") > F.col("base") + gain)).alias("adopted"))
+    base = means.agg(F.max(F.when(F.col("model") == "blend", F.col("ndcg"))).alias("base"), F.max("ndcg").alias("top"))
+    adopted = (F.col("model") == "pairwise") & (F.col("ndcg") == F.col("top")) & (F.col("ndcg") > F.col("base") + gain)
+    return means.join(F.broadcast(base)).select("model", "ndcg", adopted.alias("adopted"))
+
 
+def lsh_search(queries: DataFrame, items: DataFrame, k: int = 10, bucket: float = 0.5, tables: int = 20, radius: float = 1.5) -> DataFrame:
+    """Approximate nearest items by random projections of unit vectors, re-scored exactly.
 
-def lsh_search(queries: DataFrame, items: DataFrame, k: int = 10, bucket: float = 1.0, tables: int = 8, radius: float = 1.5) -> DataFrame:
-    """Approximate nearest items by random projections of unit vectors, re-scored exactly."""
-    vec = lambda c: array_to_vector(F.transform(c, lambda x: x.cast("double")))
+    A table cuts its projection into cells of width `bucket`; pairs that share a cell of any table are candidates. Narrow
+    cells leave out far pairs, many tables keep near ones.
+    """
+    unit = lambda c: F.transform(c, lambda x: x.cast("double"))
+    vec = lambda c: array_to_vector(unit(c))
     q, v = queries.select("query_id", vec("query_vector").alias("v")), items.filter("embedding IS NOT NULL").select("item_id", vec("embedding").alias("v"))
     model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=bucket, numHashTables=tables, seed=3).fit(v)
     near = model.approxSimilarityJoin(q, v, radius, "dist")
@@ -172,16 +208,34 @@ def lsh_search(queries: DataFrame, items: DataFrame, k: int = 10, bucket: float
     return top_k(near.select(F.col("datasetA.query_id").alias("query_id"), F.col("datasetB.item_id").alias("item_id"), sim.alias("similarity")), k, [F.desc("similarity"), "item_id"])
 
 
+_TOKENS = re.compile(TOKEN)
+
+
+def hashed_counts(texts: list[str | None], size: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of tokens and rows of hashed counts, scaled to length 1; the slot of a token comes from its md5."""
+    slot: dict[str, int] = {}
+    counts, n = np.zeros((len(texts), size)), np.zeros(len(texts), np.int64)
+    for i, text in enumerate(texts):
+        tokens_ = _TOKENS.findall((text or "").lower())
+        n[i] = len(tokens_)
+        for t in tokens_:
+            if t not in slot:
+                slot[t] = int(hashlib.md5(t.encode()).hexdigest()[:8], 16) % size
+        np.add.at(counts[i], [slot[t] for t in tokens_], 1)
+    norm = np.sqrt((counts * counts).sum(axis=1, keepdims=True))
+    return n, np.divide(counts, norm, where=norm > 0, out=counts)
+
+
 def hashed_vector(rows: DataFrame, text: str, size: int = 64) -> DataFrame:
-    """Adds n_tokens and embedding: the deterministic default encoder, hashed counts of tokens scaled to length 1; null for blank texts."""
-    toks = tokens(F.coalesce(F.col(text), F.lit("")))
-    slots = F.transform(toks, lambda t: F.pmod(F.xxhash64(t), F.lit(size)).cast("int"))
-    with_slots = rows.withColumn("_slots", slots)
-    counts = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.size(F.filter("_slots", lambda s: s == i)).cast("double"))
-    counted = with_slots.withColumn("_counts", counts)
-    norm = F.sqrt(F.aggregate("_counts", F.lit(0.0), lambda a, x: a + x * x))
-    scaled = counted.withColumn("_norm", norm).withColumn("embedding", F.when(F.col("_norm") > 0, F.transform("_counts", lambda x: (x / F.col("_norm")).cast("float"))))
-    return scaled.withColumn("n_tokens", F.size("_slots").cast("bigint")).drop("_slots", "_counts", "_norm")
+    """Adds n_tokens and embedding: the deterministic default encoder, in Arrow batches; null for blank texts."""
+
+    @F.pandas_udf("struct<n_tokens: bigint, embedding: array<float>>")
+    def encode(texts: pd.Series) -> pd.DataFrame:
+        n, vectors = hashed_counts(texts.tolist(), size)
+        return pd.DataFrame({"n_tokens": n, "embedding": [v.astype(np.float32) if k else None for k, v in zip(n, vectors)]})
+
+    coded = rows.withColumn("_code", encode(F.col(text)))
+    return coded.withColumns({"n_tokens": F.col("_code.n_tokens"), "embedding": F.col("_code.embedding")}).drop("_code")
 
 
 def embed_missing(items: DataFrame, text: str, mode: str = "missing", encoder: Callable[[list[str]], np.ndarray] | None = None, size: int = 64) -> DataFrame:

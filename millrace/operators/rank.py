@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from millrace.functions import scores as S
 from millrace.functions import text as T
-from millrace.operators import filters, stats
-from millrace.operators.retrieve import rrf, top_k
+from millrace.operators import filters, learn, stats
+from millrace.operators.intent import PROFILE_WORDS, suggest_query
+from millrace.operators.retrieve import FUSION, RRF_K, top_k
 
 
 def fuse_by_item(*legs: DataFrame) -> DataFrame:
@@ -26,27 +27,75 @@ def fuse_by_item(*legs: DataFrame) -> DataFrame:
     return fused.withColumn("arrival", arrival).drop("seen")
 
 
-def relevance(blob: Column, terms: Column, kw_rank: Column, similarity: Column, wanted: dict[str, Column] | None = None) -> Column:
-    """Weighted mean of the parts whose input exists, 1 at most: list overlaps, terms in the text, keyword rank, similarity."""
-    shares = {"frameworks": 0.18, "tools": 0.18, "tags": 0.14, "languages": 0.08}
+def fused_hits(legs: dict[str, DataFrame], weights: dict[str, float] | None = None, k: int = RRF_K) -> DataFrame:
+    """(query_id, item_id, fused, kw_rank, similarity, arrival, ranks): rrf and fuse_by_item in one pass over the legs.
 
-    def held(values: Column, name: str) -> Column:
-        return F.size(F.filter(values, lambda v: F.array_contains(F.transform(name, F.lower), F.lower(v)) | F.contains(blob, F.lower(v))))
+    `ranks` holds the rank in each leg, null where it has none.
+    """
+    weights = FUSION | (weights or {})
+    union = None
+    for no, (name, leg) in enumerate(legs.items()):
+        have = set(leg.columns)
+        rows = leg.select("query_id", "item_id", "rank", F.lit(no).alias("leg"), (F.lit(weights[name]) / (k + F.col("rank"))).alias("part"), *[(F.col(c) if c in have else F.lit(None).cast("double")).alias(c) for c in ("kw_rank", "similarity")])
+        union = rows if union is None else union.unionByName(rows)
+    fused = union.groupBy("query_id", "item_id").agg(
+        F.bround(F.sum("part"), 9).alias("fused"),
+        F.max("kw_rank").alias("kw_rank"),
+        F.max_by("similarity", F.when(F.col("similarity").isNotNull(), F.col("leg"))).alias("similarity"),
+        F.min(F.struct("leg", "rank")).alias("seen"),
+        F.array(*[F.max(F.when(F.col("leg") == no, F.col("rank"))) for no in range(len(legs))]).alias("ranks"),
+    )
+    arrival = F.row_number().over(Window.partitionBy("query_id").orderBy("seen", "item_id"))
+    return fused.withColumn("arrival", arrival).drop("seen")
+
+
+#: Shares of the parts of relevance.
+SHARES = {"frameworks": 0.18, "tools": 0.18, "tags": 0.14, "languages": 0.08, "terms": 0.22, "types": 0.08, "profile": 0.12, "keyword": 0.12, "vector": 0.15}
+_ASKED = ("frameworks", "tools", "tags", "languages", "search_terms", "types", "project_type")
+
+
+def asked(intents: DataFrame) -> DataFrame:
+    """The intents as columns asked_*, to be joined to hits by query_id."""
+    return intents.select("query_id", *[F.col(c).alias(f"asked_{c}") for c in _ASKED])
 
-    parts: list[tuple[float, Column]] = []
-    for name, values in (wanted or {}).items():
-        hits = held(values, name)
-        parts.append((shares[name], F.when(F.size(values) > 0, F.least(F.lit(1.0), hits / F.greatest(F.lit(1), F.least(F.size(values), F.lit(4)))))))
-    first = F.slice(terms, 1, 20)
-    hits = F.size(F.filter(first, lambda t: F.contains(blob, F.lower(t))))
-    parts.append((0.22, F.when(F.size(terms) > 0, F.least(F.lit(1.0), hits / F.greatest(F.lit(2), F.least(F.size(terms), F.lit(8)))))))
+
+def with_blob(items: DataFrame) -> DataFrame:
+    """Adds blob, the text that relevance looks in, and tight, the same without spaces."""
+    return items.withColumn("blob", filters.text_blob()).withColumn("tight", F.replace("blob", F.lit(" "), F.lit("")))
+
+
+def matches(name: str) -> Column:
+    """The wanted values of one list that the item's text or lists hold; spaces do not count in frameworks."""
+    if name == "frameworks":
+        return F.filter("asked_frameworks", lambda v: F.contains("tight", F.replace(F.lower(v), F.lit(" "), F.lit(""))))
+    return F.filter(f"asked_{name}", lambda v: F.contains("blob", F.lower(v)))
+
+
+def relevance(kw_rank: Column, similarity: Column) -> Column:
+    """Weighted mean of the parts whose input exists, 1 at most.
+
+    Parts: overlap of each list, search terms in the text, type, words of the project's profile, keyword rank, similarity.
+    Needs the columns of `asked` and of `with_blob`.
+    """
+    n = lambda c: F.size(f"asked_{c}")
+    share = lambda hits, low, most: F.least(F.lit(1.0), hits / F.greatest(F.lit(low), F.least(most, F.lit(4 if low == 1 else 8))))
+    parts = {name: F.when(n(name) > 0, share(F.size(matches(name)), 1, n(name))) for name in ("frameworks", "tools", "tags", "languages")}
+    first = F.filter(F.slice("asked_search_terms", 1, 20), lambda t: F.contains("blob", F.lower(t)))
+    parts["terms"] = F.when(n("search_terms") > 0, share(F.size(first), 2, n("search_terms")))
+    kind = F.lower(F.coalesce("artifact_type", F.lit("")))
+    parts["types"] = F.when(n("types") > 0, F.when(F.array_contains(F.transform("asked_types", F.lower), kind), 1.0).otherwise(0.2))
+    profile = F.lit(None).cast("double")
+    for name, words in PROFILE_WORDS.items():
+        hits = sum((F.contains("blob", F.lit(w)).cast("int") for w in words), F.lit(0))
+        profile = F.when(F.col("asked_project_type") == name, F.least(F.lit(1.0), hits / F.lit(max(2, len(words) // 2)))).otherwise(profile)
+    parts["profile"] = profile
     # least and greatest skip nulls, so a missing input is kept out by hand
-    parts.append((0.12, F.when(kw_rank.isNotNull(), F.least(F.lit(1.0), kw_rank * 8))))
-    parts.append((0.15, F.when(similarity.isNotNull(), S.clamp(similarity, 0.0, 1.0))))
+    parts["keyword"] = F.when(kw_rank > 0, F.least(F.lit(1.0), kw_rank * 8))
+    parts["vector"] = F.when(similarity.isNotNull(), S.clamp(similarity, 0.0, 1.0))
     total, weight = F.lit(0.0), F.lit(0.0)
-    for w, part in parts:
-        total = total + F.coalesce(F.lit(w) * part, F.lit(0.0))
-        weight = weight + F.when(part.isNotNull(), F.lit(w)).otherwise(F.lit(0.0))
+    for name, w in SHARES.items():
+        total = total + F.coalesce(F.lit(w) * parts[name], F.lit(0.0))
+        weight = weight + F.when(parts[name].isNotNull(), F.lit(w)).otherwise(F.lit(0.0))
     return F.when(weight == 0, F.lit(0.0)).otherwise(F.least(F.lit(1.0), total / weight))
 
 
@@ -96,19 +145,57 @@ def mmr(hits: DataFrame, limit: int = 10, share: float = 0.7) -> DataFrame:
     return pool.groupBy("query_id").applyInPandas(pick, "query_id bigint, item_id bigint, mmr_rank int")
 
 
-def hybrid_search(legs: dict[str, DataFrame], terms: DataFrame, items: DataFrame, as_of: Column, limit: int = 10) -> DataFrame:
-    """Legs, fused, scored, gated, de-duplicated and cut: (query_id, rank, item_id, final, relevance, fused, total).
+def scored_hits(legs: dict[str, DataFrame], intents: DataFrame, items: DataFrame, as_of: Column) -> DataFrame:
+    """All hits of the legs with the columns of their items, fused, relevance and final score.
 
-    Wide item columns are joined for candidates only. Scores are rounded before they order rows, ties go by id.
+    Wide item columns are joined for candidates only. Scores are rounded before they order rows.
     """
-    fused = rrf(legs).join(fuse_by_item(*legs.values()), ["query_id", "item_id"])
-    wide = items.withColumn("blob", filters.text_blob())
-    asked = terms.groupBy("query_id").agg(F.sort_array(F.collect_set("term")).alias("terms"))
-    rows = fused.join(wide, "item_id").join(asked, "query_id", "left")
-    rel = F.bround(relevance(F.col("blob"), F.coalesce("terms", F.array().cast("array<string>")), F.col("kw_rank"), F.col("similarity")), 6)
-    scored = rows.withColumn("relevance", rel).withColumn("final", F.bround(S.final_score(F.col("relevance"), F.col("fused"), as_of), 9))
-    gated = filters.result_gate(scored.withColumn("key", T.normalize_query(F.lower("title"))), limit)
-    ranked = top_k(dedupe(gated, "key").withColumn("total", F.count("*").over(Window.partitionBy("query_id"))), limit, [F.desc("final"), "item_id"])
+    rows = fused_hits(legs).join(with_blob(items), "item_id").join(asked(intents), "query_id")
+    rel = F.bround(relevance(F.col("kw_rank"), F.col("similarity")), 6)
+    return rows.withColumn("relevance", rel).withColumn("final", F.bround(S.final_score(F.col("relevance"), F.col("fused"), as_of), 9))
+
+
+def learned_order(model: dict[str, float], as_of: Column):
+    """A re-ranker: the final score becomes the model's, min-max scaled per query; no change without a model."""
+
+    def apply(hits: DataFrame) -> DataFrame:
+        if not model:
+            return hits
+        values = dict(zip(learn.FEATURES, learn.features(as_of)))
+        score = sum((F.lit(w) * values[name] for name, w in model.items()), F.lit(0.0))
+        return min_max(hits.withColumn("learned", F.bround(score, 6)), "learned", "final").drop("learned")
+
+    return apply
+
+
+def pair_order(queries: DataFrame, scorer, depth: int = 12, share: float = 0.45):
+    """A re-ranker: on the first `depth` hits the sigmoid of a pair scorer's logit, blended with the final score."""
+
+    def apply(hits: DataFrame) -> DataFrame:
+        turn = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("final"), "item_id"))
+        ranked = hits.withColumn("rank", turn)
+        pairs = ranked.filter(F.col("rank") <= depth).select("query_id", "item_id", "summary").join(queries.select("query_id", "query"), "query_id")
+        logits = learn.rerank_pairs(pairs, scorer)
+        blended = rerank_blend(ranked.join(logits, ["query_id", "item_id"], "left"), "logit", "final", depth, share)
+        return blended.withColumn("final", F.coalesce("blended", "final")).drop("blended", "logit", "rank")
+
+    return apply
+
+
+def hybrid_search(legs: dict[str, DataFrame], intents: DataFrame, items: DataFrame, as_of: Column, limit: int = 10, rerankers: tuple = (), diverse: bool = False) -> DataFrame:
+    """Legs, fused, scored, gated, de-duplicated, re-ranked and cut: (query_id, rank, item_id, final, relevance, fused, total).
+
+    `rerankers` change the final score of the gated hits in turn; a `diverse` result is picked from twice `limit` hits by
+    marginal relevance. Ties go by id.
+    """
+    gated = filters.result_gate(scored_hits(legs, intents, items, as_of).withColumn("key", T.normalize_query(F.lower("title"))), limit)
+    hits = dedupe(gated, "key").withColumn("total", F.count("*").over(Window.partitionBy("query_id")))
+    for rerank in rerankers:
+        hits = rerank(hits)
+    ranked = top_k(hits, 2 * limit if diverse else limit, [F.desc("final"), "item_id"])
+    if diverse:
+        chosen = mmr(ranked.withColumn("tokens", T.token_set()), limit)
+        ranked = ranked.drop("rank").join(chosen.withColumnRenamed("mmr_rank", "rank"), ["query_id", "item_id"])
     return ranked.select("query_id", "rank", "item_id", "final", "relevance", "fused", "total")
 
 
@@ -129,15 +216,16 @@ def graph_edges(nodes: DataFrame) -> DataFrame:
     return hub.union(chain)
 
 
-def query_confidence(results: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, confidence): how long the query is, how many signals it has and how good its first five hits are, in percent."""
+def query_confidence(results: DataFrame, intents: DataFrame) -> DataFrame:
+    """(query_id, confidence, advice): how long the query is, how many signals it has and how good its first five hits are, in percent."""
     best = results.filter("rank <= 5").groupBy("query_id").agg(F.avg("final").alias("best"))
     words = F.size(F.filter(F.regexp_extract_all("query", F.lit("([a-zA-Z0-9+.#-]+)"), 1), lambda w: F.length(w) > 2))
-    signals = F.size(T.significant_terms(F.col("query")))
-    rows = queries.join(best, "query_id", "left")
+    signals = F.size("frameworks") + F.size("tools") + F.size("tags") + (F.col("project_type") != "general").cast("int")
+    rows = intents.join(best, "query_id", "left")
     value = 0.32 * S.clamp((words - 2) / 7, 0.0, 1.0) + 0.30 * S.clamp(signals / 5, 0.0, 1.0) + 0.38 * F.coalesce("best", F.lit(0.0))
-    pct = F.bround(100 * value, 0).cast("bigint")
-    return rows.select("query_id", pct.alias("confidence"), F.when(pct >= 70, "clear").when(pct >= 45, "add detail").otherwise("too vague").alias("advice"))
+    pct = F.bround(F.bround(100 * value, 6), 0).cast("bigint")
+    advice = F.when(F.col("best").isNull(), "no matches").when(pct >= 70, "clear").when(pct >= 45, "add detail").otherwise("too vague")
+    return rows.select("query_id", pct.alias("confidence"), advice.alias("advice"))
 
 
 def landscape_summary(results: DataFrame) -> DataFrame:
@@ -145,30 +233,105 @@ def landscape_summary(results: DataFrame) -> DataFrame:
     themed = results.withColumn("theme", stats.theme(F.col("artifact_type")))
     order = F.array_position(F.array(*map(F.lit, stats.THEME_ORDER)), F.col("theme"))
     counts = themed.groupBy("query_id").agg(
-        F.count("*").alias("n"), F.count_if(F.col("relevance") >= 0.66).alias("strong"), F.transform(F.slice(F.array_sort(F.collect_set(F.struct(order.alias("o"), "theme"))), 1, 2), lambda t: t["theme"]).alias("themes")
+        F.count("*").alias("n"), F.count_if(F.col("final") >= 0.66).alias("strong"), F.transform(F.slice(F.array_sort(F.collect_set(F.struct(order.alias("o"), "theme"))), 1, 2), lambda t: t["theme"]).alias("themes")
     )
-    text = F.concat(F.col("n").cast("string"), F.lit(" results, mostly "), F.array_join("themes", " and "), F.lit("; "), F.col("strong").cast("string"), F.lit(" strong"))
+    strong = F.when(F.col("strong") > 0, F.concat(F.lit("; "), F.col("strong").cast("string"), F.lit(" strong"))).otherwise(F.lit(""))
+    text = F.concat(F.col("n").cast("string"), F.lit(" results, mostly "), F.array_join("themes", " and "), strong)
     return counts.select("query_id", text.alias("summary"))
 
 
+def clip(c: Column, limit: int) -> Column:
+    """Plain text without links or marks, cut at a word."""
+    return T.truncate(T.strip_markdown(F.regexp_replace(F.coalesce(c, F.lit("")), "https?://[^ \t\n]+", " ")), limit)
+
+
 def presentation(items: DataFrame) -> DataFrame:
-    """Headline, start steps, key points and the rest of what a result card shows."""
-    headline = T.truncate(T.strip_markdown(F.coalesce(F.nullif("summary", F.lit("")), "title")), 110)
-    start = F.slice(F.filter(F.concat("commands", F.array(F.when(F.col("has_docs"), "Read the docs"), F.when(F.col("has_code"), "Clone the code"), F.when(F.col("has_demo"), "Try the demo"), F.lit("Skim the summary"))), lambda x: x.isNotNull()), 1, 4)
-    points = F.slice(F.filter(F.array(F.when(F.col("has_code"), "runnable code"), F.when(F.col("has_paper"), "paper"), F.when(F.col("license").isNotNull(), F.concat(F.col("license"), F.lit(" licence"))), F.when(F.col("quality") >= 70, "solid write-up")), lambda x: x.isNotNull()), 1, 3)
-    return items.select("item_id", headline.alias("headline"), start.alias("start_steps"), points.alias("key_points"))
+    """What a result card shows: headline, simple_implementation, start_steps, key_points, about, how_it_helps and stands_out.
+
+    `items` has title, summary, use_case, core, source_type, source_url, artifact_type, the lists, the has_ flags and the scores.
+    """
+    given = lambda *cs: F.filter(F.array(*cs), lambda x: x.isNotNull() & (x != ""))
+    code = F.col("source_type") == "github"
+    title = F.coalesce("title", F.lit("Untitled"))
+    headline = F.when(code & F.contains(title, F.lit("/")), F.regexp_replace(title, "^[^/]*/", "")).otherwise(clip(title, 70))
+    first = F.try_element_at("commands", F.lit(1))
+    url = F.coalesce("source_url", F.lit(""))
+    simple = F.coalesce(first, F.when(code, F.concat(F.lit("git clone "), url)), F.lit(""))
+    clone = given(F.when(code & (url != ""), F.concat(F.lit("git clone "), url)), F.when(code & (url != ""), F.concat(F.lit("cd "), F.regexp_extract(url, "([^/]+)/*$", 1))))
+    start = F.array_distinct(F.concat(clone, F.slice("commands", 1, 3)))
+    papers = F.array(*map(F.lit, ("Read the abstract and the method", "Look for its code", "Carry the technique over")))
+    others = F.array(*map(F.lit, ("Open the source", "Skim how it is used", "Copy the part you need")))
+    start = F.when(F.size(start) > 0, start).when(F.col("source_type") == "arxiv", papers).otherwise(others)
+    stack = F.slice(F.array_distinct(F.filter(F.concat("frameworks", "tools", "languages"), lambda x: x.isNotNull())), 1, 6)
+    helps = clip(F.coalesce(F.nullif("use_case", F.lit("")), "summary"), 110)
+    points = given(helps, F.when(F.size(stack) > 0, F.concat(F.lit("Stack: "), F.array_join(stack, ", "))), F.when(simple != "", F.concat(F.lit("Start: "), clip(simple, 80))))
+    long = F.filter(F.array(*[clip(F.col(c), 260) for c in ("summary", "core", "use_case")]), lambda x: F.length(x) > 40)
+    about = F.coalesce(F.get(long, F.lit(0)), clip(F.col("summary"), 260))
+    use = clip(F.col("use_case"), 170)
+    stands = given(
+        F.when((F.col("underground") >= 68) & (F.col("hype") <= 38), "Little known, with much behind it"),
+        F.when(F.col("remix") >= 74, "Easy to remix"),
+        F.when(F.col("has_code") & (F.size("commands") > 0), "Code that runs, with its setup"),
+        F.when(F.col("has_demo"), "A demo to try first"),
+        F.when(F.col("has_paper") | (F.col("artifact_type") == "research_paper"), "Backed by research"),
+        F.when(F.col("artifact_type") == "mcp_server", "Plugs into a coding agent"),
+    )
+    fallback = F.array(F.when(F.col("quality") >= 80, "High quality and well documented").otherwise("On topic for what was asked"))
+    stands = F.when(F.size(stands) > 0, F.slice(stands, 1, 3)).otherwise(fallback)
+    return items.select(
+        "item_id",
+        headline.alias("headline"),
+        simple.alias("simple_implementation"),
+        F.slice(start, 1, 4).alias("start_steps"),
+        F.slice(points, 1, 3).alias("key_points"),
+        about.alias("about"),
+        F.when(use != "", use).otherwise("An example to learn from and adapt").alias("how_it_helps"),
+        stands.alias("stands_out"),
+    )
 
 
 def why_relevant(hits: DataFrame) -> DataFrame:
-    """A sentence why a hit fits: matched terms, then its stack."""
-    matched = F.slice(F.filter("terms", lambda t: F.contains("blob", t)), 1, 3)
-    lead = F.when(F.size(matched) >= 2, F.concat(F.lit("Matches "), F.array_join(matched, ", "))).when(F.size(matched) == 1, F.concat(F.lit("Mentions "), matched[0])).when(F.col("similarity") >= 0.43, "Close in meaning").otherwise("Related")
-    stack = F.array_join(F.slice(F.filter(F.concat("tools", "frameworks"), lambda t: t.isNotNull()), 1, 3), ", ")
-    return hits.select("query_id", "item_id", F.concat(lead, F.when(stack != "", F.concat(F.lit("; stack: "), stack)).otherwise(F.lit(""))).alias("why"))
+    """(query_id, item_id, why): a sentence why a hit fits. Five common kinds of project have their own; else it names the stack.
 
+    Needs the columns of `asked` and of `with_blob`.
+    """
+    says = lambda *words: F.rlike("blob", F.lit("|".join(words)))
+    kind = F.col("asked_project_type")
+    browser, rag, paper = says("extension", "chrome", "browser"), says("rag", "retrieval", "vector"), says("paper", "arxiv", "pdf", "research")
+    media, agent, vision = says("lecture", "quiz", "video", "summarizer"), says("mcp"), says("vision", "posture", "pose", "webcam")
+    some = lambda name, n=3: F.array_join(F.slice(matches(name), 1, n), ", ")
+    named = F.filter(F.array(some("frameworks"), some("tools"), F.when(some("tags") != "", F.concat(F.lit("tags "), some("tags")))), lambda x: x.isNotNull() & (x != ""))
+    more = F.filter(F.array(F.when(F.size("commands") > 0, "it has setup steps"), F.when(F.col("has_code"), "its code is open")), lambda x: x.isNotNull())
+    stack = F.when(F.size(named) > 0, F.concat(F.lit("Fits as it uses "), F.array_join(named, "; "), F.when(F.size(more) > 0, F.concat(F.lit(" and "), F.array_join(more, ", "))).otherwise(F.lit("")), F.lit(".")))
+    why = (
+        F.when((kind == "rag_browser_research") | (browser & rag & paper), "Fits as it joins a browser extension with retrieval over papers.")
+        .when(browser & rag, "Fits as it is a browser extension that answers by retrieval.")
+        .when((kind == "education_media") | (media & rag), "Fits as it turns lectures or videos into summaries and study aids.")
+        .when((kind == "coding_agent_tooling") | agent, F.concat(F.lit("Fits as it is tooling for coding agents"), F.when(some("tools", 2) != "", F.concat(F.lit(", with "), some("tools", 2))).otherwise(F.lit("")), F.lit(".")))
+        .when((kind == "computer_vision") | vision, "Fits as it applies computer vision in an app to fork.")
+        .otherwise(F.coalesce(stack, F.when(F.size(more) > 0, F.concat(F.lit("Fits as "), F.array_join(more, ", "), F.lit("."))), F.when(F.col("summary") != "", F.lit("Fits by its summary and stack.")), F.lit("Fits by meaning and words.")))
+    )
+    return hits.select("query_id", "item_id", why.alias("why"))
 
-def similar_text(title: Column, stack: Column, features: Column) -> Column:
-    part = lambda label, c: F.when(F.size(c) > 0, F.concat(F.lit(label), F.array_join(c, ", ")))
-    return F.concat_ws(". ", title, part("Stack: ", stack), part("Features: ", features))
 
+def landscape(results: DataFrame, intents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The cards of all results and one row a query.
 
+    Cards: (query_id, item_id, rank, top_rank, relevance_pct, label, theme, and the columns of presentation). Queries:
+    (query_id, summary, confidence, advice, suggestion, themes), themes with their counts in fixed order. `results` has the columns of items.
+    """
+    themed = results.withColumn("theme", stats.theme(F.col("artifact_type")))
+    pct = F.bround(100 * F.col("final"), 0).cast("bigint")
+    shown = themed.select("query_id", "item_id", "rank", (F.col("rank") - 1).alias("top_rank"), pct.alias("relevance_pct"), S.confidence_label(F.col("final")).alias("label"), "theme")
+    cards = shown.join(presentation(results.dropDuplicates(["item_id"])), "item_id")
+    place = F.array_position(F.array(*map(F.lit, stats.THEME_ORDER)), F.col("theme"))
+    counts = themed.groupBy("query_id", "theme").agg(F.count("*").alias("n"))
+    themes = counts.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct(place.alias("o"), "theme", "n"))).alias("t")).select("query_id", F.transform("t", lambda x: F.concat(x["theme"], F.lit(":"), x["n"].cast("string"))).alias("themes"))
+    confidence = query_confidence(results, intents)
+    rows = confidence.join(landscape_summary(results), "query_id", "left").join(suggest_query(results, intents, confidence), "query_id", "left").join(themes, "query_id", "left")
+    return cards, rows.select("query_id", F.coalesce("summary", F.lit("0 results")).alias("summary"), "confidence", "advice", F.coalesce("suggestion", F.lit("")).alias("suggestion"), "themes")
+
+
+def similar_text(title: Column, stack: Column, features: Column) -> Column:
+    part = lambda label, c: F.when(F.size(F.filter(c, lambda x: x.isNotNull())) > 0, F.concat(F.lit(label), F.array_join(c, ", ")))
+    return F.concat_ws(". ", title, part("Stack: ", stack), part("Features: ", features))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -15,6 +16,10 @@ CLASS_WEIGHTS = {"A": 1.0, "B": 0.4, "C": 0.2, "D": 0.1}
 FUSION = {"keyword": 1.31, "vector": 0.60, "intent": 0.28}
 RRF_K = 60
 QUERY_BLOCK = 512
+#: So many query vectors go to the tasks at a time; more are taken in turns.
+QUERY_TURN = 20_000
+#: Up to so many different terms one automaton of them goes to every task; beyond it candidates are joined.
+BROADCAST_TERMS = 200_000
 
 
 def top_k(rows: DataFrame, k: int, order: list, by: str = "query_id", rank: str = "rank") -> DataFrame:
@@ -26,10 +31,21 @@ def top_k(rows: DataFrame, k: int, order: list, by: str = "query_id", rank: str
 def similarities(queries: DataFrame, items: DataFrame, k: int | None = None) -> DataFrame:
     """(query_id, item_id, similarity) by cosine, rounded to 6 digits; with k only the k nearest in each Arrow batch.
 
-    The query vectors, a stated set, are held in blocks by every task; each batch of
-    items is one matrix product a block. Null vectors on either side have no similarity.
+    The query vectors, a stated set, are sent to the tasks QUERY_TURN at a time; each batch of
+    items is one matrix product a block of them. Null vectors on either side have no similarity.
     """
-    q = queries.filter("query_vector IS NOT NULL").select("query_id", F.col("query_vector").cast("array<double>").alias("v")).orderBy("query_id").toPandas()
+    asked = queries.filter("query_vector IS NOT NULL").select("query_id", F.col("query_vector").cast("array<double>").alias("v"))
+    turns = max(1, -(-asked.count() // QUERY_TURN))
+    out = None
+    for turn in range(turns):
+        part = asked if turns == 1 else asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(turns)) == turn)
+        rows = _similar_to(part, items, k)
+        out = rows if out is None else out.union(rows)
+    return out
+
+
+def _similar_to(asked: DataFrame, items: DataFrame, k: int | None) -> DataFrame:
+    q = asked.orderBy("query_id").toPandas()
     ids, size = q["query_id"].to_numpy(), len(q["v"].iloc[0]) if len(q) else 0
     matrix = np.array(q["v"].tolist(), float).reshape(len(q), size)
     norm = np.linalg.norm(matrix, axis=1, keepdims=True)
@@ -102,16 +118,24 @@ def keyword_or_leg(terms: DataFrame, posts: DataFrame, k: int = 100, max_share:
 
 
 def keyword_and_leg(terms: DataFrame, posts: DataFrame, k: int = 100) -> DataFrame:
-    """Items with every term of the query; the shortest cover of all terms decides: weight / (1 + gap)."""
+    """Items with every term of the query; the shortest cover of all terms decides: weight / (1 + gap).
+
+    The positions of an item are walked once in order, with the last place of every term so far.
+    """
     need = terms.groupBy("query_id").agg(F.countDistinct("term").alias("need"))
     hits = posts.join(terms, "term")
-    full = hits.groupBy("query_id", "item_id").agg(F.countDistinct("term").alias("have"), F.avg("weight").alias("weight"), F.collect_list(F.struct("term", "positions")).alias("lists"))
+    full = hits.groupBy("query_id", "item_id").agg(F.countDistinct("term").alias("have"), F.avg("weight").alias("weight"), F.collect_list("positions").alias("lists"))
     full = full.join(need, "query_id").filter("have = need")
-    # every cover starts at some occurrence: the next occurrence of each term from there on
-    starts = full.withColumn("start", F.explode(F.flatten(F.transform("lists", lambda x: x["positions"]))))
-    nexts = F.transform("lists", lambda x: F.get(F.filter(x["positions"], lambda p: p >= F.col("start")), F.lit(0)))
-    spans = starts.withColumn("nexts", nexts).filter(~F.exists("nexts", lambda p: p.isNull())).withColumn("span", F.array_max("nexts") - F.col("start"))
-    best = spans.groupBy("query_id", "item_id").agg(F.min("span").alias("span"), F.first("need").alias("need"), F.first("weight").alias("weight"))
+    places = F.array_sort(F.flatten(F.transform("lists", lambda x, i: F.transform(x, lambda p: F.struct(p.alias("p"), i.alias("i"))))))
+    walked = full.withColumn("places", places).withColumn("none", F.transform("lists", lambda x: F.lit(None).cast("int")))
+
+    def step(state: Column, here: Column) -> Column:
+        last = F.transform(state["last"], lambda x, i: F.when(i == here["i"], here["p"]).otherwise(x))
+        covered = ~F.exists(last, lambda x: x.isNull())
+        return F.struct(last.alias("last"), F.least(state["span"], F.when(covered, here["p"] - F.array_min(last))).alias("span"))
+
+    span = F.aggregate("places", F.struct(F.col("none").alias("last"), F.lit(None).cast("int").alias("span")), step, lambda x: x["span"])
+    best = walked.select("query_id", "item_id", "need", "weight", span.alias("span"))
     gap = F.greatest(F.lit(0), F.col("span") - F.col("need") + 1)
     scored = best.select("query_id", "item_id", (F.col("weight") / (1 + gap)).alias("r"))
     return top_k(scored.select("query_id", "item_id", F.bround(F.col("r") / (F.col("r") + 1), 6).alias("kw_rank")), k, [F.desc("kw_rank"), "item_id"])
@@ -161,19 +185,57 @@ def keyword_search(terms: DataFrame, posts: DataFrame, queries: DataFrame, k: in
     return top_k(merged.select("query_id", "item_id", "kw_rank"), k, [F.desc("kw_rank"), "item_id"])
 
 
+def contained_terms(items: DataFrame, terms: DataFrame, fields: dict[str, Column]) -> DataFrame:
+    """(item_id, term, and a boolean a field): the terms that a field's text contains, as plain substrings.
+
+    Each text is read once against all different terms: by one automaton of them in every task, or, beyond
+    BROADCAST_TERMS, by a join on the first three characters.
+    """
+    spark, names = items.sparkSession, list(fields)
+    rows = items.select("item_id", *[F.coalesce(c, F.lit("")).alias(n) for n, c in fields.items()])
+    wanted = terms.select("term").filter("term <> ''").distinct()
+    known = [r["term"] for r in wanted.limit(BROADCAST_TERMS + 1).collect()]
+    if len(known) > BROADCAST_TERMS:
+        return _contained_by_join(rows, wanted, names)
+    shared = spark.sparkContext.broadcast(known)
+
+    def run(batches):
+        found = ahocorasick.Automaton()
+        for i, term in enumerate(shared.value):
+            found.add_word(term, i)
+        found.make_automaton()
+        for batch in batches:
+            out = []
+            for item, *texts in zip(*(c.to_pylist() for c in batch.columns)):
+                own = [{i for _, i in found.iter(t)} if shared.value else set() for t in texts]
+                out += [(item, shared.value[i], *(i in o for o in own)) for i in set().union(*own)]
+            columns = list(zip(*out)) or [[]] * (2 + len(names))
+            types = [pa.int64(), pa.string(), *[pa.bool_()] * len(names)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["item_id", "term", *names])
+
+    return rows.mapInArrow(run, "item_id bigint, term string, " + ", ".join(f"`{n}` boolean" for n in names))
+
+
+def _contained_by_join(rows: DataFrame, terms: DataFrame, names: list[str]) -> DataFrame:
+    text = F.concat_ws("\n", *names)
+    grams = [F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - (n - 1))), lambda i, n=n: F.substr(text, i, F.lit(n))) for n in (1, 2, 3)]
+    keyed = rows.withColumn("gram", F.explode(F.array_distinct(F.flatten(F.array(*grams)))))
+    near = keyed.join(terms.withColumn("gram", F.substring("term", 1, 3)), "gram")
+    found = near.select("item_id", "term", *[F.contains(n, F.col("term")).alias(n) for n in names])
+    return found.filter(" OR ".join(f"`{n}`" for n in names))
+
+
 def term_leg(terms: DataFrame, items: DataFrame, fields: list[str], kw_rank: float = 0.55, k: int = 40) -> DataFrame:
     """Items with a term as an array element or inside a text field, the best by quality, with a fixed rank.
 
-    The query terms are the stated set; every task holds them as one list a block of queries.
+    Hits of items are found a term at a time and joined to the queries on the term.
     """
-    # one row a query: its terms
-    lists = terms.groupBy("query_id").agg(F.collect_set("term").alias("terms"))
-    blob = F.concat_ws("\n", *[F.lower(c) for c in fields])
-    elements = F.transform(F.concat("tags", "tools", "frameworks"), F.lower)
-    narrow = items.select("item_id", "quality", blob.alias("blob"), elements.alias("elements"))
-    hit = F.exists("terms", lambda t: F.contains("blob", t)) | F.arrays_overlap("terms", "elements")
-    hits = narrow.join(F.broadcast(lists), hit).select("query_id", "item_id", "quality")
-    return top_k(hits, k, [F.desc("quality"), "item_id"]).select("query_id", "item_id", "rank", F.lit(kw_rank).alias("kw_rank"))
+    inside = contained_terms(items, terms, {"text": F.concat_ws("\n", *[F.lower(c) for c in fields])}).select("item_id", "term")
+    elements = items.select("item_id", F.explode(F.transform(F.concat("tags", "tools", "frameworks"), F.lower)).alias("term"))
+    hits = inside.union(elements.join(terms.select("term").distinct(), "term", "left_semi").select("item_id", "term"))
+    pairs = hits.join(terms.select("query_id", "term").distinct(), "term").select("query_id", "item_id").distinct()
+    ranked = pairs.join(items.select("item_id", "quality"), "item_id").select("query_id", "item_id", "quality")
+    return top_k(ranked, k, [F.desc("quality"), "item_id"]).select("query_id", "item_id", "rank", F.lit(kw_rank).alias("kw_rank"))
 
 
 def fallback_leg(queries: DataFrame, legs: list[DataFrame], terms: DataFrame, items: DataFrame, fields: list[str], k: int = 50) -> DataFrame:

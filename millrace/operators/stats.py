@@ -6,8 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Theme of each artifact type and the order of themes; other types are projects.
-THEMES = {"repo": "projects", "paper": "research", "model": "models", "tool": "tools"}
-THEME_ORDER = ("projects", "research", "models", "tools")
+THEMES = {
+    "starter_template": "templates", "open_source_project": "projects", "hackathon_project": "projects", "mcp_server": "agents", "coding_agent_workflow": "agents",
+    "research_paper": "research", "technical_technique": "research", "architecture_pattern": "research", "deployment_recipe": "templates",
+    "api_tool": "libraries", "model": "libraries", "dataset": "libraries",
+}
+THEME_ORDER = ("templates", "projects", "agents", "research", "libraries")
+DEFAULT_THEME = "projects"
 
 
 def index_stats(items: DataFrame, as_of: Column, days: int = 1, sparse: int = 40) -> DataFrame:
@@ -40,7 +45,13 @@ def run_state(ledger: DataFrame, as_of: Column, hours: int = 3) -> DataFrame:
 
 def theme(kind: Column) -> Column:
     table = F.create_map(*[F.lit(x) for pair in THEMES.items() for x in pair])
-    return F.coalesce(F.element_at(table, kind), F.lit(THEME_ORDER[0]))
+    return F.coalesce(F.try_element_at(table, kind), F.lit(DEFAULT_THEME))
+
+
+def theme_sql(kind: str = "artifact_type", place: bool = False) -> str:
+    """The theme of a type, or its place in the order, as SQL."""
+    value = lambda t: str(THEME_ORDER.index(t) + 1) if place else f"'{t}'"
+    return f"CASE {kind} " + " ".join(f"WHEN '{k}' THEN {value(t)}" for k, t in THEMES.items()) + f" ELSE {value(DEFAULT_THEME)} END"
 
 
 def theme_counts(items: DataFrame) -> DataFrame:

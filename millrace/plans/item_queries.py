@@ -8,6 +8,7 @@ from millrace import fixtures as X
 from millrace.fixtures import sql
 from millrace.functions import scores as S
 from millrace.functions import text as T
+from millrace.operators import evaluate as E
 from millrace.operators import filters as B
 from millrace.operators import stats as D
 from millrace.plans.registry import query
@@ -133,8 +134,7 @@ def _(s, d):
     return D.run_state(X.run_ledger(s, d), now(), hours=72)
 
 
-@query("d5_theme_counts", sql("items", """SELECT theme, count(*) AS n, min(ord) AS ord FROM (SELECT CASE artifact_type WHEN 'repo' THEN 'projects' WHEN 'paper' THEN 'research' WHEN 'model' THEN 'models' WHEN 'tool' THEN 'tools' ELSE 'projects' END AS theme,
-    CASE artifact_type WHEN 'paper' THEN 2 WHEN 'model' THEN 3 WHEN 'tool' THEN 4 ELSE 1 END AS ord FROM items) GROUP BY theme"""))
+@query("d5_theme_counts", sql("items", f"SELECT theme, count(*) AS n, min(ord)::INTEGER AS ord FROM (SELECT {D.theme_sql()} AS theme, {D.theme_sql(place=True)} AS ord FROM items) GROUP BY theme"))
 def _(s, d):
     return D.theme_counts(X.items(s, d))
 
@@ -244,11 +244,11 @@ def _(s, d):
     return X.items(s, d, url=True).select("item_id", T.dedupe_key(u, F.col("title"), F.col("item_id")).alias("key"))
 
 
-@query("h14_cosine", sql("query_vectors item_vectors", f"SELECT query_id, item_id, round_even({COS.format('query_vector', 'embedding')}, 6) AS similarity FROM query_vectors, item_vectors WHERE item_id % 7 = query_id % 7"))
+@query("h14_cosine", "SELECT vec_id, round_even(" + COS.format("embedding", "other") + ", 6) AS similarity FROM embeddings JOIN (SELECT vec_id - 1 AS vec_id, embedding AS other FROM embeddings) USING (vec_id)")
 def _(s, d):
-    v = X.items(s, d, embedding=True).filter("embedding IS NOT NULL").select("item_id", "embedding")
-    q = F.broadcast(X.query_vectors(s, d))
-    return v.join(q, F.col("item_id") % 7 == F.col("query_id") % 7).select("query_id", "item_id", F.bround(T.cosine(F.col("query_vector"), F.col("embedding")), 6).alias("similarity"))
+    v = X.table(s, d, "embeddings").select("vec_id", "embedding")
+    after = v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"))
+    return v.join(after, "vec_id").select("vec_id", F.bround(T.cosine(F.col("embedding"), F.col("other")), 6).alias("similarity"))
 
 
 VOCABULARY = ["tion", "thing", "schaft", "ción", "eau", "go", "er"]
@@ -261,7 +261,7 @@ def _(s, d):
 
 @query("h16_setup_commands")
 def _(s, d):
-    readme = F.concat(F.lit("# Use\n```bash\n$ pip install "), F.col("source"), F.lit("\nls\n```\n"), F.substring("text", 1, 500), F.lit("\n```sh\ndocker run "), F.col("lang"), F.lit("\n```\n"))
+    readme = F.concat(F.lit("# Use\n```bash\n$ pip install "), F.col("source"), F.lit("\nls\n```\n"), F.col("text"), F.lit("\n```sh\ndocker run "), F.col("lang"), F.lit("\n```\n"))
     return X.table(s, d, "documents").select("doc_id", F.array_join(T.setup_commands(readme), ";").alias("commands"))
 
 
@@ -329,17 +329,15 @@ def _(s, d):
     return X.run_ledger(s, d).select("event_id", T.relative_time(seconds).alias("label"))
 
 
-@query("h34_normalize_topics", sql("items", "SELECT item_id, array_to_string(list_transform(string_split(title, ','), lambda t: replace(lower(trim(t)), ' ', '-')), ',') AS topics FROM items WHERE title <> '' AND NOT regexp_matches(title, ',[ ]*(,|$)')"))
+@query("h34_normalize_topics", sql("items", "SELECT item_id, array_to_string(list_filter(list_transform(string_split(title, ','), lambda t: replace(lower(trim(t)), ' ', '-')), lambda t: t <> ''), ',') AS topics FROM items"))
 def _(s, d):
-    return X.items(s, d).filter("title <> '' AND NOT title RLIKE ',[ ]*(,|$)'").select("item_id", F.array_join(T.normalize_topics(F.split("title", ",")), ",").alias("topics"))
+    return X.items(s, d).select("item_id", F.array_join(T.normalize_topics(F.split("title", ",")), ",").alias("topics"))
 
 
-@query("h36_flat_grade", sql("items query_terms", "SELECT q.query_id, i.item_id, count(*) AS grade FROM items i JOIN query_terms q ON contains(lower(i.title || ' ' || i.summary), q.term) WHERE q.query_id < 10 GROUP BY q.query_id, i.item_id"))
+@query("h36_flat_grade", sql("items query_terms", "SELECT q.query_id, i.item_id, count(*) AS grade FROM (SELECT item_id, lower(title || ' ' || summary) AS t FROM items) i JOIN query_terms q ON contains(t, q.term) GROUP BY q.query_id, i.item_id"))
 def _(s, d):
-    terms = X.query_terms(s, d).filter("query_id < 10").groupBy("query_id").agg(F.collect_list("term").alias("terms"))
     blob = F.lower(F.concat_ws(" ", "title", "summary"))
-    graded = X.items(s, d).join(F.broadcast(terms)).select("query_id", "item_id", F.size(F.filter("terms", lambda t: F.contains(blob, t))).cast("bigint").alias("grade"))
-    return graded.filter("grade > 0")
+    return E.graded_terms(X.items(s, d), X.query_terms(s, d), {"blob": (blob, 1)})
 
 
 @query("h38_token_set", sql("items", "SELECT item_id, array_to_string(list_sort(list_distinct(list_concat(list_transform(list_concat(list_concat(tags, tools), list_concat(frameworks, languages)), lambda x: lower(x)), list_filter(string_split(lower(title), ' '), lambda w: length(w) >= 4)))), ' ') AS tokens FROM items"))

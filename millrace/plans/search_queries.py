@@ -6,21 +6,26 @@ from pyspark.sql import functions as F
 
 from millrace import fixtures as X
 from millrace.fixtures import sql
+from millrace.functions import scores as S
 from millrace.functions import text as T
 from millrace.operators import evaluate as E
+from millrace.operators import filters as B
+from millrace.operators import intent as I
 from millrace.operators import learn as L
 from millrace.operators import rank as R
 from millrace.operators import retrieve as J
 from millrace.operators import stats as D
-from millrace.plans.item_queries import COS, FINAL, AGED, now
+from millrace.plans.item_queries import AGED, COS, FINAL, REC, SUBST, UNDER, now
 from millrace.plans.registry import query
+from millrace.sources.tables import shared_folder
 
-FIELDS = {"title": "A", "summary": "B", "core": "C"}
+FIELDS = {"title": "A", "summary": "B", "use_case": "C", "core": "C"}
 STOP = "string_split('" + " ".join(T.STOPWORDS) + "', ' ')"
 #: SQL of the shared steps, as common table expressions.
 POSTS = f"""posts AS (SELECT term, item_id, sum(w) AS weight, count(*) AS n FROM (
   SELECT item_id, unnest(regexp_extract_all(lower(title), '[a-z][a-z0-9+.#-]*|[0-9]+[a-z]*')) AS term, 1.0::DOUBLE AS w FROM items UNION ALL
   SELECT item_id, unnest(regexp_extract_all(lower(summary), '[a-z][a-z0-9+.#-]*|[0-9]+[a-z]*')), 0.4::DOUBLE FROM items UNION ALL
+  SELECT item_id, unnest(regexp_extract_all(lower(use_case), '[a-z][a-z0-9+.#-]*|[0-9]+[a-z]*')), 0.2::DOUBLE FROM items UNION ALL
   SELECT item_id, unnest(regexp_extract_all(lower(core), '[a-z][a-z0-9+.#-]*|[0-9]+[a-z]*')), 0.2::DOUBLE FROM items)
   WHERE NOT list_contains({STOP}, term) GROUP BY term, item_id)"""
 KW = """kw AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY kw_rank DESC, item_id) AS rank FROM (
@@ -37,8 +42,12 @@ FUSE = """byitem AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY
   SELECT query_id, item_id, rank, 0 AS leg, kw_rank, NULL::DOUBLE AS similarity FROM kw UNION ALL SELECT query_id, item_id, rank, 1, NULL, similarity FROM vec UNION ALL SELECT query_id, item_id, rank, 2, kw_rank, NULL FROM intent) GROUP BY query_id, item_id))"""
 LEGS = (POSTS, KW, SIM, VEC, SHORT, INT)
 NEED = "items queries query_terms query_vectors item_vectors"
-QRELS = """qrels AS (SELECT query_id, item_id, grade FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY grade DESC, item_id) AS rank FROM (
-  SELECT query_id, item_id, sum(CASE WHEN contains(lower(title), term) THEN 2 WHEN contains(lower(summary), term) THEN 1 ELSE 0 END)::BIGINT AS grade FROM items, query_terms GROUP BY query_id, item_id) WHERE grade >= 3) WHERE rank <= 80)"""
+SYNONYMS = ", ".join(f"('{t}', '{w}')" for t, ws in I.SYNONYMS.items() for w in ws)
+BODY = "lower(concat_ws(' ', summary, use_case, core, array_to_string(tags, ' '), array_to_string(tools, ' '), coalesce(array_to_string(frameworks, ' '), ''), array_to_string(languages, ' ')))"
+QRELS = f"""asked AS (SELECT query_id, term FROM query_terms UNION SELECT query_id, word FROM query_terms JOIN (VALUES {SYNONYMS}) v(term, word) USING (term)),
+told AS MATERIALIZED (SELECT item_id, term, CASE WHEN contains(t, term) THEN 2 ELSE 1 END AS points FROM (SELECT item_id, lower(title) AS t, {BODY} AS b FROM items), (SELECT DISTINCT term FROM asked) WHERE contains(t, term) OR contains(b, term)),
+qrels AS (SELECT query_id, item_id, grade FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY grade DESC, item_id) AS rank FROM (
+  SELECT query_id, item_id, sum(points)::BIGINT AS grade FROM told JOIN asked USING (term) GROUP BY query_id, item_id) WHERE grade >= 3) WHERE rank <= 80)"""
 RUN = "run AS (SELECT query_id, item_id, rank FROM kw)"
 
 
@@ -103,13 +112,35 @@ def _(s, d):
     return kw_leg(s, d)
 
 
-@query("j3_keyword_and")
+def two_terms(s, d):
+    return J.top_k(terms_of(s, d), 2, ["term"], rank="t").drop("t")
+
+
+TOKENS = r"[a-z][a-z0-9+.#-]*|[0-9]+[a-z]*"
+PLACES = f"""toks AS (SELECT item_id, regexp_extract_all(lower(title), '{TOKENS}') AS a, regexp_extract_all(lower(summary), '{TOKENS}') AS b, regexp_extract_all(lower(use_case), '{TOKENS}') AS c, regexp_extract_all(lower(core), '{TOKENS}') AS d FROM items),
+places AS (SELECT item_id, w[p + 1] AS term, p FROM (SELECT item_id, w, unnest(range(len(w))) AS p FROM (SELECT item_id, list_concat(list_concat(a, b), list_concat(c, d)) AS w FROM toks)) WHERE NOT list_contains({STOP}, w[p + 1]))"""
+TWO = "two AS (SELECT query_id, term FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY term) AS t FROM query_terms) WHERE t <= 2)"
+AND_LEG = """needs AS (SELECT query_id, count(*) AS need FROM two GROUP BY query_id),
+pairs2 AS (SELECT query_id, item_id, avg(weight) AS weight, any_value(need) AS need FROM posts JOIN two USING (term) JOIN needs USING (query_id) GROUP BY query_id, item_id HAVING count(*) = any_value(need)),
+spots AS (SELECT query_id, item_id, term, p FROM pairs2 JOIN two USING (query_id) JOIN places USING (item_id, term)),
+spans AS (SELECT query_id, item_id, min(span) AS span FROM (SELECT s.query_id, s.item_id, s.p, max(n.q) - s.p AS span, count(*) AS c FROM spots s JOIN LATERAL (SELECT term, min(p) AS q FROM spots x WHERE x.query_id = s.query_id AND x.item_id = s.item_id AND x.p >= s.p GROUP BY term) n ON true GROUP BY s.query_id, s.item_id, s.p) JOIN needs USING (query_id) WHERE c = need GROUP BY query_id, item_id),
+andleg AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY kw_rank DESC, item_id) AS rank FROM (SELECT query_id, item_id, round_even(r / (r + 1), 6) AS kw_rank FROM (SELECT query_id, item_id, weight / (1 + greatest(0, span - need + 1)) AS r FROM spans JOIN pairs2 USING (query_id, item_id)))) WHERE rank <= 100)"""
+
+
+@query("j3_keyword_and", sql("items query_terms", "SELECT query_id, item_id, kw_rank, rank FROM andleg", POSTS, PLACES, TWO, AND_LEG))
 def _(s, d):
-    two = J.top_k(terms_of(s, d), 2, ["term"], rank="t").drop("t")
-    return J.keyword_and_leg(two, posts_of(s, d))
+    return J.keyword_and_leg(two_terms(s, d), posts_of(s, d))
+
+
+WEB = f"""asked_web AS (SELECT query_id, w[1] || ' ' || w[2] AS phrase, w[4] AS single, w[6] AS out FROM (SELECT query_id, string_split(query, ' ') AS w FROM queries)),
+parts AS (SELECT DISTINCT query_id, array_to_string(regexp_extract_all(lower(raw), '{TOKENS}'), ' ') AS phrase, excluded FROM (SELECT query_id, phrase AS raw, false AS excluded FROM asked_web UNION ALL SELECT query_id, single, false FROM asked_web WHERE lower(single) <> 'or' UNION ALL SELECT query_id, out, true FROM asked_web) WHERE len(regexp_extract_all(lower(raw), '{TOKENS}')) > 0),
+wanted AS (SELECT query_id, phrase, excluded, len(string_split(phrase, ' ')) AS size, unnest(string_split(phrase, ' ')) AS term, unnest(range(len(string_split(phrase, ' ')))) AS i FROM parts),
+runs AS (SELECT query_id, phrase, excluded, item_id, p - i AS start, count(DISTINCT i) AS c, sum(weight) AS w, any_value(size) AS size FROM wanted JOIN places USING (term) JOIN posts USING (term, item_id) GROUP BY ALL),
+matched AS (SELECT query_id, item_id, phrase, excluded, max(w) AS w FROM runs WHERE c = size GROUP BY ALL),
+webleg AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY kw_rank DESC, item_id) AS rank FROM (SELECT query_id, item_id, round_even(sum(w) / (sum(w) + 1), 6) AS kw_rank FROM matched WHERE NOT excluded AND (query_id, item_id) NOT IN (SELECT (query_id, item_id) FROM matched WHERE excluded) GROUP BY query_id, item_id)) WHERE rank <= 100)"""
 
 
-@query("j4_keyword_web")
+@query("j4_keyword_web", sql("items queries", "SELECT query_id, item_id, kw_rank, rank FROM webleg", POSTS, PLACES, WEB.replace("GROUP BY ALL),\nmatched", "GROUP BY query_id, phrase, excluded, item_id, p - i),\nmatched")))
 def _(s, d):
     return J.keyword_web_leg(web_queries(s, d), posts_of(s, d))
 
@@ -119,10 +150,13 @@ def web_queries(s, d):
     return X.queries(s, d).select("query_id", F.concat(F.lit('"'), w[0], F.lit(" "), w[1], F.lit('" or '), w[3], F.lit(" -"), w[5]).alias("query"))
 
 
-@query("j5_keyword_search")
+KW2 = KW.replace("kw AS", "kw2 AS").replace("query_terms", "two")
+
+
+@query("j5_keyword_search", sql("items queries query_terms", """SELECT query_id, item_id, kw_rank, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY kw_rank DESC, item_id) AS rank FROM (
+  SELECT query_id, item_id, max(kw_rank) AS kw_rank FROM (SELECT query_id, item_id, kw_rank FROM kw2 UNION ALL SELECT query_id, item_id, kw_rank FROM andleg UNION ALL SELECT query_id, item_id, kw_rank FROM webleg) GROUP BY query_id, item_id)) WHERE rank <= 100""", POSTS, PLACES, TWO, KW2, AND_LEG, WEB.replace("GROUP BY ALL),\nmatched", "GROUP BY query_id, phrase, excluded, item_id, p - i),\nmatched")))
 def _(s, d):
-    two = J.top_k(terms_of(s, d), 2, ["term"], rank="t").drop("t")
-    return J.keyword_search(two, posts_of(s, d), web_queries(s, d))
+    return J.keyword_search(two_terms(s, d), posts_of(s, d), web_queries(s, d))
 
 
 @query("j6_vector_search", sql("query_vectors item_vectors", "SELECT query_id, item_id, similarity, rank FROM vec", SIM, VEC))
@@ -198,42 +232,77 @@ def _(s, d):
 
 
 BLOB = "lower(concat_ws(' ', title, summary, use_case, core, array_to_string(tags, ' '), array_to_string(tools, ' '), coalesce(array_to_string(frameworks, ' '), ''), array_to_string(languages, ' '), artifact_type))"
-HYBRID = f"""scored AS (
-  SELECT *, round_even({FINAL.replace('remix / 100 + 0.2', 'relevance + 0.2').replace('45 * (1.0::DOUBLE / (60 + item_id % 50))', '45 * fused')}, 9) AS final FROM (
-    SELECT aged.*, f.query_id, f.fused, b.kw_rank, b.similarity, b.arrival,
-      round_even(coalesce((SELECT CASE WHEN v IS NULL THEN NULL ELSE least(1.0, v) END FROM (SELECT (CASE WHEN nt > 0 THEN 0.22::DOUBLE * least(1.0::DOUBLE, th::DOUBLE / greatest(2, least(nt, 8))) ELSE 0 END + CASE WHEN b.kw_rank IS NULL THEN 0 ELSE 0.12::DOUBLE * least(1.0::DOUBLE, b.kw_rank * 8) END + CASE WHEN b.similarity IS NULL THEN 0 ELSE 0.15::DOUBLE * least(1.0::DOUBLE, b.similarity) END)
-        / nullif(CASE WHEN nt > 0 THEN 0.22::DOUBLE ELSE 0 END + CASE WHEN b.kw_rank IS NOT NULL THEN 0.12::DOUBLE ELSE 0 END + CASE WHEN b.similarity IS NOT NULL THEN 0.15::DOUBLE ELSE 0 END, 0) AS v)), 0), 6) AS relevance
-    FROM fused f JOIN byitem b USING (query_id, item_id) JOIN aged USING (item_id)
-    LEFT JOIN (SELECT query_id, count(*) AS nt FROM query_terms GROUP BY query_id) USING (query_id)
-    LEFT JOIN (SELECT f.query_id, f.item_id, count(*) AS th FROM fused f JOIN (SELECT item_id, {BLOB} AS blob FROM items) i USING (item_id)
-      JOIN (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY term) AS t FROM query_terms) q ON q.query_id = f.query_id AND q.t <= 20 AND contains(blob, q.term) GROUP BY f.query_id, f.item_id) USING (query_id, item_id))),
+_WANTED = {"frameworks": ("tight", "replace(lower(v), ' ', '')"), "tools": ("blob", "lower(v)"), "tags": ("blob", "lower(v)"), "languages": ("blob", "lower(v)")}
+_PROFILES = ", ".join(f"('{n}', [{', '.join(repr(w) for w in ws)}])" for n, ws in I.PROFILE_WORDS.items())
+_PARTS = {n: f"CASE WHEN len(w_{n}) > 0 THEN least(1.0::DOUBLE, len(list_filter(w_{n}, lambda v: contains({where}, {form})))::DOUBLE / greatest(1, least(len(w_{n}), 4))) END" for n, (where, form) in _WANTED.items()} | {
+    "terms": "CASE WHEN len(search_terms) > 0 THEN least(1.0::DOUBLE, len(list_filter(search_terms[1:20], lambda v: contains(blob, lower(v))))::DOUBLE / greatest(2, least(len(search_terms), 8))) END",
+    "types": "CASE WHEN list_contains(types, artifact_type) THEN 1.0::DOUBLE ELSE 0.2::DOUBLE END",
+    "profile": "CASE WHEN words IS NOT NULL THEN least(1.0::DOUBLE, len(list_filter(words, lambda v: contains(blob, v)))::DOUBLE / greatest(2, len(words) // 2)) END",
+    "keyword": "CASE WHEN kw_rank > 0 THEN least(1.0::DOUBLE, kw_rank * 8) END",
+    "vector": "CASE WHEN similarity IS NOT NULL THEN greatest(0.0::DOUBLE, least(1.0::DOUBLE, similarity)) END",
+}
+
+
+def relevance_sql(name: str, hits: str) -> str:
+    """`hits` (query_id, item_id, kw_rank, similarity, ...) with their relevance, over items and intents."""
+    total = " + ".join(f"coalesce({w}::DOUBLE * p_{n}, 0)" for n, w in R.SHARES.items())
+    weight = " + ".join(f"CASE WHEN p_{n} IS NULL THEN 0 ELSE {w}::DOUBLE END" for n, w in R.SHARES.items())
+    return f"""{name} AS (SELECT * EXCLUDE ({', '.join('p_' + n for n in R.SHARES)}), round_even(least(1.0::DOUBLE, ({total}) / ({weight})), 6) AS relevance FROM (SELECT h.*, {', '.join(f'{_PARTS[n]} AS p_{n}' for n in R.SHARES)}
+  FROM {hits} h JOIN (SELECT item_id, artifact_type, {BLOB} AS blob, replace({BLOB}, ' ', '') AS tight FROM items) USING (item_id)
+  JOIN (SELECT query_id, project_type, search_terms, types, frameworks AS w_frameworks, tools AS w_tools, tags AS w_tags, languages AS w_languages FROM intents) USING (query_id) LEFT JOIN (VALUES {_PROFILES}) v(project_type, words) USING (project_type)))"""
+
+
+FINAL_HIT = FINAL.replace('remix / 100 + 0.2', 'relevance + 0.2').replace('45 * (1.0::DOUBLE / (60 + item_id % 50))', '45 * fused')
+REL = relevance_sql("rel", "(SELECT query_id, item_id, fused, kw_rank, similarity, arrival FROM fused JOIN byitem USING (query_id, item_id))")
+HYBRID = f"""scored AS (SELECT *, round_even({FINAL_HIT}, 9) AS final FROM rel JOIN aged USING (item_id)),
 gated AS (SELECT * FROM (SELECT *, count(*) FILTER (ok) OVER (PARTITION BY query_id) AS n_ok, row_number() OVER (PARTITION BY query_id ORDER BY arrival) AS turn FROM (
     SELECT *, final >= 0.19 AND (relevance >= 0.11 OR coalesce(kw_rank, 0) >= 0.08 OR coalesce(similarity, 0) >= 0.43) AS ok FROM scored)) WHERE CASE WHEN n_ok < 3 THEN turn <= 10 ELSE ok END),
 single AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, lower(title) ORDER BY final DESC, arrival) AS best FROM gated) WHERE best = 1),
 ranked AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY query_id) AS total, row_number() OVER (PARTITION BY query_id ORDER BY final DESC, item_id) AS rank FROM single) WHERE rank <= 10)"""
-SEARCH = (*LEGS, RRF, FUSE, AGED, HYBRID)
+INTENTS = I.intent_sql()
+HITS = (*LEGS, RRF, FUSE, INTENTS, REL)
+SEARCH = (*HITS, AGED, HYBRID)
+
+
+def intents(s, d):
+    return I.enrich_intent(I.extract_intent(X.queries(s, d)))
+
 
+def hits(s, d):
+    return R.scored_hits(all_legs(s, d), written(s, intents(s, d)), X.items(s, d), now())
 
-def search(s, d, limit: int = 10):
-    return R.hybrid_search(all_legs(s, d), terms_of(s, d), X.items(s, d), now(), limit)
 
+def search(s, d, limit: int = 10, **options):
+    return R.hybrid_search(all_legs(s, d), written(s, intents(s, d)), X.items(s, d), now(), limit, **options)
 
-@query("j13_hybrid_search", sql(NEED, "SELECT query_id, rank, item_id, final, relevance, fused, total FROM ranked", *SEARCH).replace("th::DOUBLE /", "coalesce(th, 0)::DOUBLE /"))
+
+@query("j13_hybrid_search", sql(NEED, "SELECT query_id, rank, item_id, final, relevance, fused, total FROM ranked", *SEARCH))
 def hybrid(s, d):
     return search(s, d)
 
 
-@query("b10_result_gate", sql(NEED, "SELECT query_id, item_id FROM gated", *SEARCH).replace("th::DOUBLE /", "coalesce(th, 0)::DOUBLE /"))
+@query("j13b_hybrid_reranked")
 def _(s, d):
-    from millrace.functions import scores as S
-    from millrace.operators import filters as B
+    rows = written(s, L.ltr_features(hits(s, d), now()))
+    model = L.train_ranker(rows, written(s, qrels_of(s, d)))
+    return search(s, d, rerankers=(R.learned_order(model, now()), R.pair_order(X.queries(s, d), L.overlap_logit)), diverse=True)
+
+
+def written(s, df):
+    """A table that several steps read, written once."""
+    path = shared_folder(s, "step")
+    df.write.parquet(path)
+    return s.read.schema(df.schema).parquet(path)
 
-    legs = all_legs(s, d)
-    rows = J.rrf(legs).join(R.fuse_by_item(*legs.values()), ["query_id", "item_id"]).join(X.items(s, d).withColumn("blob", B.text_blob()), "item_id")
-    asked = terms_of(s, d).groupBy("query_id").agg(F.sort_array(F.collect_set("term")).alias("terms"))
-    rel = F.bround(R.relevance(F.col("blob"), F.coalesce("terms", F.array().cast("array<string>")), F.col("kw_rank"), F.col("similarity")), 6)
-    scored = rows.join(asked, "query_id", "left").withColumn("relevance", rel).withColumn("final", F.bround(S.final_score(F.col("relevance"), F.col("fused"), now()), 9))
-    return B.result_gate(scored).select("query_id", "item_id")
+
+@query("b10_result_gate", sql(NEED, "SELECT query_id, item_id FROM gated", *SEARCH))
+def _(s, d):
+    return B.result_gate(hits(s, d)).select("query_id", "item_id")
+
+
+@query("i13_relevance", sql(NEED, "SELECT query_id, item_id, relevance FROM rel", *HITS))
+def _(s, d):
+    return hits(s, d).select("query_id", "item_id", "relevance")
 
 
 @query("e2_dedupe_best", sql("items query_terms", """SELECT query_id, item_id, place FROM (SELECT query_id, item_id, row_number() OVER (PARTITION BY query_id, key ORDER BY kw_rank DESC, rank) AS t, min(rank) OVER (PARTITION BY query_id, key) AS place FROM (SELECT *, item_id % 20 AS key FROM kw)) WHERE t = 1""", POSTS, KW))
@@ -253,50 +322,54 @@ def _(s, d):
 
 
 def results(s, d):
-    return search(s, d).join(X.items(s, d).select("item_id", "artifact_type", "title", "tools", "frameworks", "languages"), "item_id")
+    cols = ("artifact_type", "title", "summary", "use_case", "core", "source_type", "tags", "tools", "frameworks", "languages", "commands", "has_code", "has_demo", "has_paper", "quality", "remix", "hype")
+    items = X.items(s, d).select("item_id", *cols, F.bround(S.underground(now(), F.col("quality"), F.col("stars")), 6).alias("underground"), F.concat(F.lit("https://github.com/o/r"), F.col("item_id").cast("string")).alias("source_url"))
+    return search(s, d).join(items, "item_id")
 
 
-FIXTH = lambda q: q.replace("th::DOUBLE /", "coalesce(th, 0)::DOUBLE /")
-THEME = "CASE artifact_type WHEN 'repo' THEN 'projects' WHEN 'paper' THEN 'research' WHEN 'model' THEN 'models' WHEN 'tool' THEN 'tools' ELSE 'projects' END"
 NODES = f"""nodes AS (SELECT *, round_even(2.6::DOUBLE + (1 - greatest(0.05::DOUBLE, least(1.0::DOUBLE, relevance))) * 4.2::DOUBLE, 6) AS radius FROM (
   SELECT query_id, theme, item_id, relevance, row_number() OVER (PARTITION BY query_id, theme ORDER BY relevance DESC, item_id) AS turn, row_number() OVER (PARTITION BY query_id ORDER BY final DESC, item_id) <= 4 AS top
-  FROM (SELECT *, {THEME} AS theme FROM ranked)) WHERE turn <= 8)"""
+  FROM (SELECT *, {D.theme_sql()} AS theme FROM ranked)) WHERE turn <= 8)"""
 
 
-@query("e5_graph_nodes", FIXTH(sql(NEED, "SELECT query_id, theme, item_id, turn, radius, top FROM nodes", *SEARCH, NODES)))
+@query("e5_graph_nodes", (sql(NEED, "SELECT query_id, theme, item_id, turn, radius, top FROM nodes", *SEARCH, NODES)))
 def _(s, d):
     return R.graph_nodes(results(s, d)).drop("relevance")
 
 
-@query("e6_graph_edges", FIXTH(sql(NEED, """SELECT query_id, -1::BIGINT AS source, item_id AS target, round_even(0.06::DOUBLE + 0.16::DOUBLE * relevance, 6) AS weight FROM nodes
+@query("e6_graph_edges", (sql(NEED, """SELECT query_id, -1::BIGINT AS source, item_id AS target, round_even(0.06::DOUBLE + 0.16::DOUBLE * relevance, 6) AS weight FROM nodes
   UNION ALL SELECT * FROM (SELECT query_id, item_id, lead(item_id) OVER (PARTITION BY query_id, theme ORDER BY turn) AS target, 0.16::DOUBLE FROM nodes) WHERE target IS NOT NULL""", *SEARCH, NODES)))
 def _(s, d):
     return R.graph_edges(R.graph_nodes(results(s, d)))
 
 
-@query("d6_recommend_stack", FIXTH(sql(NEED, """SELECT query_id, value, n, turn FROM (SELECT query_id, value, count(*) AS n, row_number() OVER (PARTITION BY query_id ORDER BY count(*) DESC, min(rank * 10 + pos)) AS turn FROM (
+@query("d6_recommend_stack", (sql(NEED, """SELECT query_id, value, n, turn FROM (SELECT query_id, value, count(*) AS n, row_number() OVER (PARTITION BY query_id ORDER BY count(*) DESC, min(rank * 10 + pos)) AS turn FROM (
   SELECT query_id, rank, unnest([1, 2]) AS pos, unnest(tools) AS value FROM ranked) WHERE trim(value) <> '' GROUP BY query_id, value) WHERE turn <= 8""", *SEARCH)))
 def _(s, d):
     return D.frequent_values(results(s, d), "tools")
 
 
-@query("d22_landscape_summary")
+SUMMARY = f"""summaries AS (SELECT query_id, n || ' results, mostly ' || array_to_string(themes[1:2], ' and ') || CASE WHEN strong > 0 THEN '; ' || strong || ' strong' ELSE '' END AS summary FROM (
+  SELECT query_id, sum(n)::BIGINT AS n, sum(strong)::BIGINT AS strong, list(theme ORDER BY ord) AS themes FROM (SELECT query_id, {D.theme_sql()} AS theme, {D.theme_sql(place=True)} AS ord, count(*) AS n, count(*) FILTER (final >= 0.66) AS strong FROM ranked GROUP BY ALL) GROUP BY query_id))"""
+CONFIDENCE = """confident AS (SELECT query_id, pct AS confidence, CASE WHEN best IS NULL THEN 'no matches' WHEN pct >= 70 THEN 'clear' WHEN pct >= 45 THEN 'add detail' ELSE 'too vague' END AS advice FROM (
+  SELECT query_id, best, round_even(round_even(100 * (0.32::DOUBLE * greatest(0, least(1, (len(list_filter(regexp_extract_all(query, '[a-zA-Z0-9+.#-]+'), lambda w: length(w) > 2)) - 2)::DOUBLE / 7))
+    + 0.30::DOUBLE * least(1, (len(frameworks) + len(tools) + len(tags) + CASE WHEN project_type <> 'general' THEN 1 ELSE 0 END)::DOUBLE / 5) + 0.38::DOUBLE * coalesce(best, 0)), 6), 0)::BIGINT AS pct
+  FROM intents LEFT JOIN (SELECT query_id, avg(final) AS best FROM ranked WHERE rank <= 5 GROUP BY query_id) USING (query_id)))"""
+
+
+@query("d22_landscape_summary", sql(NEED, "SELECT query_id, summary FROM summaries", *SEARCH, SUMMARY))
 def _(s, d):
     return R.landscape_summary(results(s, d))
 
 
-@query("i15_query_confidence")
+@query("i15_query_confidence", sql(NEED, "SELECT query_id, confidence, advice FROM confident", *SEARCH, CONFIDENCE))
 def _(s, d):
-    return R.query_confidence(search(s, d), X.queries(s, d))
+    return R.query_confidence(search(s, d), intents(s, d))
 
 
 @query("h28_why_relevant")
 def _(s, d):
-    from millrace.operators.filters import text_blob
-
-    asked = terms_of(s, d).groupBy("query_id").agg(F.sort_array(F.collect_set("term")).alias("terms"))
-    rows = vec_leg(s, d).join(X.items(s, d).withColumn("blob", text_blob()), "item_id").join(asked, "query_id")
-    return R.why_relevant(rows)
+    return R.why_relevant(vec_leg(s, d).join(R.with_blob(X.items(s, d)), "item_id").join(R.asked(intents(s, d)), "query_id"))
 
 
 @query("h29_rerank_blend", sql("items query_terms", "SELECT query_id, item_id, round_even(CASE WHEN rank <= 12 THEN 0.45::DOUBLE / (1 + exp(-(item_id % 7 - 3)::DOUBLE)) + (1 - 0.45::DOUBLE) * kw_rank ELSE kw_rank END, 6) AS blended FROM kw", POSTS, KW))
@@ -307,7 +380,8 @@ def _(s, d):
 
 @query("h26_presentation")
 def _(s, d):
-    return R.presentation(X.items(s, d))
+    items = X.items(s, d).withColumns({"underground": S.underground(now(), F.col("quality"), F.col("stars")), "source_url": F.concat(F.lit("https://github.com/o/r"), F.col("item_id").cast("string"))})
+    return R.presentation(items)
 
 
 @query("j12_mmr")
@@ -315,16 +389,42 @@ def _(s, d):
     return R.mmr(kw_leg(s, d).join(X.items(s, d).select("item_id", T.token_set().alias("tokens")), "item_id"))
 
 
-@query("j14_similar_text", sql("items", "SELECT item_id, title || '. Stack: ' || array_to_string(tools, ', ') || '. Features: ' || array_to_string(tags, ', ') AS q FROM items WHERE len(list_filter(tools, lambda x: x IS NULL)) = 0"))
+def similar_queries(s, d):
+    """Items whose id is divisible by 50 as descriptions of projects: (query_id, query, query_vector)."""
+    rows = X.items(s, d, embedding=True).filter("item_id % 50 = 0")
+    return rows.select(F.expr("item_id div 50").alias("query_id"), R.similar_text(F.col("title"), F.col("tools"), F.col("tags")).alias("query"), F.col("embedding").alias("query_vector"))
+
+
+def similar(s, d):
+    asked = written(s, similar_queries(s, d))
+    intents_ = written(s, I.enrich_intent(I.extract_intent(asked.select("query_id", "query"))))
+    terms = intents_.select("query_id", F.explode("search_terms").alias("term"))
+    items = X.items(s, d)
+    legs = {"keyword": J.keyword_or_leg(terms, posts_of(s, d)), "vector": J.vector_search(asked.select("query_id", "query_vector"), vectors(s, d), 100, 0.1), "intent": J.term_leg(J.top_k(terms, 12, ["term"], rank="t").drop("t"), items, ["title", "summary"])}
+    return R.hybrid_search(legs, intents_, items, now(), 10)
+
+
+_SIM_NEED = "items item_vectors"
+SIMILAR = """queries AS (SELECT item_id // 50 AS query_id, concat_ws('. ', title, CASE WHEN len(list_filter(tools, lambda x: x IS NOT NULL)) > 0 THEN 'Stack: ' || array_to_string(tools, ', ') END, CASE WHEN len(list_filter(tags, lambda x: x IS NOT NULL)) > 0 THEN 'Features: ' || array_to_string(tags, ', ') END) AS query FROM items WHERE item_id % 50 = 0)"""
+SIMILAR_TERMS = "query_terms AS (SELECT query_id, unnest(search_terms) AS term FROM intents)"
+SIMILAR_VECTORS = "query_vectors AS (SELECT item_id // 50 AS query_id, embedding AS query_vector FROM item_vectors WHERE item_id % 50 = 0)"
+
+
+@query("j14_find_similar", sql(_SIM_NEED, "SELECT query_id, rank, item_id, final, relevance, fused, total FROM ranked", SIMILAR, INTENTS, SIMILAR_TERMS, SIMILAR_VECTORS, *LEGS, RRF, FUSE, REL, AGED, HYBRID))
 def _(s, d):
-    rows = X.items(s, d).filter(~F.exists("tools", lambda x: x.isNull()))
-    return rows.select("item_id", R.similar_text(F.col("title"), F.col("tools"), F.col("tags")).alias("q"))
+    return similar(s, d)
 
 
-@query("j15_landscape")
+@query("j15_landscape", sql(NEED, """SELECT query_id, coalesce(summary, '0 results') AS summary, confidence, advice, themes FROM confident LEFT JOIN summaries USING (query_id)
+  LEFT JOIN (SELECT query_id, array_to_string(list(theme || ':' || n ORDER BY ord), ' ') AS themes FROM (SELECT query_id, """ + D.theme_sql() + " AS theme, " + D.theme_sql(place=True) + """ AS ord, count(*) AS n FROM ranked GROUP BY ALL) GROUP BY query_id) USING (query_id)""", *SEARCH, SUMMARY, CONFIDENCE))
 def _(s, d):
-    found = results(s, d)
-    return R.landscape_summary(found).join(R.query_confidence(search(s, d), X.queries(s, d)), "query_id")
+    found = written(s, results(s, d))
+    return R.landscape(found, intents(s, d))[1].select("query_id", "summary", "confidence", "advice", F.array_join("themes", " ").alias("themes"))
+
+
+@query("j15b_landscape_cards")
+def _(s, d):
+    return R.landscape(written(s, results(s, d)), intents(s, d))[0]
 
 
 @query("k1_oracle_qrels", sql("items query_terms", "SELECT query_id, item_id, grade FROM qrels", QRELS))
@@ -385,7 +485,12 @@ def _(s, d):
     return rows.agg(F.bround(F.avg("ndcg"), 5).alias("ndcg"), F.bround(F.avg("recall"), 5).alias("recall"))
 
 
-@query("d17_bootstrap_interval")
+SHARE = lambda *p: "('0x' || substring(md5(" + " || ':' || ".join(p) + "), 1, 8))::BIGINT / 4294967296.0::DOUBLE"
+DRAWN = " + ".join(f"CASE WHEN u >= {c} THEN 1 ELSE 0 END" for c in E.DRAWS)
+
+
+@query("d17_bootstrap_interval", sql(EVAL[0], f"""SELECT round_even((SELECT avg(ndcg) FROM metrics), 6) AS mean, round_even(o[51], 6) AS low, round_even(o[1950], 6) AS high FROM (SELECT list(m ORDER BY m) AS o FROM (
+  SELECT i, round_even(sum(w * ndcg) / sum(w), 9) AS m FROM (SELECT *, {DRAWN} AS w FROM (SELECT i, ndcg, {SHARE("'13'", "i", "query_id")} AS u FROM metrics, range(2000) t(i))) GROUP BY i))""", *EVAL[1:]))
 def _(s, d):
     return E.bootstrap_interval(metrics_of(s, d), "ndcg")
 
@@ -397,12 +502,19 @@ def fused_run(s, d):
     return J.top_k(J.rrf(all_legs(s, d)), 100, [F.desc("fused"), "item_id"]).select("query_id", "item_id", "rank")
 
 
-@query("d18_paired_test")
+#: The metrics of the keyword leg and of the fused run, side by side.
+RUNS = (*LEGS, RRF, RUN, QRELS, METRICS, "run2 AS (SELECT * FROM (" + RUN2[8:-1] + ") WHERE rank <= 100)", *[m.replace("rated", "rated2").replace("FROM run ", "FROM run2 run ").replace("metrics AS", "metrics2 AS").replace("ideal AS (", "ideal2 AS (").replace("relevant AS (", "relevant2 AS (") for m in (METRICS,)])
+
+
+@query("d18_paired_test", sql(NEED, f"""SELECT n, round_even(mean, 6) AS mean_diff, round_even(mean / (sd / sqrt(n)), 6) AS t, (SELECT avg(CASE WHEN abs(m) >= abs(mean) - 1e-12 THEN 1.0::DOUBLE ELSE 0 END) FROM (
+  SELECT i, avg(CASE WHEN {SHARE("'17'", "i", "query_id")} < 0.5 THEN diff ELSE -diff END) AS m FROM diffs, range(1, 2001) t(i) GROUP BY i)) AS p_value FROM (SELECT count(*) AS n, avg(diff) AS mean, stddev_samp(diff) AS sd FROM diffs)""", *RUNS, "diffs AS (SELECT query_id, b.ndcg - a.ndcg AS diff FROM metrics a JOIN metrics2 b USING (query_id))"))
 def _(s, d):
     return E.paired_test(metrics_of(s, d), metrics_of(s, d, fused_run(s, d)), "ndcg")
 
 
-@query("d19_regression_guard")
+@query("d19_regression_guard", sql(NEED, """SELECT 'ndcg fell' AS reason WHERE (SELECT round_even(avg(ndcg), 6) FROM metrics2) < (SELECT round_even(avg(ndcg), 6) FROM metrics)
+  UNION ALL SELECT 'recall fell' WHERE (SELECT round_even(avg(recall), 6) FROM metrics2) < (SELECT round_even(avg(recall), 6) FROM metrics) - 0.02::DOUBLE
+  UNION ALL SELECT 'query ' || query_id || ' fell' FROM metrics a JOIN metrics2 b USING (query_id) WHERE round_even(a.ndcg - b.ndcg, 6) > 0.15::DOUBLE""", *RUNS))
 def _(s, d):
     return E.regression_guard(metrics_of(s, d), metrics_of(s, d, fused_run(s, d)))
 
@@ -412,18 +524,41 @@ def _(s, d):
     return E.metrics(fused_run(s, d).withColumn("config", F.lit("fused")), qrels_of(s, d), X.queries(s, d), by=("config",))
 
 
-@query("k3_param_sweep")
+PARAMS = E.param_sets()
+_P = list(E.KNOBS)
+SWEEP = f"""params AS (SELECT * FROM (VALUES {', '.join('(' + str(i) + '::BIGINT, ' + ', '.join(f'{v}::DOUBLE' for v in p) + ')' for i, p in enumerate(PARAMS))}) v(param, {', '.join('p_' + k for k in _P)})),
+base AS (SELECT query_id, item_id, kw_rank, similarity, arrival, relevance, lower(title) AS key, remix / 100 AS remix, quality / 100 AS quality, {UNDER} / 100 AS underground, {REC} AS recency, popularity / 100 AS popularity, {SUBST} AS substance, hype / 100 AS hype FROM rel JOIN aged USING (item_id)),
+legs AS (SELECT query_id, item_id, max(k) AS r_k, max(v) AS r_v, max(i) AS r_i FROM (SELECT query_id, item_id, rank AS k, NULL AS v, NULL AS i FROM kw UNION ALL SELECT query_id, item_id, NULL, rank, NULL FROM vec UNION ALL SELECT query_id, item_id, NULL, NULL, rank FROM intent) GROUP BY query_id, item_id),
+tried AS (SELECT param, query_id, item_id, key, arrival, round_even(greatest(0.0, least(1.0, p_w_fused * least(1.0::DOUBLE, 45 * round_even(coalesce(p_keyword / (p_rrf_k + r_k), 0) + coalesce(p_vector / (p_rrf_k + r_v), 0) + coalesce(p_intent / (p_rrf_k + r_i), 0), 9))
+    + p_w_relevance * relevance + p_w_remix * remix + p_w_quality * quality + p_w_underground * underground + p_w_recency * recency + p_w_popularity * popularity + p_w_substance * substance - p_w_hype * hype)), 9) AS final,
+    relevance >= p_min_relevance OR coalesce(kw_rank, 0) >= 0.08 OR coalesce(similarity, 0) >= p_min_similarity AS evidence, p_min_final FROM base JOIN legs USING (query_id, item_id), params WHERE query_id IN (SELECT query_id FROM qrels)),
+open AS (SELECT * FROM (SELECT *, final >= p_min_final AND evidence AS ok, count(*) FILTER (final >= p_min_final AND evidence) OVER (PARTITION BY param, query_id) AS n_ok, row_number() OVER (PARTITION BY param, query_id ORDER BY arrival) AS early FROM tried) WHERE CASE WHEN n_ok < 3 THEN early <= 20 ELSE ok END),
+firsts AS (SELECT param, query_id, item_id, row_number() OVER (PARTITION BY param, query_id ORDER BY final DESC, item_id) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY param, query_id, key ORDER BY final DESC, arrival) AS best FROM open) WHERE best = 1),
+sweep AS (SELECT p.param, q.query_id, round_even(coalesce(gain / ideal, 0), 6) AS ndcg FROM params p CROSS JOIN queries q LEFT JOIN ideal USING (query_id) LEFT JOIN (SELECT param, query_id, sum(grade / log2(rank + 1)) AS gain FROM firsts JOIN qrels USING (query_id, item_id) WHERE rank <= 10 GROUP BY param, query_id) g ON g.param = p.param AND g.query_id = q.query_id)"""
+SWEPT = (*HITS, AGED, RUN, QRELS, METRICS, SWEEP)
+
+
+def sweep(s, d):
+    score = {c: S.normalize_score(F.col(c)) for c in ("remix", "quality", "popularity", "hype")}
+    rows = hits(s, d).withColumns({"underground": S.underground(now(), F.col("quality"), F.col("stars")) / 100, "recency": S.recency(F.col("published_at"), now()), "substance": S.substance(), "key": T.normalize_query(F.lower("title"))}).withColumns(score)
+    return E.param_sweep(rows, PARAMS, qrels_of(s, d), X.queries(s, d))
+
+
+@query("k3_param_sweep", sql(NEED, "SELECT param, round_even(avg(ndcg), 4) AS ndcg FROM sweep GROUP BY param", *SWEPT))
 def _(s, d):
-    return E.param_sweep(all_legs(s, d), E.param_sets(s, 60), qrels_of(s, d), X.queries(s, d)).groupBy("param").agg(F.bround(F.avg("ndcg"), 6).alias("ndcg"))
+    return sweep(s, d).groupBy("param").agg(F.bround(F.avg("ndcg"), 4).alias("ndcg"))
+
+
+FOLDS = f"folds AS (SELECT query_id, floor({SHARE(chr(39) + '7' + chr(39), 'query_id')} * 5)::BIGINT AS fold FROM queries)"
 
 
-@query("k4_nested_cv")
+@query("k4_nested_cv", sql(NEED, """SELECT fold, param, train, held_out, baseline FROM (SELECT *, max(CASE WHEN param = 0 THEN held_out END) OVER (PARTITION BY fold) AS baseline, row_number() OVER (PARTITION BY fold ORDER BY train DESC, param) AS turn FROM (
+  SELECT param, fold, round_even((sum(s) OVER (PARTITION BY param) - s) / (sum(n) OVER (PARTITION BY param) - n), 6) AS train, round_even(s / n, 6) AS held_out FROM (SELECT param, fold, sum(ndcg) AS s, count(*) AS n FROM sweep JOIN folds USING (query_id) GROUP BY param, fold))) WHERE turn = 1""", *SWEPT, FOLDS))
 def _(s, d):
-    sweep = E.param_sweep(all_legs(s, d), E.param_sets(s, 30), qrels_of(s, d), X.queries(s, d))
-    return E.nested_cv(sweep, E.folds(X.queries(s, d)))
+    return E.nested_cv(sweep(s, d), E.folds(X.queries(s, d)))
 
 
-@query("e8_folds")
+@query("e8_folds", sql("queries", "SELECT query_id, fold FROM folds", FOLDS))
 def _(s, d):
     return E.folds(X.queries(s, d))
 
@@ -448,28 +583,33 @@ def _(s, d):
     return L.mine_triplets(positives, J.similarities(X.query_vectors(s, d), vectors(s, d)))
 
 
-@query("k5_ltr_features")
+_FEATURES = {"relevance": "relevance", "fused_share": "least(1.0::DOUBLE, 45 * fused)", "kw_rank": "coalesce(kw_rank, 0)", "similarity": "coalesce(similarity, 0)", "remix": "remix / 100", "quality": "quality / 100", "underground": f"{UNDER} / 100", "recency": REC, "popularity": "popularity / 100", "substance": SUBST, "hype": "hype / 100", "has_code": "has_code::DOUBLE"}
+
+
+@query("k5_ltr_features", sql(NEED, "SELECT query_id, item_id, " + ", ".join(f"round_even({v}, 6) AS {k}" for k, v in _FEATURES.items()) + " FROM rel JOIN aged USING (item_id)", *HITS, AGED))
 def _(s, d):
-    return L.ltr_features(J.rrf(all_legs(s, d)).join(R.fuse_by_item(*all_legs(s, d).values()), ["query_id", "item_id"]), X.items(s, d), now())
+    return L.ltr_features(hits(s, d), now()).select("query_id", "item_id", *[F.bround(c, 6).alias(c) for c in L.FEATURES])
 
 
 @query("k7_apply_ranker")
 def _(s, d):
-    rows = L.ltr_features(J.rrf(all_legs(s, d)).join(R.fuse_by_item(*all_legs(s, d).values()), ["query_id", "item_id"]), X.items(s, d), now())
+    rows = written(s, L.ltr_features(hits(s, d), now()))
     model = L.train_ranker(rows, qrels_of(s, d))
     return L.apply_ranker(rows, model).select("query_id", "item_id", "rank", F.bround("score", 4).alias("score"))
 
 
 @query("k6_train_ranker")
 def _(s, d):
-    rows = L.ltr_features(J.rrf(all_legs(s, d)).join(R.fuse_by_item(*all_legs(s, d).values()), ["query_id", "item_id"]), X.items(s, d), now())
-    return L.cross_validate(rows, qrels_of(s, d), X.queries(s, d), k=2)
+    rows, qrels = written(s, L.ltr_features(hits(s, d), now())), written(s, qrels_of(s, d))
+    return L.cross_validate(rows, qrels, X.queries(s, d))
 
 
-@query("u1_encode", "SELECT doc_id, len(list_filter(regexp_extract_all(lower(text), '[a-z][a-z0-9+.#-]*|[0-9]+[a-z]*'), lambda x: true))::BIGINT AS n_tokens FROM documents")
+@query("u1_encode", """SELECT doc_id, n_tokens, slot, round_even((c / sqrt(sum(c * c) OVER (PARTITION BY doc_id)))::FLOAT::DOUBLE, 5) AS value FROM (SELECT doc_id, slot, count(*)::DOUBLE AS c, sum(count(*)) OVER (PARTITION BY doc_id)::BIGINT AS n_tokens FROM (
+  SELECT doc_id, ('0x' || substring(md5(unnest(regexp_extract_all(lower(text), '[a-z][a-z0-9+.#-]*|[0-9]+[a-z]*'))), 1, 8))::BIGINT % 64 AS slot FROM documents) GROUP BY doc_id, slot)""")
 def _(s, d):
     rows = L.hashed_vector(X.table(s, d, "documents").select("doc_id", "text"), "text", 64)
-    return rows.select("doc_id", "n_tokens")
+    parts = rows.select("doc_id", "n_tokens", F.posexplode("embedding").alias("slot", "value")).filter("value > 0")
+    return parts.select("doc_id", "n_tokens", F.col("slot").cast("bigint").alias("slot"), F.bround(F.col("value").cast("double"), 5).alias("value"))
 
 
 @query("k12_embed_items")

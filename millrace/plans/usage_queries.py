@@ -15,6 +15,7 @@ from millrace.operators import stats as D
 from millrace.plans import search_queries as Q
 from millrace.plans.registry import query
 from millrace.sources import feeds, sinks
+from millrace.sources.tables import shared_folder
 from millrace.streaming import jobs
 
 
@@ -27,7 +28,7 @@ def _(s, d):
     doc = F.struct(
         F.concat(F.lit("o/"), F.col("doc_id").cast("string")).alias("full_name"),
         F.concat(F.lit("https://github.com/o/"), F.col("doc_id").cast("string")).alias("html_url"),
-        F.substring("text", 1, 100).alias("description"),
+        F.col("text").alias("description"),
         F.col("lang").alias("language"),
         F.lit("2024-01-02T03:04:05Z").alias("pushed_at"),
         F.col("doc_id").cast("int").alias("stargazers_count"),
@@ -43,15 +44,16 @@ def _(s, d):
     return feeds.map_forum_posts(raw(s, d, "documents", F.to_json(post).alias("value"))).select("canonical_url", "title", "popularity", "published_at")
 
 
-@query("a5_map_papers")
+@query("a5_map_papers", r"""SELECT 'https://arxiv.org/abs/' || doc_id AS canonical_url, source AS title, t AS summary, c AS has_code, least(CASE WHEN c THEN 70.0::DOUBLE ELSE 45 END, CASE WHEN c THEN 20.0::DOUBLE ELSE 0 END + CASE WHEN length(t) >= 30 THEN 10 ELSE 0 END + CASE WHEN length(t) >= 20 THEN 5 ELSE 0 END) AS remix
+  FROM (SELECT *, regexp_matches(lower(t), 'github\.com|code is available|open-source') AS c FROM (SELECT doc_id, source, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[<>&]', '', 'g'), '[ \t\n\r\f\v]+', ' ', 'g'), '^ ', ''), ' $', '') AS t FROM documents))""")
 def _(s, d):
-    entry = F.concat(F.lit("<feed><entry><id>http://arxiv.org/abs/"), F.col("doc_id").cast("string"), F.lit("</id><title>"), F.col("source"), F.lit("</title><summary>"), F.regexp_replace(F.substring("text", 1, 200), "[<>&]", ""), F.lit("</summary><published>2024-01-02T03:04:05Z</published></entry></feed>"))
-    return feeds.map_papers(raw(s, d, "documents", entry.alias("value")))
+    entry = F.concat(F.lit("<feed><entry><id>http://arxiv.org/abs/"), F.col("doc_id").cast("string"), F.lit("</id><title>"), F.col("source"), F.lit("</title><summary>"), F.regexp_replace("text", "[<>&]", ""), F.lit("</summary><published>2024-01-02T03:04:05Z</published></entry></feed>"))
+    return feeds.map_papers(raw(s, d, "documents", entry.alias("value"))).select("canonical_url", "title", "summary", "has_code", "remix")
 
 
 @query("a6_map_feed_articles")
 def _(s, d):
-    item = F.concat(F.lit("<rss><channel><item><title>"), F.col("source"), F.lit("</title><link>https://b.example.org/"), F.col("doc_id").cast("string"), F.lit("</link><description>"), F.regexp_replace(F.substring("text", 1, 200), "[<>&]", ""), F.lit("</description><pubDate>Tue, 2 Jan 2024 03:04:05 +0000</pubDate></item></channel></rss>"))
+    item = F.concat(F.lit("<rss><channel><item><title>"), F.col("source"), F.lit("</title><link>https://b.example.org/"), F.col("doc_id").cast("string"), F.lit("</link><description>"), F.regexp_replace(F.col("text"), "[<>&]", ""), F.lit("</description><pubDate>Tue, 2 Jan 2024 03:04:05 +0000</pubDate></item></channel></rss>"))
     return feeds.map_feed_articles(raw(s, d, "documents", item.alias("value")))
 
 
@@ -62,21 +64,25 @@ def _(s, d):
 
 
 def upserted(s, d):
+    stamp = F.lit("2024-01-05 00:00:00").cast("timestamp")
+    old = lambda u: (F.concat(F.lit("slug-"), F.col("item_id").cast("string")).alias("slug"), *[u.alias(c) for c in ("created_at", "updated_at", "last_crawled_at")])
     items = X.items(s, d).select("item_id", F.concat(F.lit("u"), F.col("item_id").cast("string")).alias("canonical_url"), "summary", "source_type")
     top = items.agg(F.max("item_id").alias("top"))
     changed = items.filter("item_id % 3 = 0").select((F.col("item_id") + 10).alias("item_id"), "canonical_url", F.concat("summary", F.lit(" (new)")).alias("summary"), "source_type")
-    fresh = items.filter("item_id < 50").join(F.broadcast(top)).select((F.col("item_id") + F.col("top") + 1).alias("item_id"), F.concat(F.lit("n"), F.col("item_id").cast("string")).alias("canonical_url"), "summary", "source_type")
-    none = items.filter("item_id < 5").select("item_id", F.lit(None).cast("string").alias("canonical_url"), "summary", "source_type")
-    return sinks.upsert_items(items, changed.unionByName(fresh).unionByName(none), keep_if_null=())
+    fresh = items.filter("item_id % 20 = 7").join(F.broadcast(top)).select((F.col("item_id") + F.col("top") + 1).alias("item_id"), F.concat(F.lit("n"), F.col("item_id").cast("string")).alias("canonical_url"), "summary", "source_type")
+    none = items.filter("item_id % 100 = 5").select("item_id", F.lit(None).cast("string").alias("canonical_url"), "summary", "source_type")
+    batch = changed.unionByName(fresh).unionByName(none).withColumn("slug", F.concat(F.lit("other-"), F.col("item_id").cast("string")))
+    return sinks.upsert_items(items.select("*", *old(stamp)), batch, keep_if_null=(), as_of=F.lit(X.AS_OF).cast("timestamp"))
 
 
-UP = """up AS (SELECT item_id, 'u' || item_id AS canonical_url, CASE WHEN item_id % 3 = 0 THEN summary || ' (new)' ELSE summary END AS summary, source_type, CASE WHEN item_id % 3 = 0 THEN 'updated' ELSE 'kept' END AS status FROM items
-  UNION ALL SELECT item_id + (SELECT max(item_id) FROM items) + 1, 'n' || item_id, summary, source_type, 'inserted' FROM items WHERE item_id < 50)"""
+UP = """up AS (SELECT item_id, 'u' || item_id AS canonical_url, CASE WHEN c THEN summary || ' (new)' ELSE summary END AS summary, source_type, 'slug-' || item_id AS slug, TIMESTAMP '2024-01-05' AS created_at, CASE WHEN c THEN TIMESTAMP '2024-02-01' ELSE TIMESTAMP '2024-01-05' END AS updated_at,
+    CASE WHEN c THEN TIMESTAMP '2024-02-01' ELSE TIMESTAMP '2024-01-05' END AS last_crawled_at, CASE WHEN c THEN 'updated' ELSE 'kept' END AS status FROM (SELECT *, item_id % 3 = 0 AS c FROM items)
+  UNION ALL SELECT id, 'n' || item_id, summary, source_type, 'other-' || id, TIMESTAMP '2024-02-01', TIMESTAMP '2024-02-01', NULL, 'inserted' FROM (SELECT *, item_id + (SELECT max(item_id) FROM items) + 1 AS id FROM items WHERE item_id % 20 = 7))"""
 
 
-@query("a8_upsert_items", sql("items", "SELECT item_id, canonical_url, summary, status FROM up", UP))
+@query("a8_upsert_items", sql("items", "SELECT * FROM up", UP))
 def _(s, d):
-    return upserted(s, d).drop("source_type")
+    return upserted(s, d)
 
 
 @query("a9_provenance", sql("items", "SELECT item_id, source_type AS source FROM up WHERE status = 'inserted'", UP))
@@ -84,9 +90,11 @@ def _(s, d):
     return sinks.provenance(upserted(s, d))
 
 
-@query("a10_run_ledger", sql("items", "SELECT source_type, count(*) AS found, count(*) FILTER (status = 'inserted') AS inserted FROM up WHERE status <> 'kept' GROUP BY source_type", UP))
+@query("a10_run_ledger", sql("items", """SELECT source_type, CASE WHEN error IS NULL THEN 'done' ELSE 'error' END AS status, coalesce(found, 0) AS found, coalesce(found, 0) AS changed, coalesce(inserted, 0) AS inserted, error
+  FROM (SELECT source_type, count(*) AS found, count(*) FILTER (status = 'inserted') AS inserted FROM up WHERE status <> 'kept' GROUP BY source_type) FULL JOIN (SELECT DISTINCT source_type || CASE source_type WHEN 'src4' THEN '-b' ELSE '' END AS source_type, 'timeout' AS error FROM items WHERE source_type IN ('src2', 'src4')) USING (source_type)""", UP))
 def _(s, d):
-    return sinks.ledger_row(upserted(s, d))
+    failed = X.items(s, d).filter("source_type IN ('src2', 'src4')").select(F.when(F.col("source_type") == "src4", "src4-b").otherwise(F.col("source_type")).alias("source_type"), F.lit("timeout").alias("error"))
+    return sinks.ledger_row(upserted(s, d), failed)
 
 
 @query("a11_export_top", sql("items", "SELECT item_id, quality, remix FROM items WHERE quality >= 50 ORDER BY quality DESC, remix DESC, item_id LIMIT 40"))
@@ -161,34 +169,42 @@ def _(s, d):
 
 
 def query_log(s, d):
-    return X.table(s, d, "conversations").filter("role = 'user'").select(F.concat(F.lit(" "), F.substring_index("text", " ", 1)).alias("query"))
+    """Each user turn twice, as on a second visit, so that it counts as asked often."""
+    turns = X.table(s, d, "conversations").filter("role = 'user'").select(F.concat(F.lit(" "), F.col("text")).alias("query"))
+    return turns.union(turns)
 
 
 def curated(s, d):
-    return X.table(s, d, "benchmark").select(F.upper(F.substring_index("text", " ", 1)).alias("query"))
+    return X.table(s, d, "conversations").filter("role = 'user' AND conv_id % 3 = 0").select(F.lower("text").alias("query"))
 
 
-FREQ = "freq AS (SELECT query, count(*) AS n FROM (SELECT trim(' ' || split_part(text, ' ', 1)) AS query FROM conversations WHERE role = 'user') WHERE query <> '' GROUP BY query HAVING count(*) >= 2)"
+FREQ = r"""freq AS (SELECT query, 2 * count(*) AS n FROM (SELECT trim(' ' || text, ' ') AS query FROM conversations WHERE role = 'user') WHERE query <> '' GROUP BY query),
+fresh AS (SELECT query, n FROM freq WHERE lower(query) NOT IN (SELECT lower(trim(text, ' ')) FROM conversations WHERE role = 'user' AND conv_id % 3 = 0))"""
 
 
-@query("d9_frequent_queries", sql("", "WITH " + FREQ + " SELECT query, n FROM freq WHERE lower(query) NOT IN (SELECT lower(upper(split_part(text, ' ', 1))) FROM benchmark)"))
+@query("d9_frequent_queries", sql("", "WITH " + FREQ + " SELECT query, n FROM fresh"))
 def _(s, d):
     return L.frequent_queries(query_log(s, d), curated(s, d))
 
 
-@query("c7_new_queries", sql("", "WITH " + FREQ + " SELECT count(*) AS n FROM freq WHERE lower(query) NOT IN (SELECT lower(upper(split_part(text, ' ', 1))) FROM benchmark)"))
+@query("c7_new_queries", sql("", "WITH " + FREQ + " SELECT count(*) AS n, sum(n)::BIGINT AS asked FROM fresh"))
 def _(s, d):
-    return L.frequent_queries(query_log(s, d), curated(s, d)).agg(F.count("*").alias("n"))
+    return L.frequent_queries(query_log(s, d), curated(s, d)).agg(F.count("*").alias("n"), F.sum("n").alias("asked"))
 
 
-@query("k8_harvest_queries")
+HARVEST = "queries AS (SELECT row_number() OVER (ORDER BY query) AS query_id, query, n FROM fresh)"
+DERIVED = """six AS (SELECT query_id, array_to_string(list(val ORDER BY o)[1:6], ' ') AS terms FROM (SELECT *, row_number() OVER (PARTITION BY query_id, lower(val) ORDER BY o) AS r FROM (
+  SELECT query_id, ord::DOUBLE AS o, val FROM words1 UNION ALL SELECT query_id, CASE kind WHEN 'tools' THEN 40000 WHEN 'frameworks' THEN 50000 ELSE 60000 END + ord / 1000000, lower(val) FROM listed1 WHERE kind IN ('tools', 'frameworks', 'tags') AND length(val) >= 3)) WHERE r = 1 GROUP BY query_id)"""
+
+
+@query("k8_harvest_queries", sql("", "WITH " + ", ".join((FREQ, HARVEST, I.intent_sql(), DERIVED)) + " SELECT query, n, terms FROM queries JOIN six USING (query_id) WHERE contains(terms, ' ')"))
 def _(s, d):
-    return L.frequent_queries(query_log(s, d), curated(s, d)).select("query", "n", F.array_join(L.derived_terms(F.col("query")), " ").alias("terms"))
+    return L.harvest_queries(query_log(s, d), curated(s, d)).select("query", "n", F.array_join("terms", " ").alias("terms"))
 
 
-@query("h35_derived_terms")
+@query("h35_derived_terms", sql("queries", "SELECT query_id, coalesce(terms, '') AS terms FROM queries LEFT JOIN six USING (query_id)", I.intent_sql(), DERIVED))
 def _(s, d):
-    return X.queries(s, d).select("query_id", F.array_join(L.derived_terms(F.col("query")), " ").alias("terms"))
+    return I.derived_terms(I.extract_intent(X.queries(s, d))).select("query_id", F.array_join("terms", " ").alias("terms"))
 
 
 FB = "fb AS (SELECT query_id, item_id, max(CASE kind WHEN 'star' THEN 3 ELSE 2 END)::BIGINT AS grade FROM usage WHERE kind <> 'search' GROUP BY query_id, item_id)"
@@ -216,7 +232,7 @@ def _(s, d):
 
 
 @query("g2_merge_pairs", sql("usage", """SELECT query, item_id, CASE WHEN min(p) = 0 THEN 'feedback' ELSE 'oracle' END AS origin FROM (SELECT 'q' || query_id AS query, item_id, 0 AS p FROM usage WHERE kind = 'click'
-  UNION ALL SELECT 'q' || user_id % 40, item_id, 1 FROM usage WHERE kind = 'star') GROUP BY query, item_id"""))
+  UNION ALL SELECT 'q' || user_id, item_id, 1 FROM usage WHERE kind = 'star') GROUP BY query, item_id"""))
 def _(s, d):
     u = X.usage(s, d)
     named = lambda k, prefix: u.filter(F.col("kind") == k).select(F.concat(F.lit(prefix), F.col("query_id").cast("string")).alias("query"), "item_id")
@@ -235,61 +251,65 @@ def _(s, d):
     return X.items(s, d).join(F.broadcast(n)).filter(F.pmod(F.col("item_id") - 7, F.col("n")) < 12).select("item_id")
 
 
-@query("h30_expand_terms")
+_MORE = ", ".join(f"('{t}', {list(w)})" for t, w in I.SYNONYMS.items())
+
+
+@query("h30_expand_terms", f"""SELECT doc_id, array_to_string(list_transform(list_filter(range(1, len(v) + 1), lambda i: list_position(v, v[i]) = i), lambda i: v[i]), ' ') AS terms FROM (SELECT doc_id, flatten([[lang, lower(source)], [t], coalesce(w, []), ['repo']]) AS v
+  FROM (SELECT doc_id, lang, source, ['llm', 'mcp', 'rag', 'k8s', 'stt', 'tts', 'ci', 'cd', 'vlm', 'gnn', 'ssg', 'none'][doc_id % 12 + 1] AS t FROM documents) LEFT JOIN (VALUES {_MORE}) m(t, w) USING (t))""")
 def _(s, d):
-    terms = F.array("lang", "source", F.lit("Repo"))
+    known = F.element_at(F.array(*map(F.lit, (*I.SYNONYMS, "none"))), (F.col("doc_id") % 12 + 1).cast("int"))
+    terms = F.array("lang", "source", F.upper(known), F.lit(" Repo"))
     return X.table(s, d, "documents").select("doc_id", F.array_join(I.expand_terms(terms), " ").alias("terms"))
 
 
-@query("h33_decode_impressions", sql("usage impressions", "SELECT event_id, pos, item_id FROM impressions WHERE pos < 5"))
+@query("h33_decode_impressions", sql("usage impressions", "SELECT event_id, pos, item_id FROM impressions"))
 def _(s, d):
-    shown = X.impressions(s, d).filter("pos < 5").groupBy("event_id").agg(F.to_json(F.collect_list(F.struct("pos", F.col("item_id").alias("id")))).alias("j"))
+    shown = X.impressions(s, d).groupBy("event_id").agg(F.to_json(F.collect_list(F.struct("pos", F.col("item_id").alias("id")))).alias("j"))
     return shown.select("event_id", F.explode(F.from_json("j", "array<struct<id:bigint,pos:int>>")).alias("p")).select("event_id", "p.pos", F.col("p.id").alias("item_id"))
 
 
-def intents(s, d):
-    return I.enrich_intent(I.extract_intent(X.queries(s, d), I.rules(s)))
+_SHOWN = ("frameworks", "tools", "languages", "apis", "models", "tags", "types")
+_JOINED = ", ".join(f"array_to_string({c}, '|') AS {c}" for c in _SHOWN)
 
 
-@query("i9_extract_intent")
-def _(s, d):
-    return I.extract_intent(X.queries(s, d), I.rules(s))
+def joined(rows, *more):
+    return rows.select("query_id", *more, *[F.array_join(c, "|").alias(c) for c in _SHOWN])
 
 
-@query("i11_enrich_intent")
+@query("i9_extract_intent", sql("queries", f"SELECT query_id, {_JOINED} FROM intents0", I.intent_sql()))
 def _(s, d):
-    return intents(s, d)
+    return joined(I.extract_intent(X.queries(s, d)))
 
 
-@query("i12_retrieval_context")
+@query("i11_enrich_intent", sql("queries", f"SELECT query_id, project_type, array_to_string(search_terms, '|') AS terms, {_JOINED} FROM intents", I.intent_sql()))
 def _(s, d):
-    return I.retrieval_context(intents(s, d))
+    return joined(Q.intents(s, d), "project_type", F.array_join("search_terms", "|").alias("terms"))
 
 
-@query("h37_intent_terms")
-def _(s, d):
-    return intents(s, d).select("query_id", F.array_join(I.intent_terms(), " ").alias("terms"))
+_LINE = lambda label, c: f"CASE WHEN len({c}) > 0 THEN '{label}: ' || array_to_string({c}, ', ') || '.' END"
 
 
-@query("i8_infer_fields")
+@query("i12_retrieval_context", sql("queries", f"""SELECT query_id, concat_ws(chr(10), trim(query), 'Search for builders: projects, techniques, templates, servers and papers.', 'Project focus: ' || replace(project_type, '_', ' ') || '.', {_LINE('Frameworks', 'frameworks')}, {_LINE('Tools', 'tools')}, {_LINE('Languages', 'languages')}, {_LINE('Topics', 'tags')}, {_LINE('Models', 'models')},
+  {_LINE('Looking for', "list_transform(types[1:6], lambda t: replace(t, '_', ' '))")}) AS context FROM intents""", I.intent_sql()))
 def _(s, d):
-    t = F.col("text")
-    return X.table(s, d, "documents").select("doc_id", T.match_vocabulary(t, ["go", "rust", "react", "docker"]).alias("tools"), T.setup_commands(t).alias("commands"), T.steps(t).alias("steps"))
+    return I.retrieval_context(Q.intents(s, d))
 
 
-@query("i13_relevance", sql("items query_terms", "SELECT query_id, item_id, round_even(least(1.0, (0.22::DOUBLE * least(1.0::DOUBLE, hits::DOUBLE / greatest(2, least(nt, 8))) + 0.12::DOUBLE * least(1.0::DOUBLE, kw_rank * 8)) / (0.22::DOUBLE + 0.12::DOUBLE)), 9) AS relevance FROM (SELECT kw.*, (SELECT count(*) FROM query_terms q WHERE q.query_id = kw.query_id) AS nt, (SELECT count(*) FROM (SELECT term, row_number() OVER (ORDER BY term) AS t FROM query_terms q WHERE q.query_id = kw.query_id) z WHERE t <= 20 AND contains(" + Q.BLOB + ", term)) AS hits FROM kw JOIN items USING (item_id))", Q.POSTS, Q.KW))
+@query("h37_intent_terms", sql("queries", "SELECT query_id, array_to_string(list_transform(list_filter(range(1, len(v) + 1), lambda i: list_position(v, v[i]) = i)[1:12], lambda i: v[i]), ' ') AS terms FROM (SELECT query_id, list_filter(list_transform(list_concat(list_concat(tags, tools), search_terms), lambda t: lower(t)), lambda t: length(t) >= 3) AS v FROM intents)", I.intent_sql()))
 def _(s, d):
-    from millrace.operators.filters import text_blob
-    from millrace.operators.rank import relevance
+    return Q.intents(s, d).select("query_id", F.array_join(I.intent_terms(), " ").alias("terms"))
 
-    asked = X.query_terms(s, d).groupBy("query_id").agg(F.sort_array(F.collect_set("term")).alias("terms"))
-    rows = Q.kw_leg(s, d).join(X.items(s, d).withColumn("blob", text_blob()), "item_id").join(asked, "query_id")
-    return rows.select("query_id", "item_id", F.bround(relevance(F.col("blob"), F.col("terms"), F.col("kw_rank"), F.lit(None).cast("double")), 9).alias("relevance"))
+
+@query("i8_infer_fields")
+def _(s, d):
+    return I.infer_fields(X.table(s, d, "documents"), "doc_id", "text")
 
 
 @query("i16_suggest_query")
 def _(s, d):
-    return I.suggest_query(Q.results(s, d), X.queries(s, d))
+    found = Q.written(s, Q.results(s, d))
+    asked = Q.intents(s, d)
+    return I.suggest_query(found, asked, Q.R.query_confidence(found, asked))
 
 
 @query("k11_refresh_guard")
@@ -309,11 +329,7 @@ def _(s, d):
 
 def streamed(s, d, make):
     """A stream over the events table, run to its end into the shared folder and read back."""
-    import tempfile
-    import uuid
-
-    root = s.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    base = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    base = shared_folder(s, "stream")
     path = f"{d}/events.parquet"
     schema = s.read.parquet(path).schema
     events = s.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
@@ -322,7 +338,43 @@ def streamed(s, d, make):
     return s.read.schema(out.schema).parquet(f"{base}/out")
 
 
-@query("s1_stream_counts")
+def post():
+    """An event as the payload of a forum post."""
+    user = F.col("user_id").cast("string")
+    return F.struct(
+        F.col("event_id").cast("string").alias("objectID"),
+        F.concat(F.lit("post of "), user).alias("title"),
+        F.concat(F.lit("http://www.example.org/u/"), user, F.lit("/?utm_source=x")).alias("url"),
+        (F.col("event_id") % 10).cast("int").alias("points"),
+        F.lit("2024-01-02T03:04:05Z").alias("created_at"),
+    )
+
+
+def ingested(s, d):
+    """Events streamed as forum posts into a new store: the last snapshot and the counters of the batches."""
+    base = shared_folder(s, "ingest")
+    schema = s.read.parquet(f"{d}/events.parquet").schema
+    posts = s.readStream.schema(schema).parquet(f"{d}/events.parquet*").select(F.to_json(post()).alias("value"))
+    mapper = lambda batch: feeds.map_forum_posts(batch).withColumn("item_id", F.xxhash64("canonical_url"))
+    paths = [f"{base}/start"]
+    mapper(s.createDataFrame([], "value string")).write.parquet(paths[0])
+
+    def write(df, batch_id):
+        path = f"{base}/snapshot-{batch_id}"
+        df.write.mode("overwrite").parquet(path)
+        paths.append(path)
+        return s.read.parquet(path)
+
+    counters = jobs.ingest(posts, mapper, lambda: s.read.parquet(paths[-1]).drop("status"), write, f"{base}/check", gate=~F.endswith("title", F.lit("7")))
+    return s.read.parquet(paths[-1]), counters
+
+
+@query("s1_stream_ingest", "SELECT DISTINCT 'https://www.example.org/u/'.replace('www.', '') || user_id AS canonical_url, 'post of ' || user_id AS title FROM events WHERE event_id % 10 >= 3 AND user_id % 10 <> 7")
+def _(s, d):
+    return ingested(s, d)[0].select("canonical_url", "title")
+
+
+@query("s1b_stream_counts")
 def _(s, d):
     return streamed(s, d, lambda e: jobs.windowed_counts(e))
 
@@ -332,9 +384,10 @@ def _(s, d):
     return streamed(s, d, lambda e: jobs.first_seen(e.select("ts", "user_id", "event_type"), ["user_id", "event_type"]))
 
 
-@query("s5_outcome_counters", sql("ledger", "SELECT status AS outcome, count(*) AS n FROM ledger GROUP BY status"))
+@query("s5_outcome_counters", "SELECT count(*) AS seen, 0::BIGINT AS skipped, count(*) FILTER (user_id % 10 = 7) AS gated, count(DISTINCT user_id) FILTER (user_id % 10 <> 7) AS inserted, 0::BIGINT AS updated FROM events WHERE event_id % 10 >= 3")
 def _(s, d):
-    return D.outcome_counters(X.run_ledger(s, d)).groupBy("outcome").agg(F.sum("n").alias("n"))
+    rows = s.createDataFrame(ingested(s, d)[1], "batch bigint, seen bigint, skipped bigint, gated bigint, inserted bigint, updated bigint")
+    return rows.agg(*[F.sum(c).alias(c) for c in ("seen", "skipped", "gated", "inserted", "updated")])
 
 
 

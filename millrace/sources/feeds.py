@@ -15,6 +15,8 @@ ENTRY = "entry array<struct<id:string, title:string, summary:string, published:s
 RSS = "channel struct<item:array<struct<title:string, link:string, description:string, pubDate:string>>>"
 ATOM = "entry array<struct<title:string, link:struct<_href:string>, summary:string, updated:string>>"
 
+#: Most that can be remixed of a paper with and without code, and least hype.
+CODE_CAP, PAPER_CAP, HYPE_FLOOR = 70.0, 45.0, 25.0
 #: What a model's task helps to build.
 TASKS = {
     "text-generation": "Generate text with a language model.",
@@ -74,20 +76,24 @@ def map_forum_posts(raw: DataFrame, column: str = "value", min_points: int = 3)
 
 
 def map_papers(raw: DataFrame, column: str = "value") -> DataFrame:
-    """Atom entries of a paper feed to items; what can be remixed is capped, lower without code."""
+    """Atom entries of a paper feed to items with their scores; what can be remixed is capped, lower without code, and some hype is assumed."""
     e = raw.select(F.explode(F.from_xml(column, ENTRY)["entry"]).alias("e")).select("e.*")
     code = F.lower("summary").rlike("github\\.com|code is available|open-source")
-    return e.filter("id IS NOT NULL").select(
+    rows = e.filter("id IS NOT NULL").select(
         T.canonical_url(F.col("id")).alias("canonical_url"),
         T.normalize_query(F.col("title")).alias("title"),
         T.normalize_query(F.col("summary")).alias("summary"),
         code.alias("has_code"),
         F.lit(True).alias("has_paper"),
-        F.when(code, 70.0).otherwise(45.0).alias("remix_cap"),
-        F.lit(25.0).alias("hype_floor"),
         T.parse_date(F.col("published")).alias("published_at"),
         F.lit("paper").alias("source_type"),
+        F.lit("research_paper").alias("artifact_type"),
     )
+    none = F.array().cast("array<string>")
+    blank = {c: none for c in ("tags", "tools", "frameworks", "languages", "commands")} | {c: F.lit("") for c in ("use_case", "license")} | {c: F.lit(False) for c in ("has_demo", "has_docs")}
+    full = rows.withColumns(blank | {"core": F.col("summary")})
+    remix = F.least(S.remixability(), F.when(F.col("has_code"), F.lit(CODE_CAP)).otherwise(F.lit(PAPER_CAP)))
+    return full.withColumns({"quality": S.quality(), "remix": remix, "hype": F.greatest(S.hype_risk(), F.lit(HYPE_FLOOR))})
 
 
 def map_feed_articles(raw: DataFrame, column: str = "value") -> DataFrame:

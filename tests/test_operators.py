@@ -112,10 +112,13 @@ def test_ingest_stream(spark, tmp_path):
         return feeds.map_forum_posts(batch).withColumn("item_id", F.xxhash64("title"))
 
     def write(df, batch_id):
-        df.drop("status").write.mode("overwrite").parquet(str(tmp_path / f"snap-{batch_id}"))
-        store["now"] = spark.read.parquet(str(tmp_path / f"snap-{batch_id}"))
+        df.write.mode("overwrite").parquet(str(tmp_path / f"snap-{batch_id}"))
+        stored = spark.read.parquet(str(tmp_path / f"snap-{batch_id}"))
+        store["now"] = stored.drop("status")
+        return stored
 
-    jobs.ingest(jobs.read_stream(spark, str(tmp_path / "in"), "value string"), mapper, lambda: store["now"], write, str(tmp_path / "check"))
+    counters = jobs.ingest(jobs.read_stream(spark, str(tmp_path / "in"), "value string"), mapper, lambda: store["now"], write, str(tmp_path / "check"))
+    assert counters == [{"batch": 0, "seen": 6, "skipped": 0, "gated": 0, "inserted": 3, "updated": 0}]
     assert sorted(r["canonical_url"] for r in store["now"].collect()) == [f"https://x.com/{i}" for i in range(3)]
 
 
