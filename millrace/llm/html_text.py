@@ -217,6 +217,10 @@ def blocks(html: str | None, seen: dict[int, int] | None = None) -> list[tuple[t
     return out
 
 
+def _page_only() -> dict[int, int]:
+    return {_token(_ROOT): 1}
+
+
 def _text_token(path: tuple[int, ...], text: str) -> int:
     return xxhash.xxh64_intdigest(f"t\x00{path[-1]}\x00{text}") - (1 << 63)
 
@@ -231,7 +235,7 @@ def tokens(pages: DataFrame) -> DataFrame:
         for part in W.slices(batches, "html"):
             rows = []
             for host, html in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                seen = {_token(_ROOT): 1}
+                seen = _page_only()
                 found = blocks(html, seen)
                 page = xxhash.xxh64_intdigest(main_text(found, frozenset())) - (1 << 63)
                 texts: dict[int, list] = {}
