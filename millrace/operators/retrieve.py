@@ -218,7 +218,11 @@ def contained_terms(items: DataFrame, terms: DataFrame, fields: dict[str, Column
 
 def _contained_by_join(rows: DataFrame, terms: DataFrame, names: list[str]) -> DataFrame:
     text = F.concat_ws("\n", *names)
-    grams = [F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - (n - 1))), lambda i, n=n: F.substr(text, i, F.lit(n))) for n in (1, 2, 3)]
+
+    def grams_of(n: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - (n - 1))), lambda i: F.substr(text, i, F.lit(n)))
+
+    grams = [grams_of(n) for n in (1, 2, 3)]
     keyed = rows.withColumn("gram", F.explode(F.array_distinct(F.flatten(F.array(*grams)))))
     near = keyed.join(terms.withColumn("gram", F.substring("term", 1, 3)), "gram")
     found = near.select("item_id", "term", *[F.contains(n, F.col("term")).alias(n) for n in names])
