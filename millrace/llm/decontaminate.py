@@ -77,25 +77,28 @@ def tokenise(text: str | None) -> tuple[list[str], list[str]]:
     return [tokens[i] for i in kept], [values[i] for i in kept]
 
 
-def window_hashes(tokens: list[str], values: list[str], length: int, known: dict[tuple[str, str], int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+def window_hashes(tokens: list[str], values: list[str], length: int, known: dict[str, int] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all windows of `length` tokens, and which of them are placeholders alone.
 
     Short windows and those of placeholders alone are hashed with their values.
     """
     known = {} if known is None else known
-    none = np.zeros(0, np.uint64)
-    if len(tokens) < length:
-        return none, np.zeros(0, bool)
-    plain = [(t, "") for t in tokens]
-    valued = [*zip(tokens, values)]
-    for key in {*plain, *valued} - known.keys():
-        known[key] = xxhash.xxh64_intdigest("\x00".join(key))
-    one = W.windows(np.fromiter(map(known.__getitem__, plain), np.uint64, len(tokens)), length)
-    slots = np.cumsum([0] + [v != "" for v in values])
-    bare = slots[length:] - slots[:-length] == length
+    n = len(tokens)
+    if n < length:
+        return np.zeros(0, np.uint64), np.zeros(0, bool)
+    for t in tokens:
+        if t not in known:
+            known[t] = xxhash.xxh64_intdigest(t)
+    plain = np.fromiter(map(known.__getitem__, tokens), np.uint64, n)
+    one = W.windows(plain, length)
+    slot = np.fromiter(map(bool, values), bool, n)
+    so_far = np.concatenate([[0], np.cumsum(slot)])
+    bare = so_far[length:] - so_far[:-length] == length
     if length < WINDOW or bare.any():
-        two = W.windows(np.fromiter(map(known.__getitem__, valued), np.uint64, len(tokens)), length)
-        one = np.where(bare | (length < WINDOW), W.mix(two + np.uint64(length)), one)
+        valued = plain.copy()
+        for i in np.flatnonzero(slot).tolist():
+            valued[i] = xxhash.xxh64_intdigest(f"{tokens[i]}\x00{values[i]}")
+        one = np.where(bare | (length < WINDOW), W.mix(W.windows(valued, length) + np.uint64(length)), one)
     return one, bare
 
 
