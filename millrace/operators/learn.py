@@ -145,6 +145,7 @@ def train_ranker(rows: DataFrame, qrels: DataFrame, reg: float = 0.01) -> dict[s
     # the fit passes over the pairs many times; a lost block is computed again
     pairs = _pairs(rows, qrels).select(array_to_vector("x").alias("features"), "label", "weight").persist()
     if pairs.isEmpty():
+        pairs.unpersist()
         return {}
     model = LogisticRegression(weightCol="weight", regParam=reg, fitIntercept=False, maxIter=25).fit(pairs)
     pairs.unpersist()
@@ -155,6 +156,7 @@ def train_pointwise(rows: DataFrame, qrels: DataFrame, least: int = 2, reg: floa
     """Weights of a pointwise logistic model of grade >= `least`; empty where all hits are alike."""
     graded = rows.join(qrels, ["query_id", "item_id"], "left").select(array_to_vector(F.array(*FEATURES)).alias("features"), (F.coalesce("grade", F.lit(0)) >= least).cast("double").alias("label")).persist()
     if graded.select("label").distinct().count() < 2:
+        graded.unpersist()
         return {}
     model = LogisticRegression(regParam=reg, maxIter=25).fit(graded)
     graded.unpersist()
