@@ -41,76 +41,94 @@ _NUMBER = re.compile(r"([$€£]?)[+-]?[0-9][0-9.,:/]*(.*)", re.S)
 _STOPS = ".!?:"
 
 
-def canonical(words: list[str], starts_line: list[bool] | None = None) -> tuple[list[str], list[str]]:
-    """Tokens and their surface values; the value of a token without a slot is empty."""
-    tokens, values, opening = [], [], True
-    for i, word in enumerate(words):
-        if starts_line and starts_line[i]:
-            opening = True
-        plain = word.strip(_EDGES)
+_PLAIN, _NUM, _UNIT, _NAME = range(4)
+
+
+class Words(dict):
+    """What a word is by itself, worked out once a word: plain form, its hash, the slot it may be, whether it ends a sentence, and whether it is capitalised."""
+
+    def __missing__(self, word: bytes) -> tuple[str, int, int, bool, bool]:
+        text = word.decode("utf-8", "surrogatepass")
+        plain = text.strip(_EDGES)
         low = plain.lower()
+        capital = plain[:1].isupper() and plain[1:].islower()
         m = _NUMBER.fullmatch(plain) if plain and (plain[0].isdigit() or plain[0] in "$€£+-") else None
         if m and (not m[2] or m[2].lower() in UNITS):
-            tokens.append(NUM)
-            values.append(low)
-        elif low in UNITS and tokens and tokens[-1] == NUM:
-            tokens.append(UNIT)
-            values.append(low)
-        elif not opening and plain[:1].isupper() and plain[1:].islower():
-            tokens.append(NAME)
-            values.append(low)
+            kind = _NUM
+        elif low in UNITS:
+            kind = _UNIT
         else:
-            tokens.append(low)
-            values.append("")
-        opening = word[-1:] in _STOPS
-    return tokens, values
+            kind = _NAME if capital else _PLAIN
+        found = self[word] = low, xxhash.xxh64_intdigest(low), kind, text[-1:] in _STOPS, capital
+        return found
 
 
-def tokenise(text: str | None) -> tuple[list[str], list[str]]:
-    words, starts = [], []
-    for line in (text or "").split("\n"):
-        own = [w.decode("utf-8", "surrogatepass") for w in line.encode("utf-8", "surrogatepass").split()]
-        words += own
-        starts += [True] + [False] * (len(own) - 1) if own else []
-    tokens, values = canonical(words, starts)
-    kept = [i for i, t in enumerate(tokens) if t]
-    return [tokens[i] for i in kept], [values[i] for i in kept]
+_SLOT_HASH = {t: xxhash.xxh64_intdigest(t) for t in (NUM, UNIT, NAME)}
 
 
-def window_hashes(tokens: list[str], values: list[str], length: int, known: dict[str, int] | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all windows of `length` tokens, and which of them are placeholders alone.
+def scan(text: str | None, words: Words | None = None) -> tuple[list[int], list[tuple[int, str, str]]]:
+    """Hashes of the tokens, and the slots: place, placeholder and value.
+
+    A number is a slot, a unit one behind a number, and a capitalised word one that does not open a sentence or line.
+    """
+    words = Words() if words is None else words
+    hashes: list[int] = []
+    slots: list[tuple[int, str, str]] = []
+    add = hashes.append
+    after_number = False
+    for line in (text or "").encode("utf-8", "surrogatepass").split(b"\n"):
+        opening = True
+        for word in line.split():
+            low, h, kind, stops, capital = words[word]
+            if kind == _PLAIN or not (kind == _NUM or kind == _UNIT and after_number or capital and not opening):
+                after_number = False
+                if low:
+                    add(h)
+            else:
+                token = NUM if kind == _NUM else UNIT if kind == _UNIT and after_number else NAME
+                after_number = token is NUM
+                slots.append((len(hashes), token, low))
+                add(_SLOT_HASH[token])
+            opening = stops
+    return hashes, slots
+
+
+def window_hashes(hashes: np.ndarray, slots: list[tuple[int, str, str]], length: int) -> tuple[np.ndarray, np.ndarray | None]:
+    """Hashes of all windows of `length` tokens, and which of them are placeholders alone, None if none is.
 
     Short windows and those of placeholders alone are hashed with their values.
     """
-    known = {} if known is None else known
-    n = len(tokens)
-    if n < length:
-        return np.zeros(0, np.uint64), np.zeros(0, bool)
-    for t in tokens:
-        if t not in known:
-            known[t] = xxhash.xxh64_intdigest(t)
-    plain = np.fromiter(map(known.__getitem__, tokens), np.uint64, n)
-    one = W.windows(plain, length)
-    slot = np.fromiter(map(bool, values), bool, n)
-    so_far = np.concatenate([[0], np.cumsum(slot)])
-    bare = so_far[length:] - so_far[:-length] == length
-    if length < WINDOW or bare.any():
-        valued = plain.copy()
-        for i in np.flatnonzero(slot).tolist():
-            valued[i] = xxhash.xxh64_intdigest(f"{tokens[i]}\x00{values[i]}")
-        one = np.where(bare | (length < WINDOW), W.mix(W.windows(valued, length) + np.uint64(length)), one)
+    one = W.windows(hashes, length)
+    bare = None
+    if len(slots) >= length or length < WINDOW:
+        slot = np.zeros(len(hashes) + 1, np.int64)
+        slot[[i + 1 for i, _, _ in slots]] = 1
+        so_far = np.cumsum(slot)
+        bare = so_far[length:] - so_far[:-length] == length if len(hashes) >= length else np.zeros(0, bool)
+        if length < WINDOW or bare.any():
+            valued = hashes.copy()
+            for i, token, value in slots:
+                valued[i] = xxhash.xxh64_intdigest(f"{token}\x00{value}")
+            one = np.where(bare | (length < WINDOW), W.mix(W.windows(valued, length) + np.uint64(length)), one)
     return one, bare
 
 
+def slot_values(n: int, slots: list[tuple[int, str, str]]) -> list[str]:
+    values = [""] * n
+    for i, _, value in slots:
+        values[i] = value
+    return values
+
+
 def shape_of(text: str) -> tuple[int, np.ndarray, np.ndarray, list[str]] | None:
     """Length of the windows, starts and hashes of those that count, and the values of all tokens."""
-    tokens, values = tokenise(text)
-    if not tokens:
+    found, slots = scan(text)
+    if not found:
         return None
-    length = min(WINDOW, len(tokens))
-    hashes, bare = window_hashes(tokens, values, length)
-    use = np.flatnonzero(~bare) if not bare.all() else np.arange(len(hashes))
-    return length, use, hashes[use], values
+    length = min(WINDOW, len(found))
+    hashes, bare = window_hashes(np.array(found, np.uint64), slots, length)
+    use = np.arange(len(hashes)) if bare is None or bare.all() else np.flatnonzero(~bare)
+    return length, use, hashes[use], slot_values(len(found), slots)
 
 
 def rarest(hashes: np.ndarray, items: np.ndarray, percent: int = PERCENT) -> np.ndarray:
@@ -160,15 +178,16 @@ def judge(places: np.ndarray, positions: np.ndarray, ours: list[str], theirs: li
 
 
 class _Document:
-    """Tokens of one text and its windows of every length, sorted by hash when first asked for."""
+    """The tokens of one text and its windows of every length, sorted by hash when first asked for."""
 
-    def __init__(self, text: str | None, known: dict):
-        self.tokens, self.values = tokenise(text)
-        self.known, self.by_length = known, {}
+    def __init__(self, text: str | None, words: Words):
+        found, self.slots = scan(text, words)
+        self.tokens = np.array(found, np.uint64)
+        self.by_length: dict[int, list] = {}
 
     def hashes(self, length: int) -> np.ndarray:
         if length not in self.by_length:
-            self.by_length[length] = [window_hashes(self.tokens, self.values, length, self.known)[0], None, None]
+            self.by_length[length] = [window_hashes(self.tokens, self.slots, length)[0], None, None]
         return self.by_length[length][0]
 
     def holds(self, length: int, places: np.ndarray, hashes: np.ndarray, values: list[str], percent: int) -> tuple[float, bool] | None:
@@ -183,7 +202,7 @@ class _Document:
             return None
         within = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
         positions = entry[1][np.repeat(lo, times) + within]
-        return judge(np.repeat(places, times), positions, values, self.values, length, len(hashes), percent)
+        return judge(np.repeat(places, times), positions, values, slot_values(len(self.tokens), self.slots), length, len(hashes), percent)
 
 
 _SHAPE = "shape bigint, length int, places array<int>, hashes array<bigint>, slots array<string>"
@@ -203,6 +222,7 @@ def shapes_of(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, _SHAPE)
 
 
+_LOW = np.uint64(0xFFFFF)
 _OUT = "doc_id bigint, text_hash bigint, shape bigint, containment double, verbatim boolean"
 
 
@@ -222,13 +242,16 @@ def _by_broadcast(docs: DataFrame, shapes: DataFrame, percent: int) -> DataFrame
 
     def run(batches):
         rows, probe, owner, lengths = shared.value
+        hint = np.zeros(int(_LOW) + 1, bool)  # most windows are told apart from all that are looked up by their last bits
+        hint[(probe & _LOW).astype(np.int64)] = True
         for part in W.slices(batches):
-            out, known = [], {}
+            out, words = [], Words()
             for doc, mark, text in zip(*(part.column(i).to_pylist() for i in range(3))):
-                own = _Document(text, known)
+                own = _Document(text, words)
                 near: set[int] = set()
                 for length in lengths:
-                    h = np.unique(own.hashes(length))
+                    h = own.hashes(length)
+                    h = np.unique(h[hint[(h & _LOW).astype(np.int64)]])
                     lo, hi = np.searchsorted(probe, h, "left"), np.searchsorted(probe, h, "right")
                     for k in np.flatnonzero(hi > lo):
                         near.update(owner[lo[k] : hi[k]].tolist())
@@ -246,18 +269,18 @@ def _by_join(docs: DataFrame, shapes: DataFrame, percent: int) -> DataFrame:
 
     def emit(batches):
         for part in W.slices(batches):
-            known = {}
+            words = Words()
             for doc, mark, text in zip(*(part.column(i).to_pylist() for i in range(3))):
-                own = _Document(text, known)
+                own = _Document(text, words)
                 for length in lengths:
                     h = np.unique(own.hashes(length)).view(np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array([doc] * len(h), pa.int64()), pa.array([mark] * len(h), pa.int64()), pa.array(h)], names=["doc_id", "text_hash", "hash"])
 
     def verify(batches):
         for part in W.slices(batches, limit=1 << 20):
-            out, known = [], {}
+            out, words = [], Words()
             for r in part.to_pylist():
-                verdict = _Document(r["text"], known).holds(r["length"], np.array(r["places"]), np.array(r["hashes"], np.int64).view(np.uint64), r["slots"], percent)
+                verdict = _Document(r["text"], words).holds(r["length"], np.array(r["places"]), np.array(r["hashes"], np.int64).view(np.uint64), r["slots"], percent)
                 if verdict:
                     out.append((r["doc_id"], r["text_hash"], r["shape"], *verdict))
             yield _result(out)

@@ -235,8 +235,9 @@ def brute_leaks(docs, items, percent=80):
             continue
         length, places, hashes, ours = shape
         for d, text in docs:
-            tokens, theirs = decontaminate.tokenise(text)
-            own = decontaminate.window_hashes(tokens, theirs, length)[0].tolist()
+            found, slots = decontaminate.scan(text)
+            theirs = decontaminate.slot_values(len(found), slots)
+            own = decontaminate.window_hashes(np.array(found, np.uint64), slots, length)[0].tolist()
             lines = {}
             for place, h in zip(places.tolist(), hashes.tolist()):
                 for pos in (k for k, x in enumerate(own) if x == h):
