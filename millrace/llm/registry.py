@@ -1,6 +1,6 @@
 """The registered queries of this package and their SQL."""
 
-from millrace.llm import decontaminate, html_text, language_id, mixing, near_dup, pii, quality, substring_dedup, toxicity, url_filter
+from millrace.llm import decontaminate, hard_negatives, html_text, language_id, mixing, near_dup, pii, quality, substring_dedup, toxicity, url_filter
 
 QUERIES = {
     "op1_html_text": html_text.op1_html_text,
@@ -13,10 +13,12 @@ QUERIES = {
     "op8_mix_sources": mixing.op8_mix_sources,
     "op9_quality": quality.op9_quality,
     "op10_url_filter": url_filter.op10_url_filter,
+    "op11_hard_negatives": hard_negatives.op11_hard_negatives,
 }
 SQL = {
     "op2_substring_dedup": substring_dedup.OP2_SQL,
     "op7_near_dup": near_dup.OP7_SQL,
     "op8_mix_sources": mixing.OP8_SQL,
     "op9_quality": quality.OP9_SQL,
+    "op11_hard_negatives": hard_negatives.OP11_SQL,
 }
