@@ -1,6 +1,6 @@
 """The registered queries of this package and their SQL."""
 
-from millrace.llm import collocations, decontaminate, hard_negatives, html_text, language_id, mixing, near_dup, pii, quality, substring_dedup, toxicity, url_filter
+from millrace.llm import collocations, decontaminate, hard_negatives, html_text, language_id, mixing, near_dup, pii, quality, sharding, substring_dedup, toxicity, url_filter
 
 QUERIES = {
     "op1_html_text": html_text.op1_html_text,
@@ -14,6 +14,7 @@ QUERIES = {
     "op9_quality": quality.op9_quality,
     "op10_url_filter": url_filter.op10_url_filter,
     "op11_hard_negatives": hard_negatives.op11_hard_negatives,
+    "op12_shard_tree": sharding.op12_shard_tree,
     "op13_collocations": collocations.op13_collocations,
 }
 SQL = {
@@ -22,5 +23,6 @@ SQL = {
     "op8_mix_sources": mixing.OP8_SQL,
     "op9_quality": quality.OP9_SQL,
     "op11_hard_negatives": hard_negatives.OP11_SQL,
+    "op12_shard_tree": sharding.OP12_SQL,
     "op13_collocations": collocations.OP13_SQL,
 }
