@@ -43,20 +43,32 @@ def any_substring(terms: list[str], *columns: str) -> Column:
     return _any(F.contains(F.lower(c), F.lit(t.lower())) for c in columns for t in terms)
 
 
-def heuristic_gate(signal: tuple[str, ...], noise: tuple[str, ...], least: int = 60) -> Column:
-    text = F.concat_ws(" ", *[F.coalesce(F.col(c), F.lit("")) for c in signal])
-    stack = S.filled("tools") | S.filled("tags") | F.col("has_code")
-    return (F.length(text) >= least) & ~any_substring(list(noise), "title") & stack
+def heuristic_gate(signal: tuple[str, ...], noise: tuple[str, ...] | None = None, least: int = 60) -> Column:
+    """Enough text, no title of NOISE_TITLES (or of `noise`), and a stack, a tag or code."""
+    text = F.trim(F.concat_ws(" ", *[F.coalesce(F.col(c), F.lit("")) for c in signal]))
+    stack = _any(S.filled(c) for c in ("frameworks", "tools", "languages", "tags")) | F.coalesce("has_code", F.lit(False))
+    quiet = F.coalesce(any_substring(list(NOISE_TITLES if noise is None else noise), "title"), F.lit(False))
+    return (F.length(text) >= least) & ~quiet & stack
 
 
-def semantic_gate(queries: DataFrame, items: DataFrame, least: float = 0.22) -> DataFrame:
-    """Pairs of the query vectors with the items at or above the least cosine.
+def semantic_gate(candidates: DataFrame, queries: DataFrame, least: float = 0.22) -> DataFrame:
+    """Candidates (query_id, item_id, embedding) that are near enough to the query that found them, with their similarity.
 
-    The query vectors are a stated set and go to every task in blocks.
+    Where the candidate or its query has no vector, nothing can be said and the candidate passes with 0. One
+    join on the query, and a cosine a row.
     """
-    from millrace.operators.retrieve import similarities
+    asked = queries.select("query_id", "query_vector")
+    sim = F.bround(T.cosine(F.transform("query_vector", lambda x: x.cast("double")), F.transform("embedding", lambda x: x.cast("double"))), 6)
+    unknown = F.col("query_vector").isNull() | F.col("embedding").isNull() | (F.size("query_vector") == 0) | (F.size("embedding") == 0)
+    judged = candidates.join(asked, "query_id", "left").withColumn("similarity", F.when(unknown, 0.0).otherwise(sim))
+    return judged.filter(unknown | (F.col("similarity") >= least)).select("query_id", "item_id", "similarity")
 
-    return similarities(queries, items).filter(F.col("similarity") >= least)
+
+#: Parts of titles that say a row is nothing to build on.
+NOISE_TITLES = (
+    "test", "demo-repo", "hello-world", "my-portfolio", "config", "dotfiles", "interview", "leetcode", "assignment", "homework", "tutorial-",
+    "awesome-", "cheatsheet", "cheat-sheet", "roadmap", "course", "bootcamp", "interview-questions", "study-notes", "list of",
+)
 
 
 def prefilter(items: DataFrame, drop_flags: list[str], min_stars: int, min_summary: int) -> DataFrame:
@@ -148,3 +160,22 @@ def score_all(items: DataFrame, as_of: Column) -> DataFrame:
     """All five scores, in the order in which they depend on each other."""
     scored = items.withColumns({"quality": S.quality(), "remix": S.remixability(), "hype": S.hype_risk(), "applicability": S.applicability()})
     return scored.withColumn("underground", S.underground(as_of, F.col("quality"), F.col("stars")))
+
+
+def rotate(rows: DataFrame, offsets: DataFrame, size: int, by: str = "source_type", order: str = "item_id", span: int = 4096) -> tuple[DataFrame, DataFrame]:
+    """The next `size` rows of each list from its saved offset on, around its end, and the offsets for the next turn.
+
+    `offsets` has (by, offset); a list without one starts at its first row. A row's place is its rank by `order`, a whole number that may
+    have gaps: rows are ranked within spans of `order`, whose sizes are added up, so that a long list is never sorted in
+    one task. Rows with a null `by` or `order` are in no list.
+    """
+    listed = rows.filter(F.col(by).isNotNull() & F.col(order).isNotNull()).withColumn("_span", F.floor(F.col(order) / span))
+    before = F.sum("_n").over(Window.partitionBy(by).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1))
+    spans = listed.groupBy(by, "_span").agg(F.count("*").alias("_n"))
+    spans = spans.select(by, "_span", F.coalesce(before, F.lit(0)).alias("_base"), F.sum("_n").over(Window.partitionBy(by)).alias("_all"))
+    start = spans.select(by, "_all").distinct().join(offsets.select(by, F.col("offset").alias("_offset")), by, "left").withColumn("_offset", F.pmod(F.coalesce("_offset", F.lit(0)), F.col("_all")))
+    step = F.least(F.greatest(F.lit(1), F.lit(size)), F.col("_all"))
+    place = F.col("_base") + F.row_number().over(Window.partitionBy(by, "_span").orderBy(order)) - 1
+    placed = listed.join(spans, [by, "_span"]).withColumn("_place", place).join(start.select(by, "_offset"), by)
+    window = placed.filter(F.pmod(F.col("_place") - F.col("_offset"), F.col("_all")) < step).select(*[F.col(f"`{c}`") for c in rows.columns])
+    return window, start.select(by, F.pmod(F.col("_offset") + step, F.col("_all")).alias("offset"))

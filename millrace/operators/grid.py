@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as pst
 
@@ -86,16 +86,14 @@ def item_blocks(items: DataFrame) -> DataFrame:
     return items.mapInArrow(run, "block binary")
 
 
-def query_blocks(queries: DataFrame, groups: int) -> DataFrame:
-    """(q, query_block): rows (id, vector, further columns) in `groups` blocks by a hash of the id."""
-    key = queries.columns[0]
+def query_blocks(queries: DataFrame, q: Column) -> DataFrame:
+    """(q, query_block): rows (id, vector, further columns) in one block for each value of `q`, a number."""
 
     def run(table: pa.Table) -> pa.Table:
         packed = _pack(table.drop_columns(["q"]))
         return pa.table({"q": table.column("q").slice(0, 1), "query_block": pa.array([packed], pa.binary())})
 
-    numbered = queries.withColumn("q", F.pmod(F.xxhash64(key), F.lit(groups)).cast("int"))
-    return numbered.groupBy("q").applyInArrow(run, "q int, query_block binary")
+    return queries.withColumn("q", q.cast("int")).groupBy("q").applyInArrow(run, "q int, query_block binary")
 
 
 class Worker:
@@ -119,7 +117,7 @@ def meet(queries: DataFrame, items: DataFrame, worker: Callable[[], Worker], sch
     if not n:
         return items.sparkSession.createDataFrame([], pst._parse_datatype_string(schema))
     groups = -(-n // _rows_a_block(width))
-    asked, held = query_blocks(queries, groups), item_blocks(items)
+    asked, held = query_blocks(queries, F.pmod(F.xxhash64(queries.columns[0]), F.lit(groups))), item_blocks(items)
     every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
     if n * width * 8 <= broadcast_bytes:
         met = held.withColumn("q", every(groups)).join(F.broadcast(asked), "q")
@@ -127,25 +125,33 @@ def meet(queries: DataFrame, items: DataFrame, worker: Callable[[], Worker], sch
         cut = held.withColumn("s", F.pmod(F.xxhash64("block"), F.lit(slices)).cast("int")).withColumn("q", every(groups))
         met = cut.join(asked.withColumn("s", every(slices)), ["q", "s"])
 
+    return work_through(met, worker, schema)
+
+
+def work_through(met: DataFrame, worker: Callable[[], Worker], schema: str) -> DataFrame:
+    """One worker a task over pairs (q, query_block, block) of packed blocks."""
+
     def run(batches):
         work = worker()
         known: dict[int, Block] = {}
         for batch in batches:
-            for q, asked_, block in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+            for q, asked, block in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
                 if q not in known:
-                    known = {q: Block(asked_.as_py())}
+                    known = {q: Block(asked.as_py())}
                 yield from work.add(q, known[q], Block(block.as_py()))
         yield from work.finish()
 
     return met.select("q", "query_block", "block").mapInArrow(run, schema)
 
 
-def first_of_each(group: np.ndarray, score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Positions of the k best of each group, by score and then by id, in that order."""
-    order = np.lexsort((ids, -score, group))
-    g = group[order]
-    start = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])) if len(g) else np.zeros(0, np.int64)
-    place = np.arange(len(g)) - np.repeat(start, np.diff(np.concatenate([start, [len(g)]])))
+def first_of_each(groups: list[np.ndarray], score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Positions of the k best of each combination of group columns, by score and then by id, in that order."""
+    order = np.lexsort((ids, -score, *groups[::-1]))
+    fresh = np.ones(len(order), bool)
+    if len(order):
+        fresh[1:] = np.any([g[order][1:] != g[order][:-1] for g in groups], axis=0)
+    start = np.flatnonzero(fresh)
+    place = np.arange(len(order)) - np.repeat(start, np.diff(np.concatenate([start, [len(order)]])))
     return order[place < k]
 
 
@@ -171,46 +177,68 @@ def best(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Keeper(Worker):
-    """Keeps the k best rows of each (query, part) over the blocks, in numpy columns."""
+    """Keeps the k best rows of each (query, part) over the blocks, in numpy columns.
+
+    Rows of a query block are collected and cut to the best when they have doubled, so each is sorted a few times only.
+    """
 
     names: tuple[str, ...] = ("query_id", "item_id", "similarity")
 
     def __init__(self, k: int):
-        self.k, self.held, self.rows = k, {}, 0
+        self.k = k
+        self.held: dict[int, list[list[np.ndarray]]] = {}
+        self.sizes: dict[int, tuple[int, int]] = {}
 
     def keep(self, q: int, columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         """`columns` are query id, part, item id and score."""
-        old = self.held.get(q)
-        if old is not None:
-            columns = [np.concatenate(pair) for pair in zip(old, columns)]
-        _, group = np.unique(np.stack(columns[:2]), axis=1, return_inverse=True)
-        at = first_of_each(group.reshape(-1), columns[3], columns[2], self.k)
-        self.held[q] = [c[at] for c in columns]
-        self.rows += len(at) - (len(old[0]) if old is not None else 0)
-        if self.rows > HELD_ROWS:
+        self.held.setdefault(q, []).append(columns)
+        best_, rows = self.sizes.get(q, (0, 0))
+        rows += len(columns[0])
+        self.sizes[q] = (best_, rows)
+        if rows > max(1 << 18, 2 * best_):
+            self.cut(q)
+        if sum(n for _, n in self.sizes.values()) > HELD_ROWS:
             yield from self.finish()
 
+    def cut(self, q: int) -> None:
+        columns = [np.concatenate(parts) for parts in zip(*self.held[q])]
+        at = first_of_each(columns[:2], columns[3], columns[2], self.k)
+        self.held[q] = [[c[at] for c in columns]]
+        self.sizes[q] = (len(at), len(at))
+
     def batch(self, columns: list[np.ndarray]) -> pa.RecordBatch:
         query, _, item, score = columns
         return pa.RecordBatch.from_arrays([pa.array(query), pa.array(item), pa.array(score)], names=list(self.names))
 
     def finish(self):
-        for columns in self.held.values():
+        for q in list(self.held):
+            self.cut(q)
+            (columns,) = self.held.pop(q)
             if len(columns[0]):
                 yield self.batch(columns)
-        self.held, self.rows = {}, 0
+        self.sizes = {}
 
 
 class Nearest(Keeper):
-    """The k nearest items of each query by cosine, rounded to 6 digits; `below` names a query column of upper limits (exclusive)."""
+    """The k nearest items of each query by cosine, rounded to 6 digits.
+
+    `below` names a query column of upper limits (exclusive). `part` names a bigint query column that tells rows of one id
+    apart and comes out after the id; without it there should be one row a query.
+    """
 
-    def __init__(self, k: int, below: str | None = None):
+    def __init__(self, k: int, below: str | None = None, part: str | None = None):
         super().__init__(k)
-        self.below = below
+        self.below, self.part = below, part
+
+    def batch(self, columns):
+        if self.part is None:
+            return super().batch(columns)
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_id", self.part, "item_id", "similarity"])
 
     def add(self, q, queries, items):
         a, b = widths(units(queries.vectors), units(items.vectors))
         limit = queries.column(self.below).to_numpy(zero_copy_only=False) if self.below else None
+        part = queries.column(self.part).to_numpy() if self.part else np.zeros(len(a), np.int64)
         found = []
         for start in range(0, len(a), PANEL):
             sims = np.round(a[start : start + PANEL] @ b.T, 6) + 0.0
@@ -220,5 +248,4 @@ class Nearest(Keeper):
             row, col = best(sims, self.k)
             found.append((row + start, col, sims[row, col]))
         row, col, score = (np.concatenate(x) for x in zip(*found))
-        # a query is a part of its own, so that two rows of one id stay apart
-        yield from self.keep(q, [queries.ids[row], row, items.ids[col], score])
+        yield from self.keep(q, [queries.ids[row], part[row], items.ids[col], score])

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from millrace.functions import scores as S
 from millrace.functions import text as T
 from millrace.operators import evaluate as E
+from millrace.operators import grid
 from millrace.operators.intent import derived_terms, extract_intent
 from millrace.operators.retrieve import TOKEN, top_k
 
@@ -92,13 +93,21 @@ def best_items(qrels: DataFrame) -> DataFrame:
     return top_k(qrels, 1, [F.desc("grade"), "item_id"]).drop("rank")
 
 
-def mine_triplets(positives: DataFrame, sims: DataFrame, share: float = 0.95, k: int = 5) -> DataFrame:
-    """(query_id, pos, neg, turn): for each positive the nearest non-positives clearly below it."""
-    known = positives.join(sims, ["query_id", "item_id"]).select("query_id", F.col("item_id").alias("pos"), F.col("similarity").alias("pos_sim"))
-    others = sims.join(positives, ["query_id", "item_id"], "left_anti")
-    near = others.join(known, "query_id").filter(F.col("similarity") < share * F.col("pos_sim"))
+def mine_triplets(positives: DataFrame, queries: DataFrame, items: DataFrame, share: float = 0.95, k: int = 5) -> DataFrame:
+    """(query_id, pos, neg, turn): for each positive the k nearest non-positives clearly below it.
+
+    `positives` has query_id, item_id and similarity. A positive asks with its query's vector for items below `share` of its own
+    similarity; as other positives of the query may be among them, so many more are fetched, and only these few
+    rows leave the tasks.
+    """
+    known = positives.select("query_id", F.col("item_id").alias("pos"), F.col("similarity").alias("pos_sim"))
+    most = known.groupBy("query_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    asked = queries.filter("query_vector IS NOT NULL").join(known, "query_id").select("query_id", "query_vector", "pos", (F.lit(share) * F.col("pos_sim")).alias("limit"))
+    held = items.filter("embedding IS NOT NULL").select("item_id", "embedding")
+    near = grid.meet(asked, held, lambda: grid.Nearest(k + most, below="limit", part="pos"), "query_id bigint, pos bigint, item_id bigint, similarity double")
+    others = near.join(known.select("query_id", F.col("pos").alias("item_id")), ["query_id", "item_id"], "left_anti")
     turn = F.row_number().over(Window.partitionBy("query_id", "pos").orderBy(F.desc("similarity"), "item_id"))
-    return near.withColumn("turn", turn).filter(F.col("turn") <= k).select("query_id", "pos", F.col("item_id").alias("neg"), "turn")
+    return others.withColumn("turn", turn).filter(F.col("turn") <= k).select("query_id", "pos", F.col("item_id").alias("neg"), "turn")
 
 
 FEATURES = ("relevance", "fused_share", "kw_rank", "similarity", "remix", "quality", "underground", "recency", "popularity", "substance", "hype", "has_code")

@@ -3,21 +3,18 @@
 from __future__ import annotations
 
 import ahocorasick
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
+from millrace.operators import grid
 
 TOKEN = "([a-z][a-z0-9+.#-]*|[0-9]+[a-z]*)"
 #: Share of a term by the weight class of its field.
 CLASS_WEIGHTS = {"A": 1.0, "B": 0.4, "C": 0.2, "D": 0.1}
 FUSION = {"keyword": 1.31, "vector": 0.60, "intent": 0.28}
 RRF_K = 60
-QUERY_BLOCK = 512
-#: So many query vectors go to the tasks at a time; more are taken in turns.
-QUERY_TURN = 20_000
 #: Up to so many different terms one automaton of them goes to every task; beyond it candidates are joined.
 BROADCAST_TERMS = 200_000
 
@@ -28,51 +25,15 @@ def top_k(rows: DataFrame, k: int, order: list, by: str = "query_id", rank: str
     return rows.withColumn(rank, turn).filter(F.col(rank) <= k)
 
 
-def similarities(queries: DataFrame, items: DataFrame, k: int | None = None) -> DataFrame:
-    """(query_id, item_id, similarity) by cosine, rounded to 6 digits; with k only the k nearest in each Arrow batch.
+def similarities(queries: DataFrame, items: DataFrame, k: int, **options) -> DataFrame:
+    """(query_id, item_id, similarity) by cosine, rounded to 6 digits: at least the k nearest items of each query.
 
-    The query vectors, a stated set, are sent to the tasks QUERY_TURN at a time; each batch of
-    items is one matrix product a block of them. Null vectors on either side have no similarity.
+    Blocks of queries meet blocks of items (`grid.meet`), each task keeps k rows a query; nothing but counts comes to the
+    driver, and items are read once for any number of queries. Null vectors on either side have no similarity.
     """
-    asked = queries.filter("query_vector IS NOT NULL").select("query_id", F.col("query_vector").cast("array<double>").alias("v"))
-    turns = max(1, -(-asked.count() // QUERY_TURN))
-    out = None
-    for turn in range(turns):
-        part = asked if turns == 1 else asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(turns)) == turn)
-        rows = _similar_to(part, items, k)
-        out = rows if out is None else out.union(rows)
-    return out
-
-
-def _similar_to(asked: DataFrame, items: DataFrame, k: int | None) -> DataFrame:
-    q = asked.orderBy("query_id").toPandas()
-    ids, size = q["query_id"].to_numpy(), len(q["v"].iloc[0]) if len(q) else 0
-    matrix = np.array(q["v"].tolist(), float).reshape(len(q), size)
-    norm = np.linalg.norm(matrix, axis=1, keepdims=True)
-    shared = items.sparkSession.sparkContext.broadcast((ids, np.divide(matrix, norm, where=norm > 0, out=np.zeros_like(matrix))))
-
-    def run(batches):
-        ids, unit = shared.value
-        for batch in batches:
-            if not batch.num_rows or not len(ids):
-                continue
-            x = np.array(batch.column(1).flatten().to_numpy(zero_copy_only=False), float).reshape(batch.num_rows, -1)
-            n = np.linalg.norm(x, axis=1, keepdims=True)
-            x = np.divide(x, n, where=n > 0, out=np.zeros_like(x))
-            own = batch.column(0).to_numpy(zero_copy_only=False)
-            for start in range(0, len(ids), QUERY_BLOCK):
-                sims = np.round(unit[start : start + QUERY_BLOCK] @ x.T, 6) + 0.0
-                if k is None or k >= sims.shape[1]:
-                    at = np.broadcast_to(np.arange(sims.shape[1]), sims.shape)
-                else:
-                    # the order is by similarity, then id, as in the final cut
-                    at = np.lexsort((np.broadcast_to(own, sims.shape), -sims))[:, :k]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(ids[start : start + QUERY_BLOCK], at.shape[1])), pa.array(own[at].reshape(-1)), pa.array(np.take_along_axis(sims, at, 1).reshape(-1))],
-                    names=["query_id", "item_id", "similarity"],
-                )
-
-    return items.filter("embedding IS NOT NULL").select("item_id", "embedding").mapInArrow(run, "query_id bigint, item_id bigint, similarity double")
+    asked = queries.filter("query_vector IS NOT NULL").select("query_id", "query_vector")
+    held = items.filter("embedding IS NOT NULL").select("item_id", "embedding")
+    return grid.meet(asked, held, lambda: grid.Nearest(k), "query_id bigint, item_id bigint, similarity double", **options)
 
 
 def vector_search(queries: DataFrame, items: DataFrame, k: int = 100, min_similarity: float = 0.0) -> DataFrame:
@@ -262,6 +223,19 @@ def prf_expand(queries: DataFrame, items: DataFrame, first: DataFrame, top: int
     return moved.withColumn("norm", norm).select("query_id", F.transform("v", lambda x: x / F.col("norm")).alias("query_vector"))
 
 
+def with_feedback(queries: DataFrame, items: DataFrame, first: DataFrame, k: int = 100, top: int = 5, share: float = 0.5) -> DataFrame:
+    """(query_id, item_id, similarity, rank): the first hits, followed by what a probe with the moved vectors adds.
+
+    The order is not changed by the second probe: new hits rank after all first ones, in their own order and with their
+    similarity to the moved vector. A query without first hits gets none. `first` is read twice, so it should be a written table.
+    """
+    moved = prf_expand(queries, items, first, top, share)
+    probe = vector_search(moved, items, k)
+    new = probe.join(first.select("query_id", "item_id"), ["query_id", "item_id"], "left_anti")
+    both = first.select("query_id", "item_id", "similarity", "rank", F.lit(0).alias("leg")).unionByName(new.select("query_id", "item_id", "similarity", "rank", F.lit(1).alias("leg")))
+    return both.select("query_id", "item_id", "similarity", F.row_number().over(Window.partitionBy("query_id").orderBy("leg", "rank")).alias("rank"))
+
+
 def rrf(legs: dict[str, DataFrame], weights: dict[str, float] | None = None, k: int = RRF_K) -> DataFrame:
     """Weighted reciprocal-rank fusion: (query_id, item_id, fused), rounded to 9 digits."""
     weights = FUSION | (weights or {})

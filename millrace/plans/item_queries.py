@@ -61,13 +61,20 @@ def _(s, d):
     return X.items(s, d).filter(B.any_substring(["the%", "Ouer"], "title", "summary")).select("item_id")
 
 
+NOISE = " OR ".join(f"contains(lower(title), '{w}')" for w in B.NOISE_TITLES)
+#: Every eleventh title gets a word of the noise table, so that all of them are met.
+NOISY = f"CASE WHEN item_id % 11 = 0 THEN title || ' ' || {list(B.NOISE_TITLES)}[item_id % {len(B.NOISE_TITLES)} + 1] ELSE title END"
+
+
 @query(
     "b6_heuristic_gate",
-    sql("items", """SELECT item_id, length(title || ' ' || summary || ' ' || use_case) >= 60 AND NOT (contains(lower(title), 'hiring') OR contains(lower(title), 'the the'))
-    AND (len(tools) > 0 OR len(tags) > 0 OR has_code) AS passed FROM items"""),
+    sql("items", f"""SELECT item_id, length(trim(title || ' ' || summary || ' ' || use_case || ' ' || core)) >= 60 AND NOT ({NOISE})
+    AND (len(frameworks) > 0 OR len(tools) > 0 OR len(languages) > 0 OR len(tags) > 0 OR has_code) AS passed FROM (SELECT * REPLACE ({NOISY} AS title) FROM items)"""),
 )
 def _(s, d):
-    return X.items(s, d).select("item_id", B.heuristic_gate(("title", "summary", "use_case"), noise=("hiring", "the the")).alias("passed"))
+    word = F.element_at(F.array(*map(F.lit, B.NOISE_TITLES)), (F.col("item_id") % len(B.NOISE_TITLES) + 1).cast("int"))
+    noisy = X.items(s, d).withColumn("title", F.when(F.col("item_id") % 11 == 0, F.concat("title", F.lit(" "), word)).otherwise(F.col("title")))
+    return noisy.select("item_id", B.heuristic_gate(("title", "summary", "use_case", "core")).alias("passed"))
 
 
 COS = "(list_sum(list_transform(range(1, len({0}) + 1), lambda i: {0}[i]::DOUBLE * {1}[i]::DOUBLE)) / (sqrt(list_sum(list_transform({0}, lambda x: x::DOUBLE * x::DOUBLE))) * sqrt(list_sum(list_transform({1}, lambda x: x::DOUBLE * x::DOUBLE)))))"
@@ -75,11 +82,13 @@ COS = "(list_sum(list_transform(range(1, len({0}) + 1), lambda i: {0}[i]::DOUBLE
 
 @query(
     "b7_semantic_gate",
-    sql("query_vectors item_vectors", f"""SELECT query_id, item_id, round_even({COS.format('query_vector', 'embedding')}, 6) AS similarity
-    FROM query_vectors, item_vectors WHERE round_even({COS.format('query_vector', 'embedding')}, 6) >= 0.22"""),
+    sql("items query_vectors", f"""SELECT query_id, item_id, similarity FROM (SELECT c.query_id, item_id, CASE WHEN query_vector IS NULL OR embedding IS NULL THEN 0.0::DOUBLE ELSE round_even({COS.format('query_vector', 'embedding')}, 6) END AS similarity, query_vector IS NULL OR embedding IS NULL AS unknown
+    FROM (SELECT item_id, item_id % 7 AS query_id, CASE WHEN item_id % 13 <> 0 THEN embedding END AS embedding FROM items LEFT JOIN embeddings ON vec_id = item_id) c LEFT JOIN (SELECT query_id, CASE WHEN query_id <> 3 THEN query_vector END AS query_vector FROM query_vectors) q ON q.query_id = c.query_id)
+    WHERE unknown OR similarity >= 0.22"""),
 )
 def _(s, d):
-    return B.semantic_gate(X.query_vectors(s, d), X.items(s, d, embedding=True).filter("embedding IS NOT NULL").select("item_id", "embedding"))
+    found = X.items(s, d, embedding=True).select("item_id", (F.col("item_id") % 7).alias("query_id"), F.when(F.col("item_id") % 13 != 0, F.col("embedding")).alias("embedding"))
+    return B.semantic_gate(found, X.query_vectors(s, d).withColumn("query_vector", F.when(F.col("query_id") != 3, F.col("query_vector"))))
 
 
 @query("b8_prefilter", sql("items", "SELECT item_id FROM items WHERE NOT has_paper AND NOT (coalesce(stars, 0) < 900 AND length(summary) < 100)"))

@@ -15,6 +15,7 @@ from millrace.operators import learn as L
 from millrace.operators import rank as R
 from millrace.operators import retrieve as J
 from millrace.operators import stats as D
+from millrace.operators.vector_index import VectorIndex
 from millrace.plans.item_queries import AGED, COS, FINAL, REC, SUBST, UNDER, now
 from millrace.plans.registry import query
 from millrace.sources.tables import shared_folder
@@ -169,17 +170,26 @@ def _(s, d):
     return L.lsh_search(X.query_vectors(s, d), vectors(s, d), k=10)
 
 
+@query("j7b_vector_search_cells")
+def _(s, d):
+    return VectorIndex.build(vectors(s, d), shared_folder(s, "index")).search(X.query_vectors(s, d), vectors(s, d), 10)
+
+
 MOVED = """first5 AS (SELECT query_id, item_id FROM vec WHERE rank <= 5),
 means AS (SELECT query_id, i, avg(embedding[i]::DOUBLE) AS m FROM first5 JOIN item_vectors USING (item_id) CROSS JOIN (SELECT unnest(range(1, 65)) AS i) GROUP BY query_id, i),
 moved AS (SELECT query_id, list(query_vector[i]::DOUBLE + 0.5::DOUBLE * m ORDER BY i) AS query_vector FROM means JOIN query_vectors USING (query_id) GROUP BY query_id),
 sims2 AS (SELECT query_id, item_id, round_even(""" + COS.format("query_vector", "embedding") + """, 6) AS similarity FROM moved, item_vectors)"""
 
 
-@query("j8_prf_expand", sql("query_vectors item_vectors", "SELECT query_id, item_id, similarity, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, item_id) AS rank FROM sims2) WHERE rank <= 20", SIM, VEC, MOVED))
+#: The first hits, then what the moved vectors find beyond them; a hit of both keeps the similarity to the vector as it was.
+PRF = """probe AS (SELECT query_id, item_id, greatest(similarity, 0.0::DOUBLE) AS similarity, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, item_id) AS rank FROM sims2) WHERE rank <= 100),
+prf AS (SELECT query_id, item_id, similarity, row_number() OVER (PARTITION BY query_id ORDER BY leg, rank) AS rank FROM (
+  SELECT query_id, item_id, similarity, rank, 0 AS leg FROM vec UNION ALL SELECT query_id, item_id, similarity, rank, 1 FROM probe ANTI JOIN vec USING (query_id, item_id)))"""
+
+
+@query("j8_prf_expand", sql("query_vectors item_vectors", "SELECT query_id, item_id, similarity, rank FROM prf", SIM, VEC, MOVED, PRF))
 def _(s, d):
-    v = vectors(s, d)
-    moved = J.prf_expand(X.query_vectors(s, d), v, vec_leg(s, d))
-    return J.top_k(J.similarities(moved, v, 20), 20, [F.desc("similarity"), "item_id"])
+    return J.with_feedback(X.query_vectors(s, d), vectors(s, d), written(s, vec_leg(s, d)))
 
 
 @query("d10_rocchio", sql("query_vectors item_vectors", "SELECT query_id, round_even(list_sum(list_transform(query_vector, lambda x: x / n)), 6) AS total FROM (SELECT query_id, query_vector, sqrt(list_sum(list_transform(query_vector, lambda x: x * x))) AS n FROM moved)", SIM, VEC, MOVED))
@@ -579,8 +589,8 @@ TRIPLETS = """triplets AS (SELECT query_id, pos, item_id AS neg, turn FROM (SELE
 
 @query("k10_mine_triplets", sql("query_vectors item_vectors", "SELECT query_id, pos, neg, turn FROM triplets", SIM, VEC, TRIPLETS))
 def _(s, d):
-    positives = vec_leg(s, d).filter("rank <= 3").select("query_id", "item_id")
-    return L.mine_triplets(positives, J.similarities(X.query_vectors(s, d), vectors(s, d)))
+    positives = written(s, vec_leg(s, d).filter("rank <= 3").select("query_id", "item_id", "similarity"))
+    return L.mine_triplets(positives, X.query_vectors(s, d), vectors(s, d))
 
 
 _FEATURES = {"relevance": "relevance", "fused_share": "least(1.0::DOUBLE, 45 * fused)", "kw_rank": "coalesce(kw_rank, 0)", "similarity": "coalesce(similarity, 0)", "remix": "remix / 100", "quality": "quality / 100", "underground": f"{UNDER} / 100", "recency": REC, "popularity": "popularity / 100", "substance": SUBST, "hype": "hype / 100", "has_code": "has_code::DOUBLE"}

@@ -9,6 +9,7 @@ from millrace.fixtures import sql
 from millrace.functions import scores as S
 from millrace.functions import text as T
 from millrace.operators import evaluate as E
+from millrace.operators import filters as B
 from millrace.operators import intent as I
 from millrace.operators import learn as L
 from millrace.operators import stats as D
@@ -245,10 +246,25 @@ def _(s, d):
     return L.merge_queries(q.filter("query_id < 20").select(F.col("query_id").alias("no"), "query"), q.select("query"))
 
 
-@query("e9_window_rotation", sql("items", "SELECT item_id FROM items WHERE (item_id - 7 + (SELECT count(*) FROM items)) % (SELECT count(*) FROM items) < 12"))
+def rotated(s, d):
+    """Lists by source, every third id left out, and offsets of all but one source."""
+    rows = X.items(s, d).filter("item_id % 3 <> 1").select("source_type", "item_id")
+    offsets = rows.groupBy("source_type").agg((F.max("item_id") % 97 + 90).alias("offset")).filter("source_type <> 'src2'")
+    return B.rotate(rows, offsets, 12)
+
+
+ROTATED = """lists AS (SELECT source_type, item_id, row_number() OVER (PARTITION BY source_type ORDER BY item_id) - 1 AS place, count(*) OVER (PARTITION BY source_type) AS n FROM items WHERE item_id % 3 <> 1),
+offsets AS (SELECT source_type, n, CASE WHEN source_type <> 'src2' THEN max(item_id) % 97 + 90 ELSE 0 END % n AS start FROM lists GROUP BY source_type, n)"""
+
+
+@query("e9_window_rotation", sql("items", "SELECT source_type, item_id FROM lists JOIN offsets o USING (source_type) WHERE (place - start + o.n) % o.n < least(12, o.n)", ROTATED))
+def _(s, d):
+    return rotated(s, d)[0]
+
+
+@query("e9b_next_offsets", sql("items", "SELECT source_type, (start + least(12, n)) % n AS offset FROM offsets", ROTATED))
 def _(s, d):
-    n = X.items(s, d).agg(F.count("*").alias("n"))
-    return X.items(s, d).join(F.broadcast(n)).filter(F.pmod(F.col("item_id") - 7, F.col("n")) < 12).select("item_id")
+    return rotated(s, d)[1]
 
 
 _MORE = ", ".join(f"('{t}', {list(w)})" for t, w in I.SYNONYMS.items())
@@ -327,6 +343,20 @@ def _(s, d):
     return jobs.click_through(X.impressions(s, d), X.usage(s, d).filter("kind = 'click'"))
 
 
+def clicked_impressions(s, d):
+    """Impressions, and clicks on some of them up to 400 minutes later."""
+    shown = X.impressions(s, d)
+    clicks = shown.filter("pos = event_id % 20 AND event_id % 3 = 0").select("query_id", "item_id", (F.col("ts") + F.make_dt_interval(mins=(F.col("event_id") % 400).cast("int"))).alias("ts"))
+    return shown, clicks
+
+
+@query("s4b_click_rates", sql("usage impressions", """SELECT time_bucket(INTERVAL 1 DAY, shown_at) AS start, pos, sum(shown)::BIGINT AS shown, sum(clicked)::BIGINT AS clicks, round_even(sum(clicked) / sum(shown)::DOUBLE, 6) AS ctr FROM (
+  SELECT ts AS shown_at, pos, 1 AS shown, 0 AS clicked FROM impressions UNION ALL SELECT i.ts, i.pos, 0, 1 FROM impressions i JOIN
+  (SELECT query_id, item_id, ts + to_minutes(event_id % 400) AS ts FROM impressions WHERE pos = event_id % 20 AND event_id % 3 = 0) c ON c.query_id = i.query_id AND c.item_id = i.item_id AND c.ts >= i.ts AND c.ts <= i.ts + INTERVAL 6 HOUR) GROUP BY 1, 2"""))
+def _(s, d):
+    return jobs.click_rates(*clicked_impressions(s, d))
+
+
 def streamed(s, d, make):
     """A stream over the events table, run to its end into the shared folder and read back."""
     base = shared_folder(s, "stream")

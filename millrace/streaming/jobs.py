@@ -29,6 +29,20 @@ def click_through(impressions: DataFrame, clicks: DataFrame, within: str = "6 ho
     return i.join(c, near).select("query_id", "item_id", "pos", "shown_at", "clicked_at")
 
 
+def click_rates(impressions: DataFrame, clicks: DataFrame, size: str = "1 day", within: str = "6 hours", late: str = "2 hours") -> DataFrame:
+    """(start, pos, shown, clicks, ctr): how often each position was shown and clicked, by the time it was shown.
+
+    Impressions and the clicks that join them go through one windowed sum, so an impression with two clicks is shown once. On a
+    stream a window is given out when its last impressions can have no more clicks.
+    """
+    joined = click_through(impressions, clicks, within, late).select("shown_at", "pos", F.lit(0).alias("shown"), F.lit(1).alias("clicked"))
+    shown = impressions.select(F.col("ts").alias("shown_at"), "pos", F.lit(1).alias("shown"), F.lit(0).alias("clicked"))
+    if impressions.isStreaming:
+        shown = shown.withWatermark("shown_at", late)
+    sums = shown.unionByName(joined).groupBy(F.window("shown_at", size).alias("w"), "pos").agg(F.sum("shown").alias("shown"), F.sum("clicked").alias("clicks"))
+    return sums.select(F.col("w.start").alias("start"), "pos", "shown", "clicks", F.bround(F.col("clicks") / F.col("shown"), 6).alias("ctr"))
+
+
 def first_seen(rows: DataFrame, keys: list[str], late: str = "1 hour") -> DataFrame:
     """Repeats across batches go; on a stream within the watermark."""
     if rows.isStreaming:

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import text as T
 from millrace.operators import evaluate as E
+from millrace.operators import filters as B
 from millrace.operators import learn as L
 from millrace.operators import retrieve as J
 from millrace.operators.rank import mmr
@@ -102,6 +103,29 @@ def test_stream_equals_batch(spark, tmp_path):
     assert closed.exceptAll(batch).count() == 0
 
 
+def test_click_rates_stream_equals_batch(spark, tmp_path):
+    shown = spark.range(400).selectExpr("id % 7 AS query_id", "id AS item_id", "cast(id % 4 AS int) AS pos", "timestamp'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, id) AS ts")
+    clicks = shown.filter("item_id % 3 = 0").selectExpr("query_id", "item_id", "ts + make_interval(0, 0, 0, 0, item_id % 9) AS ts")
+    clicks = clicks.unionByName(clicks.filter("item_id % 30 = 0"))  # some are clicked twice
+    batch = jobs.click_rates(shown, clicks)
+    want = {}
+    for i in range(400):
+        n = want.setdefault((i // 24, i % 4), [0, 0])
+        n[0] += 1
+        n[1] += (1 + (i % 30 == 0)) * (i % 3 == 0 and i % 9 <= 6)
+    got = {((r["start"] - min(x["start"] for x in batch.collect())).days, r["pos"]): [r["shown"], r["clicks"]] for r in batch.collect()}
+    assert got == want
+    for name, rows in (("i", shown), ("c", clicks)):
+        for day in range(0, 18, 4):  # files in the order of their times
+            since = F.datediff("ts", F.lit("2024-01-01"))
+            rows.filter((since >= day) & (since < day + 4)).coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+    streams = [jobs.read_stream(spark, str(tmp_path / name), rows.schema, 1) for name, rows in (("i", shown), ("c", clicks))]
+    for _ in range(2):  # a restart adds nothing
+        jobs.run_to_end(jobs.click_rates(*streams), str(tmp_path / "out"), str(tmp_path / "check"))
+    closed = spark.read.parquet(str(tmp_path / "out"))
+    assert closed.count() > 20 and closed.exceptAll(batch).count() == 0
+
+
 def test_ingest_stream(spark, tmp_path):
     posts = [f'{{"objectID": "{i}", "title": "t{i}", "url": "http://x.com/{i % 3}", "points": 9, "created_at": "2024-01-02"}}' for i in range(6)]
     spark.createDataFrame([(p,) for p in posts], "value string").coalesce(1).write.parquet(str(tmp_path / "in"))
@@ -126,7 +150,23 @@ def test_lsh_recall(spark):
     rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     asked = rows.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
     items = rows.select(F.col("vec_id").alias("item_id"), "embedding")
-    exact = J.top_k(J.similarities(asked, items), 10, [F.desc("similarity"), "item_id"]).select("query_id", "item_id")
+    exact = J.top_k(J.similarities(asked, items, 10), 10, [F.desc("similarity"), "item_id"]).select("query_id", "item_id")
     found = L.lsh_search(asked, items, k=10).select("query_id", "item_id")
     n, hits = exact.count(), exact.join(found, ["query_id", "item_id"]).count()
     assert n == 400 and hits >= 0.9 * n
+
+
+def test_rotation_goes_round(spark):
+    rows = spark.createDataFrame([("a", 3), ("a", 10), ("a", 50_000), ("a", 9_000), ("b", 7), (None, 1), ("b", None)], "source_type string, item_id bigint")
+    offsets = spark.createDataFrame([("a", 3), ("c", 1)], "source_type string, offset bigint")
+    window, after = B.rotate(rows, offsets, 2)
+    assert {tuple(r) for r in window.collect()} == {("a", 50_000), ("a", 3), ("b", 7)}
+    assert {tuple(r) for r in after.collect()} == {("a", 1), ("b", 0)}
+    again, _ = B.rotate(rows, after, 2)
+    assert {tuple(r) for r in again.collect()} == {("a", 10), ("a", 9_000), ("b", 7)}
+
+
+def test_semantic_gate_passes_the_unknown(spark):
+    found = spark.createDataFrame([(1, 10, [1.0, 0.0]), (1, 11, [0.0, 1.0]), (1, 12, None), (2, 13, [1.0, 0.0]), (3, 14, [1.0]), (1, 15, [0.0, 0.0])], "query_id bigint, item_id bigint, embedding array<double>")
+    asked = spark.createDataFrame([(1, [1.0, 0.1]), (2, None)], "query_id bigint, query_vector array<double>")
+    assert {r["item_id"]: r["similarity"] for r in B.semantic_gate(found, asked).collect()} == {10: 0.995037, 12: 0.0, 13: 0.0, 14: 0.0}

@@ -91,16 +91,6 @@ def test_terms_by_automaton_and_by_join(spark, monkeypatch):
     assert "Join Cross" not in plan
 
 
-def test_query_vectors_in_turns(spark, monkeypatch):
-    draw = np.random.default_rng(1)
-    rows = [(i, draw.normal(size=4).tolist()) for i in range(40)]
-    items = spark.createDataFrame(rows, "item_id bigint, embedding array<double>")
-    asked = spark.createDataFrame(rows[:15], "query_id bigint, query_vector array<double>")
-    want = sorted(map(tuple, J.similarities(asked, items).collect()))
-    monkeypatch.setattr(J, "QUERY_TURN", 4)
-    assert sorted(map(tuple, J.similarities(asked, items).collect())) == want
-
-
 def test_rerankers(spark):
     hits = spark.createDataFrame([(1, 10, 0.9, "red"), (1, 11, 0.8, "blue sky"), (1, 12, 0.7, "green")], "query_id bigint, item_id bigint, final double, summary string")
     queries = spark.createDataFrame([(1, "blue sky")], "query_id bigint, query string")
