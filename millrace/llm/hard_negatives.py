@@ -110,7 +110,7 @@ class Slots(grid.Keeper):
             row = part[row]
             # the last positive whose upper limit is not passed
             slot = ((high[row] >= score[:, None]) & place[row]).sum(axis=1) - 1
-            at = grid.first_of_each(row * place.shape[1] + slot, score, items.ids[col], self.k)
+            at = grid.first_of_each([row, slot], score, items.ids[col], self.k)
             found.append((queries.ids[row[at]], slot[at], items.ids[col[at]], score[at]))
         if found:
             yield from self.keep(q, [np.concatenate(x) for x in zip(*found)])
