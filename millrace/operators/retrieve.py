@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import text as T
 from millrace.operators import grid
+from millrace.operators.intent import intent_terms
 
 TOKEN = "([a-z][a-z0-9+.#-]*|[0-9]+[a-z]*)"
 #: Share of a term by the weight class of its field.
@@ -46,10 +49,11 @@ def tokens(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit(TOKEN), 1)
 
 
-def postings(items: DataFrame, fields: dict[str, str], stopwords=T.STOPWORDS) -> DataFrame:
-    """(term, item_id, weight, n, positions): one row a term and item; weight is that of the strongest class sum.
+def postings(items: DataFrame, fields: dict[str, str], stopwords=T.STOPWORDS, terms: DataFrame | None = None) -> DataFrame:
+    """(term, item_id, weight, n, positions): one row a term and item; the weight is the sum over its places.
 
-    `fields` maps a text column to its class. Positions count on through the fields.
+    `fields` maps a text column to its class. Positions count on through the fields. With `terms` only places of those terms
+    leave the text they are in: up to BROADCAST_TERMS of them are sent to all tasks, more are joined.
     """
 
     def numbered(c: str, w: Column, start: Column) -> Column:
@@ -62,9 +66,17 @@ def postings(items: DataFrame, fields: dict[str, str], stopwords=T.STOPWORDS) ->
         parts.append(numbered(c, F.lit(CLASS_WEIGHTS[cls]), base))
         base = base + F.size(f"_{c}")
     exploded = rows.select("item_id", F.explode(F.concat(*parts)).alias("p")).select("item_id", "p.*").filter(~F.col("term").isin(list(stopwords)))
+    if terms is not None:
+        exploded = exploded.join(bounded(terms.select("term").distinct()), "term", "left_semi")
     return exploded.groupBy("term", "item_id").agg(F.sum("w").alias("weight"), F.count("*").alias("n"), F.sort_array(F.collect_list("pos")).alias("positions"))
 
 
+def bounded(keys: DataFrame, most: int | None = None) -> DataFrame:
+    """The keys, marked for a broadcast if a count finds at most BROADCAST_TERMS of them."""
+    most = BROADCAST_TERMS if most is None else most
+    return F.broadcast(keys) if keys.limit(most + 1).count() <= most else keys
+
+
 def keyword_or_leg(terms: DataFrame, posts: DataFrame, k: int = 100, max_share: float | None = None, n_items: int | None = None) -> DataFrame:
     """Items with any term of the query: r / (r + 1) of the summed weights, the k best.
 
@@ -102,24 +114,38 @@ def keyword_and_leg(terms: DataFrame, posts: DataFrame, k: int = 100) -> DataFra
     return top_k(scored.select("query_id", "item_id", F.bround(F.col("r") / (F.col("r") + 1), 6).alias("kw_rank")), k, [F.desc("kw_rank"), "item_id"])
 
 
-def web_terms(queries: DataFrame) -> DataFrame:
-    """(query_id, phrase, excluded): quoted phrases, single words and -words of a web-style query."""
+def web_terms(queries: DataFrame, stopwords=T.STOPWORDS) -> DataFrame:
+    """(query_id, choice, part, excluded, i, term): the words of a web-style query.
+
+    `or` sets choices apart. The parts of a choice, quoted phrases and single words, must all be there; those with a minus must
+    not. i is a word's place in its part; stop words leave their places empty.
+    """
     parts = F.regexp_extract_all("query", F.lit('(-?"[^"]+"|[^ ]+)'), 1)
-    rows = queries.select("query_id", F.explode(parts).alias("raw")).filter(F.lower("raw") != "or")
-    return rows.select("query_id", F.array_join(tokens("raw"), " ").alias("phrase"), F.startswith("raw", F.lit("-")).alias("excluded")).filter("phrase <> ''").distinct()
+    rows = queries.select("query_id", F.posexplode(parts).alias("at", "raw"))
+    choice = F.count_if(F.lower("raw") == "or").over(Window.partitionBy("query_id").orderBy("at"))
+    rows = rows.withColumn("choice", choice).filter(F.lower("raw") != "or")
+    rows = rows.select("query_id", "choice", F.array_join(tokens("raw"), " ").alias("part"), F.startswith("raw", F.lit("-")).alias("excluded")).filter("part <> ''").distinct()
+    words = rows.select("*", F.posexplode(F.split("part", " ")).alias("i", "term"))
+    return words.filter(~F.col("term").isin(list(stopwords)))
 
 
 def keyword_web_leg(queries: DataFrame, posts: DataFrame, k: int = 100) -> DataFrame:
-    """Words and quoted phrases of the query are alternatives; items with an excluded one go."""
-    wanted = web_terms(queries)
-    words = wanted.select("query_id", "phrase", "excluded", F.posexplode(F.split("phrase", " ")).alias("i", "term"))
-    size = F.size(F.split("phrase", " "))
-    at = posts.join(words, "term").select("query_id", "phrase", "excluded", "item_id", "i", "weight", F.explode("positions").alias("pos"))
-    runs = at.groupBy("query_id", "phrase", "excluded", "item_id", (F.col("pos") - F.col("i")).alias("start")).agg(F.countDistinct("i").alias("c"), F.sum("weight").alias("w"))
-    matched = runs.filter(F.col("c") == size).groupBy("query_id", "item_id", "phrase", "excluded").agg(F.max("w").alias("w"))
-    bad = matched.filter("excluded").select("query_id", "item_id").distinct()
-    good = matched.filter("NOT excluded").join(bad, ["query_id", "item_id"], "left_anti").groupBy("query_id", "item_id").agg(F.sum("w").alias("r"))
-    return top_k(good.select("query_id", "item_id", F.bround(F.col("r") / (F.col("r") + 1), 6).alias("kw_rank")), k, [F.desc("kw_rank"), "item_id"])
+    """Items that fit a choice of the query (see web_terms); their weight is the sum over the parts of all choices that fit.
+
+    A choice without a wanted part finds nothing.
+    """
+    words = web_terms(queries)
+    part = ["query_id", "choice", "part", "excluded"]
+    need = words.groupBy(*part).agg(F.countDistinct("i").alias("size"))
+    parts = need.filter("NOT excluded").groupBy("query_id", "choice").agg(F.count("*").alias("parts"))
+    at = posts.join(words, "term").select(*part, "item_id", "i", "weight", F.explode("positions").alias("pos"))
+    runs = at.groupBy(*part, "item_id", (F.col("pos") - F.col("i")).alias("start")).agg(F.countDistinct("i").alias("c"), F.sum("weight").alias("w"))
+    matched = runs.join(need, part).filter(F.col("c") == F.col("size")).groupBy(*part, "item_id").agg(F.max("w").alias("w"))
+    choice = ["query_id", "choice", "item_id"]
+    bad = matched.filter("excluded").select(*choice).distinct()
+    good = matched.filter("NOT excluded").join(bad, choice, "left_anti").groupBy(*choice).agg(F.count("*").alias("found"), F.sum("w").alias("w"))
+    fits = good.join(parts, ["query_id", "choice"]).filter(F.col("found") == F.col("parts")).groupBy("query_id", "item_id").agg(F.sum("w").alias("r"))
+    return top_k(fits.select("query_id", "item_id", F.bround(F.col("r") / (F.col("r") + 1), 6).alias("kw_rank")), k, [F.desc("kw_rank"), "item_id"])
 
 
 def merge_hits(*legs: DataFrame) -> DataFrame:
@@ -140,9 +166,9 @@ def merge_hits(*legs: DataFrame) -> DataFrame:
     return merged.withColumn("arrival", arrival).drop("seen")
 
 
-def keyword_search(terms: DataFrame, posts: DataFrame, queries: DataFrame, k: int = 100) -> DataFrame:
-    """The keyword legs in one: the best rank of each item, the k best."""
-    merged = merge_hits(keyword_or_leg(terms, posts, k), keyword_and_leg(terms, posts, k), keyword_web_leg(queries, posts, k))
+def keyword_search(any_terms: DataFrame, all_terms: DataFrame, queries: DataFrame, posts: DataFrame, k: int = 100) -> DataFrame:
+    """The keyword legs in one: any term, all terms, the query as typed; the best rank of each item, the k best."""
+    merged = merge_hits(keyword_or_leg(any_terms, posts, k), keyword_and_leg(all_terms, posts, k), keyword_web_leg(queries, posts, k))
     return top_k(merged.select("query_id", "item_id", "kw_rank"), k, [F.desc("kw_rank"), "item_id"])
 
 
@@ -190,27 +216,66 @@ def _contained_by_join(rows: DataFrame, terms: DataFrame, names: list[str]) -> D
     return found.filter(" OR ".join(f"`{n}`" for n in names))
 
 
-def term_leg(terms: DataFrame, items: DataFrame, fields: list[str], kw_rank: float = 0.55, k: int = 40) -> DataFrame:
-    """Items with a term as an array element or inside a text field, the best by quality, with a fixed rank.
+def term_leg(terms: DataFrame, items: DataFrame, fields: list[str], kw_rank: float = 0.55, k: int = 40, elements: tuple[str, ...] = ("tags", "tools", "frameworks"), lists: tuple[str, ...] = ()) -> DataFrame:
+    """Items with a term as an element of one of the arrays `elements` or inside a text, the best by quality, with a fixed rank.
 
-    Hits of items are found a term at a time and joined to the queries on the term.
+    Texts are the columns `fields` and the arrays `lists`, joined by spaces. Hits of items are found a term at a time and joined to the
+    queries on the term.
     """
-    inside = contained_terms(items, terms, {"text": F.concat_ws("\n", *[F.lower(c) for c in fields])}).select("item_id", "term")
-    elements = items.select("item_id", F.explode(F.transform(F.concat("tags", "tools", "frameworks"), F.lower)).alias("term"))
-    hits = inside.union(elements.join(terms.select("term").distinct(), "term", "left_semi").select("item_id", "term"))
+    texts = [F.lower(c) for c in fields] + [F.lower(F.array_join(c, " ")) for c in lists]
+    hits = contained_terms(items, terms, {"text": F.concat_ws("\n", *texts)}).select("item_id", "term")
+    if elements:
+        single = items.select("item_id", F.explode(F.transform(F.concat(*elements), F.lower)).alias("term"))
+        hits = hits.union(single.join(terms.select("term").distinct(), "term", "left_semi").select("item_id", "term"))
     pairs = hits.join(terms.select("query_id", "term").distinct(), "term").select("query_id", "item_id").distinct()
     ranked = pairs.join(items.select("item_id", "quality"), "item_id").select("query_id", "item_id", "quality")
     return top_k(ranked, k, [F.desc("quality"), "item_id"]).select("query_id", "item_id", "rank", F.lit(kw_rank).alias("kw_rank"))
 
 
-def fallback_leg(queries: DataFrame, legs: list[DataFrame], terms: DataFrame, items: DataFrame, fields: list[str], k: int = 50) -> DataFrame:
-    """For queries that no leg answers."""
+def fallback_leg(queries: DataFrame, legs: list[DataFrame], terms: DataFrame, items: DataFrame, fields: list[str], k: int = 50, lists: tuple[str, ...] = ()) -> DataFrame:
+    """For queries that no leg answers: items with a term inside a text."""
     answered = None
     for leg in legs:
         ids = leg.select("query_id")
         answered = ids if answered is None else answered.union(ids)
     open_ = queries.select("query_id").join(answered.distinct(), "query_id", "left_anti")
-    return term_leg(terms.join(open_, "query_id", "left_semi"), items, fields, 0.25, k)
+    return term_leg(terms.join(open_, "query_id", "left_semi"), items, fields, 0.25, k, elements=(), lists=lists)
+
+
+def leg_terms(intents: DataFrame, stopwords=T.STOPWORDS) -> dict[str, DataFrame]:
+    """(query_id, term) for each leg that looks for terms of the intents: any, all, intent and fallback.
+
+    Any: letters and digits of the search terms. All: the words of the first twelve of them. Intent: tags, tools and search terms. Fallback: the
+    same, or the first eight longer words of the query where there are none.
+    """
+    rows = lambda c: intents.select("query_id", F.explode(c).alias("term"))
+    plain = F.array_distinct(F.filter(tokens(F.array_join(F.slice("search_terms", 1, 12), " ")), lambda t: ~t.isin(list(stopwords))))
+    words = F.slice(F.filter(F.regexp_extract_all(F.lower("query"), F.lit("([a-zA-Z0-9]+)"), 1), lambda t: F.length(t) > 2), 1, 8)
+    named = intent_terms()
+    return {"any": rows(T.search_tokens(F.col("search_terms"))), "all": rows(plain), "intent": rows(named), "fallback": rows(F.array_distinct(F.when(F.size(named) > 0, named).otherwise(words)))}
+
+
+def retrieve_legs(asked: DataFrame, intents: DataFrame, items: DataFrame, vectors: DataFrame, fields: dict[str, str], save: Callable[[DataFrame], DataFrame], k: int = 100, feedback: bool = False, store=None) -> dict[str, DataFrame]:
+    """The legs of a hybrid search, each query on its own branch: keyword, vector and intent.
+
+    `asked` is (query_id, query, query_vector). The keyword leg merges three strategies over the terms of the intents and the query as
+    typed; with `feedback` the vector leg gets a second probe after its hits; a query that neither leg answers falls back to
+    plain substrings, as its keyword leg. `items` and `vectors` are what the facets have left, so limits come after facets. `save` writes a
+    table that is read several times, in the shared folder; legs are of a few hundred rows a query. `store`
+    is a PostingStore over the same items; without one the postings of the asked terms are made here.
+    """
+    terms = leg_terms(intents)
+    typed = asked.select("query_id", "query")
+    wanted = terms["any"].select("term").union(terms["all"].select("term")).union(web_terms(typed).select("term")).distinct()
+    posts = save(store.postings(wanted) if store is not None else postings(items, fields, terms=wanted))
+    keyword = save(keyword_search(terms["any"], terms["all"], typed, posts, k))
+    vector = save(vector_search(asked, vectors, k))
+    if feedback:
+        vector = save(with_feedback(asked, vectors, vector, k))
+    last = fallback_leg(typed, [keyword, vector], terms["fallback"], items, ["title", "summary", "use_case"], lists=("tags",))
+    keyword = keyword.unionByName(last.select("query_id", "item_id", "kw_rank", "rank"))
+    intent = term_leg(terms["intent"], items, ["title", "summary"])
+    return {"keyword": keyword, "vector": vector, "intent": intent}
 
 
 def prf_expand(queries: DataFrame, items: DataFrame, first: DataFrame, top: int = 5, share: float = 0.5) -> DataFrame:

@@ -15,6 +15,7 @@ from millrace.operators import learn as L
 from millrace.operators import rank as R
 from millrace.operators import retrieve as J
 from millrace.operators import stats as D
+from millrace.operators.posting_store import PostingStore
 from millrace.operators.vector_index import VectorIndex
 from millrace.plans.item_queries import AGED, COS, FINAL, REC, SUBST, UNDER, now
 from millrace.plans.registry import query
@@ -34,14 +35,12 @@ KW = """kw AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id
 SIM = f"sims AS (SELECT query_id, item_id, round_even({COS.format('query_vector', 'embedding')}, 6) AS similarity FROM query_vectors, item_vectors)"
 VEC = """vec AS (SELECT query_id, item_id, greatest(similarity, 0.0::DOUBLE) AS similarity, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, item_id) AS rank FROM sims) WHERE rank <= 100 AND greatest(similarity, 0) >= 0.1)"""
 INT = """intent AS (SELECT query_id, item_id, rank, 0.55::DOUBLE AS kw_rank FROM (SELECT query_id, item_id, row_number() OVER (PARTITION BY query_id ORDER BY quality DESC, item_id) AS rank FROM (
-  SELECT DISTINCT query_id, i.item_id, quality FROM items i, short_terms q WHERE contains(lower(title) || chr(10) || lower(summary), term) OR list_contains(list_transform(list_concat(list_concat(tags, tools), frameworks), lambda x: lower(x)), term))) WHERE rank <= 40)"""
-SHORT = "short_terms AS (SELECT query_id, term FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY term) AS t FROM query_terms) WHERE t <= 12)"
+  SELECT DISTINCT query_id, i.item_id, quality FROM items i, (SELECT query_id, term FROM leg_terms WHERE named) q WHERE contains(lower(title) || chr(10) || lower(summary), term) OR list_contains(list_transform(list_concat(list_concat(tags, tools), frameworks), lambda x: lower(x)), term))) WHERE rank <= 40)"""
 RRF = """fused AS (SELECT query_id, item_id, round_even(sum(part), 9) AS fused FROM (
   SELECT query_id, item_id, 1.31::DOUBLE / (60 + rank) AS part FROM kw UNION ALL SELECT query_id, item_id, 0.60::DOUBLE / (60 + rank) FROM vec UNION ALL SELECT query_id, item_id, 0.28::DOUBLE / (60 + rank) FROM intent) GROUP BY query_id, item_id)"""
 FUSE = """byitem AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY leg0, rank0, item_id) AS arrival FROM (
   SELECT query_id, item_id, max(kw_rank) AS kw_rank, max(similarity) AS similarity, min(leg * 1000 + rank) // 1000 AS leg0, min(leg * 1000 + rank) % 1000 AS rank0 FROM (
   SELECT query_id, item_id, rank, 0 AS leg, kw_rank, NULL::DOUBLE AS similarity FROM kw UNION ALL SELECT query_id, item_id, rank, 1, NULL, similarity FROM vec UNION ALL SELECT query_id, item_id, rank, 2, kw_rank, NULL FROM intent) GROUP BY query_id, item_id))"""
-LEGS = (POSTS, KW, SIM, VEC, SHORT, INT)
 NEED = "items queries query_terms query_vectors item_vectors"
 SYNONYMS = ", ".join(f"('{t}', '{w}')" for t, ws in I.SYNONYMS.items() for w in ws)
 BODY = "lower(concat_ws(' ', summary, use_case, core, array_to_string(tags, ' '), array_to_string(tools, ' '), coalesce(array_to_string(frameworks, ' '), ''), array_to_string(languages, ' ')))"
@@ -56,16 +55,17 @@ def terms_of(s, d):
     return X.query_terms(s, d)
 
 
-def short_terms(s, d):
-    return J.top_k(terms_of(s, d), 12, ["term"], rank="t").drop("t")
-
-
 def posts_of(s, d):
     return J.postings(X.items(s, d), FIELDS)
 
 
-def kw_leg(s, d):
-    return J.keyword_or_leg(terms_of(s, d), posts_of(s, d))
+def asked_posts(s, d, terms):
+    """Postings of the terms of the queries only."""
+    return J.postings(X.items(s, d), FIELDS, terms=terms)
+
+
+def kw_leg(s, d, k=100):
+    return J.keyword_or_leg(terms_of(s, d), asked_posts(s, d, terms_of(s, d)), k)
 
 
 def vectors(s, d):
@@ -76,12 +76,22 @@ def vec_leg(s, d):
     return J.vector_search(X.query_vectors(s, d), vectors(s, d), 100, 0.1)
 
 
-def int_leg(s, d):
-    return J.term_leg(short_terms(s, d), X.items(s, d), ["title", "summary"])
+def asked_queries(s, d):
+    """The queries with the vectors of those ids that have one."""
+    return X.queries(s, d).join(X.query_vectors(s, d), "query_id", "left")
+
+
+def legs_and_intents(s, d, asked=None, facets=lambda items: items):
+    """The legs of hybrid search and the intents they come from, over the items that the facets leave."""
+    asked = written(s, asked if asked is not None else asked_queries(s, d))
+    understood = written(s, I.enrich_intent(I.extract_intent(asked.select("query_id", "query"))))
+    items = facets(X.items(s, d))
+    held = vectors(s, d).join(items.select("item_id"), "item_id", "left_semi")
+    return J.retrieve_legs(asked, understood, items, held, FIELDS, lambda df: written(s, df), feedback=True), understood
 
 
 def all_legs(s, d):
-    return {"keyword": kw_leg(s, d), "vector": vec_leg(s, d), "intent": int_leg(s, d)}
+    return legs_and_intents(s, d)[0]
 
 
 def qrels_of(s, d):
@@ -90,7 +100,7 @@ def qrels_of(s, d):
 
 @query("c1_terms_postings", sql("items query_terms", "SELECT query_id, term, count(*) AS n FROM posts JOIN query_terms USING (term) GROUP BY query_id, term", POSTS))
 def _(s, d):
-    return posts_of(s, d).join(terms_of(s, d), "term").groupBy("query_id", "term").agg(F.count("*").alias("n"))
+    return asked_posts(s, d, terms_of(s, d)).join(terms_of(s, d), "term").groupBy("query_id", "term").agg(F.count("*").alias("n"))
 
 
 @query("c2_nearest_all_pairs", sql("query_vectors item_vectors", "SELECT query_id, item_id, similarity, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, item_id) AS rank FROM sims) WHERE rank <= 10", SIM))
@@ -98,21 +108,33 @@ def _(s, d):
     return J.top_k(J.similarities(X.query_vectors(s, d), vectors(s, d), 10), 10, [F.desc("similarity"), "item_id"])
 
 
-@query("c4_fuse_legs", sql(NEED, "SELECT query_id, item_id, kw_rank, similarity, arrival FROM byitem", *LEGS, FUSE))
-def _(s, d):
-    return R.fuse_by_item(*all_legs(s, d).values())
-
-
 @query("j1_postings", sql("items", "SELECT term, item_id, round_even(weight, 6) AS weight, n FROM posts", POSTS))
 def _(s, d):
     return posts_of(s, d).select("term", "item_id", F.bround("weight", 6).alias("weight"), "n")
 
 
-@query("j2_keyword_or", sql("items query_terms", "SELECT query_id, item_id, kw_rank, rank FROM kw", POSTS, KW))
+J2_SQL = sql("items query_terms", "SELECT query_id, item_id, kw_rank, rank FROM kw", POSTS, KW)
+
+
+@query("j2_keyword_or", J2_SQL)
 def _(s, d):
     return kw_leg(s, d)
 
 
+def stored(s, d):
+    return PostingStore.build(X.items(s, d), FIELDS, shared_folder(s, "store"))
+
+
+@query("j2b_keyword_or_stored", J2_SQL)
+def _(s, d):
+    return stored(s, d).keyword_or_leg(written(s, terms_of(s, d)))
+
+
+@query("j1b_stored_postings", sql("items query_terms", "SELECT term, item_id, round_even(weight, 6) AS weight, n FROM posts WHERE term IN (SELECT term FROM query_terms)", POSTS))
+def _(s, d):
+    return stored(s, d).postings(terms_of(s, d)).select("term", "item_id", F.bround("weight", 6).alias("weight"), "n")
+
+
 def two_terms(s, d):
     return J.top_k(terms_of(s, d), 2, ["term"], rank="t").drop("t")
 
@@ -130,34 +152,48 @@ andleg AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORD
 
 @query("j3_keyword_and", sql("items query_terms", "SELECT query_id, item_id, kw_rank, rank FROM andleg", POSTS, PLACES, TWO, AND_LEG))
 def _(s, d):
-    return J.keyword_and_leg(two_terms(s, d), posts_of(s, d))
+    return J.keyword_and_leg(two_terms(s, d), asked_posts(s, d, two_terms(s, d)))
 
 
-WEB = f"""asked_web AS (SELECT query_id, w[1] || ' ' || w[2] AS phrase, w[4] AS single, w[6] AS out FROM (SELECT query_id, string_split(query, ' ') AS w FROM queries)),
-parts AS (SELECT DISTINCT query_id, array_to_string(regexp_extract_all(lower(raw), '{TOKENS}'), ' ') AS phrase, excluded FROM (SELECT query_id, phrase AS raw, false AS excluded FROM asked_web UNION ALL SELECT query_id, single, false FROM asked_web WHERE lower(single) <> 'or' UNION ALL SELECT query_id, out, true FROM asked_web) WHERE len(regexp_extract_all(lower(raw), '{TOKENS}')) > 0),
-wanted AS (SELECT query_id, phrase, excluded, len(string_split(phrase, ' ')) AS size, unnest(string_split(phrase, ' ')) AS term, unnest(range(len(string_split(phrase, ' ')))) AS i FROM parts),
-runs AS (SELECT query_id, phrase, excluded, item_id, p - i AS start, count(DISTINCT i) AS c, sum(weight) AS w, any_value(size) AS size FROM wanted JOIN places USING (term) JOIN posts USING (term, item_id) GROUP BY ALL),
-matched AS (SELECT query_id, item_id, phrase, excluded, max(w) AS w FROM runs WHERE c = size GROUP BY ALL),
-webleg AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY kw_rank DESC, item_id) AS rank FROM (SELECT query_id, item_id, round_even(sum(w) / (sum(w) + 1), 6) AS kw_rank FROM matched WHERE NOT excluded AND (query_id, item_id) NOT IN (SELECT (query_id, item_id) FROM matched WHERE excluded) GROUP BY query_id, item_id)) WHERE rank <= 100)"""
+#: Choices set apart by `or`; all parts of a choice must be there and none with a minus.
+WEB = f"""web_raw AS (SELECT query_id, query, regexp_extract_all(query, '-?"[^"]+"|[^ ]+') AS raws FROM web_queries),
+web_at AS (SELECT query_id, raws[i] AS raw, len(list_filter(raws[1:i], lambda r: lower(r) = 'or')) AS choice FROM (SELECT *, unnest(range(1, len(raws) + 1)) AS i FROM web_raw)),
+parts AS (SELECT DISTINCT query_id, choice, array_to_string(regexp_extract_all(lower(raw), '{TOKENS}'), ' ') AS part, starts_with(raw, '-') AS excluded FROM web_at WHERE lower(raw) <> 'or' AND len(regexp_extract_all(lower(raw), '{TOKENS}')) > 0),
+wanted AS (SELECT * FROM (SELECT query_id, choice, part, excluded, unnest(string_split(part, ' ')) AS term, unnest(range(len(string_split(part, ' ')))) AS i FROM parts) WHERE NOT list_contains({STOP}, term)),
+sizes AS (SELECT query_id, choice, part, excluded, count(DISTINCT i) AS size FROM wanted GROUP BY ALL),
+runs AS (SELECT query_id, choice, part, excluded, item_id, p - i AS start, count(DISTINCT i) AS c, sum(weight) AS w FROM wanted JOIN places USING (term) JOIN posts USING (term, item_id) GROUP BY query_id, choice, part, excluded, item_id, p - i),
+matched AS (SELECT query_id, choice, part, excluded, item_id, max(w) AS w FROM runs JOIN sizes USING (query_id, choice, part, excluded) WHERE c = size GROUP BY query_id, choice, part, excluded, item_id),
+fitting AS (SELECT query_id, choice, item_id, count(*) AS found, sum(w) AS w FROM matched m WHERE NOT excluded AND NOT EXISTS (SELECT 1 FROM matched x WHERE x.excluded AND x.query_id = m.query_id AND x.choice = m.choice AND x.item_id = m.item_id) GROUP BY query_id, choice, item_id),
+webleg AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY kw_rank DESC, item_id) AS rank FROM (SELECT query_id, item_id, round_even(sum(w) / (sum(w) + 1), 6) AS kw_rank FROM fitting JOIN (SELECT query_id, choice, count(*) AS n FROM sizes WHERE NOT excluded GROUP BY query_id, choice) USING (query_id, choice) WHERE found = n GROUP BY query_id, item_id)) WHERE rank <= 100)"""
+WEB_QUERIES = """web_queries AS (SELECT query_id, '"' || w[1] || ' ' || w[2] || '" or ' || w[4] || ' ' || w[5] || ' or ' || w[7] || ' -' || w[6] AS query FROM (SELECT query_id, string_split(query, ' ') AS w FROM queries))"""
 
 
-@query("j4_keyword_web", sql("items queries", "SELECT query_id, item_id, kw_rank, rank FROM webleg", POSTS, PLACES, WEB.replace("GROUP BY ALL),\nmatched", "GROUP BY query_id, phrase, excluded, item_id, p - i),\nmatched")))
+@query("j4_keyword_web", sql("items queries", "SELECT query_id, item_id, kw_rank, rank FROM webleg", POSTS, PLACES, WEB_QUERIES, WEB))
 def _(s, d):
-    return J.keyword_web_leg(web_queries(s, d), posts_of(s, d))
+    return J.keyword_web_leg(web_queries(s, d), asked_posts(s, d, J.web_terms(web_queries(s, d))))
 
 
 def web_queries(s, d):
     w = F.split("query", " ")
-    return X.queries(s, d).select("query_id", F.concat(F.lit('"'), w[0], F.lit(" "), w[1], F.lit('" or '), w[3], F.lit(" -"), w[5]).alias("query"))
+    return X.queries(s, d).select("query_id", F.concat(F.lit('"'), w[0], F.lit(" "), w[1], F.lit('" or '), w[3], F.lit(" "), w[4], F.lit(" or "), w[6], F.lit(" -"), w[5]).alias("query"))
 
 
-KW2 = KW.replace("kw AS", "kw2 AS").replace("query_terms", "two")
+#: The keyword leg of hybrid search: terms of the intents, and the query as typed.
+INTENTS = I.intent_sql()
+ANY = f"""any_terms AS (SELECT query_id, unnest(list_transform(list_filter(range(1, len(v) + 1), lambda i: list_position(v, v[i]) = i)[1:24], lambda i: v[i])) AS term FROM (
+  SELECT query_id, list_filter(list_transform(search_terms, lambda t: regexp_replace(lower(t), '[^a-zA-Z0-9]', '', 'g')), lambda t: length(t) >= 3 AND NOT list_contains({STOP}, t)) AS v FROM intents))"""
+ALL = f"""all_terms AS (SELECT DISTINCT query_id, term FROM (SELECT query_id, unnest(regexp_extract_all(lower(array_to_string(search_terms[1:12], ' ')), '{TOKENS}')) AS term FROM intents) WHERE NOT list_contains({STOP}, term))"""
+KEYWORD = (POSTS, PLACES, INTENTS, ANY, ALL, KW.replace("kw AS", "kw_any AS").replace("query_terms", "any_terms"), AND_LEG.replace(" two ", " all_terms ").replace("JOIN two ", "JOIN all_terms "), "web_queries AS (SELECT query_id, query FROM queries)", WEB,
+    """kw_all AS (SELECT query_id, item_id, kw_rank, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY kw_rank DESC, item_id) AS rank FROM (
+  SELECT query_id, item_id, max(kw_rank) AS kw_rank FROM (SELECT query_id, item_id, kw_rank FROM kw_any UNION ALL SELECT query_id, item_id, kw_rank FROM andleg UNION ALL SELECT query_id, item_id, kw_rank FROM webleg) GROUP BY query_id, item_id)) WHERE rank <= 100)""")
 
 
-@query("j5_keyword_search", sql("items queries query_terms", """SELECT query_id, item_id, kw_rank, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY kw_rank DESC, item_id) AS rank FROM (
-  SELECT query_id, item_id, max(kw_rank) AS kw_rank FROM (SELECT query_id, item_id, kw_rank FROM kw2 UNION ALL SELECT query_id, item_id, kw_rank FROM andleg UNION ALL SELECT query_id, item_id, kw_rank FROM webleg) GROUP BY query_id, item_id)) WHERE rank <= 100""", POSTS, PLACES, TWO, KW2, AND_LEG, WEB.replace("GROUP BY ALL),\nmatched", "GROUP BY query_id, phrase, excluded, item_id, p - i),\nmatched")))
+@query("j5_keyword_search", sql("items queries", "SELECT query_id, item_id, kw_rank, rank FROM kw_all", *KEYWORD))
 def _(s, d):
-    return J.keyword_search(two_terms(s, d), posts_of(s, d), web_queries(s, d))
+    understood = written(s, intents(s, d))
+    terms, typed = J.leg_terms(understood), X.queries(s, d)
+    posts = written(s, asked_posts(s, d, terms["any"].select("term").union(terms["all"].select("term")).union(J.web_terms(typed).select("term"))))
+    return J.keyword_search(terms["any"], terms["all"], typed, posts)
 
 
 @query("j6_vector_search", sql("query_vectors item_vectors", "SELECT query_id, item_id, similarity, rank FROM vec", SIM, VEC))
@@ -192,6 +228,19 @@ def _(s, d):
     return J.with_feedback(X.query_vectors(s, d), vectors(s, d), written(s, vec_leg(s, d)))
 
 
+#: All legs of hybrid search under the names that fusion reads: the vector leg without a floor and with its second probe, the fallback for
+#: queries that keywords and vectors leave open.
+OPEN_VEC = VEC.replace("vec AS", "vec0 AS").replace(" AND greatest(similarity, 0) >= 0.1", "")
+NAMED = """leg_terms AS (SELECT query_id, unnest(CASE WHEN len(v) > 0 THEN v ELSE list_distinct(list_filter(regexp_extract_all(lower(query), '[a-zA-Z0-9]+'), lambda t: length(t) > 2)[1:8]) END) AS term, len(v) > 0 AS named FROM (
+  SELECT query_id, query, list_transform(list_filter(range(1, len(v) + 1), lambda i: list_position(v, v[i]) = i)[1:12], lambda i: v[i]) AS v FROM (
+  SELECT query_id, query, list_filter(list_transform(list_concat(list_concat(tags, tools), search_terms), lambda t: lower(t)), lambda t: length(t) >= 3) AS v FROM intents)))"""
+BACK = """back AS (SELECT query_id, item_id, 0.25::DOUBLE AS kw_rank, rank FROM (SELECT query_id, item_id, row_number() OVER (PARTITION BY query_id ORDER BY quality DESC, item_id) AS rank FROM (
+  SELECT DISTINCT query_id, i.item_id, quality FROM items i, leg_terms q WHERE query_id NOT IN (SELECT query_id FROM kw_all) AND query_id NOT IN (SELECT query_id FROM vec0)
+  AND contains(lower(title) || chr(10) || lower(summary) || chr(10) || lower(use_case) || chr(10) || lower(array_to_string(tags, ' ')), term))) WHERE rank <= 50)"""
+LEGS = (*KEYWORD, SIM, OPEN_VEC, MOVED.replace("FROM vec ", "FROM vec0 "), PRF.replace("FROM vec ", "FROM vec0 ").replace("JOIN vec ", "JOIN vec0 ").replace("prf AS", "vec AS"), NAMED, BACK,
+    "kw AS (SELECT query_id, item_id, kw_rank, rank FROM kw_all UNION ALL SELECT * FROM back)", INT)
+
+
 @query("d10_rocchio", sql("query_vectors item_vectors", "SELECT query_id, round_even(list_sum(list_transform(query_vector, lambda x: x / n)), 6) AS total FROM (SELECT query_id, query_vector, sqrt(list_sum(list_transform(query_vector, lambda x: x * x))) AS n FROM moved)", SIM, VEC, MOVED))
 def _(s, d):
     moved = J.prf_expand(X.query_vectors(s, d), vectors(s, d), vec_leg(s, d))
@@ -204,16 +253,22 @@ def _(s, d):
     return vectors(s, d).join(top, "item_id", "left_semi").select("item_id", F.size("embedding").cast("bigint").alias("size"))
 
 
-@query("j9_intent_term_leg", sql("items query_terms", "SELECT query_id, item_id, rank, kw_rank FROM intent", SHORT, INT))
+@query("j9_intent_term_leg", sql("items queries", "SELECT query_id, item_id, rank, kw_rank FROM intent", INTENTS, NAMED, INT))
 def _(s, d):
-    return int_leg(s, d)
+    return J.term_leg(J.leg_terms(written(s, intents(s, d)))["intent"], X.items(s, d), ["title", "summary"])
 
 
 @query("j10_fallback", sql(NEED, """SELECT query_id, item_id, rank, 0.25::DOUBLE AS kw_rank FROM (SELECT query_id, item_id, row_number() OVER (PARTITION BY query_id ORDER BY quality DESC, item_id) AS rank FROM (
-  SELECT DISTINCT query_id, i.item_id, quality FROM items i, short_terms q WHERE query_id NOT IN (SELECT query_id FROM vec) AND (contains(lower(title) || chr(10) || lower(summary) || chr(10) || lower(use_case) || chr(10) || lower(core), term)
-  OR list_contains(list_transform(list_concat(list_concat(tags, tools), frameworks), lambda x: lower(x)), term)))) WHERE rank <= 50""", SIM, VEC, SHORT))
+  SELECT DISTINCT query_id, i.item_id, quality FROM items i, leg_terms q WHERE query_id NOT IN (SELECT query_id FROM vec)
+  AND contains(lower(title) || chr(10) || lower(summary) || chr(10) || lower(use_case) || chr(10) || lower(array_to_string(tags, ' ')), term))) WHERE rank <= 50""", INTENTS, SIM, VEC, NAMED))
+def _(s, d):
+    terms = J.leg_terms(written(s, intents(s, d)))["fallback"]
+    return J.fallback_leg(X.queries(s, d), [vec_leg(s, d)], terms, X.items(s, d), ["title", "summary", "use_case"], lists=("tags",))
+
+
+@query("c4_fuse_legs", sql(NEED, "SELECT query_id, item_id, kw_rank, similarity, arrival FROM byitem", *LEGS, FUSE))
 def _(s, d):
-    return J.fallback_leg(X.queries(s, d), [vec_leg(s, d)], short_terms(s, d), X.items(s, d), ["title", "summary", "use_case", "core"])
+    return R.fuse_by_item(*all_legs(s, d).values())
 
 
 @query("j11_retrieve_legs", sql(NEED, "SELECT query_id, item_id, 'keyword' AS leg, rank FROM kw UNION ALL SELECT query_id, item_id, 'vector', rank FROM vec UNION ALL SELECT query_id, item_id, 'intent', rank FROM intent", *LEGS))
@@ -238,7 +293,7 @@ def _(s, d):
 
 @query("f1_top_k_per_query", sql("items query_terms", "SELECT query_id, item_id, rank FROM kw WHERE rank <= 7", POSTS, KW))
 def _(s, d):
-    return J.keyword_or_leg(terms_of(s, d), posts_of(s, d), 7).select("query_id", "item_id", "rank")
+    return kw_leg(s, d, 7).select("query_id", "item_id", "rank")
 
 
 BLOB = "lower(concat_ws(' ', title, summary, use_case, core, array_to_string(tags, ' '), array_to_string(tools, ' '), coalesce(array_to_string(frameworks, ' '), ''), array_to_string(languages, ' '), artifact_type))"
@@ -269,8 +324,7 @@ gated AS (SELECT * FROM (SELECT *, count(*) FILTER (ok) OVER (PARTITION BY query
     SELECT *, final >= 0.19 AND (relevance >= 0.11 OR coalesce(kw_rank, 0) >= 0.08 OR coalesce(similarity, 0) >= 0.43) AS ok FROM scored)) WHERE CASE WHEN n_ok < 3 THEN turn <= 10 ELSE ok END),
 single AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, lower(title) ORDER BY final DESC, arrival) AS best FROM gated) WHERE best = 1),
 ranked AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY query_id) AS total, row_number() OVER (PARTITION BY query_id ORDER BY final DESC, item_id) AS rank FROM single) WHERE rank <= 10)"""
-INTENTS = I.intent_sql()
-HITS = (*LEGS, RRF, FUSE, INTENTS, REL)
+HITS = (*LEGS, RRF, FUSE, REL)
 SEARCH = (*HITS, AGED, HYBRID)
 
 
@@ -279,11 +333,11 @@ def intents(s, d):
 
 
 def hits(s, d):
-    return R.scored_hits(all_legs(s, d), written(s, intents(s, d)), X.items(s, d), now())
+    return R.scored_hits(*legs_and_intents(s, d), X.items(s, d), now())
 
 
-def search(s, d, limit: int = 10, **options):
-    return R.hybrid_search(all_legs(s, d), written(s, intents(s, d)), X.items(s, d), now(), limit, **options)
+def search(s, d, limit: int = 10, facets=lambda items: items, asked=None, **options):
+    return R.hybrid_search(*legs_and_intents(s, d, asked, facets), facets(X.items(s, d)), now(), limit, **options)
 
 
 @query("j13_hybrid_search", sql(NEED, "SELECT query_id, rank, item_id, final, relevance, fused, total FROM ranked", *SEARCH))
@@ -291,6 +345,15 @@ def hybrid(s, d):
     return search(s, d)
 
 
+#: The same over the items that some facets leave, which hold before any limit.
+FACETED = ("all_" + X.SQL["items"], "items AS (SELECT * FROM all_items WHERE quality >= 20 AND hype <= 90 AND (list_contains(tags, 'en') OR list_contains(tags, 'de')))", "item_vectors AS (SELECT vec_id AS item_id, embedding FROM embeddings JOIN items ON vec_id = item_id)")
+
+
+@query("j13c_hybrid_faceted", sql("queries query_terms query_vectors", "SELECT query_id, rank, item_id, final, relevance, fused, total FROM ranked", *FACETED, *SEARCH))
+def _(s, d):
+    return search(s, d, facets=lambda items: B.facets(B.ranges(items, min_quality=20, max_hype=90), {"tags": ["en", "de"]}))
+
+
 @query("j13b_hybrid_reranked")
 def _(s, d):
     rows = written(s, L.ltr_features(hits(s, d), now()))
@@ -406,21 +469,15 @@ def similar_queries(s, d):
 
 
 def similar(s, d):
-    asked = written(s, similar_queries(s, d))
-    intents_ = written(s, I.enrich_intent(I.extract_intent(asked.select("query_id", "query"))))
-    terms = intents_.select("query_id", F.explode("search_terms").alias("term"))
-    items = X.items(s, d)
-    legs = {"keyword": J.keyword_or_leg(terms, posts_of(s, d)), "vector": J.vector_search(asked.select("query_id", "query_vector"), vectors(s, d), 100, 0.1), "intent": J.term_leg(J.top_k(terms, 12, ["term"], rank="t").drop("t"), items, ["title", "summary"])}
-    return R.hybrid_search(legs, intents_, items, now(), 10)
+    return search(s, d, asked=similar_queries(s, d))
 
 
 _SIM_NEED = "items item_vectors"
 SIMILAR = """queries AS (SELECT item_id // 50 AS query_id, concat_ws('. ', title, CASE WHEN len(list_filter(tools, lambda x: x IS NOT NULL)) > 0 THEN 'Stack: ' || array_to_string(tools, ', ') END, CASE WHEN len(list_filter(tags, lambda x: x IS NOT NULL)) > 0 THEN 'Features: ' || array_to_string(tags, ', ') END) AS query FROM items WHERE item_id % 50 = 0)"""
-SIMILAR_TERMS = "query_terms AS (SELECT query_id, unnest(search_terms) AS term FROM intents)"
 SIMILAR_VECTORS = "query_vectors AS (SELECT item_id // 50 AS query_id, embedding AS query_vector FROM item_vectors WHERE item_id % 50 = 0)"
 
 
-@query("j14_find_similar", sql(_SIM_NEED, "SELECT query_id, rank, item_id, final, relevance, fused, total FROM ranked", SIMILAR, INTENTS, SIMILAR_TERMS, SIMILAR_VECTORS, *LEGS, RRF, FUSE, REL, AGED, HYBRID))
+@query("j14_find_similar", sql(_SIM_NEED, "SELECT query_id, rank, item_id, final, relevance, fused, total FROM ranked", SIMILAR, SIMILAR_VECTORS, *SEARCH))
 def _(s, d):
     return similar(s, d)
 
@@ -508,8 +565,15 @@ def _(s, d):
 RUN2 = "run AS (SELECT query_id, item_id, row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, item_id) AS rank FROM fused)"
 
 
-def fused_run(s, d):
-    return J.top_k(J.rrf(all_legs(s, d)), 100, [F.desc("fused"), "item_id"]).select("query_id", "item_id", "rank")
+def fused_run(s, d, legs=None):
+    return J.top_k(J.rrf(legs if legs is not None else all_legs(s, d)), 100, [F.desc("fused"), "item_id"]).select("query_id", "item_id", "rank")
+
+
+def two_metrics(s, d):
+    """The metrics of the keyword leg and of the fused run."""
+    legs = all_legs(s, d)
+    qrels = written(s, qrels_of(s, d))
+    return tuple(E.metrics(run, qrels, X.queries(s, d)) for run in (legs["keyword"].select("query_id", "item_id", "rank"), fused_run(s, d, legs)))
 
 
 #: The metrics of the keyword leg and of the fused run, side by side.
@@ -519,14 +583,14 @@ RUNS = (*LEGS, RRF, RUN, QRELS, METRICS, "run2 AS (SELECT * FROM (" + RUN2[8:-1]
 @query("d18_paired_test", sql(NEED, f"""SELECT n, round_even(mean, 6) AS mean_diff, round_even(mean / (sd / sqrt(n)), 6) AS t, (SELECT avg(CASE WHEN abs(m) >= abs(mean) - 1e-12 THEN 1.0::DOUBLE ELSE 0 END) FROM (
   SELECT i, avg(CASE WHEN {SHARE("'17'", "i", "query_id")} < 0.5 THEN diff ELSE -diff END) AS m FROM diffs, range(1, 2001) t(i) GROUP BY i)) AS p_value FROM (SELECT count(*) AS n, avg(diff) AS mean, stddev_samp(diff) AS sd FROM diffs)""", *RUNS, "diffs AS (SELECT query_id, b.ndcg - a.ndcg AS diff FROM metrics a JOIN metrics2 b USING (query_id))"))
 def _(s, d):
-    return E.paired_test(metrics_of(s, d), metrics_of(s, d, fused_run(s, d)), "ndcg")
+    return E.paired_test(*two_metrics(s, d), "ndcg")
 
 
 @query("d19_regression_guard", sql(NEED, """SELECT 'ndcg fell' AS reason WHERE (SELECT round_even(avg(ndcg), 6) FROM metrics2) < (SELECT round_even(avg(ndcg), 6) FROM metrics)
   UNION ALL SELECT 'recall fell' WHERE (SELECT round_even(avg(recall), 6) FROM metrics2) < (SELECT round_even(avg(recall), 6) FROM metrics) - 0.02::DOUBLE
   UNION ALL SELECT 'query ' || query_id || ' fell' FROM metrics a JOIN metrics2 b USING (query_id) WHERE round_even(a.ndcg - b.ndcg, 6) > 0.15::DOUBLE""", *RUNS))
 def _(s, d):
-    return E.regression_guard(metrics_of(s, d), metrics_of(s, d, fused_run(s, d)))
+    return E.regression_guard(*two_metrics(s, d))
 
 
 @query("k2_evaluate", sql(NEED, "SELECT 'fused' AS config, query_id, ndcg, recall, mrr, map FROM metrics", *LEGS, RRF, "run AS (SELECT * FROM (" + RUN2[8:-1] + ") WHERE rank <= 100)", QRELS, METRICS))
