@@ -231,8 +231,12 @@ def phrases(docs: DataFrame, max_words: int = 3, least: int = 10, top: int = 200
     known = scratch.save(counts(dictionary, bitmap, max_words, period, least), "counts")
     scratch.drop(dictionary)
     scored = scratch.save(cohesion(known, max_words), "scored")
-    turn = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase"))
-    first = not_inside(scored, max_words, share).withColumn("rank", turn).filter(F.col("rank") <= top)
+    best = [F.desc("score"), F.desc("a"), F.col("phrase")]
+    # first within 64 parts of a language, so that a language's last task gets 64 * top rows at most, however large the corpus
+    part = F.pmod(F.xxhash64("phrase"), F.lit(64))
+    parts = not_inside(scored, max_words, share).withColumn("part", part)
+    near = parts.withColumn("turn", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*best))).filter(F.col("turn") <= top)
+    first = near.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*best))).filter(F.col("rank") <= top)
     words = known.filter("phrase = ''").select("lang", F.col("f").alias("n"))
     out = first.join(words, "lang")
     return out.select("lang", *[F.col(c).cast("bigint") if c != "phrase" else F.col(c) for c in ("rank", "phrase", "a", "l", "r", "n", "score")])
