@@ -27,7 +27,7 @@ from millrace.llm.shared import Scratch
 #: Breaks become line feeds, tabs spaces, A-Z a-z; all of them are single bytes of UTF-8.
 PLAIN = bytes.maketrans(b".,;:!?\x0b\x0c\r\t" + string.ascii_uppercase.encode(), b"\n" * 9 + b" " + string.ascii_lowercase.encode())
 #: Text that a task looks at together.
-TOGETHER_BYTES = 8 << 20
+TOGETHER_BYTES = 4 << 20
 #: The bitmap of frequent pairs has 2**27 bits (16 MB) in segments of 2**17.
 BITMAP_BITS, SEGMENT_BITS = 27, 17
 
