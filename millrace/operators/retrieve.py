@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import ahocorasick
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
-from millrace.operators import grid
+from millrace.operators import contains, grid
+from millrace.operators.contains import contained_terms
 from millrace.operators.intent import intent_terms
 
 TOKEN = "([a-z][a-z0-9+.#-]*|[0-9]+[a-z]*)"
@@ -18,8 +17,6 @@ TOKEN = "([a-z][a-z0-9+.#-]*|[0-9]+[a-z]*)"
 CLASS_WEIGHTS = {"A": 1.0, "B": 0.4, "C": 0.2, "D": 0.1}
 FUSION = {"keyword": 1.31, "vector": 0.60, "intent": 0.28}
 RRF_K = 60
-#: Up to so many different terms one automaton of them goes to every task; beyond it candidates are joined.
-BROADCAST_TERMS = 200_000
 
 
 def top_k(rows: DataFrame, k: int, order: list, by: str = "query_id", rank: str = "rank") -> DataFrame:
@@ -53,7 +50,7 @@ def postings(items: DataFrame, fields: dict[str, str], stopwords=T.STOPWORDS, te
     """(term, item_id, weight, n, positions): one row a term and item; the weight is the sum over its places.
 
     `fields` maps a text column to its class. Positions count on through the fields. With `terms` only places of those terms
-    leave the text they are in: up to BROADCAST_TERMS of them are sent to all tasks, more are joined.
+    leave the text they are in: a bounded number of them is sent to all tasks, more are joined (`contains.BROADCAST_TERMS`).
     """
 
     def numbered(c: str, w: Column, start: Column) -> Column:
@@ -73,7 +70,7 @@ def postings(items: DataFrame, fields: dict[str, str], stopwords=T.STOPWORDS, te
 
 def bounded(keys: DataFrame, most: int | None = None) -> DataFrame:
     """The keys, marked for a broadcast if a count finds at most BROADCAST_TERMS of them."""
-    most = BROADCAST_TERMS if most is None else most
+    most = contains.BROADCAST_TERMS if most is None else most
     return F.broadcast(keys) if keys.limit(most + 1).count() <= most else keys
 
 
@@ -172,50 +169,6 @@ def keyword_search(any_terms: DataFrame, all_terms: DataFrame, queries: DataFram
     return top_k(merged.select("query_id", "item_id", "kw_rank"), k, [F.desc("kw_rank"), "item_id"])
 
 
-def contained_terms(items: DataFrame, terms: DataFrame, fields: dict[str, Column]) -> DataFrame:
-    """(item_id, term, and a boolean a field): the terms that a field's text contains, as plain substrings.
-
-    Each text is read once against all different terms: by one automaton of them in every task, or, beyond
-    BROADCAST_TERMS, by a join on the first three characters.
-    """
-    spark, names = items.sparkSession, list(fields)
-    rows = items.select("item_id", *[F.coalesce(c, F.lit("")).alias(n) for n, c in fields.items()])
-    wanted = terms.select("term").filter("term <> ''").distinct()
-    known = [r["term"] for r in wanted.limit(BROADCAST_TERMS + 1).collect()]
-    if len(known) > BROADCAST_TERMS:
-        return _contained_by_join(rows, wanted, names)
-    shared = spark.sparkContext.broadcast(known)
-
-    def run(batches):
-        found = ahocorasick.Automaton()
-        for i, term in enumerate(shared.value):
-            found.add_word(term, i)
-        found.make_automaton()
-        for batch in batches:
-            out = []
-            for item, *texts in zip(*(c.to_pylist() for c in batch.columns)):
-                own = [{i for _, i in found.iter(t)} if shared.value else set() for t in texts]
-                out += [(item, shared.value[i], *(i in o for o in own)) for i in set().union(*own)]
-            columns = list(zip(*out)) or [[]] * (2 + len(names))
-            types = [pa.int64(), pa.string(), *[pa.bool_()] * len(names)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["item_id", "term", *names])
-
-    return rows.mapInArrow(run, "item_id bigint, term string, " + ", ".join(f"`{n}` boolean" for n in names))
-
-
-def _contained_by_join(rows: DataFrame, terms: DataFrame, names: list[str]) -> DataFrame:
-    text = F.concat_ws("\n", *names)
-
-    def grams_of(n: int) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - (n - 1))), lambda i: F.substr(text, i, F.lit(n)))
-
-    grams = [grams_of(n) for n in (1, 2, 3)]
-    keyed = rows.withColumn("gram", F.explode(F.array_distinct(F.flatten(F.array(*grams)))))
-    near = keyed.join(terms.withColumn("gram", F.substring("term", 1, 3)), "gram")
-    found = near.select("item_id", "term", *[F.contains(n, F.col("term")).alias(n) for n in names])
-    return found.filter(" OR ".join(f"`{n}`" for n in names))
-
-
 def term_leg(terms: DataFrame, items: DataFrame, fields: list[str], kw_rank: float = 0.55, k: int = 40, elements: tuple[str, ...] = ("tags", "tools", "frameworks"), lists: tuple[str, ...] = ()) -> DataFrame:
     """Items with a term as an element of one of the arrays `elements` or inside a text, the best by quality, with a fixed rank.
 

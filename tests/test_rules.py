@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
+from millrace.operators import contains
 from millrace.operators import evaluate as E
 from millrace.operators import intent as I
 from millrace.operators import learn as L
@@ -85,10 +86,12 @@ def test_terms_by_automaton_and_by_join(spark, monkeypatch):
     fields = {"title": F.lower("title"), "body": F.lower("body")}
     want = {(1, "rag", True, False), (2, "ci", False, True), (3, "k8s", False, True), (4, "aa", True, True)}
     assert set(map(tuple, J.contained_terms(items, terms, fields).collect())) == want
-    monkeypatch.setattr(J, "BROADCAST_TERMS", 1)
+    monkeypatch.setattr(contains, "BROADCAST_TERMS", 1)
     assert set(map(tuple, J.contained_terms(items, terms, fields).collect())) == want
     plan = J.contained_terms(items, terms, fields)._jdf.queryExecution().optimizedPlan().toString()
     assert "Join Cross" not in plan
+    # texts meet candidates once: no row of an exploded side holds one
+    assert plan.count("Generate explode(m#") == 1 and "Generate explode(terms" not in plan
 
 
 def test_rerankers(spark):
