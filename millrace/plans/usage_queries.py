@@ -16,6 +16,8 @@ from millrace.operators import stats as D
 from millrace.plans import search_queries as Q
 from millrace.plans.registry import query
 from millrace.sources import feeds, sinks
+from millrace.sources.models import ModelStore
+from millrace.sources.snapshots import SnapshotStore
 from millrace.sources.tables import shared_folder
 from millrace.streaming import jobs
 
@@ -64,7 +66,8 @@ def _(s, d):
     return feeds.map_models(raw(s, d, "documents", F.to_json(m).alias("value"))).select("canonical_url", F.bround("popularity", 6).alias("popularity"))
 
 
-def upserted(s, d):
+def upsert_input(s, d):
+    """A table and a batch with changed, new and keyless rows."""
     stamp = F.lit("2024-01-05 00:00:00").cast("timestamp")
     old = lambda u: (F.concat(F.lit("slug-"), F.col("item_id").cast("string")).alias("slug"), *[u.alias(c) for c in ("created_at", "updated_at", "last_crawled_at")])
     items = X.items(s, d).select("item_id", F.concat(F.lit("u"), F.col("item_id").cast("string")).alias("canonical_url"), "summary", "source_type")
@@ -73,7 +76,11 @@ def upserted(s, d):
     fresh = items.filter("item_id % 20 = 7").join(F.broadcast(top)).select((F.col("item_id") + F.col("top") + 1).alias("item_id"), F.concat(F.lit("n"), F.col("item_id").cast("string")).alias("canonical_url"), "summary", "source_type")
     none = items.filter("item_id % 100 = 5").select("item_id", F.lit(None).cast("string").alias("canonical_url"), "summary", "source_type")
     batch = changed.unionByName(fresh).unionByName(none).withColumn("slug", F.concat(F.lit("other-"), F.col("item_id").cast("string")))
-    return sinks.upsert_items(items.select("*", *old(stamp)), batch, keep_if_null=(), as_of=F.lit(X.AS_OF).cast("timestamp"))
+    return items.select("*", *old(stamp)), batch
+
+
+def upserted(s, d):
+    return sinks.upsert_items(*upsert_input(s, d), keep_if_null=(), as_of=F.lit(X.AS_OF).cast("timestamp"))
 
 
 UP = """up AS (SELECT item_id, 'u' || item_id AS canonical_url, CASE WHEN c THEN summary || ' (new)' ELSE summary END AS summary, source_type, 'slug-' || item_id AS slug, TIMESTAMP '2024-01-05' AS created_at, CASE WHEN c THEN TIMESTAMP '2024-02-01' ELSE TIMESTAMP '2024-01-05' END AS updated_at,
@@ -86,6 +93,14 @@ def _(s, d):
     return upserted(s, d)
 
 
+@query("a8b_upsert_snapshot", sql("items", "SELECT * FROM up", UP))
+def _(s, d):
+    table, batch = upsert_input(s, d)
+    store = SnapshotStore.create(table, shared_folder(s, "snapshot"), buckets=16)
+    store.upsert(batch, 1, keep_if_null=(), as_of=F.lit(X.AS_OF).cast("timestamp"))
+    return store.changes()
+
+
 @query("a9_provenance", sql("items", "SELECT item_id, source_type AS source FROM up WHERE status = 'inserted'", UP))
 def _(s, d):
     return sinks.provenance(upserted(s, d))
@@ -333,6 +348,17 @@ def _(s, d):
     return L.refresh_guard(Q.metrics_of(s, d), Q.metrics_of(s, d, Q.fused_run(s, d)), "v2")
 
 
+@query("k11b_model_refresh")
+def _(s, d):
+    """The learned ranker against the blend: put in use, judged by the guard, and rolled back where it has a reason."""
+    rows, qrels = Q.written(s, L.ltr_features(Q.hits(s, d), Q.now())), Q.written(s, Q.qrels_of(s, d))
+    judged = lambda model: E.metrics(L.apply_ranker(rows, model or {}).select("query_id", "item_id", "rank"), qrels, X.queries(s, d))
+    store = ModelStore(s, shared_folder(s, "models"))
+    store.adopt(store.put({}))
+    store.refresh(lambda: L.train_ranker(rows, qrels), judged, E.regression_guard)
+    return store.history()
+
+
 @query("s3_windowed_counts", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def _(s, d):
     return jobs.windowed_counts(X.table(s, d, "events").withColumn("ts", F.col("ts").cast("timestamp")))
@@ -381,27 +407,18 @@ def post():
 
 
 def ingested(s, d):
-    """Events streamed as forum posts into a new store: the last snapshot and the counters of the batches."""
+    """Events streamed as forum posts into a new store: the store, and the ledger of its batches."""
     base = shared_folder(s, "ingest")
     schema = s.read.parquet(f"{d}/events.parquet").schema
     posts = s.readStream.schema(schema).parquet(f"{d}/events.parquet*").select(F.to_json(post()).alias("value"))
     mapper = lambda batch: feeds.map_forum_posts(batch).withColumn("item_id", F.xxhash64("canonical_url"))
-    paths = [f"{base}/start"]
-    mapper(s.createDataFrame([], "value string")).write.parquet(paths[0])
-
-    def write(df, batch_id):
-        path = f"{base}/snapshot-{batch_id}"
-        df.write.mode("overwrite").parquet(path)
-        paths.append(path)
-        return s.read.parquet(path)
-
-    counters = jobs.ingest(posts, mapper, lambda: s.read.parquet(paths[-1]).drop("status"), write, f"{base}/check", gate=~F.endswith("title", F.lit("7")))
-    return s.read.parquet(paths[-1]), counters
+    store = SnapshotStore.create(mapper(s.createDataFrame([], "value string")), f"{base}/store", buckets=16)
+    return store, jobs.ingest(posts, mapper, store, f"{base}/check", gate=~F.endswith("title", F.lit("7")))
 
 
 @query("s1_stream_ingest", "SELECT DISTINCT 'https://www.example.org/u/'.replace('www.', '') || user_id AS canonical_url, 'post of ' || user_id AS title FROM events WHERE event_id % 10 >= 3 AND user_id % 10 <> 7")
 def _(s, d):
-    return ingested(s, d)[0].select("canonical_url", "title")
+    return ingested(s, d)[0].read().select("canonical_url", "title")
 
 
 @query("s1b_stream_counts")
@@ -416,8 +433,7 @@ def _(s, d):
 
 @query("s5_outcome_counters", "SELECT count(*) AS seen, 0::BIGINT AS skipped, count(*) FILTER (user_id % 10 = 7) AS gated, count(DISTINCT user_id) FILTER (user_id % 10 <> 7) AS inserted, 0::BIGINT AS updated FROM events WHERE event_id % 10 >= 3")
 def _(s, d):
-    rows = s.createDataFrame(ingested(s, d)[1], "batch bigint, seen bigint, skipped bigint, gated bigint, inserted bigint, updated bigint")
-    return rows.agg(*[F.sum(c).alias(c) for c in ("seen", "skipped", "gated", "inserted", "updated")])
+    return ingested(s, d)[1].agg(*[F.sum(c).alias(c) for c in ("seen", "skipped", "gated", "inserted", "updated")])
 
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.sources import sinks
+from millrace.sources.snapshots import SnapshotStore
 
 
 def read_stream(spark: SparkSession, path: str, schema, max_files: int = 100) -> DataFrame:
@@ -55,20 +55,15 @@ def run_to_end(df: DataFrame, path: str, checkpoint: str, mode: str = "append")
     df.writeStream.outputMode(mode).format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path).awaitTermination()
 
 
-def ingest(raw: DataFrame, mapper, read_target, write_snapshot, checkpoint: str, gate=None, as_of=None) -> list[dict[str, int]]:
-    """Raw rows to items to gates to an upsert per micro-batch; at least once with an idempotent upsert by key.
+def ingest(raw: DataFrame, mapper, store: SnapshotStore, checkpoint: str, gate=None, as_of=None, source: str = "stream") -> DataFrame:
+    """Raw rows to items to gates to an upsert per micro-batch; the result is the store's ledger, one row a batch.
 
-    `read_target()` gives the current snapshot, `write_snapshot(df, batch_id)` stores the next one, with its statuses, and gives
-    it back as stored. The result is the counters of each batch: rows seen, without a key, gated out, inserted and updated.
+    A batch is mapped once, and counted while it is staged and joined. The store names the batches it holds, so a job that died between the
+    store and the checkpoint does not apply one twice.
     """
-    counters = []
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        marked = mapper(batch).withColumn("_ok", F.coalesce(gate if gate is not None else F.lit(True), F.lit(False)))
-        stored = write_snapshot(sinks.upsert_items(read_target(), marked.filter("_ok").drop("_ok"), as_of=as_of), batch_id)
-        n = marked.agg(F.count("*").alias("seen"), F.count_if(F.col("canonical_url").isNull()).alias("skipped"), F.count_if(~F.col("_ok")).alias("gated")).first().asDict()
-        m = stored.agg(F.count_if(F.col("status") == "inserted").alias("inserted"), F.count_if(F.col("status") == "updated").alias("updated")).first().asDict()
-        counters.append({"batch": batch_id} | n | m)
+        store.upsert(mapper(batch), batch_id, source, ok=gate, as_of=as_of)
 
     raw.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    return counters
+    return store.ledger()

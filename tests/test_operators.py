@@ -10,6 +10,9 @@ from millrace.operators import learn as L
 from millrace.operators import retrieve as J
 from millrace.operators.rank import mmr
 from millrace.sources import feeds, sinks
+from millrace.sources.models import ModelStore
+from millrace.sources.snapshots import SnapshotStore
+from millrace.sources.versions import Conflict, Log
 from millrace.streaming import jobs
 
 
@@ -126,24 +129,88 @@ def test_click_rates_stream_equals_batch(spark, tmp_path):
     assert closed.count() > 20 and closed.exceptAll(batch).count() == 0
 
 
+def posts_of(spark, path, ids):
+    rows = [(f'{{"objectID": "{i}", "title": "t{i}", "url": "http://x.com/{i % 3}", "points": 9, "created_at": "2024-01-02"}}',) for i in ids]
+    spark.createDataFrame(rows, "value string").coalesce(1).write.mode("append").parquet(path)
+
+
+def post_items(batch):
+    return feeds.map_forum_posts(batch).withColumn("item_id", F.xxhash64("title"))
+
+
 def test_ingest_stream(spark, tmp_path):
-    posts = [f'{{"objectID": "{i}", "title": "t{i}", "url": "http://x.com/{i % 3}", "points": 9, "created_at": "2024-01-02"}}' for i in range(6)]
-    spark.createDataFrame([(p,) for p in posts], "value string").coalesce(1).write.parquet(str(tmp_path / "in"))
-    empty = feeds.map_forum_posts(spark.createDataFrame([], "value string")).withColumn("item_id", F.lit(0).cast("bigint"))
-    store = {"now": empty}
-
-    def mapper(batch):
-        return feeds.map_forum_posts(batch).withColumn("item_id", F.xxhash64("title"))
-
-    def write(df, batch_id):
-        df.write.mode("overwrite").parquet(str(tmp_path / f"snap-{batch_id}"))
-        stored = spark.read.parquet(str(tmp_path / f"snap-{batch_id}"))
-        store["now"] = stored.drop("status")
-        return stored
-
-    counters = jobs.ingest(jobs.read_stream(spark, str(tmp_path / "in"), "value string"), mapper, lambda: store["now"], write, str(tmp_path / "check"))
-    assert counters == [{"batch": 0, "seen": 6, "skipped": 0, "gated": 0, "inserted": 3, "updated": 0}]
-    assert sorted(r["canonical_url"] for r in store["now"].collect()) == [f"https://x.com/{i}" for i in range(3)]
+    posts_of(spark, str(tmp_path / "in"), range(6))
+    store = SnapshotStore.create(post_items(spark.createDataFrame([], "value string")), str(tmp_path / "store"), buckets=8)
+    run = lambda: jobs.ingest(jobs.read_stream(spark, str(tmp_path / "in"), "value string"), post_items, store, str(tmp_path / "check"), gate=F.col("title") != "t5")
+    got = [r.asDict() for r in run().collect()]
+    assert [{k: r[k] for k in ("batch", "seen", "skipped", "gated", "inserted", "updated")} for r in got] == [{"batch": 0, "seen": 6, "skipped": 0, "gated": 1, "inserted": 3, "updated": 0}]
+    assert sorted(r["canonical_url"] for r in store.read().collect()) == [f"https://x.com/{i}" for i in range(3)]
+    posts_of(spark, str(tmp_path / "in"), [7])
+    assert [r["updated"] for r in run().orderBy("batch").collect()] == [0, 1]
+
+
+def test_a_killed_ingest_starts_over(spark, tmp_path, monkeypatch):
+    posts_of(spark, str(tmp_path / "in"), range(6))
+    store = SnapshotStore.create(post_items(spark.createDataFrame([], "value string")), str(tmp_path / "store"), buckets=8)
+    run = lambda: jobs.ingest(jobs.read_stream(spark, str(tmp_path / "in"), "value string"), post_items, store, str(tmp_path / "check"))
+    swap = SnapshotStore._swap
+
+    def dies_before(self, manifest):
+        raise OSError("killed")
+
+    def dies_after(self, manifest):
+        swap(self, manifest)
+        raise OSError("killed")
+
+    for fault, rows in ((dies_before, 0), (dies_after, 3)):
+        monkeypatch.setattr(SnapshotStore, "_swap", fault)
+        with pytest.raises(Exception, match="killed"):
+            run()
+        assert store.read().count() == rows
+    monkeypatch.setattr(SnapshotStore, "_swap", swap)
+    assert [(r["seen"], r["inserted"]) for r in run().collect()] == [(6, 3)]
+    assert store.read().count() == 3
+    assert store.clean() and store.read().count() == 3 and not store.clean()
+
+
+def test_upsert_writes_only_touched_buckets(spark, tmp_path):
+    old = spark.range(2000).selectExpr("id AS item_id", "concat('u', id) AS canonical_url", "'x' AS summary")
+    store = SnapshotStore.create(old, str(tmp_path / "s"), buckets=32)
+    before = store.manifest()["folders"]
+    batch = spark.createDataFrame([(9, "u17", "new"), (10, "fresh", "y"), (11, None, "z")], "item_id bigint, canonical_url string, summary string")
+    rules = {"keep_if_null": ()}
+    assert store.upsert(batch, 0, **rules) == {"seen": 3, "skipped": 1, "gated": 0, "inserted": 1, "updated": 1}
+    after = store.manifest()["folders"]
+    changed = {b for b in after if after[b] != before.get(b)}
+    assert 1 <= len(changed) <= 2 and len(before) == 32
+    want = sinks.upsert_items(old, batch, **rules)
+    assert sorted(map(tuple, store.changes().select(*want.columns).collect())) == sorted(map(tuple, want.collect()))
+    # the same batch again, or an earlier one, changes nothing
+    assert store.upsert(batch, 0, **rules)["inserted"] == 1 and store.manifest()["folders"] == after
+    assert store.upsert(batch.limit(0), 1, **rules) == {"seen": 0, "skipped": 0, "gated": 0, "inserted": 0, "updated": 0}
+    assert store.upsert(spark.createDataFrame([(1, "u1", "a")], batch.schema), 5, source="other", **rules)["updated"] == 1
+    assert store.read().count() == 2001 and store.ledger().count() == 3
+
+
+def test_of_two_writers_one_starts_over(spark, tmp_path):
+    log = Log(spark, str(tmp_path / "log"))
+    assert log.last() is None and log.append({"a": 1}) == 0
+    with pytest.raises(Conflict):
+        log.folder.write_once("0000000000.json", "{}")
+    assert log.last() == {"a": 1} and log.append({"a": 2}) == 1 and log.table("a int").count() == 2
+
+
+def test_models_are_adopted_and_rolled_back(spark, tmp_path):
+    store = ModelStore(spark, str(tmp_path))
+    metrics = lambda model: spark.createDataFrame([(1, (model or {}).get("ndcg", 0.2), 0.5)], "query_id bigint, ndcg double, recall double")
+    assert store.adopted() is None
+    refresh = lambda ndcg: store.refresh(lambda: {"ndcg": ndcg}, metrics, E.regression_guard)
+    assert refresh(0.5) == (0, []) and store.adopted() == 0
+    version, reasons = refresh(0.3)  # worse
+    assert version == 1 and "ndcg fell" in reasons and store.adopted() == 0 and store.model(store.adopted()) == {"ndcg": 0.5}
+    assert refresh(0.6) == (2, []) and store.adopted() == 2
+    assert store.roll_back() == 0 and store.adopted() == 0 and store.roll_back() is None and store.adopted() is None
+    assert [r["event"] for r in store.history().orderBy("turn").collect()] == ["adopted", "adopted", "rolled back", "adopted", "rolled back", "rolled back"]
 
 
 def test_lsh_recall(spark):
