@@ -215,7 +215,7 @@ def not_inside(scored: DataFrame, max_words: int, share: int) -> DataFrame:
     return joined.filter(F.col("within").isNull() | (F.col("within") * 100 < F.col("a") * share)).drop("within")
 
 
-def phrases(docs: DataFrame, max_words: int = 3, least: int = 10, top: int = 2000, share: int = 50, period: int = 12) -> DataFrame:
+def phrases(docs: DataFrame, max_words: int = 3, least: int = 10, top: int = 2000, share: int = 50, period: int = 32) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): each language's first `top` phrases of 2 to `max_words` words.
 
     `docs` has text and lang; other columns are left alone. Texts are lower-cased (A-Z), cut into pieces at

@@ -49,7 +49,7 @@ def expected(rows, max_words=3, least=10, top=2000, share=50):
     return sorted((lang, i + 1, p.decode(), -a, left, right, n[lang], -s) for lang, rows_ in kept.items() for i, (s, a, p, left, right) in enumerate(sorted(rows_)[:top]))
 
 
-@pytest.mark.parametrize("options", [{}, {"period": 1}, {"period": 3, "max_words": 4, "least": 5, "top": 7}, {"max_words": 2, "share": 101}])
+@pytest.mark.parametrize("options", [{}, {"period": 1}, {"period": 12}, {"period": 3, "max_words": 4, "least": 5, "top": 7}, {"max_words": 2, "share": 101}])
 def test_brute_force(spark, options):
     rows = corpus()
     df = spark.createDataFrame([(*r, "a", "b", "c") for r in rows], SCHEMA).repartition(3)
