@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BLANK = "[ \t\n\r\f\x0b]"
@@ -181,3 +181,44 @@ def relative_time(seconds: Column) -> Column:
 
 def unique_slug(slug: Column, url: Column, taken: Column) -> Column:
     return F.when(taken, F.concat(F.substring(slug, 1, 70), F.lit("-"), F.substring(F.sha1(url), 1, 6))).otherwise(slug)
+
+
+#: Steps of a suffix stripper for English (plurals, -ed, -ing, final y), as (condition, what replaces the match): the first that
+#: fits counts. None leaves the word as it is. Patterns are without look-around, so that SQL engines read them alike.
+_E = "<e>"
+SUFFIX_STEPS = (
+    (("sses$", "ss"), ("^..+(ied|ies)$", ("(ied|ies)$", "i")), ("(ied|ies)$", "ie"), ("(us|ss)$", None), ("[aeiouy].+s$", ("s$", ""))),
+    (("(eedly|eed)$", "ee"), ("[aeiouy].*(ingly|edly|ing|ed)$", ("(ingly|edly|ing|ed)$", _E))),
+    (("(at|bl|iz)" + _E + "$", (_E, "e")), ("(bb|dd|ff|gg|mm|nn|pp|rr|tt)" + _E + "$", ("." + _E, "")), ("^[^aeiouy]*[aeiouy][^aeiouywx]" + _E + "$", (_E, "e")), (_E + "$", "")),
+    ((".[^aeiouy]y$", ("y$", "i")),),
+)
+
+
+def _change(rule) -> tuple[str, str, str] | None:
+    """(condition, pattern, replacement) of a rule."""
+    condition, put = rule
+    return None if put is None else (condition, *put) if isinstance(put, tuple) else (condition, condition, put)
+
+
+def _stripped(word: Column, step) -> Column:
+    out = word
+    for rule in reversed(step):
+        change = _change(rule)
+        out = F.when(F.rlike(word, F.lit(rule[0])), word if change is None else F.regexp_replace(word, change[1], change[2])).otherwise(out)
+    return F.when(F.length(word) >= 3, out).otherwise(word)
+
+
+def stemmed(rows: DataFrame, column: str) -> DataFrame:
+    """Words of three letters or more without their suffixes. Each step binds its word once, as the element of a list of one."""
+    word = F.array(column)
+    for step in SUFFIX_STEPS:
+        word = F.transform(word, lambda w: _stripped(w, step))  # noqa: B023  called at once
+    return rows.withColumn(column, word[0])
+
+
+def stemmed_sql(table: str, column: str) -> str:
+    """The same as a nested query over `table`."""
+    for step in SUFFIX_STEPS:
+        cases = " ".join(f"WHEN regexp_matches({column}, '{rule[0]}') THEN {column if change is None else f"regexp_replace({column}, '{change[1]}', '{change[2]}')"}" for rule in step for change in [_change(rule)])
+        table = f"(SELECT * REPLACE (CASE WHEN length({column}) < 3 THEN {column} {cases} ELSE {column} END AS {column}) FROM {table})"
+    return table

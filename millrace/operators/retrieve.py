@@ -46,11 +46,12 @@ def tokens(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit(TOKEN), 1)
 
 
-def postings(items: DataFrame, fields: dict[str, str], stopwords=T.STOPWORDS, terms: DataFrame | None = None) -> DataFrame:
+def postings(items: DataFrame, fields: dict[str, str], stopwords=T.STOPWORDS, terms: DataFrame | None = None, stem: bool = False) -> DataFrame:
     """(term, item_id, weight, n, positions): one row a term and item; the weight is the sum over its places.
 
     `fields` maps a text column to its class. Positions count on through the fields. With `terms` only places of those terms
-    leave the text they are in: a bounded number of them is sent to all tasks, more are joined (`contains.BROADCAST_TERMS`).
+    leave the text they are in: a bounded number of them is sent to all tasks, more are joined (`contains.BROADCAST_TERMS`). With `stem` words count without their
+    suffixes; `terms` must be so already.
     """
 
     def numbered(c: str, w: Column, start: Column) -> Column:
@@ -63,6 +64,8 @@ def postings(items: DataFrame, fields: dict[str, str], stopwords=T.STOPWORDS, te
         parts.append(numbered(c, F.lit(CLASS_WEIGHTS[cls]), base))
         base = base + F.size(f"_{c}")
     exploded = rows.select("item_id", F.explode(F.concat(*parts)).alias("p")).select("item_id", "p.*").filter(~F.col("term").isin(list(stopwords)))
+    if stem:
+        exploded = T.stemmed(exploded, "term")
     if terms is not None:
         exploded = exploded.join(bounded(terms.select("term").distinct()), "term", "left_semi")
     return exploded.groupBy("term", "item_id").agg(F.sum("w").alias("weight"), F.count("*").alias("n"), F.sort_array(F.collect_list("pos")).alias("positions"))

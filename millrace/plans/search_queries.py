@@ -24,12 +24,15 @@ from millrace.sources.tables import shared_folder
 FIELDS = {"title": "A", "summary": "B", "use_case": "C", "core": "C"}
 STOP = "string_split('" + " ".join(T.STOPWORDS) + "', ' ')"
 #: SQL of the shared steps, as common table expressions.
-POSTS = f"""posts AS (SELECT term, item_id, sum(w) AS weight, count(*) AS n FROM (
-  SELECT item_id, unnest(regexp_extract_all(lower(title), '[a-z][a-z0-9+.#-]*|[0-9]+[a-z]*')) AS term, 1.0::DOUBLE AS w FROM items UNION ALL
+POST_ROWS = """SELECT item_id, unnest(regexp_extract_all(lower(title), '[a-z][a-z0-9+.#-]*|[0-9]+[a-z]*')) AS term, 1.0::DOUBLE AS w FROM items UNION ALL
   SELECT item_id, unnest(regexp_extract_all(lower(summary), '[a-z][a-z0-9+.#-]*|[0-9]+[a-z]*')), 0.4::DOUBLE FROM items UNION ALL
   SELECT item_id, unnest(regexp_extract_all(lower(use_case), '[a-z][a-z0-9+.#-]*|[0-9]+[a-z]*')), 0.2::DOUBLE FROM items UNION ALL
-  SELECT item_id, unnest(regexp_extract_all(lower(core), '[a-z][a-z0-9+.#-]*|[0-9]+[a-z]*')), 0.2::DOUBLE FROM items)
-  WHERE NOT list_contains({STOP}, term) GROUP BY term, item_id)"""
+  SELECT item_id, unnest(regexp_extract_all(lower(core), '[a-z][a-z0-9+.#-]*|[0-9]+[a-z]*')), 0.2::DOUBLE FROM items"""
+_KEPT_ROWS = f"(SELECT * FROM ({POST_ROWS}) WHERE NOT list_contains({STOP}, term))"
+POSTS = f"posts AS (SELECT term, item_id, sum(w) AS weight, count(*) AS n FROM {_KEPT_ROWS} GROUP BY term, item_id)"
+#: The same with words and query terms without their suffixes.
+STEM_POSTS = f"posts AS (SELECT term, item_id, sum(w) AS weight, count(*) AS n FROM {T.stemmed_sql(_KEPT_ROWS, 'term')} GROUP BY term, item_id)"
+STEM_TERMS = f"stem_terms AS (SELECT DISTINCT query_id, term FROM {T.stemmed_sql('query_terms', 'term')})"
 KW = """kw AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY kw_rank DESC, item_id) AS rank FROM (
   SELECT query_id, item_id, round_even(sum(weight) / (sum(weight) + 1), 6) AS kw_rank FROM posts JOIN query_terms USING (term) GROUP BY query_id, item_id)) WHERE rank <= 100)"""
 SIM = f"sims AS (SELECT query_id, item_id, round_even({COS.format('query_vector', 'embedding')}, 6) AS similarity FROM query_vectors, item_vectors)"
@@ -121,6 +124,16 @@ def _(s, d):
     return kw_leg(s, d)
 
 
+def stem_terms(s, d):
+    return T.stemmed(terms_of(s, d), "term").distinct()
+
+
+@query("j2c_keyword_or_stemmed", sql("items query_terms", "SELECT query_id, item_id, kw_rank, rank FROM kw", STEM_POSTS, STEM_TERMS, KW.replace("query_terms", "stem_terms")))
+def _(s, d):
+    terms = stem_terms(s, d)
+    return J.keyword_or_leg(terms, J.postings(X.items(s, d), FIELDS, terms=terms, stem=True))
+
+
 def stored(s, d):
     return PostingStore.build(X.items(s, d), FIELDS, shared_folder(s, "store"))
 
@@ -155,6 +168,15 @@ def _(s, d):
     return J.keyword_and_leg(two_terms(s, d), asked_posts(s, d, two_terms(s, d)))
 
 
+STEM_PLACES = PLACES.replace("places AS (", "raw_places AS (") + f",\nplaces AS (SELECT * FROM {T.stemmed_sql('raw_places', 'term')})"
+
+
+@query("j3b_keyword_and_stemmed", sql("items query_terms", "SELECT query_id, item_id, kw_rank, rank FROM andleg", STEM_POSTS, STEM_PLACES, STEM_TERMS, TWO.replace("query_terms", "stem_terms"), AND_LEG))
+def _(s, d):
+    two = J.top_k(stem_terms(s, d), 2, ["term"], rank="t").drop("t")
+    return J.keyword_and_leg(two, J.postings(X.items(s, d), FIELDS, terms=two, stem=True))
+
+
 #: Choices set apart by `or`; all parts of a choice must be there and none with a minus.
 WEB = f"""web_raw AS (SELECT query_id, query, regexp_extract_all(query, '-?"[^"]+"|[^ ]+') AS raws FROM web_queries),
 web_at AS (SELECT query_id, raws[i] AS raw, len(list_filter(raws[1:i], lambda r: lower(r) = 'or')) AS choice FROM (SELECT *, unnest(range(1, len(raws) + 1)) AS i FROM web_raw)),
