@@ -36,7 +36,8 @@ BROADCAST_TOKENS = 500_000
 DEPTH = 100
 SALTS = 32
 
-_TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|[!?][^>]*>)""", re.S)
+#: A quote opens a value after = only, and only if white space, / or > follows where it closes; any other quote is a character.
+_TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*+"(?=[\s/>])|'[^']*+'(?=[\s/>]))?+)*+)>|[!?][^>]*>)""", re.S)
 _RAW = {n: re.compile(rf"</{n}\b[^>]*>", re.I) for n in ("script", "style", "noscript", "template", "textarea", "title", "iframe", "xmp", "svg", "math", "object", "select")}
 _ATTR = re.compile(r"""(class|id|role|itemprop|aria-hidden|hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?""", re.I)
 _SPACE = re.compile(r"\s+")
@@ -44,10 +45,14 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-DROP_ELEMENTS = frozenset("nav footer aside form button dialog menu fieldset datalist input label audio video canvas head".split())
+DROP_ELEMENTS = frozenset("nav footer aside button dialog menu fieldset datalist input label audio video canvas head".split())
 DROP_NAMES = frozenset(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion sidebar side rail nav navbar navigation menu breadcrumb breadcrumbs footer comment comments reply replies discussion disqus cookie cookies consent notice notices alert popup modal overlay newsletter subscribe signup login share sharing social related recommended recommendations widget toolbar pagination pager search tags hidden skip print".split()
 )
+#: Parts of compound names that say where or what a part of a page is; a name with any other part is a name of its own.
+NEUTRAL_NAMES = frozenset(
+    "area bar block body bottom box btn button buttons card cards col column container content count entry feed form global group head header icon icons inner item items layout left link links list main module outer page panel post posts primary right row secondary section site slot small text title top unit wrap wrapper".split()
+)
 DROP_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 MAIN_NAMES = frozenset("article post entry story content articlebody main".split())
 _CLOSES_P = BLOCK - {"html", "body", "head"}
@@ -56,8 +61,9 @@ _WALLS, _THROUGH = frozenset("td th article main".split()), frozenset("table bod
 _ROOT = xxhash.xxh64("p\x00")
 
 
-def _names(attributes: str) -> tuple[set[str], str, bool]:
-    names, role, hidden = set(), "", False
+def _names(attributes: str) -> tuple[set[str], bool, bool, str, bool]:
+    """Names of an element and their parts, whether one is to be left out, whether only compound ones are, role, hidden."""
+    names, drop, single, role, hidden = set(), False, False, "", False
     for key, value in _ATTR.findall(attributes):
         key, value = key.lower(), value.strip("\"'").lower()
         if key == "role":
@@ -66,23 +72,26 @@ def _names(attributes: str) -> tuple[set[str], str, bool]:
             hidden |= key == "hidden" or value == "true"
         else:
             for name in value.split():
+                parts = {x for x in re.split(r"[-_]+", name) if x}
                 names.add(name)
-                names.update(re.split(r"[-_]+", name))
-    return names, role, hidden
+                names |= parts
+                if parts & DROP_NAMES and parts <= DROP_NAMES | NEUTRAL_NAMES:
+                    drop, single = True, single or len(parts) == 1
+    return names, drop, drop and not single, role, hidden
 
 
 class _Open:
     """The open elements of a page, with counts by name, so that closing tags without a partner cost nothing."""
 
     def __init__(self):
-        self.stack: list[tuple] = []  # name, dropped, rank, whether it has a path
+        self.stack: list[tuple] = []  # name, dropped, rank, whether it has a path, the elements around that names leave out
         self.blocks: list[int] = []
         self.total: dict[str, int] = {}
         self.scopes: list[dict[str, int]] = [{}]
         self.walls: list[str] = []
         self.hashes, self.path = [_ROOT], (_token(_ROOT),)
 
-    def push(self, name: str, label: str, dropped: bool, rank: int) -> int | None:
+    def push(self, name: str, label: str, dropped: bool, rank: int, named: tuple[int, ...]) -> int | None:
         """The token of the element's path, if it has one."""
         pathed = name in BLOCK and len(self.hashes) <= DEPTH
         if pathed:
@@ -92,7 +101,7 @@ class _Open:
             self.path = (*self.path, _token(here))
         if name in BLOCK:
             self.blocks.append(len(self.stack))
-        self.stack.append((name, dropped, rank, pathed))
+        self.stack.append((name, dropped, rank, pathed, named))
         for counts in (self.total, self.scopes[-1]):
             counts[name] = counts.get(name, 0) + 1
         if name in _WALLS:
@@ -102,7 +111,7 @@ class _Open:
 
     def pop_to(self, k: int) -> None:
         gone = 0
-        for name, _, _, pathed in reversed(self.stack[k:]):
+        for name, _, _, pathed, _ in reversed(self.stack[k:]):
             if name in _WALLS:
                 self.walls.pop()
                 self.scopes.pop()
@@ -133,9 +142,12 @@ def blocks(html: str | None, seen: dict[int, int] | None = None) -> list[tuple[t
 
     A path is the tokens of the page and of the block elements around, from the outermost on. The
     rank is 2 inside an article or main element, 1 inside an element named like one, else 0.
-    `seen` gets how often each path of elements occurs.
+    `seen` gets how often each path of elements occurs. Elements that names leave out, and forms, are judged by what they hold, at
+    the end of the page; see _wrappers. Names say nothing of an element within a line, and text that is left out within a line
+    leaves its block whole.
     """
     out, parts, linked = [], [], 0
+    named_at: list[tuple[int, bool]] = []  # rank around, whether all its names are compound
     tree = _Open()
     stack = tree.stack
     at = end = 0
@@ -146,19 +158,21 @@ def blocks(html: str | None, seen: dict[int, int] | None = None) -> list[tuple[t
         nonlocal parts, linked
         text = _SPACE.sub(" ", unescape("".join(parts))).strip()
         if text:
-            _, dropped, rank, _ = stack[-1] if stack else ("", False, 0, False)
-            out.append((tree.path, text, linked, dropped, rank))
+            _, dropped, rank, _, named = stack[tree.blocks[-1]] if tree.blocks else ("", False, 0, False, ())
+            out.append((tree.path, text, linked, dropped, rank, named))
         parts, linked = [], 0
 
     def add(text: str) -> None:
         nonlocal linked
+        if stack and stack[-1][1] and not (tree.blocks and stack[tree.blocks[-1]][1]):
+            parts.append(" ")  # left out within a line
+            return
         parts.append(text)
         if any(s[0] == "a" for s in stack[-4:]):
             linked += len(text.split())
 
     def pop_to(k: int) -> None:
-        outer = stack[k - 1][1] if k else None
-        if any(s[0] in BLOCK or s[1] != outer for s in stack[k:]):
+        if any(s[0] in BLOCK for s in stack[k:]):
             flush()
         tree.pop_to(k)
 
@@ -189,32 +203,61 @@ def blocks(html: str | None, seen: dict[int, int] | None = None) -> list[tuple[t
             elif name in ("br", "wbr", "img"):
                 parts.append(" " if name == "br" else "")
             continue
-        names, role, hidden = _names(attributes) if attributes else (set(), "", False)
+        names, drop_name, compound, role, hidden = _names(attributes) if attributes else (set(), False, False, "", False)
         if name in _CLOSES_P:
             if tree.blocks and stack[tree.blocks[-1]][0] == "p":
                 pop_to(tree.blocks[-1])
             flush()
         if name in ("li", "dt", "dd", "tr", "td", "th", "option") and stack and stack[-1][0] == name:
             pop_to(len(stack) - 1)
-        dropped, rank = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
+        dropped, rank, named = (stack[-1][1], stack[-1][2], stack[-1][4]) if stack else (False, 0, ())
+        # beyond DEPTH of them an element goes or stays with those around it
+        if len(named) < DEPTH and (name == "form" or drop_name and name in BLOCK and name not in ("html", "body", "article", "main")):
+            named = (*named, len(named_at))
+            named_at.append((rank, compound or name == "form" and not drop_name))
         if name in ("article", "main") or role in ("article", "main"):
             rank = 2
         elif names & MAIN_NAMES and name in BLOCK and name != "body":
             rank = max(rank, 1)
         drop = hidden or name in DROP_ELEMENTS or role in DROP_ROLES or (name == "header" and rank < 2)
-        drop |= bool(names & DROP_NAMES) and name not in ("html", "body", "article", "main")
-        if drop and not dropped and name not in BLOCK:
-            flush()
         label = ".".join([name, *sorted(names)]).replace(">", "") if names else name
         if attributes.rstrip().endswith("/") and name not in BLOCK:
             continue
-        token = tree.push(name, label, dropped or drop, rank)
+        token = tree.push(name, label, dropped or drop, rank, named)
         if token is not None and seen is not None:
             seen[token] = seen.get(token, 0) + 1
     if len(html) > end:
         add(html[end:])
     flush()
-    return out
+    kept = _wrappers(out, named_at) if named_at else frozenset()
+    return [(path, text, links, dropped or not kept.issuperset(named), rank) for path, text, links, dropped, rank, named in out]
+
+
+def _wrappers(found: list[tuple], named_at: list[tuple[int, bool]]) -> frozenset[int]:
+    """Which of the elements that names leave out wrap the page's main slot, so that they stay.
+
+    Where all text of articles and main elements lies in such elements, the one with the most of it stays; where there is no such text
+    and most prose lies in one whose names are compound, that one does. Then the same holds inside of it.
+    """
+    inside = [(named, rank, max(0, len(text.split()) - links)) for _, text, links, dropped, rank, named in found if not dropped]
+    articles = [x for x in inside if x[1] == 2]
+    all_prose = sum(n for _, _, n in inside)
+    kept: list[int] = []
+    slots = articles or inside
+    while slots and (not articles or all(len(named) > len(kept) for named, _, _ in slots)):
+        prose: dict[int, int] = {}
+        for named, _, n in slots:
+            if len(named) > len(kept):
+                prose[named[len(kept)]] = prose.get(named[len(kept)], 0) + n
+        if not prose:
+            break
+        best = max(prose, key=lambda e: (prose[e], -e))
+        rank, compound = named_at[best]
+        if rank == 2 or not articles and not (compound and 2 * prose[best] > all_prose):
+            break
+        kept.append(best)
+        slots = [x for x in slots if x[0][: len(kept)] == tuple(kept)]
+    return frozenset(kept)
 
 
 def _page_only() -> dict[int, int]:

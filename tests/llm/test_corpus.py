@@ -363,3 +363,38 @@ def test_fold(spark):
 
     rows = spark.range(20).select("id", fold("id").alias("f")).collect()
     assert all(r["f"] == zlib.crc32(str(r["id"]).encode()) % 5 for r in rows)
+
+
+ARTICLE = "<article><h1>Title here</h1><p>" + "word " * 40 + "</p></article>"
+
+
+@pytest.mark.parametrize(
+    "html,want",
+    [
+        (f'<div class="content-sidebar-wrap">{ARTICLE}<div class="sidebar"><p>{"other " * 60}</p></div></div>', 42),
+        (f'<div class="layout has-sidebar">{ARTICLE}</div>', 42),
+        (f'<div class="post no-comments">{ARTICLE}</div>', 42),
+        (f'<div id="main" class="with-ads">{ARTICLE}</div>', 42),
+        (f'<form id="whole-page">{ARTICLE}</form><div class="related"><article><p>{"teaser " * 9}</p></article></div>', 42),
+        (f'<form id="whole-page">{ARTICLE}</form><div class="comments"><p>{"reader " * 90}</p></div>', 42),
+        (f'{ARTICLE}<div class="related"><article><p>{"teaser " * 9}</p></article></div>', 42),
+        (f'{ARTICLE}<form><p>{"field " * 90}</p></form>', 42),
+    ],
+)
+def test_wrappers_of_the_main_slot_stay(html, want):
+    assert len(html_text.main_text(html_text.blocks(f"<body>{html}</body>"), frozenset()).split()) == want
+
+
+@pytest.mark.parametrize(
+    "html,want",
+    [
+        ("<p title=it's>Hello there</p>", "Hello there"),
+        ('<p title="abc>Hello there</p>', "Hello there"),
+        ('<p title="abc>Hello there</p><p class="x">More</p>', "Hello there\nMore"),
+        ('<p title="a > b" data-q=\'"\'>ok</p>', "ok"),
+        ('<article><p>We <span class="search">search</span> the web <button>Go</button> now</p></article>', "We search the web now"),
+        ('<article><p>Long text</p><section id="related-work"><h2>Related work</h2><p>We cite.</p></section><p class="side-effects">None.</p><div class="share-buttons"><p>Share</p></div></article>', "Long text\nRelated work\nWe cite.\nNone."),
+    ],
+)
+def test_markup_and_names(html, want):
+    assert html_text.main_text(html_text.blocks(html), frozenset()) == want
