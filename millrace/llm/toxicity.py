@@ -18,6 +18,8 @@ from millrace.llm.learning import bounded_sample, fit_in_one_task, fold
 
 #: The fit sees at most this many labelled texts.
 SAMPLE = 12_000
+#: Features of fewer texts of the sample are left out of the fit.
+LEAST_TEXTS = 2
 _EDGES = ".,;:!?\"'()[]{}*%$&#<>|-"
 #: Lengths of the stems that stand beside each word, as inflected forms of one word differ at the end.
 STEMS = (4, 5, 6)
@@ -57,7 +59,7 @@ def features(texts) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(hashes)
 
 
-def _fit(table: pa.Table, epochs: int = 8, alpha: float = 1.0, beta: float = 1.0, l1: float = 2.0, l2: float = 0.1, seed: int = 6) -> dict[str, np.ndarray]:
+def _fit(table: pa.Table, epochs: int = 8, alpha: float = 1.0, beta: float = 1.0, l1: float = 2.0, l2: float = 0.1, seed: int = 6, least_texts: int = LEAST_TEXTS) -> dict[str, np.ndarray]:
     table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")]).combine_chunks()
     y = table["toxic"].to_numpy()
     docs = []
@@ -70,7 +72,7 @@ def _fit(table: pa.Table, epochs: int = 8, alpha: float = 1.0, beta: float = 1.0
         row, h = row[fresh], h[fresh]
         docs += np.split(h, np.searchsorted(row, np.arange(1, part.num_rows)))
     every, counts = np.unique(np.concatenate(docs), return_counts=True) if docs else (np.zeros(0, np.uint64), np.zeros(0, int))
-    every = every[counts > 1]  # a feature of one text cannot pay the L1 term
+    every = every[counts >= least_texts]
     ids = []
     for h in docs:
         at = np.searchsorted(every, h)
@@ -99,17 +101,19 @@ def _fit(table: pa.Table, epochs: int = 8, alpha: float = 1.0, beta: float = 1.0
     return {"hashes": every[kept], "weights": w[1:][kept], "bias": np.array(w[0])}
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict[str, np.ndarray]:
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, least_texts: int = LEAST_TEXTS) -> dict[str, np.ndarray]:
     """Fit on at most `sample` labelled texts of the learning folds, the first by hash of the id.
 
-    An id with several labels counts as toxic if one of them is. The chosen ids are at most `sample`
-    rows, so they go to every task that reads the texts.
+    An id with several labels counts as toxic if one of them is, an id with several rows has the first of their texts, so the fit
+    never sees more than `sample` rows. Features of fewer than `least_texts` texts of the sample get no weight; 1 keeps
+    all of them. The chosen ids are at most `sample` rows, so they go to every task that reads the texts.
     """
     known = labels.select("doc_id", "toxic").filter("doc_id IS NOT NULL AND toxic IS NOT NULL").filter(fold() != 0)
     marked = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = bounded_sample(marked, sample, F.xxhash64("doc_id"))
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
-    return fit_in_one_task(rows.select(F.col("doc_id").cast("string"), "text", "toxic"), _fit)
+    rows = rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    return fit_in_one_task(rows.select(F.col("doc_id").cast("string"), "text", "toxic"), lambda table: _fit(table, least_texts=least_texts))
 
 
 def score(docs: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
