@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from millrace.functions import scores as S
 from millrace.functions import text as T
 from millrace.operators import evaluate as E
-from millrace.operators import grid
+from millrace.operators import grid, trees
 from millrace.operators.intent import derived_terms, extract_intent
 from millrace.operators.retrieve import TOKEN, top_k
 
@@ -204,6 +204,30 @@ def cross_validate(rows: DataFrame, qrels: DataFrame, queries: DataFrame, k: int
     return means.join(F.broadcast(base)).select("model", "ndcg", adopted.alias("adopted"))
 
 
+def cross_validate_trees(rows: DataFrame, qrels: DataFrame, queries: DataFrame, save: Callable[[DataFrame], DataFrame], k: int = 5, gain: float = 0.005, **options) -> tuple[DataFrame, trees.Ranker]:
+    """((model, ndcg, adopted), ranker): held-out means of the blend, the pointwise model and listwise boosted trees over `k` folds.
+
+    The trees of all folds and of all queries grow together; `ranker` is the last of them. The trees are adopted if they are the best and better than
+    the blend by more than `gain`. `save` writes a table that several steps read.
+    """
+    fold_of = E.folds(queries, k)
+    graded = rows.join(qrels, ["query_id", "item_id"], "left").withColumn("grade", F.coalesce("grade", F.lit(0))).join(fold_of.select("query_id", "fold"), "query_id")
+    graded = save(graded.select("query_id", "item_id", "fold", "grade", "final", *FEATURES))
+    rankers = trees.train(graded, FEATURES, save, k, **options)
+    scored = trees.with_score(graded, FEATURES, rankers, "fold", "raw")
+    listwise = top_k(scored, 10, [F.desc("raw"), F.desc("final"), "item_id"]).select("query_id", "item_id", "rank")
+    held = E.metrics(listwise, qrels, queries).select(F.lit("trees").alias("model"), "ndcg")
+    held = held.union(E.metrics(apply_ranker(rows, {}), qrels, queries).select(F.lit("blend"), "ndcg"))
+    for fold in range(k):
+        train, test = (rows.join(fold_of.filter(c), "query_id", "left_semi") for c in (F.col("fold") != fold, F.col("fold") == fold))
+        asked = queries.join(fold_of.filter(F.col("fold") == fold), "query_id", "left_semi")
+        held = held.union(E.metrics(apply_ranker(test, train_pointwise(train, qrels)), qrels, asked).select(F.lit("pointwise"), "ndcg"))
+    means = held.groupBy("model").agg(F.bround(F.avg("ndcg"), 6).alias("ndcg"))
+    base = means.agg(F.max(F.when(F.col("model") == "blend", F.col("ndcg"))).alias("base"), F.max("ndcg").alias("top"))
+    adopted = (F.col("model") == "trees") & (F.col("ndcg") == F.col("top")) & (F.col("ndcg") > F.col("base") + gain)
+    return means.join(F.broadcast(base)).select("model", "ndcg", adopted.alias("adopted")), rankers[-1]
+
+
 def lsh_search(queries: DataFrame, items: DataFrame, k: int = 10, bucket: float = 0.5, tables: int = 20, radius: float = 1.5) -> DataFrame:
     """Approximate nearest items by random projections of unit vectors, re-scored exactly.
 

@@ -700,6 +700,12 @@ def _(s, d):
     return L.cross_validate(rows, qrels, X.queries(s, d))
 
 
+@query("k6b_listwise_trees")
+def _(s, d):
+    rows, qrels = written(s, L.ltr_features(hits(s, d), now())), written(s, qrels_of(s, d))
+    return L.cross_validate_trees(rows, qrels, written(s, X.queries(s, d)), lambda df: written(s, df))[0]
+
+
 @query("u1_encode", """SELECT doc_id, n_tokens, slot, round_even((c / sqrt(sum(c * c) OVER (PARTITION BY doc_id)))::FLOAT::DOUBLE, 5) AS value FROM (SELECT doc_id, slot, count(*)::DOUBLE AS c, sum(count(*)) OVER (PARTITION BY doc_id)::BIGINT AS n_tokens FROM (
   SELECT doc_id, ('0x' || substring(md5(unnest(regexp_extract_all(lower(text), '[a-z][a-z0-9+.#-]*|[0-9]+[a-z]*'))), 1, 8))::BIGINT % 64 AS slot FROM documents) GROUP BY doc_id, slot)""")
 def _(s, d):
