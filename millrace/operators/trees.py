@@ -81,11 +81,17 @@ def lambdas(score: np.ndarray, grade: np.ndarray, depth: int) -> tuple[np.ndarra
     ideal = (np.sort(gain)[::-1][:depth] / np.log2(np.arange(min(depth, len(gain))) + 2)).sum()
     if ideal <= 0:
         return np.zeros(len(score)), np.zeros(len(score))
-    better = grade[:, None] > grade[None, :]
-    change = np.abs((gain[:, None] - gain[None, :]) * (discount[:, None] - discount[None, :])) / ideal * better
-    rho = 1 / (1 + np.exp(np.clip(score[:, None] - score[None, :], -50, 50)))
-    pull, curve = change * rho, change * rho * (1 - rho)
-    return -pull.sum(axis=1) + pull.sum(axis=0), curve.sum(axis=1) + curve.sum(axis=0)
+    # no other pair can change the sum
+    top = np.flatnonzero(place < depth)
+    order = np.sign(grade[top, None] - grade[None, :])
+    change = np.abs((gain[top, None] - gain[None, :]) * (discount[top, None] - discount[None, :])) / ideal
+    change[:, top] /= 2  # both of them are among the first, so the pair comes twice
+    rho = 1 / (1 + np.exp(np.clip(order * (score[top, None] - score[None, :]), -50, 50)))
+    pull, curve = order * change * rho, change * rho * (1 - rho)
+    g, h = pull.sum(axis=0), curve.sum(axis=0)
+    g[top] -= pull.sum(axis=1)
+    h[top] += curve.sum(axis=1)
+    return g, h
 
 
 def packed(rows: DataFrame, features: tuple[str, ...], cuts: list[list[float]]) -> DataFrame:
@@ -178,21 +184,23 @@ def _sums(table: DataFrame, models: list[Ranker], young: dict[int, Tree], open_:
         done, fresh, open_now = shared.value
         out: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
-            for fold, n, bins, grades in zip(*(batch.column(c).to_pylist() for c in range(1, 5))):
-                x, grade = np.frombuffer(bins, np.uint8).reshape(n, width), np.frombuffer(grades)
-                for m, leaves_ in open_now.items():
-                    if m == fold and m < folds:
-                        continue
-                    score = sum((t.predict(x) for t in done[m].trees), np.zeros(n))
-                    g, h = lambdas(score, grade, depth)
-                    at = fresh[m].leaves(x)
-                    for leaf in leaves_:
-                        here = np.flatnonzero(at == leaf)
-                        s = out.setdefault((m, leaf), np.zeros((width, BINS, 3)))
-                        for j in range(width):
-                            b = x[here, j]
-                            for k, w in enumerate((g[here], h[here], None)):
-                                s[j, :, k] += np.bincount(b, w, BINS)
+            if not batch.num_rows:
+                continue
+            fold, n, bins, grades = (batch.column(c).to_pylist() for c in range(1, 5))
+            x, grade = np.frombuffer(b"".join(bins), np.uint8).reshape(-1, width), np.frombuffer(b"".join(grades))
+            ends, folds_ = np.cumsum([0, *n]), np.repeat(fold, n)
+            for m, leaves_ in open_now.items():
+                score = sum((t.predict(x) for t in done[m].trees), np.zeros(len(x)))
+                slopes = [lambdas(score[i:j], grade[i:j], depth) for i, j in zip(ends, ends[1:])]
+                g, h = (np.concatenate(c) for c in zip(*slopes))
+                at = np.where((folds_ == m) & (m < folds), -1, fresh[m].leaves(x))
+                for leaf in leaves_:
+                    here = np.flatnonzero(at == leaf)
+                    s = out.setdefault((m, leaf), np.zeros((width, BINS, 3)))
+                    for j in range(width):
+                        b = x[here, j]
+                        for k, w in enumerate((g[here], h[here], None)):
+                            s[j, :, k] += np.bincount(b, w, BINS)
         for (m, leaf), s in out.items():
             j, b = np.nonzero(s[..., 2])
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(j), v, np.int32)) for v in (m, leaf)] + [pa.array(c.astype(np.int32)) for c in (j, b)] + [pa.array(s[j, b, k]) for k in range(3)], names=["m", "leaf", "j", "b", "g", "h", "n"])

@@ -703,7 +703,8 @@ def _(s, d):
 @query("k6b_listwise_trees")
 def _(s, d):
     rows, qrels = written(s, L.ltr_features(hits(s, d), now())), written(s, qrels_of(s, d))
-    return L.cross_validate_trees(rows, qrels, written(s, X.queries(s, d)), lambda df: written(s, df))[0]
+    # a level of a tree is a job; 120 trees, the default, are for a nightly run
+    return L.cross_validate_trees(rows, qrels, written(s, X.queries(s, d)), lambda df: written(s, df), trees=12)[0]
 
 
 @query("u1_encode", """SELECT doc_id, n_tokens, slot, round_even((c / sqrt(sum(c * c) OVER (PARTITION BY doc_id)))::FLOAT::DOUBLE, 5) AS value FROM (SELECT doc_id, slot, count(*)::DOUBLE AS c, sum(count(*)) OVER (PARTITION BY doc_id)::BIGINT AS n_tokens FROM (
