@@ -12,7 +12,7 @@ SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 #: Quick ones of all groups; TEST_ALL=1 takes every query that has SQL, in some ten minutes.
-CHECKED = "a5_map_papers a8_upsert_items a10_run_ledger a16_seed_defaults b7_semantic_gate c7_new_queries d5_theme_counts d7_click_propensity d13_mrr_map d19_regression_guard e1_rrf e8_folds g1_merge_hits g3_merge_queries h4_canonical_url h13_dedupe_key h19_significant_terms h30_expand_terms h34_normalize_topics h35_derived_terms h36_flat_grade h37_intent_terms i3_hype_risk i9_extract_intent i11_enrich_intent i12_retrieval_context i14_final_score i15_query_confidence j1_postings j3_keyword_and j4_keyword_web j5_keyword_search j6_vector_search j9_intent_term_leg j10_fallback j13_hybrid_search j15_landscape k1_oracle_qrels k3_param_sweep k4_nested_cv k5_ltr_features k8_harvest_queries k10_mine_triplets s1_stream_ingest s4_click_through s5_outcome_counters u1_encode".split()
+CHECKED = "a5_map_papers a8_upsert_items a8b_upsert_snapshot a10_run_ledger a16_seed_defaults b6_heuristic_gate b7_semantic_gate c7_new_queries d5_theme_counts d7_click_propensity d13_mrr_map d19_regression_guard e1_rrf e8_folds e9_window_rotation e9b_next_offsets g1_merge_hits g3_merge_queries h4_canonical_url h13_dedupe_key h19_significant_terms h30_expand_terms h34_normalize_topics h35_derived_terms h36_flat_grade h37_intent_terms i3_hype_risk i9_extract_intent i11_enrich_intent i12_retrieval_context i14_final_score i15_query_confidence j1_postings j2b_keyword_or_stored j3_keyword_and j3b_keyword_and_stemmed j4_keyword_web j5_keyword_search j6_vector_search j8_prf_expand j9_intent_term_leg j10_fallback j13_hybrid_search j15_landscape k1_oracle_qrels k3_param_sweep k4_nested_cv k5_ltr_features k8_harvest_queries k10_mine_triplets s1_stream_ingest s4_click_through s4b_click_rates s5_outcome_counters u1_encode".split()
 if os.environ.get("TEST_ALL"):
     CHECKED = list(SQL)
 
