@@ -93,12 +93,16 @@ def keyword_or_leg(terms: DataFrame, posts: DataFrame, k: int = 100, max_share:
 def keyword_and_leg(terms: DataFrame, posts: DataFrame, k: int = 100) -> DataFrame:
     """Items with every term of the query; the shortest cover of all terms decides: weight / (1 + gap).
 
-    The positions of an item are walked once in order, with the last place of every term so far.
+    The positions of an item are walked once in order, with the last place of every term so far. `posts` is read twice, so it should be
+    a written table.
     """
-    need = terms.groupBy("query_id").agg(F.countDistinct("term").alias("need"))
-    hits = posts.join(terms, "term")
-    full = hits.groupBy("query_id", "item_id").agg(F.countDistinct("term").alias("have"), F.avg("weight").alias("weight"), F.collect_list("positions").alias("lists"))
-    full = full.join(need, "query_id").filter("have = need")
+    asked = terms.select("query_id", "term").distinct()
+    need = asked.groupBy("query_id").agg(F.count("*").alias("need"))
+    # which items have them all takes ids only; positions are fetched for those
+    have = posts.select("term", "item_id").join(asked, "term").groupBy("query_id", "item_id").agg(F.count("*").alias("have"))
+    whole = have.join(need, "query_id").filter("have = need").select("query_id", "item_id", "need")
+    hits = whole.join(asked, "query_id").join(posts, ["term", "item_id"])
+    full = hits.groupBy("query_id", "item_id", "need").agg(F.avg("weight").alias("weight"), F.collect_list("positions").alias("lists"))
     places = F.array_sort(F.flatten(F.transform("lists", lambda x, i: F.transform(x, lambda p: F.struct(p.alias("p"), i.alias("i"))))))
     walked = full.withColumn("places", places).withColumn("none", F.transform("lists", lambda x: F.lit(None).cast("int")))
 
@@ -138,9 +142,12 @@ def keyword_web_leg(queries: DataFrame, posts: DataFrame, k: int = 100) -> DataF
     part = ["query_id", "choice", "part", "excluded"]
     need = words.groupBy(*part).agg(F.countDistinct("i").alias("size"))
     parts = need.filter("NOT excluded").groupBy("query_id", "choice").agg(F.count("*").alias("parts"))
-    at = posts.join(words, "term").select(*part, "item_id", "i", "weight", F.explode("positions").alias("pos"))
-    runs = at.groupBy(*part, "item_id", (F.col("pos") - F.col("i")).alias("start")).agg(F.countDistinct("i").alias("c"), F.sum("weight").alias("w"))
-    matched = runs.join(need, part).filter(F.col("c") == F.col("size")).groupBy(*part, "item_id").agg(F.max("w").alias("w"))
+    sized = words.join(need, part)
+    # a single word matches where it is at all; only phrases look at places
+    single = posts.select("term", "item_id", "weight").join(sized.filter("size = 1"), "term").select(*part, "item_id", F.col("weight").alias("w"))
+    at = posts.join(sized.filter("size > 1"), "term").select(*part, "size", "item_id", "i", "weight", F.explode("positions").alias("pos"))
+    runs = at.groupBy(*part, "size", "item_id", (F.col("pos") - F.col("i")).alias("start")).agg(F.countDistinct("i").alias("c"), F.sum("weight").alias("w"))
+    matched = single.union(runs.filter(F.col("c") == F.col("size")).groupBy(*part, "item_id").agg(F.max("w").alias("w")))
     choice = ["query_id", "choice", "item_id"]
     bad = matched.filter("excluded").select(*choice).distinct()
     good = matched.filter("NOT excluded").join(bad, choice, "left_anti").groupBy(*choice).agg(F.count("*").alias("found"), F.sum("w").alias("w"))

@@ -165,7 +165,7 @@ andleg AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORD
 
 @query("j3_keyword_and", sql("items query_terms", "SELECT query_id, item_id, kw_rank, rank FROM andleg", POSTS, PLACES, TWO, AND_LEG))
 def _(s, d):
-    return J.keyword_and_leg(two_terms(s, d), asked_posts(s, d, two_terms(s, d)))
+    return J.keyword_and_leg(two_terms(s, d), written(s, asked_posts(s, d, two_terms(s, d))))
 
 
 STEM_PLACES = PLACES.replace("places AS (", "raw_places AS (") + f",\nplaces AS (SELECT * FROM {T.stemmed_sql('raw_places', 'term')})"
@@ -174,7 +174,7 @@ STEM_PLACES = PLACES.replace("places AS (", "raw_places AS (") + f",\nplaces AS
 @query("j3b_keyword_and_stemmed", sql("items query_terms", "SELECT query_id, item_id, kw_rank, rank FROM andleg", STEM_POSTS, STEM_PLACES, STEM_TERMS, TWO.replace("query_terms", "stem_terms"), AND_LEG))
 def _(s, d):
     two = J.top_k(stem_terms(s, d), 2, ["term"], rank="t").drop("t")
-    return J.keyword_and_leg(two, J.postings(X.items(s, d), FIELDS, terms=two, stem=True))
+    return J.keyword_and_leg(two, written(s, J.postings(X.items(s, d), FIELDS, terms=two, stem=True)))
 
 
 #: Choices set apart by `or`; all parts of a choice must be there and none with a minus.
@@ -192,7 +192,7 @@ WEB_QUERIES = """web_queries AS (SELECT query_id, '"' || w[1] || ' ' || w[2] ||
 
 @query("j4_keyword_web", sql("items queries", "SELECT query_id, item_id, kw_rank, rank FROM webleg", POSTS, PLACES, WEB_QUERIES, WEB))
 def _(s, d):
-    return J.keyword_web_leg(web_queries(s, d), asked_posts(s, d, J.web_terms(web_queries(s, d))))
+    return J.keyword_web_leg(web_queries(s, d), written(s, asked_posts(s, d, J.web_terms(web_queries(s, d)))))
 
 
 def web_queries(s, d):
