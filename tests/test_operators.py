@@ -237,3 +237,10 @@ def test_semantic_gate_passes_the_unknown(spark):
     found = spark.createDataFrame([(1, 10, [1.0, 0.0]), (1, 11, [0.0, 1.0]), (1, 12, None), (2, 13, [1.0, 0.0]), (3, 14, [1.0]), (1, 15, [0.0, 0.0])], "query_id bigint, item_id bigint, embedding array<double>")
     asked = spark.createDataFrame([(1, [1.0, 0.1]), (2, None)], "query_id bigint, query_vector array<double>")
     assert {r["item_id"]: r["similarity"] for r in B.semantic_gate(found, asked).collect()} == {10: 0.995037, 12: 0.0, 13: 0.0, 14: 0.0}
+
+
+def test_vectors_as_text_are_rounded_from_their_binary_value(spark):
+    values = [0.0703125, -0.0703125, 0.0078125, 1.0000005, 0.5, -0.0, 123456789.1234567, 0.9999999, -0.0000001, float("nan"), float("inf")]
+    rows = spark.createDataFrame([(1, values), (2, []), (3, None), (4, [1.0, None, 2.5])], "id bigint, v array<double>")
+    got = {r["id"]: r["t"] for r in rows.select("id", T.format_vector(F.col("v")).alias("t")).collect()}
+    assert got == {1: "[" + ",".join(f"{x:.6f}" for x in values) + "]", 2: "[]", 3: None, 4: "[1.000000,2.500000]"}
