@@ -244,3 +244,19 @@ def test_vectors_as_text_are_rounded_from_their_binary_value(spark):
     rows = spark.createDataFrame([(1, values), (2, []), (3, None), (4, [1.0, None, 2.5])], "id bigint, v array<double>")
     got = {r["id"]: r["t"] for r in rows.select("id", T.format_vector(F.col("v")).alias("t")).collect()}
     assert got == {1: "[" + ",".join(f"{x:.6f}" for x in values) + "]", 2: "[]", 3: None, 4: "[1.000000,2.500000]"}
+
+
+@pytest.mark.parametrize("text, score", [("an ai thing", 10), ("aiè.", 0), ("éai", 0), ("ml", 10), ("ai_x", 0), ("(ml)", 10), ("air", 0)])
+def test_short_words_end_where_letters_of_any_script_end(spark, text, score):
+    import duckdb
+
+    from millrace.functions import scores as S
+    from millrace.plans.item_queries import HYPE
+
+    long_enough = "x" * 30
+    row = spark.createDataFrame([(text, "one two three four " + text, long_enough, True, ["run"])], "summary string, title string, core string, has_code boolean, commands array<string>")
+    full = row.withColumns({"use_case": F.lit(""), "has_demo": F.lit(False), "has_paper": F.lit(False)})
+    got = full.select(S.hype_risk().alias("h")).first()["h"]
+    names = "title, summary, use_case, core, has_code, has_demo, has_paper, commands"
+    sql = duckdb.execute(f"SELECT {HYPE} FROM (SELECT * FROM (VALUES (?, ?, '', ?, true, false, false, ['run'])) v({names}))", ["one two three four " + text, text, long_enough]).fetchone()[0]
+    assert got == sql == score + 15
