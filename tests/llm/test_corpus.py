@@ -398,3 +398,12 @@ def test_wrappers_of_the_main_slot_stay(html, want):
 )
 def test_markup_and_names(html, want):
     assert html_text.main_text(html_text.blocks(html), frozenset()) == want
+
+
+def test_url_filter_learns_from_every_url(spark):
+    urls = spark.range(30_000).select(F.concat(F.when(F.col("id") % 3 == 0, "http://n.net/es/").otherwise("http://x.com/"), F.md5(F.col("id").cast("string"))).alias("url"))
+    ruled = urls.withColumn("verdict", url_filter.rule_of(url_filter.host_of(F.col("url")), url_filter.path_of(F.col("url")))[1])
+    learned = lambda df: spark.range(1).select(url_filter.learn(df)[0].alias("w")).first()["w"]
+    kept = url_filter.with_codes(ruled, F.col("url")).filter(F.crc32(F.col("url").cast("binary")) % 5 != 0)
+    want = spark.range(1).select(url_filter.weights(kept).alias("w")).first()["w"]
+    assert learned(ruled.union(ruled.limit(500))) == want
