@@ -34,16 +34,23 @@ class PostingStore:
         """Writes the postings of `items` (item_id and the text columns of `fields`, with their classes).
 
         A block covers `ids` item ids, so it never has more postings. A bucket is written in up to `parts` tasks by range, so a term
-        that a third of the items holds does not meet in one. Without items the store is empty.
+        that a third of the items holds does not meet in one. Postings are shuffled once. Without items the store is empty.
         """
         spark = items.sparkSession
-        posts = postings(items, fields).withColumn("span", F.floor(F.col("item_id") / ids))
-        blocks = posts.groupBy("term", "span").agg(F.max("weight").alias("top"), F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct("item_id", "weight", "n", "positions"))).alias("postings"))
-        bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
-        dealt = blocks.withColumn("bucket", bucket).repartition("bucket", F.pmod("span", F.lit(parts))).sortWithinPartitions("bucket", "term", "span")
+        dealt = PostingStore.dealt(items, fields, buckets, ids, parts)
         dealt.write.partitionBy("bucket").parquet(path)
         return PostingStore(spark, path, buckets)
 
+    @staticmethod
+    def dealt(items: DataFrame, fields: dict[str, str], buckets: int, ids: int, parts: int) -> DataFrame:
+        """The blocks in the order and the partitions in which they are written."""
+        posts = postings(items, fields).withColumn("span", F.floor(F.col("item_id") / ids))
+        bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
+        # dealt as they are to be written, so that the blocks are put together without a second shuffle
+        dealt = posts.withColumns({"bucket": bucket, "part": F.pmod("span", F.lit(parts))}).repartition("bucket", "part")
+        blocks = dealt.groupBy("bucket", "part", "term", "span").agg(F.max("weight").alias("top"), F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct("item_id", "weight", "n", "positions"))).alias("postings"))
+        return blocks.drop("part").sortWithinPartitions("bucket", "term", "span")
+
     def blocks(self, terms: DataFrame) -> DataFrame:
         """The blocks of the asked terms: by pushed lists of terms and buckets, or, for very many terms, by a join."""
         stored = self.spark.read.schema(BLOCK).parquet(self.path)
