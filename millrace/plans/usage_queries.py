@@ -345,7 +345,10 @@ def _(s, d):
 
 @query("k11_refresh_guard")
 def _(s, d):
-    return L.refresh_guard(Q.metrics_of(s, d), Q.metrics_of(s, d, Q.fused_run(s, d)), "v2")
+    # written, as the guard reads the metrics of both runs several times, and both the grades
+    qrels, queries = Q.written(s, Q.qrels_of(s, d)), X.queries(s, d)
+    before, after = (Q.written(s, E.metrics(run, qrels, queries)) for run in (Q.kw_leg(s, d).select("query_id", "item_id", "rank"), Q.fused_run(s, d)))
+    return L.refresh_guard(before, after, "v2")
 
 
 @query("k11b_model_refresh")
