@@ -96,3 +96,15 @@ def test_first_words_are_those_of_the_whole_text(spark):
     whole, first = (F.slice(X.words("text", n), 1, 6) for n in (None, 6))
     assert rows.filter(whole == first).count() == len(texts)
     assert rows.filter(F.size(X.words(F.concat("text", F.repeat(F.lit("x y "), 50)), 6)) > 8).isEmpty()
+
+
+def test_results_join_found_items_only(spark, monkeypatch):
+    """The items that a search found are chosen before any is shuffled, and the search is written once for both readers."""
+    from millrace.plans import search_queries as Q
+
+    ids = spark.createDataFrame([(1, 5), (2, 5), (2, 7)], "query_id bigint, item_id bigint")
+    monkeypatch.setattr(Q, "search", lambda s, d: ids)
+    rows = Q.results(spark, "/root/testdata/sf0.001")
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan and "LogicalRDD" not in plan
+    assert sorted((r["query_id"], r["item_id"]) for r in rows.collect()) == [(1, 5), (2, 5), (2, 7)]
