@@ -108,3 +108,33 @@ def test_results_join_found_items_only(spark, monkeypatch):
     plan = rows._jdf.queryExecution().optimizedPlan().toString()
     assert "LeftSemi" in plan and "LogicalRDD" not in plan
     assert sorted((r["query_id"], r["item_id"]) for r in rows.collect()) == [(1, 5), (2, 5), (2, 7)]
+
+
+def test_intent_hits_are_cut_in_the_task(spark, monkeypatch):
+    """A task gives k items of each term, so frequent terms of many queries make no pairs of items and queries; nulls and NaN rank as in Spark."""
+    rank = F.when(F.col("item_id") % 9 == 0, None).when(F.col("item_id") % 20 == 3, float("nan")).otherwise(F.col("quality"))
+    items = catalogue(spark, 900).withColumn("quality", rank).persist()
+    terms = asked(spark, [(q, "red") for q in range(30)] + [(1, "w3"), (2, "w10"), (3, ""), (4, None)])
+    texts = items.select("item_id", F.concat_ws("\n", "title", "summary").alias("text"), F.array("title").alias("elements"), "quality")
+    assert contains.best_holders(texts, ["red", "w3"], 4).count() <= 3 * 2 * 4
+    few = J.term_leg(terms, items, list(FIELDS), k=4)
+    monkeypatch.setattr(contains, "BROADCAST_TERMS", 1)  # all hits
+    same(few, J.term_leg(terms, items, list(FIELDS), k=4))
+
+
+def test_words_of_a_batch_are_those_of_the_pattern():
+    """Words are found for a whole batch at once, not text by text."""
+    import re
+
+    import pyarrow as pa
+
+    texts = ["c++ a.b 3d-print", "", "é12ab34cd -x .9 x", "x" * 9 + " c++ c++ ünder", "7", "c++"]
+    known = ["c++", "a.b", "3d", "print", "12ab", "34cd", "x", "9", "7", "nder", "the"]
+    for column in (pa.array(texts), pa.array(["c++", *texts, "x"]).slice(1, len(texts))):
+        row, term, r = in_texts.words([0.4], J.TOKEN, frozenset(["the"]))(known)([column])
+        want = {}
+        for i, text in enumerate(texts):
+            for word in re.findall(J.TOKEN, text):
+                if word in known:
+                    want[i, word] = want.get((i, word), 0.0) + 0.4
+        assert {(i, known[t]): x for i, t, x in zip(row.tolist(), term.tolist(), r.tolist())} == want
