@@ -138,3 +138,29 @@ def test_words_of_a_batch_are_those_of_the_pattern():
                 if word in known:
                     want[i, word] = want.get((i, word), 0.0) + 0.4
         assert {(i, known[t]): x for i, t, x in zip(row.tolist(), term.tolist(), r.tolist())} == want
+
+
+def test_relevance_looks_for_the_values_of_all_queries_at_once(spark, monkeypatch):
+    """A text is read once, not for each of its hits; the same numbers as by looking into the text for each value."""
+    from millrace.operators import rank as R
+
+    list_ = lambda *w: list(w)
+    asks = [
+        (1, list_("Red X", "W3"), list_("w3", None), list_("red"), None, list_("the", "GREEN", "nowhere"), list_("Model"), "rag_app"),
+        (2, [], [], [], [], [], [], None),
+        (3, None, list_("", "w1"), list_("blue"), list_("w5"), list_(*"abcdefghijklmnopqrstuvw"), [], next(iter(R.PROFILE_WORDS))),
+    ]
+    lists = "frameworks tools tags languages search_terms types".split()
+    intents = spark.createDataFrame(asks, "query_id bigint, " + ", ".join(f"{c} array<string>" for c in lists) + ", project_type string")
+    items = catalogue(spark, 60).withColumns({"use_case": F.lit("Red X"), "core": F.lit(None).cast("string"), "languages": F.array("title"), "artifact_type": F.lit("model")})
+
+    def scores():
+        found, says = R.with_held(R.with_blob(items), intents)
+        rel = R.relevance(F.when(F.col("item_id") % 2 == 0, 0.1), F.when(F.col("item_id") % 3 == 0, 0.4), says)
+        return found.crossJoin(R.asked(intents)).select("query_id", "item_id", F.bround(rel, 9).alias("r"))
+
+    at_once = scores()
+    assert "Contains(blob" not in at_once._jdf.queryExecution().optimizedPlan().toString() and "held_blob" in at_once._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(contains, "BROADCAST_TERMS", 1)  # text by text
+    same(at_once, scores())
+    assert at_once.filter("r > 0").count() > 60
