@@ -117,10 +117,13 @@ def _lists(rows: np.ndarray) -> pa.ListArray:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, n_shingles, two halves of the set's fingerprint, cells, beyond and the band keys (null for empty sets)."""
+    """doc_id, text_hash, n_shingles, two halves of the set's fingerprint, cells, beyond and the band keys (null for empty sets).
+
+    Small slices: a shingle has 64 bytes of its own while signatures are made.
+    """
 
     def run(batches):
-        for part in W.slices(batches):
+        for part in W.slices(batches, limit=1 << 20):
             offsets, elements = shingle_sets(part.column(2))
             counts = np.diff(offsets)
             cells, beyond = cell_counts(offsets, elements)

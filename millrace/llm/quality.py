@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm import words as W
+
 SYMBOLS = b"#*$%&|<>"
 _NOT_LETTERS = bytes(c for c in range(128) if not chr(c).isalpha())
 _SPACES = b" \t\n\x0b\x0c\r"
@@ -76,19 +78,25 @@ def measure(text: str | None) -> tuple[int, ...]:
     )
 
 
+def _measured(batches, n: int, at: int):
+    """The first `n` columns and the measurements of the text, column `at`, some megabytes of text at a time."""
+    for part in W.slices(batches, at):
+        rows = [measure(x.as_py()) for x in part.column(at)]
+        measured = [pa.array(c, pa.int64()) for c in zip(*rows)]
+        yield pa.RecordBatch.from_arrays([*part.columns[:n], *measured], names=[*part.schema.names[:n], *MEASURES])
+
+
 def _judged(docs: DataFrame, text: str, keep: tuple[str, ...]) -> DataFrame:
-    """(k0, k1, ... for the columns `keep`, the measurements, failures): names of the caller cannot meet ours."""
-    source = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.col(f"`{text}`").alias("whole_text"))
-    names = [f.name for f in source.schema if f.name != "whole_text"]
-    schema = ", ".join([f"{n} {source.schema[n].dataType.simpleString()}" for n in names] + [f"{m} bigint" for m in MEASURES])
-
-    def run(batches):
-        for batch in batches:
-            rows = [measure(x.as_py()) for x in batch.column(len(names))]
-            measured = [pa.array(c, pa.int64()) for c in zip(*rows)] or [pa.array([], pa.int64()) for _ in MEASURES]
-            yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(names))] + measured, names=[*names, *MEASURES])
-
-    measured = source.mapInArrow(run, schema)
+    """(k0, k1, ... for the columns `keep`, the measurements, failures): names of the caller cannot meet ours.
+
+    A text that is kept goes to Python once.
+    """
+    kept, n = [F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], len(keep)
+    at = keep.index(text) if text in keep else n
+    source = docs.select(*kept, *([F.col(f"`{text}`").alias("whole_text")] if at == n else []))
+    names = source.columns[:n]
+    schema = ", ".join([f"{c} {source.schema[c].dataType.simpleString()}" for c in names] + [f"{m} bigint" for m in MEASURES])
+    measured = source.mapInArrow(lambda batches: _measured(batches, n, at), schema)
     bits = [F.when(F.expr(rule), F.lit(1 << i)).otherwise(F.lit(0)) for i, rule in enumerate(RULES.values())]
     failures = bits[0]
     for bit in bits[1:]:

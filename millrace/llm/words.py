@@ -18,12 +18,16 @@ _MIX1, _MIX2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111E
 
 
 def slices(batches, column="text", limit=SLICE_BYTES):
-    """Cut Arrow batches into runs of rows of about `limit` bytes of text (one row at least)."""
+    """Cut Arrow batches into runs of rows of about `limit` bytes of text (one row at least).
+
+    What Arrow has set aside is given back after each batch: a worker lives on between tasks and stages, and
+    what each leaves behind would add up in the executor's memory.
+    """
     for batch in batches:
         n = batch.num_rows
         if not n:
             continue
-        size = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(column))), 0)
+        size = pc.fill_null(pc.binary_length(batch.column(column)), 0)
         ends = np.cumsum(size.to_numpy(zero_copy_only=False).astype(np.int64))
         start = 0
         while start < n:
@@ -31,6 +35,7 @@ def slices(batches, column="text", limit=SLICE_BYTES):
             stop = max(start + 1, int(np.searchsorted(ends, base + limit, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
+        pa.default_memory_pool().release_unused()
 
 
 def split(texts) -> tuple[np.ndarray, pa.Array]:

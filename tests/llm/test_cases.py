@@ -7,10 +7,11 @@ import re
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.llm import decontaminate, html_text, language_id, learning, mixing, near_dup, pii, quality, substring_dedup, toxicity, url_filter
+from millrace.llm import decontaminate, html_text, language_id, learning, mixing, near_dup, pii, quality, substring_dedup, toxicity, url_filter, words
 from tests.llm.test_corpus import WORD, brute_leaks, frame, shingles
 
 SF = "/root/testdata/sf0.01"
@@ -57,6 +58,28 @@ def test_clashing_columns_pass_through(spark, clash):
     assert judged.columns == [*kept, *url_filter.ADDED] and rows_of(judged.select(kept)) == rows_of(pages.select(kept))
 
 
+def test_quality_gives_texts_back_in_small_parts():
+    texts = [f"{i} " + "word and line " * 150_000 for i in range(6)] + [None, ""]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(8), pa.int64()), pa.array(texts)], names=["k0", "k1"])
+    parts = list(quality._measured([batch, batch.slice(0, 0)], 2, 1))
+    assert max(sum(map(len, filter(None, p["k1"].to_pylist()))) for p in parts) <= words.SLICE_BYTES
+    rows = [r for p in parts for r in p.to_pylist()]
+    assert [(r["k0"], r["k1"], tuple(r[m] for m in quality.MEASURES)) for r in rows] == [(i, t, quality.measure(t)) for i, t in enumerate(texts)]
+
+
+def test_quality_sends_the_text_once(spark):
+    docs = spark.createDataFrame([(1, "some words " * 60, "en"), (2, None, None)], "doc_id bigint, text string, lang string")
+    sent = lambda df: re.search(r"MapInArrow (?:<lambda>|run)\((.*?)\)#?", df._jdf.queryExecution().optimizedPlan().toString())[1].split(", ")
+    assert len(sent(quality.keep(docs))) == 3 and len(sent(quality.ledger(docs))) == 2
+
+
+def test_slices_give_memory_back(monkeypatch):
+    pool, given = pa.default_memory_pool(), []
+    monkeypatch.setattr(words.pa, "default_memory_pool", lambda: type("Pool", (), {"release_unused": lambda _: given.append(pool.bytes_allocated())})())
+    batch = pa.RecordBatch.from_arrays([pa.array(["a b"] * 4)], names=["text"])
+    assert sum(p.num_rows for p in words.slices([batch, batch], limit=6)) == 8 and len(given) == 2
+
+
 def test_bounded_sample(spark):
     rows = spark.range(5000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 10 == 0, "a").otherwise("b").alias("lang")).union(spark.sql("SELECT 7L, 'b' FROM range(4000)"))
     for limit in (50, 400, 10_000):
