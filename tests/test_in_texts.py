@@ -1,5 +1,7 @@
 """Groups of terms scored where the texts are read."""
 
+import re
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -164,3 +166,36 @@ def test_relevance_looks_for_the_values_of_all_queries_at_once(spark, monkeypatc
     monkeypatch.setattr(contains, "BROADCAST_TERMS", 1)  # text by text
     same(at_once, scores())
     assert at_once.filter("r > 0").count() > 60
+
+
+def test_many_groups_are_scored_in_parts(spark, monkeypatch):
+    """More rows of terms than go to all tasks at once are asked part by part where the texts are, so no postings of all items are made and joined."""
+    items = catalogue(spark).persist()
+    terms = asked(spark, [(q, t) for q in range(20) for t in (f"w{q % 11}", "red", "the")])
+    fields = {"title": (F.lower("title"), 2)}
+    want = J.keyword_or_texts(terms, items, FIELDS, 6).collect()
+    best = {tuple(r) for r in J.top_k(E.graded_terms(items, terms, fields, 6), 6, [F.desc("grade"), "item_id"]).collect()}
+    monkeypatch.setattr(contains, "BROADCAST_TERMS", 45)
+    parts = in_texts.few(J.grouped(0, terms))
+    rows = [r for p in parts for r in p]
+    assert len(parts) > 1 and len(set(rows)) == len(rows) == terms.distinct().count()
+    assert sum(len({r[1] for r in p}) for p in parts) == 20
+    leg, cut = J.keyword_or_texts(terms, items, FIELDS, 6), E.graded_terms(items, terms, fields, 6)
+    assert not {"Aggregate", "Join"} & set(re.findall(r"\w+", leg._jdf.queryExecution().optimizedPlan().toString()))
+    assert sorted(map(tuple, leg.collect())) == sorted(map(tuple, want))
+    assert {tuple(r) for r in J.top_k(cut, 6, [F.desc("grade"), "item_id"]).collect()} == best
+    monkeypatch.setattr(in_texts, "PARTS", 1)
+    assert in_texts.few(J.grouped(0, terms)) is None
+
+
+def test_equal_sums_are_cut_to_k_items(monkeypatch):
+    """Sums are of a few weights, so many are equal: of a group a task holds its k best only, and forms no pair below them."""
+    group, item = np.repeat(np.arange(3), 50), np.tile(np.arange(50)[::-1], 3)
+    at = in_texts.leaders(group, item, np.where(item % 2 == 0, 1.0, 2.0), 30)
+    assert len(at) == 90 and all(sorted(item[at][group[at] == g].tolist()) == sorted([*range(0, 10, 2), *range(1, 50, 2)]) for g in range(3))
+    groups = in_texts.Groups([(0, 1, 0, "a"), (0, 2, 0, "b"), (1, 1, 0, "a"), (1, 1, 0, "b")])
+    row, term, weight = np.array([0, 1, 1, 2]), np.array([0, 0, 1, 1]), np.array([0.2, 1.0, 0.4, 0.1])
+    kept = [c.tolist() for c in groups.sums(row, term, weight, np.array([0.5, 0.1]))]
+    assert sorted(zip(*kept)) == [(1, 0, 1.0), (1, 1, 0.4), (1, 2, 1.4), (2, 1, 0.1)]
+    monkeypatch.setattr(in_texts, "DENSE_CELLS", -99)
+    assert sorted(zip(*[c.tolist() for c in groups.sums(row + 10**6, term, weight, np.array([0.5, 0.1]))])) == [(r + 10**6, g, x) for r, g, x in sorted(zip(*kept))]
