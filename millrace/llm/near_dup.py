@@ -31,6 +31,10 @@ CELLS = 128
 #: Members of a bucket that one part of it may hold.
 PART_ROWS = 1000
 HUBS_GROW = 8
+#: Pairs of a member and a hub that a task compares, rows it reads for them, and the most tasks.
+TASK_PAIRS = 100_000
+TASK_ROWS = 20_000
+MOST_TASKS = 2000
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -189,7 +193,8 @@ def _grouped(docs: DataFrame, percent: int, broadcast_ids: int) -> DataFrame:
         live = scratch.save(parted, "open")
         scratch.drop(before)
         before = live
-        rows = live.count()
+        c = F.col("c")
+        rows, compared = live.groupBy("key").agg(F.count("*").alias("c")).agg(F.sum("c"), F.sum(c * F.least(c, F.lit(hubs_a_round)))).first()
         if not rows:
             break
         turn = F.xxhash64("node", F.lit(rounds))
@@ -204,7 +209,9 @@ def _grouped(docs: DataFrame, percent: int, broadcast_ids: int) -> DataFrame:
         in_cells = F.aggregate(F.zip_with("cells", "h_cells", lambda x, y: F.least(x, y)), F.lit(0), lambda t, x: t + x) + F.least("beyond", "h_beyond")
         near = (live["key"] == hubs["key"]) & (live["part"] == hubs["part"]) & (F.col("comp") != F.col("h_comp")) & later & linkable(F.least("most", "h_most")) & first & linkable(in_cells)
         ends = F.struct(F.greatest("node", "h_node").alias("a"), F.least("node", "h_node").alias("b"))
-        pairs = live.join(hubs, near).select(ends.alias("p"), F.least("comp", "h_comp").alias("ca"), F.greatest("comp", "h_comp").alias("cb")).select("p.*", "ca", "cb").distinct()
+        # a few bytes of rows make many pairs, so pairs decide how many tasks compare them, not bytes
+        tasks = min(MOST_TASKS, 1 + max(compared // TASK_PAIRS, rows // TASK_ROWS))
+        pairs = live.repartition(tasks, "key", "part").join(hubs.repartition(tasks, "key", "part"), near).select(ends.alias("p"), F.least("comp", "h_comp").alias("ca"), F.greatest("comp", "h_comp").alias("cb")).select("p.*", "ca", "cb").distinct()
         found = scratch.save(confirmed(pairs, sets, percent), "links")
         retired = hubs.select("key", F.col("h_node").alias("node")).distinct()
         live = live.drop("part", "parts").join(retired, ["key", "node"], "left_anti")

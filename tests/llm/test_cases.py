@@ -130,6 +130,19 @@ def test_large_bucket_in_parts(spark, monkeypatch):
     assert all(got[i] == 0 for i in range(60)) and all(got[100 + i] == 100 + i for i in range(20))
 
 
+def test_comparisons_are_dealt_by_their_number(spark, monkeypatch):
+    """A bucket's rows are few bytes and its pairs many, so their number and not their bytes decides how many tasks compare them."""
+    frame, dealt = type(spark.range(0)), []
+    deal = frame.repartition
+    monkeypatch.setattr(frame, "repartition", lambda self, n, *by: (dealt.append((n, by)), deal(self, n, *by))[1])
+    monkeypatch.setattr(near_dup, "TASK_PAIRS", 10)
+    words = [f"w{i}" for i in range(120)]
+    rows = [(i, " ".join([*words[:50], f"x{i}", *words[51:]])) for i in range(30)]
+    got = near_dup.groups(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {r["component_id"] for r in got} == {0}
+    assert dealt and all(by == ("key", "part") for _, by in dealt) and max(n for n, _ in dealt) > 10
+
+
 def test_substring_rows_without_id(spark):
     a, b = (" ".join(f"{c}{i}" for i in range(30)) for c in "ab")
     rows = [(None, a), (None, a), (None, b), (None, f"{b} z"), (4, f"y {b}"), (None, None), (None, ""), (2, None)]
